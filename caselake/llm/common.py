@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,3 +72,46 @@ def sample_fraction(df: DataFrame, bound: int, key: str) -> DataFrame:
         return df
     limit = int(bound / n * (1 << 20))
     return df.filter(F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 20)) < limit)
+
+
+def map_texts(
+    docs: DataFrame,
+    id_col: str,
+    text_col: str,
+    make: Callable[[], Callable[[list[str | None]], dict]],
+    fields: str,
+    block_chars: int = 8_000_000,
+    block_rows: int = 2_000,
+) -> DataFrame:
+    """``id_col`` and ``fields`` for every row, computed from the whole text in Arrow batches.
+
+    ``make`` is called once per task; what it returns gets a list of texts and gives a dict of
+    columns of that length.  Ids pass through untouched, nulls included.  A batch is handed over in
+    blocks of at most ``block_rows`` texts and about ``block_chars`` characters, so that what a
+    function holds is bounded by the longest text.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    own = StructType.fromDDL(fields)
+    out = StructType([docs.schema[id_col], *own.fields])
+    arrow = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            start = 0
+            while start < len(texts):
+                stop, chars = start, 0
+                while stop < len(texts) and stop - start < block_rows and (stop == start or chars < block_chars):
+                    chars += len(texts[stop] or "")
+                    stop += 1
+                got = work(texts[start:stop])
+                columns = [ids.slice(start, stop - start).cast(arrow.field(0).type)]
+                columns += [pa.array(got[f.name], type=f.type) for f in list(arrow)[1:]]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+                start = stop
+
+    return docs.select(F.col(id_col), F.col(text_col).alias("__text")).mapInArrow(run, out)

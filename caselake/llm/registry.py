@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import fertility_rules, language_id, line_dedup, secret_scan, simhash_dedup, toxic_crf
 
-QUERIES = {"op5_line_dedup": line_dedup.op5_line_dedup}
+QUERIES = {
+    "op1_toxic_crf": toxic_crf.op1_toxic_crf,
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_fertility_rules": fertility_rules.op3_fertility_rules,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op7_language_id": language_id.op7_language_id,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+}
 SQL = {"op5_line_dedup": line_dedup.OP5_SQL}
 
 
