@@ -1,9 +1,9 @@
 """Toxicity with a linear-chain conditional random field.
 
-Labels come by document, the field learns from labelled tokens.  A word is a toxic token where it is
-found in far more toxic than other training documents (copies counted once); tokens of the sampled
-lines are labelled by that list, and a two-label linear-chain CRF is fitted on word, suffix and
-previous-word features.  Forward-backward marginals of a document's tokens aggregate to a calibrated
+Labels come by document, the field learns from labelled tokens.  A word or a word's beginning is toxic
+where it is found in far more toxic than other training documents (copies counted once); tokens of
+the sampled lines are labelled by that list, and a two-label linear-chain CRF is fitted on features of
+the word, its beginnings and the word before it.  Forward-backward marginals of a document's tokens aggregate to a calibrated
 document score and to the offsets of offending words.
 
 The chain runs over each line of the whole text.  The model is a few hundred KB, whatever the input.
@@ -16,7 +16,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import id_remainder, map_texts, sample_fraction, table
@@ -34,11 +34,21 @@ def normal(raw: str) -> str:
     return raw.strip(PUNCTUATION).lower()
 
 
-def features(raw: str) -> tuple[int, int, int]:
-    """Buckets of the word, of its last three letters, and of what it is to the word after it."""
-    word = normal(raw).encode("utf-8", "surrogatepass")
-    h = zlib.crc32(word)
-    return h % BUCKETS, zlib.crc32(word[-3:], 1) % BUCKETS, (h * 2654435761 + 97) % 4294967291 % BUCKETS
+#: Lengths of the beginnings of words that count as features and as entries of the token list.
+STEMS = (4, 5, 6)
+
+
+def features(raw: str) -> tuple[int, ...]:
+    """Buckets of the word, of its beginnings, and (last) of what it is to the word after it."""
+    word = normal(raw)
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    stems = [zlib.crc32(word[:n].encode("utf-8", "surrogatepass"), n) % BUCKETS for n in STEMS]
+    return h % BUCKETS, *stems, (h * 2654435761 + 97) % 4294967291 % BUCKETS
+
+
+def is_listed(raw: str, listed: set[str]) -> bool:
+    word = normal(raw)
+    return word in listed or any(f"{word[:n]}*" in listed for n in STEMS)
 
 
 #: Bucket of the feature that the start of a line gives its first word.
@@ -87,18 +97,22 @@ def marginals(e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chain: Cha
     return both / (1 + both), fwd
 
 
-def fit_chain(lines: list[list[str]], toxic_words: set[str], rounds: int = 60, l2: float = 1e-4) -> Chain:
-    """Maximum likelihood by Adagrad over labelled token lines."""
-    tokens = [raw for line in lines for raw in line]
-    lengths = np.array([len(x) for x in lines if x], dtype=np.int64)
+def fit_chain(lines: list[tuple[list[str], bool]], toxic_words: set[str], rounds: int = 60, l2: float = 1e-4) -> Chain:
+    """Maximum likelihood by Adagrad over labelled token lines.
+
+    ``lines``: the tokens of a line, and whether its document is toxic.  A token is labelled 1 if it
+    is listed and its document is toxic: documents that are not have no toxic token.
+    """
+    tokens = [raw for line, _ in lines for raw in line]
+    lengths = np.array([len(line) for line, _ in lines if line], dtype=np.int64)
     chain = Chain(np.zeros(BUCKETS), -2.0, 0.0, -1.0, 0.0, 0.0)
     if not tokens or not toxic_words:
         return chain
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     feats = np.array([features(raw) for raw in tokens], dtype=np.int64)
-    feats[1:, 2] = feats[:-1, 2].copy()
-    feats[starts, 2] = LINE_START
-    y = np.array([normal(raw) in toxic_words for raw in tokens], dtype=np.float64)
+    feats[1:, -1] = feats[:-1, -1].copy()
+    feats[starts, -1] = LINE_START
+    y = np.array([toxic and is_listed(raw, toxic_words) for line, toxic in lines for raw in line], dtype=np.float64)
     inner = np.ones(len(tokens), dtype=bool)
     inner[starts] = False
     after = np.flatnonzero(inner)  # tokens that have one before them
@@ -139,8 +153,8 @@ class _Words(dict):
         self.limit, self.own, self.next = limit, [], []
 
     def __missing__(self, raw: str) -> int:
-        word, suffix, after = features(raw)
-        self.own.append(self.weights[word] + self.weights[suffix] + self.bias)
+        *own, after = features(raw)
+        self.own.append(sum([self.weights[i] for i in own]) + self.bias)
         self.next.append(self.weights[after])
         self[raw] = len(self.own) - 1
         return len(self.own) - 1
@@ -210,20 +224,29 @@ def make_scorer(chain: Chain):
 FIELDS = "max_marginal double, sum_marginals double, n_tokens bigint, spans string"
 
 
+NOT_WORD = r"[^\p{L}\p{N}]+"
+
+
+def _stems(words: Column, n: int) -> Column:
+    long = F.filter(words, lambda w: F.length(w) >= n)
+    return F.transform(long, lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def toxic_token_list(
     labelled: DataFrame, min_share: float = 0.01, min_docs: int = 5, min_ratio: float = 8.0, most: int = 5_000
 ) -> set[str]:
-    """Words of toxic training documents (columns ``text`` and ``toxic``) that other documents hardly have.
+    """Words, and beginnings of words (written ``stem*``), of toxic training documents that others hardly have.
 
-    At most ``most`` words, the most frequent first; a list of that bound goes to the driver.
+    Reads columns ``text`` and ``toxic``.  At most ``most`` entries, the most frequent first; a list of that bound goes to the driver.
     """
     n = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return set()
-    words = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
+    words = F.array_distinct(F.split(F.lower("text"), NOT_WORD))
+    units = F.array_distinct(F.concat(words, *[_stems(words, n) for n in STEMS]))
     found = (
-        labelled.select("toxic", F.explode(words).alias("word"))
+        labelled.select("toxic", F.explode(units).alias("word"))
         .filter(F.col("word") != "")
         .groupBy("word")
         .agg(F.count_if(F.col("toxic") == 1).alias("n1"), F.count_if(F.col("toxic") == 0).alias("n0"))
@@ -251,6 +274,11 @@ def one_per_family(labelled: DataFrame) -> DataFrame:
     )
 
 
+def _logit(p: float) -> float:
+    p = min(max(p, 1e-4), 1 - 1e-4)
+    return float(np.log(p / (1 - p)))
+
+
 def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     """Logistic regression with a small penalty, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -266,7 +294,7 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, bound: int = 20_000, max_lines: int = 8_000
+    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, bound: int = 10_000, max_lines: int = 6_000
 ) -> Chain | None:
     """Fits the field on rows that are labelled and not held out; None where there are no labels of both kinds.
 
@@ -284,35 +312,36 @@ def fit(
         .join(chosen, "doc_id")
         .persist()
     )
+    families = one_per_family(rows).persist()
     try:
-        families = one_per_family(rows)
         words = toxic_token_list(families)
         if not words:
             return None
-        tokens = F.split(F.lower("line"), r"[^\p{L}\p{N}]+")
-        lines = families.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
-            F.length("line") < 20_000
-        ).withColumn("hit", F.arrays_overlap(tokens, F.array(*map(F.lit, sorted(words)))))
-        order = [F.xxhash64(F.lit(3), "doc_id", "pos"), F.col("doc_id"), F.col("pos")]
-        sample = [
-            r["line"].split()
-            for hit in (True, False)
-            for r in lines.filter(F.col("hit") == hit).orderBy(*order).limit(max_lines // 2).select("line").collect()
-        ]
-        chain = fit_chain([x for x in sample if x], words)
+        tokens = F.split(F.lower("line"), NOT_WORD)
+        units = F.concat(tokens, *[_stems(tokens, n) for n in STEMS])
+        lines = families.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
+            F.length("line").between(1, 4_000)
+        ).withColumn("hit", F.arrays_overlap(units, F.lit(sorted(words))))
+        place = Window.partitionBy("hit").orderBy(F.xxhash64(F.lit(3), "doc_id", "pos"), "doc_id", "pos")
+        sample = (
+            lines.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= max_lines // 2).orderBy("hit", "place").collect()
+        )
+        chain = fit_chain([(x, r["toxic"] == 1) for r in sample if (x := r["line"].split())], words)
         seen = map_texts(
             rows.select(F.struct("doc_id", "toxic").alias("key"), "text"), "key", "text", lambda: make_scorer(chain), FIELDS
         ).select("key.toxic", "max_marginal", "sum_marginals").collect()
-        x = np.array([(r[1], np.log1p(r[2])) for r in seen])
+        x = np.array([(_logit(r[1]), np.log1p(r[2])) for r in seen])
         chain.calibration = _calibrate(x, np.array([float(r[0]) for r in seen]))
         return chain
     finally:
+        families.unpersist()
         rows.unpersist()
 
 
 def _score(chain: Chain) -> Column:
     b0, b1, b2 = chain.calibration
-    z = F.lit(b0) + b1 * F.col("max_marginal") + b2 * F.log1p("sum_marginals")
+    top = F.least(F.greatest("max_marginal", F.lit(1e-4)), F.lit(1 - 1e-4))
+    z = F.lit(b0) + b1 * F.log(top / (1 - top)) + b2 * F.log1p("sum_marginals")
     return 1 / (1 + F.exp(-z))
 
 
