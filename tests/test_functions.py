@@ -100,7 +100,7 @@ def test_rewrite_host(spark, url, want):
 
 def test_html_and_section(spark):
     html = "<p>A &amp; B</p><script>x</script><b>c</b>"
-    assert one(spark, html, S.html_to_text) == "A & B\n c"
+    assert one(spark, html, S.html_to_text) == "A & B\nc"
     assert one(spark, "Intro REASONS: one two END rest", lambda c: S.section(c, "reasons:", ["end"])) == "one two"
     assert one(spark, "nothing here", lambda c: S.section(c, "reasons:", ["end"])) is None
     assert one(spark, "nothing here", lambda c: S.excerpt(c, "reasons:", ["end"], head=7)) == "nothing"
@@ -108,7 +108,7 @@ def test_html_and_section(spark):
 
 @pytest.mark.parametrize(
     "quote, want",
-    [("would harm the area", "ok"), ("The proposal … harm the area", "ok"), ("would harm the whole area of the town", "near_verbatim"), ("entirely different words are used here", "missing"), (None, None)],
+    [("would harm the area", "ok"), ("The proposal … harm the area", "ok"), ("it would harm the whole area indeed", "near_verbatim"), ("entirely different words are used here", "missing"), (None, None)],
 )
 def test_grounding(spark, quote, want):
     source = "The proposal would harm the area of the town and its people, it would harm the whole area too"
