@@ -16,7 +16,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, map_texts, sample_fraction, table
@@ -322,10 +322,8 @@ def fit(
         lines = families.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
             F.length("line").between(1, 4_000)
         ).withColumn("hit", F.arrays_overlap(units, F.lit(sorted(words))))
-        place = Window.partitionBy("hit").orderBy(F.xxhash64(F.lit(3), "doc_id", "pos"), "doc_id", "pos")
-        sample = (
-            lines.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= max_lines // 2).orderBy("hit", "place").collect()
-        )
+        order = [F.xxhash64(F.lit(3), "doc_id", "pos"), F.col("doc_id"), F.col("pos")]
+        sample = [r for hit in (True, False) for r in lines.filter(F.col("hit") == hit).orderBy(*order).limit(max_lines // 2).collect()]
         chain = fit_chain([(x, r["toxic"] == 1) for r in sample if (x := r["line"].split())], words)
         seen = map_texts(
             rows.select(F.struct("doc_id", "toxic").alias("key"), "text"), "key", "text", lambda: make_scorer(chain), FIELDS
