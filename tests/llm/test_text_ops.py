@@ -115,7 +115,8 @@ def test_simhash_edge_rows(spark):
     texts = [None, "", " \n", "one", "ONE", "one two three four five", "one two three four five", "\x00 é  x" * 9]
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicate_classes(documents(spark, texts)).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 8: 8}
-    kept = simhash_dedup.keep_one_per_class(documents(spark, texts))
+    df = documents(spark, texts)
+    kept = simhash_dedup.keep_one_per_class(df, simhash_dedup.similar_text_classes(df))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4, 6, 8] and kept.columns == documents(spark, texts).columns
 
 
