@@ -57,17 +57,13 @@ def roll_up(df: DataFrame, parent: str) -> DataFrame:
     )
 
 
-def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], left_n: str, right_n: str) -> DataFrame:
+def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], left_n: Sequence[str], right_n: Sequence[str]) -> DataFrame:
     """Full outer join with a tag: matched, left_only or right_only; missing counts are 0."""
-    a = left.withColumn("__l", F.lit(True))
-    b = right.withColumn("__r", F.lit(True))
+    a = left.select(*keys, *left_n, F.lit(True).alias("__l"))
+    b = right.select(*keys, *right_n, F.lit(True).alias("__r"))
     tag = F.when(F.col("__l") & F.col("__r"), "matched").when(F.col("__l"), "left_only").otherwise("right_only")
-    return a.join(b, list(keys), "full_outer").select(
-        *keys,
-        F.coalesce(left_n, F.lit(0).cast("long")).alias(left_n),
-        F.coalesce(right_n, F.lit(0).cast("long")).alias(right_n),
-        tag.alias("match"),
-    )
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in (*left_n, *right_n)]
+    return a.join(b, list(keys), "full_outer").select(*keys, *counts, tag.alias("match"))
 
 
 def year_matrix(df: DataFrame, keys: Sequence[str], year: str, n: str, years: Sequence[int]) -> DataFrame:

@@ -111,8 +111,7 @@ def histogram(df: DataFrame, value: str, width: float) -> DataFrame:
 def spread(df: DataFrame, value: str) -> DataFrame:
     """n, median, exclusive quartiles (position p * (n + 1), clipped) and maximum.
 
-    Ranks come from one global sort, so nothing is gathered in one row; only the rows around the wanted
-    positions are kept.
+    Ranks come from counts of the distinct values, so nothing is gathered in one row or task.
     """
     rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     total = rows.count()
@@ -123,30 +122,32 @@ def spread(df: DataFrame, value: str) -> DataFrame:
         at = min(max(p * (total + 1), 1.0), float(total))
         low = int(at)
         wanted[name] = (low, min(low + 1, total), at - low)
-    places = sorted({x for lo, hi, _ in wanted.values() for x in (lo, hi)})
-    ranked = _global_rank(rows, "v")
-    at = {i: F.max(F.when(F.col("__rank") == i, F.col("v"))) for i in places}
-    picked = ranked.filter(F.col("__rank").isin(*places, total))
-    return picked.agg(
+    ranked = _value_ranks(rows, "v")
+
+    def at(i: int):
+        return F.max(F.when((F.col("__before") < i) & (F.lit(i) <= F.col("__before") + F.col("__c")), F.col("v")))
+
+    return ranked.agg(
         F.lit(total).cast("long").alias("n"),
-        *[F.round(at[lo] + (at[hi] - at[lo]) * w, 6).alias(name) for name, (lo, hi, w) in wanted.items()],
+        *[F.round(at(lo) + (at(hi) - at(lo)) * w, 6).alias(name) for name, (lo, hi, w) in wanted.items()],
         F.round(F.max("v"), 6).alias("maximum"),
     )
 
 
-def _global_rank(df: DataFrame, value: str) -> DataFrame:
-    """Rows numbered from 1 by ``value`` without a single-partition window: counts of values before, then within."""
+def _value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """Distinct values with how often they occur and how many rows come before them.
+
+    No window has all rows in one partition: rows before the value's bucket, of at most about 1,000 buckets, and
+    then those before it in its bucket.
+    """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
     buckets = counts.withColumn("__b", F.floor(F.col(value) / _bucket_width(counts, value)))
+    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     sums = buckets.groupBy("__b").agg(F.sum("__c").alias("__s"))
-    before = sums.withColumn(
-        "__before", F.coalesce(F.sum("__s").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ).drop("__s")
+    before = sums.select("__b", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__start"))
     inner = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("__c").over(inner), F.lit(0))
-    return buckets.join(before, "__b").withColumn("__first", F.col("__before") + start).select(
-        value, F.explode(F.sequence(F.col("__first") + 1, F.col("__first") + F.col("__c"))).alias("__rank")
-    )
+    inside = buckets.withColumn("__in", F.coalesce(F.sum("__c").over(inner), F.lit(0)))
+    return inside.join(before, "__b").select(value, "__c", (F.col("__start") + F.col("__in")).alias("__before"))
 
 
 def _bucket_width(df: DataFrame, value: str, buckets: int = 1000) -> float:

@@ -247,9 +247,7 @@ FROM o FULL JOIN e ON o.area = e.area"""
 def area_year_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = geo.year_matrix(_own_years(spark, sf_dir).withColumnRenamed("authority", "area"), ["area"], "year", "n", YEARS)
     ext = _external_years(spark, sf_dir).groupBy("area").agg(F.sum(F.when(F.col("year").between(1993, 1996), F.col("n"))).alias("external"))
-    tags = geo.reconcile(own.select("area", "total"), ext, ["area"], "total", "external")
-    years = [f"y{y}" for y in YEARS]
-    return tags.join(own.select("area", *years), "area", "left").na.fill(0, years)
+    return geo.reconcile(own, ext, ["area"], [*[f"y{y}" for y in YEARS], "total"], ["external"])
 
 
 @query(
