@@ -474,14 +474,17 @@ def outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.first_link(links, "page_id", ~S.is_generic_url(F.col("url")))
 
 
+MOVED_HOSTS = dict.fromkeys(("thther.example.org", "therha.example.com", "therin.example.net"), "moved.example.org")
+
+
 @query(
     r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host FROM pages)
-SELECT page_id, host, CASE WHEN host = 'site1.example.com' THEN regexp_replace(url, '^https?://[^/:?#]+', 'https://moved.example.org') ELSE url END AS new_url FROM h"""
+SELECT page_id, host, CASE WHEN host IN ('thther.example.org', 'therha.example.com', 'therin.example.net') THEN regexp_replace(url, '^https?://[^/:?#]+', 'https://moved.example.org') ELSE url END AS new_url FROM h"""
 )
 def host_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = parquet(spark, sf_dir, "pages").select("page_id", "url")
     return pages.select(
-        "page_id", S.url_host(F.col("url")).alias("host"), S.rewrite_host(F.col("url"), {"site1.example.com": "moved.example.org"}).alias("new_url")
+        "page_id", S.url_host(F.col("url")).alias("host"), S.rewrite_host(F.col("url"), MOVED_HOSTS).alias("new_url")
     )
 
 
