@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, map_texts, sample_fraction, table
 
-BUCKETS = 1 << 15
+BUCKETS = 1 << 17
 SPAN_FLOOR = 0.5
 
 
