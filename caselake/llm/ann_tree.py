@@ -4,7 +4,9 @@ The tree is fitted on a bounded sample; every vector is then filed in a leaf by
 nearest centre at each level.  A query walks the tree best-bin-first: a priority queue holds branches by
 the distance of their centres, so leaves come out roughly nearest first.  How many leaves a query
 visits is calibrated: for sample queries the true neighbours are found by brute force over all rows,
-and the number of visits is widened until the wanted share of them lies in visited leaves.
+and the number of visits is widened until the wanted share of them lies in visited leaves.  Leaves lie
+in blocks of a bounded number of rows; a block holds its visitors against the rows of the leaves that
+they visit and gives each its nearest, so what is shuffled follows the queries, not the candidates.
 
 Vectors with the same components are one entry with its smallest ids, as many as an answer can need,
 so a vector that a third of the rows share is neither one huge leaf nor a loss.
@@ -124,9 +126,10 @@ def nearest_neighbours(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     k: int = 10,
-    target_recall: float = 0.97,
+    target_recall: float = 0.95,
     sample_rows: int = 65_536,
     rows_per_leaf: int = 64,
+    rows_per_block: int = 4_096,
     most_leaves: int = 16_384,
     branching: int = 8,
     calibration_queries: int = 64,
@@ -187,37 +190,94 @@ def nearest_neighbours(
 
     visits = calibrate(base, asked, tree, dim, k, target_recall, calibration_queries)
 
+    # leaves are dealt to blocks of about rows_per_block rows; a larger leaf is spread over several blocks
+    counts = {r["leaf"]: r["n"] for r in index.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    first, parts = deal_blocks(counts, tree.n_leaves, rows_per_block)
+    leaf_block = F.get(F.lit(first), F.col("leaf").cast("int")) + F.pmod(
+        F.xxhash64("v"), F.get(F.lit(parts), F.col("leaf").cast("int"))
+    )
+    stored = index.select(leaf_block.alias("block"), "leaf", "id", "v")
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, leaves = [], []
+            at, blocks, leaves = [], [], []
             for i, q in enumerate(_vectors(b.column(1), dim) if b.num_rows else ()):
-                got = tree.visit(q, visits)
-                at += [i] * len(got)
-                leaves += got
+                own: dict[int, list[int]] = {}
+                for leaf in tree.visit(q, visits):
+                    for block in range(first[leaf], first[leaf] + parts[leaf]):
+                        own.setdefault(block, []).append(leaf)
+                at += [i] * len(own)
+                blocks += own.keys()
+                leaves += own.values()
             rows = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(rows), b.column(1).take(rows), pa.array(leaves, pa.int64())], ["query_id", "q", "leaf"]
+                [
+                    b.column(0).take(rows),
+                    b.column(1).take(rows),
+                    pa.array(blocks, pa.int64()),
+                    pa.array(leaves, pa.list_(pa.int64())),
+                ],
+                ["query_id", "q", "block", "leaves"],
             )
 
-    probes = asked.select("id", "v").mapInArrow(walk, f"query_id {kind}, q array<double>, leaf bigint")
-    squares = F.aggregate(
-        F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, x: total + x
-    )
+    probes = asked.select("id", "v").mapInArrow(walk, f"query_id {kind}, q array<double>, block bigint, leaves array<bigint>")
+
+    def nearest_in_block(asking: pa.Table, held: pa.Table) -> pa.Table:
+        out_q, out_id, out_d = [], [], []
+        if asking.num_rows and held.num_rows:
+            x = _vectors(held.column("v").combine_chunks(), dim)
+            leaf, ids = held.column("leaf").to_numpy(), held.column("id").to_pylist()
+            norms = (x**2).sum(axis=1)
+            query_ids, all_leaves = asking.column("query_id").to_pylist(), asking.column("leaves").to_pylist()
+            q = _vectors(asking.column("q").combine_chunks(), dim)
+            spare = k + 22  # the quick distances below are rounded: some more are held against the exact ones
+            for at in range(0, len(q), 128):
+                quick = norms - 2 * (q[at : at + 128] @ x.T)
+                for j, row in enumerate(quick):
+                    row[~np.isin(leaf, all_leaves[at + j])] = np.inf
+                    near = np.argpartition(row, spare)[:spare] if len(row) > spare else np.arange(len(row))
+                    near = near[np.isfinite(row[near])]
+                    away = np.sqrt(((x[near] - q[at + j]) ** 2).sum(axis=1))
+                    own = query_ids[at + j]
+                    best = sorted((float(d), i) for d, n in zip(away, near, strict=True) for i in ids[n] if i != own)[:k]
+                    out_q += [own] * len(best)
+                    out_d += [d for d, _ in best]
+                    out_id += [i for _, i in best]
+        kind_of = asking.schema.field("query_id").type
+        return pa.table(
+            {"query_id": pa.array(out_q, kind_of), "id": pa.array(out_id, kind_of), "score": pa.array(out_d, pa.float64())}
+        )
+
     near = Window.partitionBy("query_id").orderBy("score", "id")
     found = (
-        probes.join(index, "leaf")
-        .select("query_id", F.sqrt(squares).alias("score"), F.col("id").alias("ids"))
-        # the best rows of each query and leaf slice go on, not all that a leaf holds
-        .withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy("score", F.get("ids", F.lit(0)))))
-        .filter(F.col("at") <= k + 1)
-        .select("query_id", "score", F.explode("ids").alias("id"))
-        .filter(F.col("id") != F.col("query_id"))
+        probes.groupBy("block")
+        .cogroup(stored.groupBy("block"))
+        .applyInArrow(nearest_in_block, f"query_id {kind}, id {kind}, score double")
         .withColumn("rank", F.row_number().over(near))
         .filter(F.col("rank") <= k)
     )
     return found.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def deal_blocks(counts: dict[int, int], n_leaves: int, most: int) -> tuple[list[int], list[int]]:
+    """First block and number of blocks of each leaf: neighbouring leaves share a block up to ``most`` rows."""
+    first, parts, block, filled = [], [], 0, 0
+    for leaf in range(n_leaves):
+        n = counts.get(leaf, 0)
+        if n > most:
+            block += filled > 0
+            parts.append(math.ceil(n / most))
+            first.append(block)
+            block, filled = block + parts[-1], 0
+            continue
+        if filled + n > most:
+            block, filled = block + 1, 0
+        first.append(block)
+        parts.append(1)
+        filled += n
+    return first, parts
+
+
 def calibrate(
     base: DataFrame, asked: DataFrame, tree: Tree, dim: int, k: int, target: float, n_queries: int
 ) -> int:
