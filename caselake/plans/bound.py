@@ -313,7 +313,9 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.interleave(parquet(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
-_DRAW = F.pmod(F.col("doc_id") * 7919, F.lit(1009))
+def _draw() -> list:
+    """The order of a seeded draw, by key arithmetic so that SQL can repeat it."""
+    return [F.pmod(F.col("doc_id") * 7919, F.lit(1009)), F.col("doc_id")]
 
 
 @query(
@@ -322,7 +324,7 @@ WHERE turn <= 5 ORDER BY turn, source LIMIT 60"""
 )
 def capped_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source")
-    return progress.capped_sample(docs, "source", [_DRAW, F.col("doc_id")], 5, 60, F.col("source"))
+    return progress.capped_sample(docs, "source", _draw(), 5, 60, F.col("source"))
 
 
 @query(
@@ -333,7 +335,7 @@ JOIN p USING (lang) WHERE turn <= quota"""
 def stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "lang")
     plan = docs.groupBy("lang").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 50)).alias("quota"))
-    return progress.stratified_sample(docs, plan, ["lang"], [_DRAW, F.col("doc_id")])
+    return progress.stratified_sample(docs, plan, ["lang"], _draw())
 
 
 @query(
@@ -342,7 +344,7 @@ ORDER BY turn > 1, k, doc_id LIMIT 40"""
 )
 def bucket_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source")
-    return progress.one_per_bucket_then_fill(docs, "source", [_DRAW, F.col("doc_id")], 40)
+    return progress.one_per_bucket_then_fill(docs, "source", _draw(), 40)
 
 
 @query(
