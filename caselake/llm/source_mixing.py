@@ -12,6 +12,7 @@ totals, and has no other state to lose.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,11 +196,15 @@ def mix(
     text_col: str = "text",
     domain_col: str = "domain",
     seed: int = 5,
+    keep: Sequence[str] = (),
+    headroom: float = 1.1,
     **classifier,
 ) -> DataFrame:
     """One row per distinct id: ``id_col``, ``tokens``, ``posterior`` (domain -> probability), ``rate``, ``copies``.
 
     ``targets`` are wanted shares by domain (they are scaled to add up to 1; domains not named get 0).
+    The token budget is that of all documents, or more where a domain named in ``keep`` would else get less than
+    ``headroom`` times its present tokens: documents of such a domain are repeated rather than lost.
     ``copies`` realises the rate: its whole part, and one more where a hash of the id falls below the rest.
 
     Null and empty texts have no tokens; their rate follows from their posterior, the priors.  Rows
@@ -210,6 +215,10 @@ def mix(
     posteriors = materialize(domain_posteriors(docs, names, biases, model, id_col, text_col), "posteriors")
     wanted = [float(targets.get(d, 0.0)) for d in names]
     wanted = [w / sum(wanted) for w in wanted] if sum(wanted) else [1.0 / len(names)] * len(names)
+    if keep:
+        now = posteriors.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{i}")) for i in range(len(names))]).first()
+        grown = [headroom * now[i + 1] / now[0] / w for i, (d, w) in enumerate(zip(names, wanted, strict=True)) if d in keep and w and now[0]]
+        wanted = [w * max([1.0, *grown]) for w in wanted]
     rated, _ = fit_rates(posteriors, wanted)
     draw = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     pairs = [x for i, d in enumerate(names) for x in (F.lit(d), F.col(f"p{i}"))]
@@ -229,9 +238,9 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Data
     return joined.withColumn("__mix_at", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__mix_n")))).select(*docs.columns)
 
 
-#: Shares that the query and the pipeline aim at.  ``clean`` stands above its own share of the tables, so clean
-#: documents are repeated rather than lost.
+#: Shares that the query and the pipeline aim at, and the domains whose documents are repeated rather than lost.
 TARGETS = {"clean": 0.86, "junk": 0.07, "toxic": 0.07}
+KEPT = ("clean",)
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -243,4 +252,4 @@ def label_domains(labels: DataFrame) -> DataFrame:
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and fitted rates of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS)
+    return mix(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS, keep=KEPT)

@@ -175,6 +175,16 @@ def test_mix_separates_domains(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({d: r["copies"] for d, r in got.items() if r["copies"]})
 
 
+def test_kept_domains_lose_no_document(spark):
+    fine = [f"calm words about gardens number {i}" for i in range(60)]
+    junk = [f"### win $$$ now {i} ### $$$" for i in range(6)]
+    labels = spark.createDataFrame([(i, "fine" if i <= 60 else "junk") for i in range(1, 67)], "doc_id long, domain string")
+    got = source_mixing.mix(documents(spark, fine + junk), labels, {"fine": 0.5, "junk": 0.5}, keep=("fine",)).collect()
+    assert all(r["copies"] >= 1 for r in got if r["doc_id"] <= 60)
+    fit = {d: sum(r["rate"] * r["tokens"] * r["posterior"][d] for r in got) for d in ("fine", "junk")}
+    assert abs(fit["fine"] / fit["junk"] - 1) < 0.02
+
+
 def test_mix_without_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, domain string")
     got = source_mixing.mix(documents(spark, ["a b", "c"]), labels, {"x": 1.0}).collect()
