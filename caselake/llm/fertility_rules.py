@@ -22,6 +22,8 @@ from .tokenizer import load_byte_bpe, load_pieces
 
 SYMBOLS = "#*$%&|<>"
 METRICS = ("chars_per_token", "byte_share", "entropy")
+#: Bands are one row for each language or script; up to this number they are broadcast.
+MOST_BROADCAST_BANDS = 10_000
 
 
 def split_words(text: str) -> list[bytes]:
@@ -178,8 +180,9 @@ def judge_texts(
         ).withColumn("base_failed", base_failed),
         "fertility",
     )
-    bands = fit_bands(measured.filter(~F.col("base_failed")), "__group", width)
-    # one row for each language or script: small whatever the input
+    bands = materialize(fit_bands(measured.filter(~F.col("base_failed")), "__group", width), "bands")
+    if bands.count() <= MOST_BROADCAST_BANDS:
+        bands = F.broadcast(bands)  # else Spark chooses: a dirty language column can hold any number of values
     joined = measured.join(bands, F.col("__group") == F.col("__band"), "left")
     rejected = F.lit(False)
     for m in METRICS:
