@@ -190,21 +190,23 @@ def similar_text_classes(
     component are paired with the others of the cell, if their components differ.  No pair that meets in a cell is left out unless its
     two ends are in one component already.
 
-    Texts with equal fingerprints are one class (copies).  Null, empty and repeated rows, ties and extra
+    Fingerprints are of the shingle sets, without repeats.  Texts with equal sets (a digest of 128 bits) are one
+    class (copies); others with equal fingerprints are held against each other like any pair.  Null, empty and repeated rows, ties and extra
     columns: as for :func:`near_duplicate_classes`.
     """
 
     def make():
         def work(texts: list[str | None]) -> dict:
-            hashed = [shingle_hashes(t, shingle_words) for t in texts]
-            return {f"f{i}": [majority_bits(_mixed(h, i)) for h in hashed] for i in range(3)}
+            sets = [np.unique(shingle_hashes(t, shingle_words)) for t in texts]
+            out = {f"f{i}": [majority_bits(_mixed(h, i)) for h in sets] for i in range(3)}
+            return out | {"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]}
 
         return work
 
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     usual = int(3 * BITS * share + 1.2 * math.sqrt(3 * BITS * share * (1 - share)))
-    fps = materialize(map_texts(docs, id_col, text_col, make, "f0 bigint, f1 bigint, f2 bigint"), "fingerprints").withColumnRenamed(id_col, "id")
-    classes = fps.groupBy("f0", "f1", "f2").agg(F.min("id").alias("cls"))
+    fps = materialize(map_texts(docs, id_col, text_col, make, "f0 bigint, f1 bigint, f2 bigint, digest binary"), "fingerprints").withColumnRenamed(id_col, "id")
+    classes = fps.groupBy("digest").agg(F.min("id").alias("cls"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(3)])
     classes = materialize(_with_cells(classes, n_blocks), "classes")
     known = classes.filter(F.col("cls").isNotNull())
 
@@ -246,8 +248,8 @@ def similar_text_classes(
     pairs = materialize(pairs, "pairs")
     links = links.unionByName(verified_pairs(docs, id_col, text_col, pairs, shingle_words, similarity))
     roots = connected_components(links).withColumnRenamed("node", "cls")
-    named = classes.join(roots, "cls", "left").select("f0", "f1", "f2", F.coalesce("component", "cls").alias("component_id"))
-    return fps.join(named, ["f0", "f1", "f2"]).select(F.col("id").alias(id_col), "component_id")
+    named = classes.join(roots, "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
+    return fps.join(named, "digest").select(F.col("id").alias(id_col), "component_id")
 
 
 def _blocks(n_blocks: int) -> list[list[int]]:

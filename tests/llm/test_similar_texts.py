@@ -72,3 +72,13 @@ def test_planted_copies_and_a_dense_group(spark):
         first.setdefault(g, i)
     assert np.mean([got[i] == first[g] for i, g in enumerate(groups) if g < 1000]) > 0.97
     assert all(got[i] == i for i, g in enumerate(groups) if g >= 1000)
+
+
+def test_dominating_repeats(spark):
+    rng = np.random.default_rng(4)
+    fresh = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    refrain, phrase, base = ["one", "two", "three"] * 200, fresh(30), fresh(300)
+    texts = [fresh(250) + refrain, fresh(300) + refrain, base + phrase, base + phrase * 40]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_text_classes(df).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 2}  # a refrain alone links nothing, a repeated phrase parts nothing
