@@ -21,10 +21,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, table
+from .common import map_texts, materialize, sample_fraction, table
 from .components import connected_components
 
 BITS = 64
+#: For comparisons of whole numbers with multiples of a similarity.
+SLACK = 1e-6
 
 
 def shingle_hashes(text: str | None, shingle_words: int) -> np.ndarray:
@@ -58,16 +60,6 @@ def fingerprint(text: str | None, shingle_words: int) -> int:
     return majority_bits(shingle_hashes(text, shingle_words))
 
 
-def _mixed(hashes: np.ndarray, i: int) -> np.ndarray:
-    """The hashes for fingerprint ``i``: themselves for 0, else mixed to be independent of the others."""
-    if not i:
-        return hashes
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * i % (1 << 64))
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
     """``(id, fp)`` for every row."""
 
@@ -175,54 +167,68 @@ def similar_text_classes(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: float = 0.8,
-    n_blocks: int = 7,
     hub_rounds: int = 3,
 ) -> DataFrame:
     """``(id_col, component_id)`` per row: groups of texts linked by a Jaccard similarity of shingle sets.
 
-    Two of three fingerprints of 64 bits per text are dealt into cells of block pairs, as for
-    :func:`similar_fingerprints`.  Texts that meet in a cell and differ in no more of all bits than is usual at
-    ``similarity`` are held against each other on their sets of shingle hashes.  So a link that is
-    reported is right; of pairs just at 0.8 about four in five are found, of those at 0.85 nearly all.
+    A prefix-filtered set join, which loses no pair: the hashes of every set are put in one order, and two sets of
+    the similarity share one of the first ``n - ceil(similarity * n) + 1`` of each.  Each of these is a cell.  Pairs
+    that meet in a cell are held against the bounds on lengths and on positions in the order, then on the whole
+    sets.  The order is by hash, but shingles that are frequent in a sample come last (:func:`frequent_shingles`).
 
     A dense group is not expanded into pairs.  In ``hub_rounds`` rounds each text is held against one
     member of each of its cells, chosen by a hash; only texts that are then not yet in that member's
     component are paired with the others of the cell, if their components differ.  No pair that meets in a cell is left out unless its
     two ends are in one component already.
 
-    Fingerprints are of the shingle sets, without repeats.  Texts with equal sets (a digest of 128 bits) are one
-    class (copies); others with equal fingerprints are held against each other like any pair.  Null, empty and repeated rows, ties and extra
+    Texts with equal sets (a digest of 128 bits) are one class (copies).  Null, empty and repeated rows, ties and extra
     columns: as for :func:`near_duplicate_classes`.
     """
+    frequent = frequent_shingles(docs, id_col, text_col, shingle_words)
 
     def make():
         def work(texts: list[str | None]) -> dict:
-            sets = [np.unique(shingle_hashes(t, shingle_words)) for t in texts]
-            out = {f"f{i}": [majority_bits(_mixed(h, i)) for h in sets] for i in range(3)}
-            return out | {"digest": [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]}
+            out = {"digest": [], "n": [], "cells": []}
+            for t in texts:
+                held = np.unique(shingle_hashes(t, shingle_words))
+                out["digest"].append(xxhash.xxh3_128_digest(held.tobytes()))
+                out["n"].append(len(held))
+                late = np.isin(held, frequent)
+                order = np.concatenate((held[~late], held[late]))
+                out["cells"].append(order[: len(held) - math.ceil(similarity * len(held) - SLACK) + 1].view(np.int64))
+            return out
 
         return work
 
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    usual = int(3 * BITS * share + 1.2 * math.sqrt(3 * BITS * share * (1 - share)))
-    fps = materialize(map_texts(docs, id_col, text_col, make, "f0 bigint, f1 bigint, f2 bigint, digest binary"), "fingerprints").withColumnRenamed(id_col, "id")
-    classes = fps.groupBy("digest").agg(F.min("id").alias("cls"), *[F.first(f"f{i}").alias(f"f{i}") for i in range(3)])
-    classes = materialize(_with_cells(classes, n_blocks), "classes")
-    known = classes.filter(F.col("cls").isNotNull())
+    made = map_texts(docs, id_col, text_col, make, "digest binary, n int, cells array<bigint>")
+    fps = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
+    classes = fps.groupBy("digest").agg(F.min("id").alias("cls"))
+    # the cells of one row of each class; those of one member are of no use
+    known = fps.filter(F.col("id").isNotNull() & (F.col("n") > 0)).join(
+        classes.select("digest", F.col("cls").alias("id")), ["digest", "id"], "left_semi"
+    )
+    members = known.select(F.col("id").alias("cls"), "n", F.posexplode("cells").alias("pos", "key")).select(
+        "key", "cls", (F.col("n") - F.col("pos")).alias("left"), "n"
+    )
+    by_key = Window.partitionBy("key").orderBy("cls")
+    shared = (F.lag("cls").over(by_key) != F.col("cls")) | (F.lead("cls").over(by_key) != F.col("cls"))
+    cells = materialize(members.withColumn("shared", shared).filter("shared").drop("shared"), "cells")
 
     def near(f: str, g: str) -> Column:
-        return sum((F.bit_count(F.col(f"{f}{i}").bitwiseXOR(F.col(f"{g}{i}"))) for i in range(3)), F.lit(0)) <= usual
+        n, m = F.col(f"{f}n"), F.col(f"{g}n")
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - SLACK) & (
+            F.least(F.col(f"{f}left"), F.col(f"{g}left")) >= similarity / (1 + similarity) * (n + m) - SLACK
+        )
 
     links = tried = None
-    tagged = known.withColumn("comp", F.col("cls"))
+    tagged = cells.withColumn("comp", F.col("cls"))
     for turn in range(hub_rounds):
         # in every cell against one member
         order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "cls", "key"), "cls")
-        hub = [F.first(c).over(order).alias(f"hub_{c}") for c in ("cls", "f0", "f1", "f2", "comp")]
+        hub = [F.first(c).over(order).alias(f"hub_{c}") for c in ("cls", "n", "left", "comp")]
         star = (
-            tagged.select("cls", "f0", "f1", "f2", "comp", F.explode("cells").alias("key"))
-            .select("cls", "f0", "f1", "f2", "comp", *hub)
-            .filter((F.col("comp") != F.col("hub_comp")) & near("f", "hub_f"))
+            tagged.select("cls", "n", "left", "comp", *hub)
+            .filter((F.col("comp") != F.col("hub_comp")) & near("", "hub_"))
             .select(F.greatest("cls", "hub_cls").alias("a"), F.least("cls", "hub_cls").alias("b"))
             .distinct()
         )
@@ -231,17 +237,14 @@ def similar_text_classes(
         tried = star if tried is None else tried.unionByName(star)
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links).withColumnRenamed("node", "cls")
-        tagged = materialize(
-            known.join(roots, "cls", "left").select("cls", "f0", "f1", "f2", "cells", F.coalesce("component", "cls").alias("comp")), "tagged"
-        )
+        tagged = materialize(cells.join(roots, "cls", "left").select(*cells.columns, F.coalesce("component", "cls").alias("comp")), "tagged")
     # those not in the component of their cell's member against the whole cell
-    cells = tagged.select("cls", "f0", "f1", "f2", "comp", F.explode("cells").alias("key"))
-    rest = cells.withColumn("hub_comp", F.first("comp").over(order)).filter(F.col("comp") != F.col("hub_comp"))
-    rest = rest.select(F.col("key").alias("x_key"), F.col("cls").alias("x"), F.col("comp").alias("x_comp"), *[F.col(f"f{i}").alias(f"x{i}") for i in range(3)])
-    apart = (F.col("x_key") == F.col("key")) & (F.col("x_comp") != F.col("comp")) & near("x", "f")
+    rest = tagged.withColumn("hub_comp", F.first("comp").over(order)).filter(F.col("comp") != F.col("hub_comp"))
+    rest = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "comp")])
+    apart = (rest["key"] == tagged["key"]) & (F.col("x_comp") != F.col("comp")) & near("x_", "")
     pairs = (
-        rest.join(cells, apart & _first_shared_cell(F.col("key"), n_blocks))
-        .select(F.greatest("cls", "x").alias("a"), F.least("cls", "x").alias("b"))
+        rest.join(tagged, apart)
+        .select(F.greatest("cls", "x_cls").alias("a"), F.least("cls", "x_cls").alias("b"))
         .distinct()
         .join(tried, ["a", "b"], "left_anti")
     )
@@ -249,76 +252,33 @@ def similar_text_classes(
     links = links.unionByName(verified_pairs(docs, id_col, text_col, pairs, shingle_words, similarity))
     roots = connected_components(links).withColumnRenamed("node", "cls")
     named = classes.join(roots, "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
-    return fps.join(named, "digest").select(F.col("id").alias(id_col), "component_id")
-
-
-def _blocks(n_blocks: int) -> list[list[int]]:
-    """Segments of one bit, dealt into blocks: there, equal coordinates are equal bits."""
-    masks = _segments(1)
-    return [masks[i::n_blocks] for i in range(n_blocks)]
+    return fps.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
 
 
-def _first_shared_cell(key: Column, n_blocks: int) -> Column:
-    """Whether a cell is the first that the fingerprints (x0, x1) and (f0, f1) share, so that a pair comes out once."""
-    pairs = list(combinations(range(n_blocks), 2))
-    span = 2 ** len(_blocks(n_blocks)[0])
-    turn = (key / F.lit(span * span)).cast("int")
-    upto = F.get(F.lit([j for _, j in pairs] * 2), turn)  # the later block of the cell's pair
+def frequent_shingles(
+    docs: DataFrame, id_col: str, text_col: str, shingle_words: int, sample: int = 10_000, least: int = 10, most: int = 100_000
+) -> np.ndarray:
+    """Hashes of at most ``most`` shingles that ``least`` or more of about ``sample`` texts hold, in ascending order.
 
-    def equal(x: str, f: str, i: int) -> Column:
-        mask = sum(_blocks(n_blocks)[i])
-        mask = mask - (1 << BITS) if mask >= 1 << (BITS - 1) else mask
-        return F.col(x).bitwiseXOR(F.col(f)).bitwiseAND(F.lit(mask)) == 0
-
-    def equal_blocks(x: str, f: str, most: Column | None) -> Column:
-        hits = [equal(x, f, i) if most is None else equal(x, f, i) & (most >= i) for i in range(n_blocks)]
-        return sum((h.cast("int") for h in hits), F.lit(0))
-
-    in_first = turn < len(pairs)
-    return F.when(in_first, equal_blocks("x0", "f0", upto) == 2).otherwise(
-        (equal_blocks("x0", "f0", None) < 2) & (equal_blocks("x1", "f1", upto) == 2)
-    )
-
-
-def _with_cells(classes: DataFrame, n_blocks: int) -> DataFrame:
-    """Adds ``cells``: one key for each pair of blocks of either fingerprint.
-
-    Made in Arrow batches: the same keys as nested Columns are a plan of thousands of nodes.
+    They only set the order of a prefix join: whatever is in the list, no pair is lost.
     """
     import pyarrow as pa
 
-    blocks = [[np.int64(m).astype(np.uint64) for m in block] for block in _blocks(n_blocks)]
-    span = 2 ** len(blocks[0])
-    pairs = list(combinations(range(n_blocks), 2))
-
     def run(batches):
         for b in batches:
-            values = []
-            for f in ("f0", "f1"):
-                fp = b.column(b.schema.get_field_index(f)).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for block in blocks:
-                    value = np.zeros(len(fp), dtype=np.int64)
-                    for m in block:
-                        value = value * 2 + np.bitwise_count(fp & m)
-                    values.append(value)
-            keys = [
-                (t * span + values[at + i]) * span + values[at + j]
-                for t, (at, (i, j)) in enumerate((at, p) for at in (0, n_blocks) for p in pairs)
-            ]
-            flat = np.column_stack(keys).ravel() if b.num_rows else np.empty(0, np.int64)
-            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(keys))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.ListArray.from_arrays(ends, pa.array(flat))], [*b.schema.names, "cells"]
-            )
+            for t in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, shingle_words)).view(np.int64))], ["key"])
 
-    fields = ", ".join(f"{n} {t}" for n, t in classes.dtypes)
-    return classes.mapInArrow(run, f"{fields}, cells array<bigint>")
+    texts = sample_fraction(docs.select(id_col, text_col), sample, id_col).select(text_col)
+    counts = texts.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    rows = counts.orderBy(F.desc("n"), "key").limit(most).select("key").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
 def verified_pairs(
     docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, shingle_words: int, similarity: float, buckets: int = 1 << 20
 ) -> DataFrame:
-    """The pairs ``(a, b)`` of ids whose texts' shingle sets (32 bits of each hash) have the Jaccard similarity.
+    """The pairs ``(a, b)`` of ids whose texts' shingle sets (by their 64-bit hashes) have the Jaccard similarity.
 
     ``pairs`` is read several times, so it should be a written table.  Shingles are made for the texts of the pairs only.  A bitmap of ``buckets`` hash buckets, of a
     fixed size whatever the input, keeps most other texts out before the exact join.
@@ -338,17 +298,17 @@ def verified_pairs(
             b = b.filter(pa.array(marks[b.column(1).to_numpy()]))
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                sets = [np.unique(shingle_hashes(t, shingle_words).astype(np.uint32)).view(np.int32) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], ["id", "shingles"])
+                sets = [np.unique(shingle_hashes(t, shingle_words)).view(np.int64) for t in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
 
     source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = source.select("id", bucket.alias("bucket"), "text").mapInArrow(run, f"id {kind}, shingles array<int>")
+    made = source.select("id", bucket.alias("bucket"), "text").mapInArrow(run, f"id {kind}, shingles array<bigint>")
     sets = materialize(made.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return materialize(held.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b"), "links")
+    return materialize(held.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - SLACK).select("a", "b"), "links")
 
 
 def keep_one_per_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -82,3 +82,17 @@ def test_dominating_repeats(spark):
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_text_classes(df).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 2}  # a refrain alone links nothing, a repeated phrase parts nothing
+
+
+def test_isolated_pairs_at_the_limit(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(150):  # pairs at 0.8 to 0.86, some just below
+        n = int(rng.integers(60, 400))
+        base = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+        cut = int(n * (0.19 if i % 3 else 0.14) * 5 / 5.1)
+        texts += [" ".join(base), " ".join(base[: n - cut])]
+    want, links = brute_force(range(len(texts)), texts, 0.8)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_text_classes(df).collect()}
+    assert len(links) > 100 and got == want
