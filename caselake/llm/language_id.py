@@ -155,6 +155,23 @@ def identify(
     return map_texts(docs, id_col, text_col, make, "lang_pred string, score double")
 
 
+def fit_floors(scored: DataFrame, width: float = 3.0, least_reach: float = 0.25, least_rows: int = 100) -> dict[str, float]:
+    """Lowest score of a text of each predicted language, from ``scored`` labelled rows (``lang_pred``, ``score``).
+
+    The lower quartile less ``width`` interquartile ranges, ``least_reach`` at least.  Languages of fewer than
+    ``least_rows`` rows have the floor of all rows, under ``UNKNOWN``; with fewer rows in all there is none (0).
+    """
+    rows = scored.filter(F.col("lang_pred") != UNKNOWN).select("lang_pred", "score")
+    cuts = F.percentile_approx("score", [0.25, 0.75], 10_000).alias("q")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), cuts).withColumn("lang_pred", F.lit(UNKNOWN))
+    by_lang = rows.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("n"), cuts)
+    floors = {UNKNOWN: 0.0}
+    for r in total.unionByName(by_lang).filter(F.col("n") >= least_rows).collect():
+        low, high = r["q"]
+        floors[r["lang_pred"]] = max(0.0, low - max(width * (high - low), least_reach))
+    return floors
+
+
 def training_rows(docs: DataFrame, id_col: str, modulus: int = 4, held_out: int = 2, bound: int = 20_000) -> DataFrame:
     """About ``bound`` rows whose id's crc32 does not leave ``held_out``; profiles settle long before that many."""
     return sample_fraction(docs.filter(id_remainder(id_col, modulus) != held_out), bound, id_col)
