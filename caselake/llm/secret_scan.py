@@ -5,7 +5,8 @@ looks at every run of key-like characters: a byte-level BPE vocabulary packs wor
 knows into few tokens, but spends about one token on every one or two characters of a random string.
 Runs with a low characters-per-token ratio are spans of kind ``opaque``, after known digests
 (hexadecimal of a digest's length, UUIDs) and identifiers (names joined by separators, URLs, plain
-words, numbers) are excluded.
+words, numbers) are excluded.  Where a whole run passes, its parts between separators are tested alone, so that
+a readable path or name cannot hide a random part.  Letters of one case are tested in lower case, as words pack well there.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 HEX_ANY = re.compile(r"[0-9a-fA-F]+")
 #: Letters alone (a word), digits alone (a number), or such parts joined by separators (an identifier or a path).
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[_/=+-]*")
+#: What is tested alone where a run passes as a whole.
+PART = re.compile(r"[A-Za-z0-9+]{16,}")
+ONE_CASE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
 Span = tuple[int, int, str]
@@ -58,14 +62,21 @@ def is_known_form(run: str) -> bool:
 
 
 def opaque_spans(text: str, count_tokens, max_ratio: float) -> list[Span]:
-    """Runs of 16 or more key characters, of letters and digits mixed, at ``max_ratio`` or fewer characters a token."""
+    """Runs of 16 or more key characters at ``max_ratio`` or fewer characters a token, else such parts of a run."""
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if is_known_form(run):
+        run, at = m[0], m.start()
+        if not is_known_form(run) and len(run) <= max_ratio * count_tokens(run):
+            out.append((at, m.end(), "opaque"))
             continue
-        if len(run) <= max_ratio * count_tokens(run):
-            out.append((m.start(), m.end(), "opaque"))
+        for p in PART.finditer(run):
+            part = p[0]
+            if ONE_CASE.fullmatch(part):
+                opaque = len(part) <= max_ratio * count_tokens(part.lower())
+            else:
+                opaque = len(part) < len(run) and not is_known_form(part) and len(part) <= max_ratio * count_tokens(part)
+            if opaque:
+                out.append((at + p.start(), at + p.end(), "opaque"))
     return out
 
 

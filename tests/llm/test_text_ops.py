@@ -300,3 +300,22 @@ def test_empty_tables(spark, sf_dir, tmp_path, name):
     for t in ("documents", "labels", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert registry.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+# --- a readable path does not hide a random part, letters of one case are tested -----------------------------------
+
+
+def test_secret_parts(spark):
+    letters = "qzvkxjwpfhbgmtrcydnulsoeiaqxzkvj"
+    texts = [
+        f"get /com/account/settings/download/verification/{RANDOM}/documents/public/information now",
+        f"key {letters} and {letters.upper()}",
+        "internationalization/electroencephalography INTERNATIONALIZATION Krankenversicherung counterrevolutionary",
+        f"objects/{'0123456789abcdef' * 2 + '01234567'}/download/documents/public",
+    ]
+    rows = secret_scan.find_secrets(documents(spark, texts)).select("doc_id", "spans", "n_opaque").collect()
+    got = {r["doc_id"]: r for r in rows}
+    first = min(got)
+    spans = got[first]["spans"].split(":")
+    assert got[first]["n_opaque"] == 1 and texts[0][int(spans[1]) : int(spans[2])] == RANDOM
+    assert [got[first + i]["n_opaque"] for i in (1, 2, 3)] == [2, 0, 0]
