@@ -433,16 +433,22 @@ SELECT item_id, count(*) FILTER (contains(source, quote)) AS n_documents,
   CASE WHEN count(*) FILTER (contains(source, quote)) > 0 THEN 'ok' ELSE 'missing' END AS status FROM q, s GROUP BY 1"""
 )
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes are cut into 5-word shingles once; only documents that share a quote's first shingle are held against it."""
+    """Documents are cut into 5-word shingles once; only those that share a quote's words 2 to 6 are held against it.
+
+    A quote of fewer than 7 words has no such shingle of whole words; it is held against every document.
+    """
     quotes = parquet(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("quote"))
     words = F.split("quote", " ")
-    quotes = quotes.withColumn("__k", F.array_join(F.slice(words, 2, 5), " "))
+    quotes = quotes.withColumn("__k", F.when(F.size(words) >= 7, F.array_join(F.slice(words, 2, 5), " ")))
     docs = parquet(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("source"))
     spans = docs.withColumn("__w", F.split("source", " "))
     shingles = spans.select(
         "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, 5), " ")))).alias("__k")
     )
     meets = shingles.join(quotes, "__k").join(docs, "doc_id")
+    meets = meets.select("item_id", "quote", "source").unionByName(
+        docs.crossJoin(quotes.filter(F.col("__k").isNull())).select("item_id", "quote", "source")
+    )
     found = meets.filter(F.col("source").contains(F.col("quote"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
     return quotes.join(found, "item_id", "left").select(
         "item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), F.when(F.col("n") > 0, "ok").otherwise("missing").alias("status")
