@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_texts, sample_fraction, table
+from .common import id_remainder, map_texts, table
 
 UNKNOWN = "und"
 
@@ -172,9 +172,20 @@ def fit_floors(scored: DataFrame, width: float = 3.0, least_reach: float = 0.25,
     return floors
 
 
-def training_rows(docs: DataFrame, id_col: str, modulus: int = 4, held_out: int = 2, bound: int = 20_000) -> DataFrame:
-    """About ``bound`` rows whose id's crc32 does not leave ``held_out``; profiles settle long before that many."""
-    return sample_fraction(docs.filter(id_remainder(id_col, modulus) != held_out), bound, id_col)
+def training_rows(
+    docs: DataFrame, id_col: str, modulus: int = 4, held_out: int = 2, bound: int = 20_000, lang_col: str = "lang"
+) -> DataFrame:
+    """About ``bound`` rows of each language whose id's crc32 does not leave ``held_out``; all of a language with fewer.
+
+    Chosen by a hash of the id; only languages of more than ``bound`` rows are listed in the driver.
+    """
+    rows = docs.filter(id_remainder(id_col, modulus) != held_out)
+    large = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > bound) & F.col(lang_col).isNotNull())
+    limits = {r[0]: int(bound / r["n"] * (1 << 20)) for r in large.collect()}
+    if not limits:
+        return rows
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for f in limits.items() for x in f]), F.col(lang_col))
+    return rows.filter(F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 20)) < F.coalesce(limit, F.lit(1 << 20)))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import random
 
 import corpus_pipeline
+from caselake.llm.language_id import training_rows
+from pyspark.sql import functions as F
 
 
 def frame(spark, rows):
@@ -24,3 +26,10 @@ def test_no_labels_keep_texts_with_a_letter(spark, sf_dir):
     rows = [("some words here", None), ("12 34 !", None), (None, None), ("Ω", None)]
     kept = corpus_pipeline.language_stage(spark, frame(spark, rows), sf_dir).collect()
     assert sorted(r["doc_id"] for r in kept) == [0, 3]
+
+
+def test_rare_language_keeps_its_training_rows(spark):
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 4_000 == 1, "pl").otherwise("en").alias("lang"))
+    everything = {r["lang"]: r["count"] for r in training_rows(docs, "doc_id", bound=10**6).groupBy("lang").count().collect()}
+    got = {r["lang"]: r["count"] for r in training_rows(docs, "doc_id", bound=500).groupBy("lang").count().collect()}
+    assert got["pl"] == everything["pl"] > 0 and 350 < got["en"] < 650
