@@ -32,14 +32,16 @@ def ascii_lower(col: Column) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    It is read from the session.  Only where it is unset, as in local tests, a temporary folder is
-    set for this session.
+    It is read from the session.  Where it is unset, a local session gets a temporary folder; on a
+    cluster, where every machine has its own such folders, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         active = spark.sparkContext._jsc.sc().getCheckpointDir()
         if active.isDefined():
             return active.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-caselake-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -54,7 +56,23 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[id(out)] = (out, path)
+    return out
+
+
+#: Tables that materialize wrote and discard has not deleted, by identity of their DataFrames.
+_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes the files of tables from :func:`materialize` that nothing reads any more; others are left alone."""
+    for t in tables:
+        found = _WRITTEN.pop(id(t), None)
+        if found is not None:
+            spark = found[0].sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(found[1])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_remainder(id_col: str, modulus: int) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+#: Rows that a key may hold before they are joined by broadcast, and most such keys.
+HOT_ROWS, MOST_HOT = 1_024, 50_000
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -14,7 +17,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     ``component`` is the smallest node that can be reached.  Alternates large-star and small-star
     steps until the edge set no longer changes; every round is written to the shared folder, so
     neither the edges nor the components pass through the driver, which only gets two sums a round.
-    No edges give no rows; self-loops are ignored.  Raises if it has not settled in ``max_rounds``.
+    Edges with a null end and self-loops are ignored; no edges give no rows.  Raises if it has not settled in ``max_rounds``.
     """
     edges = materialize(
         edges.filter(F.col("a") != F.col("b"))
@@ -22,34 +25,49 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state = None
+    state, n = None, edges.count()
     for _ in range(max_rounds):
-        edges = materialize(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        after = materialize(_small_star(_large_star(edges, n), n), "edges")
+        discard(edges)
+        edges = after
+        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
-        state = tuple(now)
+        state, n = now, now[0]
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined to ``per_key``, which has one row a key and the number of its rows as ``n``.
+
+    The ``MOST_HOT`` largest keys are joined by broadcast, so that none of them sends its rows to one task; any other
+    key holds less than a 50,000th of the rows.  ``total``: number of rows, so that small tables are joined as they are.
+    """
+    if total <= HOT_ROWS:
+        return rows.join(per_key.drop("n"), key)
+    hot = F.broadcast(per_key.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT).drop("n"))
+    rare = rows.join(hot.select(key), key, "left_anti").join(per_key.drop("n"), key)
+    return rows.join(hot, key).unionByName(rare)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     return (
-        both.join(least, "u")
+        join_per_key(both, least, "u", total)
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    joined = join_per_key(edges, least, "u", total)
     return (
         joined.filter(F.col("v") != F.col("m"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -2,13 +2,14 @@
 
 A 64-bit fingerprint is cut into segments; the counts of set bits per segment are its coordinates.
 The Manhattan distance of two embeddings never exceeds the Hamming distance of the fingerprints, so
-it prunes without losing a link.  The range join within ``radius`` runs on a grid: coordinates are
-dealt into ``radius + 2`` blocks, of which at least two must be equal for any two points within the
-radius, so every pair of blocks gives one equi-join cell.  Pairs that meet in a cell are held against
-the Manhattan bound and then verified exactly on the bits, inside the join condition; each link
-comes out of the first cell that its two ends share and of no other.
-
-Copies are one fingerprint class from the start: they are never expanded into pairs.
+it prunes without losing a link.  The range join within ``radius`` runs on a grid: segments are
+dealt into ``radius + m`` blocks, of which at least ``m`` must be equal for any two points within the
+radius, so every choice of ``m`` blocks gives one cell.  ``m`` follows the number of fingerprints, so that cells stay small;
+the result does not depend on it.  Pairs that meet in a cell are held against the Manhattan bound and then
+verified exactly on the bits.
+
+Copies are one fingerprint class from the start, and dense groups are joined through hubs
+(:mod:`.cells`): neither is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +19,12 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize, sample_fraction, table
-from .components import connected_components
+from .cells import deal, hot_keys, linked_components, shared_cells
+from .common import discard, map_texts, materialize, sample_fraction, table
+from .components import join_per_key
 
 BITS = 64
 #: For comparisons of whole numbers with multiples of a similarity.
@@ -80,56 +82,79 @@ def _coordinate(fp: Column, mask: int) -> Column:
     return F.bit_count(fp.bitwiseAND(F.lit(mask)))
 
 
-def _block_key(fp: Column, block: list[int], segment_width: int) -> Column:
-    """The coordinates of a block as one number."""
-    out = F.lit(0).cast("long")
-    for m in block:
-        out = out * (segment_width + 1) + _coordinate(fp, m)
-    return out
+def blocks_to_agree(n: int, radius: int, segment_width: int) -> int:
+    """How many blocks make a cell for ``n`` fingerprints: members of all grids against pairs that meet by chance.
 
+    A segment of a random fingerprint agrees with another's as often as two binomial counts do.
+    """
+    alike = sum(math.comb(segment_width, i) ** 2 for i in range(segment_width + 1)) / 4**segment_width
+    segments = math.ceil(BITS / segment_width)
 
-def similar_fingerprints(fps: DataFrame, radius: int = 4, segment_width: int = 2) -> DataFrame:
-    """Pairs ``(a, b)``, ``a < b``, of distinct values of column ``fp`` at ``radius`` or fewer bits."""
-    if segment_width < 1 or BITS // (radius + 2) < segment_width:
-        raise ValueError("radius and segment_width leave a block without a segment")
-    n_blocks = radius + 2
-    masks = _segments(segment_width)
-    blocks = [masks[i::n_blocks] for i in range(n_blocks)]
+    def cost(m: int) -> float:
+        return math.comb(radius + m, m) * n * (1 + 0.05 * n * alike ** (segments * m / (radius + m)))
 
-    def block_key(fp: Column, block: list[int]) -> Column:
-        return _block_key(fp, block, segment_width)
+    return min(range(1, max(1, min(5, segments - radius)) + 1), key=cost)
 
-    names = [f"k{i}" for i in range(n_blocks)]
-    keyed = fps.select("fp").distinct().select(
-        "fp", *[block_key(F.col("fp"), b).alias(n) for n, b in zip(names, blocks, strict=True)]
-    )
-    tables = list(combinations(range(n_blocks), 2))
-    cells = keyed.select(
-        "fp",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(t).alias("t"), F.col(names[i]).alias("x"), F.col(names[j]).alias("y"))
-                    for t, (i, j) in enumerate(tables)
-                ]
-            )
-        ).alias("c"),
-    ).select("fp", "c.t", "c.x", "c.y")
-    left, right = cells.alias("l"), cells.alias("r")
-    a, b = F.col("l.fp"), F.col("r.fp")
+
+def grid_cells(fps: DataFrame, radius: int, segment_width: int, agree: int) -> DataFrame:
+    """``(key, node)``: a row for every choice of ``agree`` out of ``radius + agree`` blocks of the segments of ``fp``."""
+    n_blocks = radius + agree
+    masks = _segments(segment_width)
+    if segment_width < 1 or len(masks) < n_blocks:
+        raise ValueError("radius and segment_width leave a block without a segment")
+    blocks = [masks[i::n_blocks] for i in range(n_blocks)]
+    base = (segment_width + 1) ** len(blocks[0])
+
+    def coordinates(block: list[int]) -> Column:
+        out = F.lit(0).cast("long")
+        for m in block:
+            out = out * (segment_width + 1) + _coordinate(F.col("fp"), m)
+        return out
+
+    keyed = fps.select("fp", *[coordinates(b).alias(f"k{i}") for i, b in enumerate(blocks)])
+    keys = []
+    for t, chosen in enumerate(combinations(range(n_blocks), agree)):
+        key = F.lit(t).cast("long")
+        for i in chosen:
+            key = key * base + F.col(f"k{i}")
+        keys.append(key)
+    return keyed.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"))
+
+
+def within_radius(a: Column, b: Column, radius: int, segment_width: int) -> Column:
+    """The Manhattan bound on the embeddings, then the bits themselves."""
     bound = F.lit(0)
-    for m in masks:
+    for m in _segments(segment_width):
         bound = bound + F.abs(_coordinate(a, m) - _coordinate(b, m))
-    # position of the first two equal blocks: the one cell that reports this pair
-    first = F.lit(len(tables))
-    equal = [block_key(a, x) == block_key(b, x) for x in blocks]
-    for t, (i, j) in reversed(list(enumerate(tables))):
-        first = F.when(equal[i] & equal[j], F.lit(t)).otherwise(first)
-    exact = F.bit_count(a.bitwiseXOR(b)) <= radius
-    same_cell = (F.col("l.t") == F.col("r.t")) & (F.col("l.x") == F.col("r.x")) & (F.col("l.y") == F.col("r.y"))
-    return (
-        left.join(right, same_cell & (a < b) & exact & (bound <= radius) & (F.col("l.t") == first))
-        .select(a.alias("a"), b.alias("b"))
+    return (bound <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
+
+
+def similar_fingerprints(fps: DataFrame, radius: int = 4, segment_width: int = 2) -> DataFrame:
+    """Pairs ``(a, b)``, ``a < b``, of distinct values of column ``fp`` at ``radius`` or fewer bits.
+
+    This lists every pair; where only components are wanted, :func:`fingerprint_components` spares those of dense groups.
+    """
+    distinct = fps.select("fp").filter(F.col("fp").isNotNull()).distinct()
+    cells = grid_cells(distinct, radius, segment_width, blocks_to_agree(distinct.count(), radius, segment_width))
+    left, right = cells.select("key", F.col("node").alias("a")), cells.select("key", F.col("node").alias("b"))
+    near = (F.col("a") < F.col("b")) & within_radius(F.col("a"), F.col("b"), radius, segment_width)
+    return left.join(right, "key").filter(near).select("a", "b").distinct()
+
+
+def fingerprint_components(fps: DataFrame, radius: int = 4, segment_width: int = 2) -> DataFrame:
+    """``(fp, root)`` of every distinct ``fp``: the smallest fingerprint reachable over links of ``radius`` or fewer bits."""
+    distinct = materialize(fps.select("fp").filter(F.col("fp").isNotNull()).distinct(), "fingerprint_classes")
+    agree = blocks_to_agree(distinct.count(), radius, segment_width)
+    cells = shared_cells(grid_cells(distinct, radius, segment_width, agree))
+
+    def bound(x, y) -> Column:
+        return within_radius(x("node"), y("node"), radius, segment_width)
+
+    # the bound is the exact check already
+    roots = linked_components(cells, [], bound, lambda pairs: pairs)
+    discard(cells)
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("component", "fp").alias("root")
     )
 
 
@@ -150,15 +175,15 @@ def near_duplicate_classes(
     An empty table gives an empty table; extra columns are not read.
     """
     fps = materialize(with_fingerprint(docs, id_col, text_col, shingle_words), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    links = similar_fingerprints(classes, radius, segment_width)
-    roots = connected_components(links)
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("root")
+    total = fps.count()
+    roots = materialize(fingerprint_components(fps, radius, segment_width), "roots")
+    classes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = classes.join(roots, "fp")
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_fp = join_per_key(named.select("fp", "root", F.col("n").alias("rows")), least, "root", total)
+    return join_per_key(fps, by_fp.select("fp", "component_id", F.col("rows").alias("n")), "fp", total).select(
+        F.col("id").alias(id_col), "fp", "component_id"
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def similar_text_classes(
@@ -167,92 +192,106 @@ def similar_text_classes(
     text_col: str = "text",
     shingle_words: int = 5,
     similarity: float = 0.8,
-    hub_rounds: int = 3,
+    radius: int = 4,
 ) -> DataFrame:
     """``(id_col, component_id)`` per row: groups of texts linked by a Jaccard similarity of shingle sets.
 
-    A prefix-filtered set join, which loses no pair: the hashes of every set are put in one order, and two sets of
-    the similarity share one of the first ``n - ceil(similarity * n) + 1`` of each.  Each of these is a cell.  Pairs
-    that meet in a cell are held against the bounds on lengths and on positions in the order, then on the whole
-    sets.  The order is by hash, but shingles that are frequent in a sample come last (:func:`frequent_shingles`).
+    Texts with equal sets (a digest of 128 bits) are one class (copies).  The classes' fingerprints, over sets, go through
+    the popcount embedding first (:func:`fingerprint_components`); each class is held against its group's
+    smallest one on the whole sets, so that equal fingerprints alone link nothing.
 
-    A dense group is not expanded into pairs.  In ``hub_rounds`` rounds each text is held against one
-    member of each of its cells, chosen by a hash; only texts that are then not yet in that member's
-    component are paired with the others of the cell, if their components differ.  No pair that meets in a cell is left out unless its
-    two ends are in one component already.
+    A similarity of 0.8 allows for some 10 differing bits, which no radius catches surely.  The rest comes from a
+    prefix-filtered set join, which loses no pair: the hashes of every set are put in one order, and two sets of
+    the similarity share one of the first ``n - ceil(similarity * n) + 1`` of each.  Each of these is a cell
+    (:mod:`.cells`).  Pairs that meet in a cell and are not in one component yet are held against the bounds on lengths and on positions
+    in the order, then on the whole sets.  The order is by hash, but shingles that are frequent in a sample come last
+    (:func:`frequent_shingles`).
 
-    Texts with equal sets (a digest of 128 bits) are one class (copies).  Null, empty and repeated rows, ties and extra
-    columns: as for :func:`near_duplicate_classes`.
+    Null and empty texts are one class.  Repeated rows come back once each.  Rows that share an id but not a text have one
+    component; in links the text with the smallest hash stands for them.  A null id takes part in no link but among equal sets.
+    An empty table gives an empty table; extra columns are not read.
     """
     frequent = frequent_shingles(docs, id_col, text_col, shingle_words)
 
     def make():
         def work(texts: list[str | None]) -> dict:
-            out = {"digest": [], "n": [], "cells": []}
+            out = {"text_hash": [], "digest": [], "n": [], "fp": [], "cells": []}
             for t in texts:
                 held = np.unique(shingle_hashes(t, shingle_words))
-                out["digest"].append(xxhash.xxh3_128_digest(held.tobytes()))
-                out["n"].append(len(held))
                 late = np.isin(held, frequent)
                 order = np.concatenate((held[~late], held[late]))
+                out["text_hash"].append(text_hash(t))
+                out["digest"].append(xxhash.xxh3_128_digest(held.tobytes()))
+                out["n"].append(len(held))
+                out["fp"].append(majority_bits(held))
                 out["cells"].append(order[: len(held) - math.ceil(similarity * len(held) - SLACK) + 1].view(np.int64))
             return out
 
         return work
 
-    made = map_texts(docs, id_col, text_col, make, "digest binary, n int, cells array<bigint>")
-    fps = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
-    classes = fps.groupBy("digest").agg(F.min("id").alias("cls"))
-    # the cells of one row of each class; those of one member are of no use
-    known = fps.filter(F.col("id").isNotNull() & (F.col("n") > 0)).join(
-        classes.select("digest", F.col("cls").alias("id")), ["digest", "id"], "left_semi"
+    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, cells array<bigint>")
+    sets = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
+    total = sets.count()
+    # one row of each id, then one id of each digest
+    rows = sets.select("id", "text_hash", "digest", "n", "fp")
+    firsts = rows.groupBy("id").agg(F.min(F.struct("text_hash", "digest", "n", "fp")).alias("r")).select("id", "r.*")
+    classes = materialize(
+        firsts.groupBy("digest").agg(
+            F.min("id").alias("cls"), F.min_by("text_hash", "id").alias("text_hash"), F.first("n").alias("n_shingles"),
+            F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"),
+        ),
+        "classes",
     )
-    members = known.select(F.col("id").alias("cls"), "n", F.posexplode("cells").alias("pos", "key")).select(
-        "key", "cls", (F.col("n") - F.col("pos")).alias("left"), "n"
+    # the cells of one row of each class; those of one member, and those of texts without a word, are of no use
+    lone = classes.filter(F.col("cls").isNotNull() & (F.col("n_shingles") > 0))
+    known = sets.select("id", "text_hash", "digest", "cells", "n").join(
+        lone.select("digest", "text_hash", F.col("cls").alias("id")), ["digest", "id", "text_hash"], "left_semi"
     )
-    by_key = Window.partitionBy("key").orderBy("cls")
-    shared = (F.lag("cls").over(by_key) != F.col("cls")) | (F.lead("cls").over(by_key) != F.col("cls"))
-    cells = materialize(members.withColumn("shared", shared).filter("shared").drop("shared"), "cells")
-
-    def near(f: str, g: str) -> Column:
-        n, m = F.col(f"{f}n"), F.col(f"{g}n")
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - SLACK) & (
-            F.least(F.col(f"{f}left"), F.col(f"{g}left")) >= similarity / (1 + similarity) * (n + m) - SLACK
-        )
-
-    links = tried = None
-    tagged = cells.withColumn("comp", F.col("cls"))
-    for turn in range(hub_rounds):
-        # in every cell against one member
-        order = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "cls", "key"), "cls")
-        hub = [F.first(c).over(order).alias(f"hub_{c}") for c in ("cls", "n", "left", "comp")]
-        star = (
-            tagged.select("cls", "n", "left", "comp", *hub)
-            .filter((F.col("comp") != F.col("hub_comp")) & near("", "hub_"))
-            .select(F.greatest("cls", "hub_cls").alias("a"), F.least("cls", "hub_cls").alias("b"))
-            .distinct()
-        )
-        star = materialize(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = verified_pairs(docs, id_col, text_col, star, shingle_words, similarity)
-        tried = star if tried is None else tried.unionByName(star)
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links).withColumnRenamed("node", "cls")
-        tagged = materialize(cells.join(roots, "cls", "left").select(*cells.columns, F.coalesce("component", "cls").alias("comp")), "tagged")
-    # those not in the component of their cell's member against the whole cell
-    rest = tagged.withColumn("hub_comp", F.first("comp").over(order)).filter(F.col("comp") != F.col("hub_comp"))
-    rest = rest.select("key", *[F.col(c).alias(f"x_{c}") for c in ("cls", "n", "left", "comp")])
-    apart = (rest["key"] == tagged["key"]) & (F.col("x_comp") != F.col("comp")) & near("x_", "")
-    pairs = (
-        rest.join(tagged, apart)
-        .select(F.greatest("cls", "x_cls").alias("a"), F.least("cls", "x_cls").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    members = known.select(F.col("id").alias("node"), "n", F.posexplode("cells").alias("pos", "key")).select(
+        "key", "node", (F.col("n") - F.col("pos")).alias("left"), "n"
     )
-    pairs = materialize(pairs, "pairs")
-    links = links.unionByName(verified_pairs(docs, id_col, text_col, pairs, shingle_words, similarity))
-    roots = connected_components(links).withColumnRenamed("node", "cls")
-    named = classes.join(roots, "cls", "left").select("digest", F.coalesce("component", "cls").alias("component_id"))
-    return fps.select("id", "digest").join(named, "digest").select(F.col("id").alias(id_col), "component_id")
+    cells = shared_cells(members.dropDuplicates(["key", "node"]) if _ids_repeat(sets) else members)
+
+    def close(n: Column, m: Column) -> Column:
+        return F.least(n, m) >= similarity * F.greatest(n, m) - SLACK
+
+    def bound(x, y) -> Column:
+        reach = similarity / (1 + similarity) * (x("n") + y("n")) - SLACK
+        return close(x("n"), y("n")) & (F.least(x("left"), y("left")) >= reach)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified_pairs(docs, id_col, text_col, pairs, shingle_words, similarity)
+
+    groups = lone.join(fingerprint_components(lone, radius), "fp").select("cls", "n_shingles", "root")
+    hubs = groups.groupBy("root").agg(
+        F.min(F.struct("cls", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")
+    )
+    star = (
+        join_per_key(groups, hubs, "root", total)
+        .filter((F.col("cls") != F.col("hub.cls")) & close(F.col("n_shingles"), F.col("hub.n_shingles")))
+        .select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
+    )
+    star = materialize(star, "pairs")
+    roots = linked_components(cells, ["n", "left"], bound, verify, verify(star))
+    named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
+        "digest", "n", F.coalesce("component", "cls").alias("component_id")
+    )
+    by_id = join_per_key(firsts.select("id", "digest"), named, "digest", total)
+    return (
+        sets.select("id")
+        .join(by_id.select(F.col("id").alias("own"), "component_id"), F.col("id").eqNullSafe(F.col("own")))
+        .select(F.col("id").alias(id_col), "component_id")
+    )
+
+
+def text_hash(text: str | None) -> int:
+    """A signed 64-bit hash that tells apart the texts of rows with one id."""
+    return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)).view(np.int64))
+
+
+def _ids_repeat(sets: DataFrame) -> bool:
+    """Whether a row occurs twice: then a class has several rows with the same cells."""
+    return bool(sets.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).limit(1).count())
 
 
 def frequent_shingles(
@@ -276,39 +315,52 @@ def frequent_shingles(
 
 
 def verified_pairs(
-    docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, shingle_words: int, similarity: float, buckets: int = 1 << 20
+    docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, shingle_words: int, similarity: float, most_broadcast: int = 1_000_000
 ) -> DataFrame:
     """The pairs ``(a, b)`` of ids whose texts' shingle sets (by their 64-bit hashes) have the Jaccard similarity.
 
-    ``pairs`` is read several times, so it should be a written table.  Shingles are made for the texts of the pairs only.  A bitmap of ``buckets`` hash buckets, of a
-    fixed size whatever the input, keeps most other texts out before the exact join.
+    ``pairs`` is read several times, so it should be a written table.  Only texts of the pairs are shuffled: up to
+    ``most_broadcast`` ids they are found by a broadcast of the ids, beyond that by a join of all rows on the id.  An end
+    ``b`` with many partners is dealt into parts.
     """
     import pyarrow as pa
 
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
-    marked = np.zeros(buckets, dtype=bool)
-    marked[[r[0] for r in wanted.select(bucket.alias("n")).distinct().collect()]] = True
-    bits = np.packbits(marked)
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = dict(pairs.dtypes)["a"]
+    if pairs.isEmpty():
+        return pairs
+    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    ends = materialize(ends, "ends")
+    wanted = F.broadcast(ends) if ends.count() <= most_broadcast else ends
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
+    found = source.join(wanted, "id", "left_semi").withColumn("text", F.coalesce("text", F.lit("")))
+    # of the rows of an id the one that similar_text_classes takes too
+    texts = materialize(found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "r.text"), "texts")
+    hot = materialize(hot_keys(pairs, "b"), "hot")
+    dealt = deal(pairs.select("a", "b"), hot, "b", "a").select("a", "b", "part")
+    heads = dealt.select("b", "part").distinct().join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    both = (
+        dealt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+        .join(heads, ["b", "part"])
+        .select("a", "b", "ta", "tb")
+    )
 
     def run(batches):
-        marks = np.unpackbits(bits).view(bool)
-        for b in batches:
-            b = b.filter(pa.array(marks[b.column(1).to_numpy()]))
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                sets = [np.unique(shingle_hashes(t, shingle_words)).view(np.int64) for t in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    source = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    made = source.select("id", bucket.alias("bucket"), "text").mapInArrow(run, f"id {kind}, shingles array<bigint>")
-    sets = materialize(made.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles")), "shingles")
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    held = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    return materialize(held.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - SLACK).select("a", "b"), "links")
+        last, held = None, None
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                b = batch.column(1)[i].as_py()
+                if held is None or b != last:
+                    last, held = b, np.unique(shingle_hashes(batch.column(3)[i].as_py(), shingle_words))
+                mine = np.unique(shingle_hashes(batch.column(2)[i].as_py(), shingle_words))
+                common = len(np.intersect1d(mine, held, assume_unique=True))
+                keep.append(common >= similarity * (len(mine) + len(held) - common) - SLACK)
+            chosen = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
+
+    links = materialize(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    discard(texts, ends, hot)
+    return links
 
 
 def keep_one_per_class(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
