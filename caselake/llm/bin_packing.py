@@ -1,9 +1,9 @@
 """Variable-capacity best-fit packing.
 
 Documents are packed into sequences of several permitted lengths.  Within a shard, items go longest
-first into the open bin that they fill best; where none has room, a bin is opened.  Which sizes to
-open is optimised jointly: opening always one permitted size, for each size, or the size of least cost
-per token are all tried, the cheapest outcome over the whole shard is kept, and at the end
+first into the open bin that they fill best; where none has room, a bin is opened: of the size of least
+cost per token that the pieces still to come can fill, so that the sizes follow the demand that is left.  Opening always the size of
+least cost per token, or always one permitted size, is tried too; the cheapest outcome over the whole shard is kept, and at the end
 each bin is downsized to the smallest permitted length that holds its contents.
 
 Shards are dealt by a hash of the id; their number follows the input, so a shard's lengths (not its
@@ -31,14 +31,16 @@ def split_item(length: int, largest: int) -> list[tuple[int, int]]:
     return [(at, min(largest, length - at)) for at in range(0, length, largest)]
 
 
-def pack_into(pieces: list[tuple[int, int, int]], open_size: Callable[[int], int], capacities: Sequence[int], cost):
-    """Best-fit decreasing; ``open_size`` says which size to open for a piece that no bin has room for.
+def pack_into(pieces: list[tuple[int, int, int]], open_size: Callable[[int, int], int], capacities: Sequence[int], cost):
+    """Best-fit decreasing; ``open_size`` says which size to open for a piece that no bin has room for, given the tokens
+    of this piece and all after it.
 
     ``pieces``: (length, item, offset), longest first.  Returns the total cost after downsizing and
     the bins, each a list of pieces.
     """
     room: list[tuple[int, int]] = []  # (free, bin), ascending
     bins: list[list[tuple[int, int, int]]] = []
+    left = sum(p[0] for p in pieces)
     for piece in pieces:
         length = piece[0]
         at = bisect_left(room, (length, -1))
@@ -46,19 +48,26 @@ def pack_into(pieces: list[tuple[int, int, int]], open_size: Callable[[int], int
             free, b = room.pop(at)
             bins[b].append(piece)
         else:
-            free, b = open_size(length), len(bins)
+            free, b = open_size(length, left), len(bins)
             bins.append([piece])
+        left -= length
         if free > length:
             insort(room, (free - length, b))
     total = sum(cost(downsized(sum(p[0] for p in b), capacities)) for b in bins)
     return total, bins
 
 
-def opening_policies(capacities: Sequence[int], cost: Callable[[int], float]) -> list[Callable[[int], int]]:
-    """For each permitted size: open that size, or the least that holds the piece.  Last: the size of least
-    cost per token among those that hold the piece."""
-    fixed = [lambda n, c=c: next(x for x in capacities if x >= max(n, c)) for c in capacities]
-    return [*fixed, lambda n: min((c for c in capacities if c >= n), key=lambda c: (cost(c) / c, c))]
+def opening_policies(capacities: Sequence[int], cost: Callable[[int], float]) -> list[Callable[[int, int], int]]:
+    """By the demand left: the size of least cost per token that the remaining pieces can fill.  Then the size of least cost per
+    token, and for each permitted size: that size, or the least that holds the piece."""
+
+    def by_demand(n: int, left: int) -> int:
+        return min((c for c in capacities if c >= n), key=lambda c: (cost(c) / min(c, left), c))
+
+    def cheapest(n: int, left: int) -> int:
+        return min((c for c in capacities if c >= n), key=lambda c: (cost(c) / c, c))
+
+    return [by_demand, cheapest, *[lambda n, left, c=c: next(x for x in capacities if x >= max(n, c)) for c in capacities]]
 
 
 def downsized(used: int, capacities: Sequence[int]) -> int:
@@ -86,8 +95,8 @@ def sequence_cost(overhead: float = 64.0, quadratic: float = 1 / 16384) -> Calla
     return lambda c: overhead + c + quadratic * c * c
 
 
-def shard_count(total: int, shard_tokens: int) -> int:
-    return max(1, math.ceil(total / shard_tokens))
+def shard_count(total: int, rows: int, shard_tokens: int, shard_rows: int) -> int:
+    return max(1, math.ceil(total / shard_tokens), math.ceil(rows / shard_rows))
 
 
 def pack(
@@ -97,6 +106,7 @@ def pack(
     capacities: Sequence[int] = (512, 1024, 2048, 4096, 8192),
     cost: Callable[[int], float] | None = None,
     shard_tokens: int = 16_000_000,
+    shard_rows: int = 100_000,
 ) -> DataFrame:
     """One row per piece: ``id_col``, ``piece`` offset, length, bin, bin capacity and place in the bin.
 
@@ -110,7 +120,8 @@ def pack(
     cost = cost or sequence_cost()
     kind = lengths.schema[id_col].dataType.simpleString()
     rows = lengths.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n"))
-    n_shards = shard_count(rows.agg(F.sum("n")).first()[0] or 0, shard_tokens)
+    total, n_rows = rows.filter(F.col("n") > 0).agg(F.sum("n"), F.count(F.lit(1))).first()
+    n_shards = shard_count(total or 0, n_rows, shard_tokens, shard_rows)
     dealt = rows.filter(F.col("n") > 0).withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(n_shards)).cast("int"))
     schema = (
         f"shard int, bin bigint, capacity int, used int, start int, id {kind}, piece_offset bigint, piece_length int"
@@ -163,7 +174,7 @@ def token_lengths(
 
     def make():
         encoder = load_byte_bpe(vocab_dir, vocabulary)
-        return lambda texts: {"n_tokens": [len(encoder.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in texts]}
+        return lambda texts: {"n_tokens": [encoder.count(t) for t in texts]}
 
     return map_texts(docs, id_col, text_col, make, "n_tokens bigint")
 

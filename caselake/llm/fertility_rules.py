@@ -78,7 +78,7 @@ class _Vocabulary:
 
     def measure(self, text: str, chars: dict[str, int]) -> tuple[float, float, float]:
         """Characters per token, byte-fallback share, token entropy in bits."""
-        ids = self.encoder.encode_to_numpy(text, disallowed_special=())
+        ids = self.encoder.encode(text)
         share = np.unique(ids, return_counts=True)[1] / len(ids)
         spelled = sum(n * chars[c] for c in chars if (n := self.fallback_bytes(c)))
         return len(text) / len(ids), spelled / len(text.encode("utf-8", "surrogatepass")), float(-(share * np.log2(share)).sum())

@@ -108,7 +108,7 @@ def find_secrets(
             for text in texts:
                 text = text or ""
                 base = base_spans(text)
-                more = opaque_spans(text, lambda s: len(encoder.encode_ordinary(s)), max_chars_per_token)
+                more = opaque_spans(text, encoder.count, max_chars_per_token)
                 spans = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 for kind in KINDS:
                     out[f"n_{kind}"].append(sum(s[2] == kind for s in spans))

@@ -98,15 +98,17 @@ def packed_rows(
     position 0.  ``doc_ids`` and ``piece_offsets`` say, for each segment, whose tokens it holds from
     which token on: a text's segments, by offset, are its tokens (``end_id`` last, if given).
 
-    Null and empty texts hold only the ``end_id`` (with none, they have no segment).  Repeated rows are
+    A vocabulary with ids beyond 65,535 is refused.  Null and empty texts hold only the ``end_id`` (with none, they have no segment).  Repeated rows are
     packed once each, null ids are kept; an empty table gives no rows; extra columns are not read.
     """
-    if not 1 <= length < 65_536:
-        raise ValueError("length must fit positions of 16 bits")
+    if not (1 <= length < 65_536 and 0 <= pad_id < 65_536 and 0 <= (end_id or 0) < 65_536):
+        raise ValueError("positions and ids must fit 16 bits")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = load_byte_bpe(vocab_dir, vocabulary), [] if end_id is None else [end_id]
+        if encoder.largest_id > 65_535:
+            raise ValueError(f"ids of {vocabulary} do not fit 16 bits")
         pieces, owners, offsets, total, id_type = [], [], [], 0, None
 
         def flush() -> pa.RecordBatch:
@@ -139,8 +141,7 @@ def packed_rows(
         for batch in batches:
             id_type = batch.schema.field(0).type
             for owner, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens = encoder.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
-                tokens = np.concatenate([tokens, tail]).astype("<u2")
+                tokens = np.concatenate([encoder.encode(text), tail]).astype("<u2")
                 for at in range(0, len(tokens), length):
                     pieces.append(tokens[at : at + length])
                     owners.append(owner)
