@@ -8,6 +8,10 @@ and the number of visits is widened until the wanted share of them lies in visit
 in blocks of a bounded number of rows; a block holds its visitors against the rows of the leaves that
 they visit and gives each its nearest, so what is shuffled follows the queries, not the candidates.
 
+Distances inside a block are first taken quickly, by a matrix product on vectors from which the sample's mean is
+subtracted.  Every row that the rounding of this product could place among the nearest is then measured on the original vectors,
+so that ranks, distances and ties are those of the plain formula.
+
 Vectors with the same components are one entry with its smallest ids, as many as an answer can need,
 so a vector that a third of the rows share is neither one huge leaf nor a loss.
 """
@@ -23,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import materialize, sample_fraction, table
 
@@ -113,6 +118,23 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
 
 
+def rounding_reach(norms: np.ndarray, own: np.ndarray, dim: int) -> np.ndarray:
+    """A bound on the error of squared distances taken as ``|x|^2 - 2 qx + |q|^2``, by query and row.
+
+    A sum of ``dim`` products, in any order, is off by less than ``dim + 1`` roundings of the sum of their sizes; the four terms' sizes add up to
+    ``(|x| + |q|)^2`` at most, and subtracting the mean before costs some roundings more.
+    """
+    sizes = np.sqrt(norms)[None, :] + np.sqrt(own)[:, None]
+    return 4 * (dim + 8) * np.finfo(np.float64).eps * sizes**2
+
+
+def nearest_rows(quick: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+    """Every row that may be among the ``k`` nearest when ``quick`` is off by ``reach`` at most; infinite ones are out."""
+    far = quick + reach
+    limit = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
+    return np.flatnonzero((quick - reach <= limit) & np.isfinite(quick))
+
+
 def valid_vectors(df: DataFrame, vec_col: str) -> DataFrame:
     """Rows whose vector is neither null, empty nor zero and has finite components only."""
     v = F.col(vec_col)
@@ -130,6 +152,7 @@ def nearest_neighbours(
     sample_rows: int = 65_536,
     rows_per_leaf: int = 64,
     rows_per_block: int = 4_096,
+    queries_per_group: int = 4_096,
     most_leaves: int = 16_384,
     branching: int = 8,
     calibration_queries: int = 64,
@@ -139,7 +162,7 @@ def nearest_neighbours(
     Every row of ``queries`` (same columns as ``df``, rows of it) is held against all rows of ``df``
     but those with its own id.  Ties go to the smaller id.  Rows with a null id, and vectors that
     are null, empty, zero, of another length than most, or hold null or non-finite components, take no part.
-    Repeated rows with one id and vector are one candidate.  Fewer candidates than ``k``: all of
+    Repeated rows with one id and vector are one candidate; a query id with several vectors asks with the smallest.  Fewer candidates than ``k``: all of
     them come back.  An empty table gives an empty result.  Extra columns are not read.
 
     The tree is fitted on about ``sample_rows`` rows and has at most about ``most_leaves`` leaves, so
@@ -159,7 +182,7 @@ def nearest_neighbours(
         return empty
     dim, n = sizes["d"], sizes["count"]
     base = tidy(df).filter(F.size("v") == dim)
-    asked = tidy(queries).filter(F.size("v") == dim).dropDuplicates(["id"])
+    asked = materialize(tidy(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
 
     chosen = sample_fraction(base, sample_rows, "id").orderBy("id").select("v").toArrow()["v"].combine_chunks()
     sample = _vectors(chosen, dim)
@@ -171,22 +194,8 @@ def nearest_neighbours(
             leaves = tree.file(_vectors(b.column(1), dim)) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves)], ["id", "v", "leaf"])
 
-    # equal vectors meet after a partial aggregation: one row with its k + 1 smallest ids
-    distinct = (
-        base.select("id", "v")
-        .distinct()
-        .withColumn("part", F.pmod(F.xxhash64("id"), F.lit(64)))
-        .groupBy("v", "part")
-        .agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("ids"))
-        .groupBy("v")
-        .agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    )
-    index = materialize(
-        distinct.select(F.col("ids").alias("id"), "v").mapInArrow(
-            filed, f"id array<{kind}>, v array<double>, leaf bigint"
-        ),
-        "ann-index",
-    )
+    entries = distinct_vectors(base, k + 1)
+    index = materialize(entries.mapInArrow(filed, f"id array<{kind}>, v array<double>, leaf bigint"), "ann-index")
 
     visits = calibrate(base, asked, tree, dim, k, target_recall, calibration_queries)
 
@@ -196,7 +205,11 @@ def nearest_neighbours(
     leaf_block = F.get(F.lit(first), F.col("leaf").cast("int")) + F.pmod(
         F.xxhash64("v"), F.get(F.lit(parts), F.col("leaf").cast("int"))
     )
-    stored = index.select(leaf_block.alias("block"), "leaf", "id", "v")
+    # the visitors of a block come in groups of bounded size, each of which meets all rows of the block
+    groups = max(1, math.ceil(asked.count() / queries_per_group))
+    stored = index.select(
+        leaf_block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "leaf", "id", "v"
+    )
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -220,23 +233,29 @@ def nearest_neighbours(
                 ["query_id", "q", "block", "leaves"],
             )
 
-    probes = asked.select("id", "v").mapInArrow(walk, f"query_id {kind}, q array<double>, block bigint, leaves array<bigint>")
+    probes = (
+        asked.select("id", "v")
+        .mapInArrow(walk, f"query_id {kind}, q array<double>, block bigint, leaves array<bigint>")
+        .withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    )
 
     def nearest_in_block(asking: pa.Table, held: pa.Table) -> pa.Table:
         out_q, out_id, out_d = [], [], []
         if asking.num_rows and held.num_rows:
             x = _vectors(held.column("v").combine_chunks(), dim)
             leaf, ids = held.column("leaf").to_numpy(), held.column("id").to_pylist()
-            norms = (x**2).sum(axis=1)
+            centred = x - tree.mean
+            norms = (centred**2).sum(axis=1)
             query_ids, all_leaves = asking.column("query_id").to_pylist(), asking.column("leaves").to_pylist()
             q = _vectors(asking.column("q").combine_chunks(), dim)
-            spare = k + 22  # the quick distances below are rounded: some more are held against the exact ones
             for at in range(0, len(q), 128):
-                quick = norms - 2 * (q[at : at + 128] @ x.T)
+                part = q[at : at + 128] - tree.mean
+                own_norms = (part**2).sum(axis=1)
+                quick = norms + own_norms[:, None] - 2 * (part @ centred.T)
+                reach = rounding_reach(norms, own_norms, dim)
                 for j, row in enumerate(quick):
                     row[~np.isin(leaf, all_leaves[at + j])] = np.inf
-                    near = np.argpartition(row, spare)[:spare] if len(row) > spare else np.arange(len(row))
-                    near = near[np.isfinite(row[near])]
+                    near = nearest_rows(row, reach[j], k + 1)  # one of them may be the query itself
                     away = np.sqrt(((x[near] - q[at + j]) ** 2).sum(axis=1))
                     own = query_ids[at + j]
                     best = sorted((float(d), i) for d, n in zip(away, near, strict=True) for i in ids[n] if i != own)[:k]
@@ -250,8 +269,8 @@ def nearest_neighbours(
 
     near = Window.partitionBy("query_id").orderBy("score", "id")
     found = (
-        probes.groupBy("block")
-        .cogroup(stored.groupBy("block"))
+        probes.groupBy("block", "group")
+        .cogroup(stored.groupBy("block", "group"))
         .applyInArrow(nearest_in_block, f"query_id {kind}, id {kind}, score double")
         .withColumn("rank", F.row_number().over(near))
         .filter(F.col("rank") <= k)
@@ -259,6 +278,23 @@ def nearest_neighbours(
     return found.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def distinct_vectors(base: DataFrame, most_ids: int) -> DataFrame:
+    """``(id, v)``: every distinct vector once, with an array of its ``most_ids`` smallest ids.
+
+    Vectors meet by a 128-bit hash, so that those without an equal are not shuffled; per hash only the smallest ids leave a task.
+    """
+    hashes = [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+    narrow = base.select("id", *hashes).distinct()
+    order = Window.partitionBy("h1", "h2").orderBy("id")
+    firsts = narrow.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most_ids)
+    ids = materialize(firsts.groupBy("h1", "h2").agg(F.array_sort(F.collect_list("id")).alias("ids")), "ann-ids")
+    if ids.count() == base.count():
+        return base.select(F.array("id").alias("id"), "v")
+    kept = ids.select("h1", "h2", "ids", F.element_at("ids", 1).alias("id"))
+    rows = base.select("id", "v", *hashes).join(kept, ["id", "h1", "h2"]).dropDuplicates(["id", "h1", "h2"])
+    return rows.select(F.col("ids").alias("id"), "v")
+
+
 def deal_blocks(counts: dict[int, int], n_leaves: int, most: int) -> tuple[list[int], list[int]]:
     """First block and number of blocks of each leaf: neighbouring leaves share a block up to ``most`` rows."""
     first, parts, block, filled = [], [], 0, 0
@@ -286,31 +322,35 @@ def calibrate(
     if not rows or tree.n_leaves == 1:
         return tree.n_leaves
     ids, q = [r["id"] for r in rows], np.array([r["v"] for r in rows], dtype=np.float64)
-    own = pa.array(ids)
+    id_type = to_arrow_type(asked.schema["id"].dataType)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The k nearest of each sample query among a task's rows, and their leaves."""
-        heap: list[list[tuple[float, int]]] = [[] for _ in ids]
+        heap: list[list[tuple[float, int, int]]] = [[] for _ in ids]
         for b in batches:
             if not b.num_rows:
                 continue
-            x = _vectors(b.column(1), dim)
+            x, held = _vectors(b.column(1), dim), b.column(0).to_pylist()
             leaves = tree.file(x)
+            centred, part = x - tree.mean, q - tree.mean
+            norms, own_norms = (centred**2).sum(axis=1), (part**2).sum(axis=1)
+            quick = norms + own_norms[:, None] - 2 * (part @ centred.T)
+            reach = rounding_reach(norms, own_norms, dim)
             for j, one in enumerate(q):
-                away = ((x - one) ** 2).sum(axis=1)
-                away[np.asarray(b.column(0).to_pylist()) == own[j].as_py()] = np.inf
-                top = np.argsort(away, kind="stable")[:k]
-                heap[j] = sorted(heap[j] + [(float(away[i]), int(leaves[i])) for i in top if away[i] < np.inf])[:k]
-        rows = [(j, d, leaf) for j, h in enumerate(heap) for d, leaf in h]
-        j, d, leaf = zip(*rows, strict=True) if rows else ((), (), ())
+                near = nearest_rows(quick[j], reach[j], k + 1)
+                away = np.sqrt(((x[near] - one) ** 2).sum(axis=1))
+                found = [(float(d), held[i], int(leaves[i])) for d, i in zip(away, near, strict=True) if held[i] != ids[j]]
+                heap[j] = sorted(heap[j] + found)[:k]
+        rows = [(j, *entry) for j, h in enumerate(heap) for entry in h]
+        j, d, i, leaf = zip(*rows, strict=True) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(j, pa.int32()), pa.array(d, pa.float64()), pa.array(leaf, pa.int64())], ["j", "d", "leaf"]
+            [pa.array(j, pa.int32()), pa.array(d, pa.float64()), pa.array(i, id_type), pa.array(leaf, pa.int64())], ["j", "d", "id", "leaf"]
         )
 
-    order = Window.partitionBy("j").orderBy("d", "leaf")
+    order = Window.partitionBy("j").orderBy("d", "id", "leaf")
     truth = (
         base.select("id", "v")
-        .mapInArrow(best, "j int, d double, leaf bigint")
+        .mapInArrow(best, f"j int, d double, id {dict(asked.dtypes)['id']}, leaf bigint")
         .withColumn("r", F.row_number().over(order))
         .filter(F.col("r") <= k)
         .collect()

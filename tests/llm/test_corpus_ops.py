@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import numpy as np
 import pytest
-from caselake.llm import ann_tree, bin_packing, source_mixing, token_output
+from caselake.llm import ann_tree, bin_packing, fertility_rules, source_mixing, token_output, tokenizer
 from caselake.llm.tokenizer import load_byte_bpe
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id string, tokens int, pos int"
@@ -47,7 +47,7 @@ def test_packing_is_lossless_and_never_worse_than_one_size():
         total = sum(cost(bin_packing.downsized(sum(p[0] for p in b), CAPS)) for b in bins)
         for c in CAPS:
             pieces = sorted(((n, i, a) for i, length in items for a, n in bin_packing.split_item(length, max(CAPS))), key=lambda p: (-p[0], p[1], p[2]))
-            one = bin_packing.pack_into(pieces, lambda n, c=c: next(x for x in CAPS if x >= max(n, c)), CAPS, cost)
+            one = bin_packing.pack_into(pieces, lambda n, left, c=c: next(x for x in CAPS if x >= max(n, c)), CAPS, cost)
             assert total <= one[0] + 1e-9
 
 
@@ -235,6 +235,75 @@ def test_many_equal_vectors(spark):
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [0, 1, 2, 3, 4, 6, 7, 8, 9, 10]
 
 
+def brute_neighbours(rows, asked, k=10):
+    ids, v = [i for i, _ in rows], np.array([x for _, x in rows])
+    out = {}
+    for q in asked:
+        away = np.sqrt(((v - v[ids.index(q)]) ** 2).sum(1))
+        out[q] = sorted((float(d), i) for d, i in zip(away, ids, strict=True) if i != q)[:k]
+    return out
+
+
+def neighbours(spark, rows, asked, **options):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in sorted(ann_tree.nearest_neighbours(df, df.filter(df.vec_id.isin(asked)), target_recall=1.0, **options).collect()):
+        got[r["query_id"]].append((r["score"], r["vec_id"]))
+    return got
+
+
+def test_one_hot_vectors_tie_by_id(spark):
+    rows = [(i, [float(i == j) for j in range(200)]) for i in range(200)]
+    got = neighbours(spark, rows, [0, 100], rows_per_leaf=400)
+    assert got == brute_neighbours(rows, [0, 100]) and [i for _, i in got[100]] == list(range(10))
+
+
+def test_vectors_far_from_zero(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.normal(size=8) + 1e8).tolist()) for i in range(400)]
+    got, want = neighbours(spark, rows, [0, 100, 200], rows_per_leaf=800), brute_neighbours(rows, [0, 100, 200])
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
+def test_more_ties_than_places(spark):
+    rows = [(i, [float(i % 3), float(i % 7), 1.0]) for i in range(600)]
+    rows += [(1000 + i, [float(np.cos(i)), float(np.sin(i)), 1.0]) for i in range(90)]
+    assert neighbours(spark, rows, [0, 100, 1000], rows_per_leaf=2000, queries_per_group=1) == brute_neighbours(rows, [0, 100, 1000])
+
+
+# --- long runs -------------------------------------------------------------------------------------------------
+
+
+def test_long_runs_give_the_ids_of_the_uncut_encoder():
+    plain, rng = load_byte_bpe(), np.random.default_rng(2)
+    cut = tokenizer.ByteBpe(plain.encoding, long_run=3)
+    kinds = [" ", "\n", "\t", "\u3000", "a", "Z", "7", ".", "'s", "\u00e9", "\x1c"]
+    texts = ["".join(rng.choice(kinds) * int(rng.integers(1, 9)) for _ in range(int(rng.integers(1, 12)))) for _ in range(3_000)]
+    for t in [*texts, " " * 9, "a" + " " * 9, " " * 9 + "a", "\n" * 9 + " b"]:
+        assert cut.encode(t).tolist() == plain.encoding.encode_ordinary(t)
+
+
+def test_texts_of_one_run_pass_every_token_operator(spark):
+    runs = [" " * 5_000_000, "\n" * 5_000_000 + "x", "a" * 5_000_000, "word " + "\t " * 1_000_000 + "end"]
+    df = documents(spark, runs).select("doc_id", "text", "lang")
+    encoder = load_byte_bpe()
+    sizes = {i: encoder.count(t) for i, t in enumerate(runs, 1)}
+    got = Counter()
+    for r in bin_packing.pack_documents(df).collect():
+        got[r["doc_id"]] += r["piece_length"]
+    assert got == sizes
+    for r in token_output.packed_rows(df, end_id=None).select("doc_ids", "cu_seqlens").collect():
+        for d, a, b in zip(r["doc_ids"], r["cu_seqlens"], r["cu_seqlens"][1:], strict=False):
+            got[d] -= b - a
+    assert not any(got.values())
+    assert sorted(r["n_words"] for r in fertility_rules.judge_texts(df).collect()) == [0, 1, 1, 2]
+
+
+def test_ids_beyond_16_bits_are_refused(spark):
+    with pytest.raises(ValueError):
+        token_output.packed_rows(documents(spark, ["x"]), end_id=100_000)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
