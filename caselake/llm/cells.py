@@ -120,15 +120,10 @@ def linked_components(
     table.  ``links``: links known beforehand.  There are at most ``turns`` turns with hubs; fewer, if the pairs
     that are left are no more than ``enough`` times the members.
     """
-    kind = dict(cells.dtypes)["node"]
-    spark = cells.sparkSession
-    links = links if links is not None else spark.createDataFrame([], f"a {kind}, b {kind}")
-    tried = spark.createDataFrame([], f"lo {kind}, hi {kind}")
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
-    members = cells.count()
-    own = [c for c in cells.columns]
+    members, own, tried = cells.count(), cells.columns, None
 
-    def tag(roots: DataFrame, before: DataFrame | None) -> DataFrame:
+    def tag(roots: DataFrame, before: DataFrame | None = None) -> DataFrame:
         roots = roots.withColumnRenamed("node", "n_").withColumnRenamed("component", "c_")
         joined = cells.join(roots, F.col("node") == F.col("n_"), "left").select(*own, F.coalesce("c_", "node").alias("comp"))
         out = materialize(joined, "tagged")
@@ -136,15 +131,16 @@ def linked_components(
         return out
 
     def check(pairs: DataFrame) -> DataFrame:
-        fresh = pairs.join(tried, (lo == F.col("lo")) & (hi == F.col("hi")), "left_anti")
-        return materialize(fresh, "pairs")
+        if tried is not None:
+            pairs = pairs.join(tried, (lo == F.col("lo")) & (hi == F.col("hi")), "left_anti")
+        return materialize(pairs, "pairs")
 
-    roots = connected_components(links)
-    tagged = tag(roots, None)
+    tagged = cells.withColumn("comp", F.col("node")) if links is None else tag(connected_components(links))
     for turn in range(turns):
         pairs = check(_hub_pairs(tagged, attrs, turn, bound))
-        links = links.unionByName(verify(pairs))
-        tried = tried.unionByName(pairs.select(lo.alias("lo"), hi.alias("hi")))
+        found, seen = verify(pairs), pairs.select(lo.alias("lo"), hi.alias("hi"))
+        links = found if links is None else links.unionByName(found)
+        tried = seen if tried is None else tried.unionByName(seen)
         tagged = tag(connected_components(links), tagged)
         mixed = materialize(_mixed_cells(tagged), "mixed")
         left = mixed.agg(F.sum((F.col("others") * F.col("n")).cast("double"))).first()[0] or 0.0

@@ -25,49 +25,61 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct(),
         "edges",
     )
-    state, n = None, edges.count()
+    state = _state(edges)
     for _ in range(max_rounds):
-        after = materialize(_small_star(_large_star(edges, n), n), "edges")
+        if not state[0]:
+            break
+        hot = state[1] > HOT_ROWS
+        after = materialize(_small_star(_large_star(edges, hot), hot), "edges")
         discard(edges)
-        edges = after
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        state, n = now, now[0]
-    raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+        edges, before, state = after, state, _state(after)
+        if before[::2] == state[::2]:
+            break
+    else:
+        raise RuntimeError(f"components have not settled after {max_rounds} rounds")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges, most edges of a node, and a sum of hashes that tells edge sets apart."""
+    own = F.xxhash64("u", "v").cast("decimal(38,0)")
+    ends = F.array(F.struct(F.col("u").alias("x"), own.alias("h")), F.struct(F.col("v").alias("x"), F.lit(0).cast("decimal(38,0)").alias("h")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.x").agg(F.count(F.lit(1)).alias("n"), F.sum("e.h").alias("h"))
+    n, most, total = nodes.agg(F.sum("n"), F.max("n"), F.sum("h")).first()
+    return (n or 0) // 2, most or 0, total
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, total: int) -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, hot: bool = True) -> DataFrame:
     """``rows`` joined to ``per_key``, which has one row a key and the number of its rows as ``n``.
 
     The ``MOST_HOT`` largest keys are joined by broadcast, so that none of them sends its rows to one task; any other
-    key holds less than a 50,000th of the rows.  ``total``: number of rows, so that small tables are joined as they are.
+    key holds less than a 50,000th of the rows.  ``hot``: whether there is a key of over ``HOT_ROWS`` rows at all.
     """
-    if total <= HOT_ROWS:
+    if not hot:
         return rows.join(per_key.drop("n"), key)
-    hot = F.broadcast(per_key.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT).drop("n"))
-    rare = rows.join(hot.select(key), key, "left_anti").join(per_key.drop("n"), key)
-    return rows.join(hot, key).unionByName(rare)
+    large = F.broadcast(per_key.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), key).limit(MOST_HOT).drop("n"))
+    rare = rows.join(large.select(key), key, "left_anti").join(per_key.drop("n"), key)
+    return rows.join(large, key).unionByName(rare)
 
 
-def _large_star(edges: DataFrame, total: int) -> DataFrame:
+def _large_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Links each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
     return (
-        join_per_key(both, least, "u", total)
+        join_per_key(both, least, "u", hot)
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
         .distinct()
     )
 
 
-def _small_star(edges: DataFrame, total: int) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Links a node and its smaller neighbours to the smallest of them."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    joined = join_per_key(edges, least, "u", total)
+    joined = join_per_key(edges, least, "u", hot)
     return (
         joined.filter(F.col("v") != F.col("m"))
         .select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -175,13 +175,12 @@ def near_duplicate_classes(
     An empty table gives an empty table; extra columns are not read.
     """
     fps = materialize(with_fingerprint(docs, id_col, text_col, shingle_words), "fingerprints")
-    total = fps.count()
     roots = materialize(fingerprint_components(fps, radius, segment_width), "roots")
     classes = fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     named = classes.join(roots, "fp")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    by_fp = join_per_key(named.select("fp", "root", F.col("n").alias("rows")), least, "root", total)
-    return join_per_key(fps, by_fp.select("fp", "component_id", F.col("rows").alias("n")), "fp", total).select(
+    by_fp = join_per_key(named.select("fp", "root", F.col("n").alias("rows")), least, "root")
+    return join_per_key(fps, by_fp.select("fp", "component_id", F.col("rows").alias("n")), "fp").select(
         F.col("id").alias(id_col), "fp", "component_id"
     )
 
@@ -231,7 +230,6 @@ def similar_text_classes(
 
     made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, cells array<bigint>")
     sets = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
-    total = sets.count()
     # one row of each id, then one id of each digest
     rows = sets.select("id", "text_hash", "digest", "n", "fp")
     firsts = rows.groupBy("id").agg(F.min(F.struct("text_hash", "digest", "n", "fp")).alias("r")).select("id", "r.*")
@@ -267,7 +265,7 @@ def similar_text_classes(
         F.min(F.struct("cls", "n_shingles")).alias("hub"), F.count(F.lit(1)).alias("n")
     )
     star = (
-        join_per_key(groups, hubs, "root", total)
+        join_per_key(groups, hubs, "root")
         .filter((F.col("cls") != F.col("hub.cls")) & close(F.col("n_shingles"), F.col("hub.n_shingles")))
         .select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
     )
@@ -276,7 +274,7 @@ def similar_text_classes(
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "digest", "n", F.coalesce("component", "cls").alias("component_id")
     )
-    by_id = join_per_key(firsts.select("id", "digest"), named, "digest", total)
+    by_id = join_per_key(firsts.select("id", "digest"), named, "digest")
     return (
         sets.select("id")
         .join(by_id.select(F.col("id").alias("own"), "component_id"), F.col("id").eqNullSafe(F.col("own")))
@@ -310,8 +308,8 @@ def frequent_shingles(
 
     texts = sample_fraction(docs.select(id_col, text_col), sample, id_col).select(text_col)
     counts = texts.mapInArrow(run, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    rows = counts.orderBy(F.desc("n"), "key").limit(most).select("key").collect()
-    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
+    rows = counts.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()
+    return np.sort(rows["key"].to_numpy().astype(np.int64).view(np.uint64))
 
 
 def verified_pairs(
@@ -320,22 +318,21 @@ def verified_pairs(
     """The pairs ``(a, b)`` of ids whose texts' shingle sets (by their 64-bit hashes) have the Jaccard similarity.
 
     ``pairs`` is read several times, so it should be a written table.  Only texts of the pairs are shuffled: up to
-    ``most_broadcast`` ids they are found by a broadcast of the ids, beyond that by a join of all rows on the id.  An end
+    ``most_broadcast`` ids of pairs they are found by a broadcast of the ids, beyond that by a join of all rows on the id.  An end
     ``b`` with many partners is dealt into parts.
     """
     import pyarrow as pa
 
-    kind = dict(pairs.dtypes)["a"]
-    if pairs.isEmpty():
+    kind, n_pairs = dict(pairs.dtypes)["a"], pairs.count()
+    if not n_pairs:
         return pairs
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    ends = materialize(ends, "ends")
-    wanted = F.broadcast(ends) if ends.count() <= most_broadcast else ends
+    wanted = F.broadcast(ends) if 2 * n_pairs <= most_broadcast else ends
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("id").isNotNull())
     found = source.join(wanted, "id", "left_semi").withColumn("text", F.coalesce("text", F.lit("")))
     # of the rows of an id the one that similar_text_classes takes too
     texts = materialize(found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "r.text"), "texts")
-    hot = materialize(hot_keys(pairs, "b"), "hot")
+    hot = hot_keys(pairs, "b")
     dealt = deal(pairs.select("a", "b"), hot, "b", "a").select("a", "b", "part")
     heads = dealt.select("b", "part").distinct().join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
     both = (
@@ -359,7 +356,7 @@ def verified_pairs(
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
 
     links = materialize(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
-    discard(texts, ends, hot)
+    discard(texts)
     return links
 
 
