@@ -23,7 +23,7 @@ def matches(col: Column, pattern: str) -> Column:
 
 def blank(col: Column) -> Column:
     """Null, empty or white space only."""
-    return F.coalesce(F.regexp_replace(col, r"\s+", "") == "", F.lit(True))
+    return F.coalesce(~col.rlike(r"\S"), F.lit(True))
 
 
 def first_match(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Written forms of a missing value.
-NULL_TOKENS = ("", "n/a", "na", "none", "null", "nan", "-", "unknown")
+#: Written forms of a missing value, beside blanks.
+NULL_TOKENS = ("-", "n/a", "na", "none", "null")
 #: Accepted date forms, day first.
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "d MMMM yyyy")
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
@@ -22,12 +22,12 @@ def squeeze(col: Column) -> Column:
 def norm_text(col: Column) -> Column:
     """Squeezed text; written forms of a missing value become null."""
     text = squeeze(col)
-    return F.when(~F.lower(text).isin(*NULL_TOKENS), text)
+    return F.when((text != "") & ~F.lower(text).isin(*NULL_TOKENS), text)
 
 
 def to_number(col: Column) -> Column:
-    """Number from text with thousands separators, currency or percent signs; null where it is none."""
-    return F.regexp_replace(col, r"[,£$€%\s]", "").try_cast("double")
+    """Number from text with thousands separators, currency signs or a percent sign at its end; null where it is none."""
+    return F.regexp_replace(F.regexp_replace(norm_text(col), "[,£$€]", ""), "%$", "").try_cast("double")
 
 
 def suppressed_number(col: Column) -> Column:
@@ -67,28 +67,39 @@ def unique_names(names: Sequence[str]) -> list[str]:
 
 
 def reference_key(col: Column) -> Column:
-    """Upper-cased reference without white space; blank becomes null."""
-    key = F.upper(F.regexp_replace(col, r"\s+", ""))
-    return F.when(key != "", key)
+    """Upper-cased, trimmed reference; blank and ``NAN`` become null."""
+    key = F.upper(F.regexp_replace(col, r"^\s+|\s+$", ""))
+    return F.when(~key.isin("", "NAN"), key)
 
 
 def reference_tail(col: Column) -> Column:
-    """What follows the first slash, or null."""
-    tail = F.regexp_extract(reference_key(col), r"^[^/]*/(.+)$", 1)
-    return F.when(tail != "", tail)
+    """What follows the first slash, as a reference; without a slash the whole."""
+    return reference_key(F.regexp_replace(col, r"^\s*[^/]*/", ""))
 
 
-def name_tokens(col: Column, stopwords: Sequence[str] = ("the", "of", "and", "council", "authority")) -> Column:
-    """Sorted distinct words of an organisation's name, ``&`` read as ``and``, ``st`` as ``saint``."""
-    text = F.regexp_replace(F.lower(col), "&", " and ")
-    text = F.regexp_replace(text, r"(^|\s)st\.?(\s|$)", "$1saint$2")
-    words = F.split(F.trim(F.regexp_replace(text, r"[^a-z0-9]+", " ")), " ")
-    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords))))
+#: Words of an authority's name that do not tell it apart.
+NAME_STOPWORDS = (
+    "AND", "AUTHORITY", "BOROUGH", "CITY", "COUNCIL", "COUNTY", "DISTRICT", "LONDON", "METROPOLITAN", "OF", "ROYAL", "THE", "UNITARY",
+)
 
 
-def canonical_name(col: Column, **options) -> Column:
-    text = F.array_join(name_tokens(col, **options), " ")
-    return F.when(text != "", text)
+def canonical_name(col: Column, stopwords: Sequence[str] = NAME_STOPWORDS, aliases: Mapping[str, str] | None = None) -> Column:
+    """Upper-cased words of an organisation's name, in order, without ``stopwords``; ``&`` reads AND, ``ST`` reads SAINT.
+
+    ``aliases`` maps such names to others, for instance to the authority that a merger made.  Without a word left: null.
+    """
+    text = F.regexp_replace(F.upper(col), "&", " AND ")
+    words = F.split(F.regexp_replace(F.regexp_replace(text, r"\bST\b", "SAINT"), "[^A-Z0-9]+", " "), " ")
+    name = F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(*stopwords)), " ")
+    if aliases:
+        name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv]), name), name)
+    return F.when(name != "", name)
+
+
+def name_tokens(col: Column, **options) -> Column:
+    """Sorted distinct words of :func:`canonical_name`; an empty array without one."""
+    words = F.split(F.coalesce(canonical_name(col, **options), F.lit("")), " ")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: w != "")))
 
 
 def is_token_subset(a: Column, b: Column) -> Column:
@@ -97,10 +108,15 @@ def is_token_subset(a: Column, b: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & inside
 
 
+#: Area, district, sector and unit of a postcode, in capitals.
+POSTCODE = r"\b([A-Z]{1,2}[0-9][0-9A-Z]?)\s*([0-9][A-Z]{2})\b"
+
+
 def postcode(col: Column) -> Column:
-    """First postcode-like token (area, district, sector, unit) without inner space; null where there is none."""
-    found = F.regexp_extract(F.upper(col), r"\b([A-Z]{1,2}[0-9][A-Z0-9]?)\s*([0-9][A-Z]{2})\b", 0)
-    return F.when(found != "", F.regexp_replace(found, r"\s+", ""))
+    """First postcode of a text, its halves parted by one space; null where there is none."""
+    text = F.upper(col)
+    outward = F.regexp_extract(text, POSTCODE, 1)
+    return F.when(outward != "", F.concat(outward, F.lit(" "), F.regexp_extract(text, POSTCODE, 2)))
 
 
 def prefix_lookup(col: Column, mapping: dict[str, str], default: str = "Unknown") -> Column:
@@ -110,10 +126,17 @@ def prefix_lookup(col: Column, mapping: dict[str, str], default: str = "Unknown"
     return F.coalesce(F.element_at(table, area), F.element_at(table, F.substring(area, 1, 1)), F.lit(default))
 
 
-def address_signature(col: Column, noise: Sequence[str] = ("land", "at", "the", "flat", "unit", "rear", "of", "adjacent")) -> Column:
-    """First number of up to five digits, else the first word that is no noise word."""
-    tokens = F.regexp_extract_all(F.lower(col), F.lit(r"[a-z0-9]+"), F.lit(0))
-    number = F.get(F.filter(tokens, lambda t: t.rlike(r"^[0-9]{1,5}[a-z]?$")), F.lit(0))
+#: Words that open an address without telling it apart.
+ADDRESS_NOISE = (
+    "LAND", "AT", "OF", "REAR", "FRONT", "BEHIND", "FORMER", "NEXT", "NEAR", "OPPOSITE", "ADJACENT", "ADJOINING", "SITE", "THE", "SIDE", "TO",
+    "ON", "RECEPTION", "PLOT", "UNIT",
+)
+
+
+def address_signature(col: Column, noise: Sequence[str] = ADDRESS_NOISE) -> Column:
+    """First number of one to five digits, else the first word that is no noise word, in capitals; postcodes do not count."""
+    tokens = F.regexp_extract_all(F.regexp_replace(F.upper(col), POSTCODE, ""), F.lit("[A-Z0-9]+"), F.lit(0))
+    number = F.get(F.filter(tokens, lambda t: t.rlike("^[0-9]{1,5}$")), F.lit(0))
     word = F.get(F.filter(tokens, lambda t: ~t.isin(*noise)), F.lit(0))
     return F.coalesce(number, word)
 
@@ -268,8 +291,9 @@ def pct(part: Column, whole: Column, places: int = 1) -> Column:
 
 
 def json_text(col: Column, name: str) -> Column:
-    """String field of a JSON object; parse errors, other kinds and blanks give null."""
-    value = F.trim(F.get_json_object(col, f"$.{name}"))
+    """String field of a JSON object, trimmed; parse errors, values that are no strings and blanks give null."""
+    field = F.try_variant_get(F.try_parse_json(col), f"$.{name}", "variant")
+    value = F.when(F.schema_of_variant(field) == "STRING", F.trim(F.try_variant_get(field, "$", "string")))
     return F.when(value != "", value)
 
 
@@ -285,23 +309,39 @@ def usable_hint(candidates: Sequence[tuple[Column, str]]) -> Column:
 
 def normalise_quotes(col: Column) -> Column:
     """Lower case, plain quotes and dashes, squeezed."""
-    return squeeze(F.translate(F.lower(col), "‘’“”–—", "''\"\"--"))
+    return squeeze(F.lower(F.translate(col, "‘’“”–—−\u00a0", "''\"\"--- ")))
+
+
+#: Characters that do not count at the ends of a quote's segment.
+EDGE_PUNCTUATION = " \"'.,;:!?()[]-"
+
+
+def quote_segments(quote: Column, least: int = 6) -> Column:
+    """Parts of a quote between ellipses, normalised, without punctuation at their ends, of ``least`` or more characters."""
+    parts = F.split(quote, r"\[?(?:…|\.\s*\.\s*\.)\]?")
+    trimmed = F.transform(parts, lambda x: F.trim(normalise_quotes(x), F.lit(EDGE_PUNCTUATION)))
+    return F.filter(trimmed, lambda x: F.length(x) >= least)
+
+
+def segment_overlap(segment: Column, source: Column, shingle: int = 5) -> Column:
+    """Share of a segment's word shingles that ``source`` contains; a segment of fewer words counts as a whole."""
+    words = F.split(segment, " ")
+    n = F.greatest(F.size(words) - shingle + 1, F.lit(1))
+    shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, shingle), " "))
+    return F.size(F.filter(shingles, lambda x: source.contains(x))) / n
 
 
 def grounding(quote: Column, source: Column, least: int = 6, shingle: int = 5, share: float = 0.5) -> Column:
     """ok, near_verbatim or missing: is a quote in its source?
 
-    Segments between ellipses of ``least`` or more characters must all be contained; else at least
-    ``share`` of the quote's word shingles must be.  Null or blank quote: null.
+    ``ok``: every segment (:func:`quote_segments`) is contained, or there is none.  ``near_verbatim``: at least ``share`` of the
+    word shingles of each.  Null or empty quote: null.
     """
-    q, s = normalise_quotes(quote), normalise_quotes(F.coalesce(source, F.lit("")))
-    segments = F.filter(F.transform(F.split(q, r"\.\.\.|…"), F.trim), lambda x: F.length(x) >= least)
-    whole = (F.size(segments) > 0) & F.forall(segments, lambda x: s.contains(x))
-    words = F.split(q, " ")
-    n = F.greatest(F.size(words) - shingle + 1, F.lit(1))
-    shingles = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, shingle), " "))
-    near = F.size(F.filter(shingles, lambda x: s.contains(x))) >= share * n
-    return F.when(q.isNull() | (q == ""), F.lit(None)).when(whole, "ok").when(near, "near_verbatim").otherwise("missing")
+    s = normalise_quotes(F.coalesce(source, F.lit("")))
+    segments = quote_segments(quote, least)
+    whole = F.forall(segments, lambda x: s.contains(x))
+    near = F.forall(segments, lambda x: segment_overlap(x, s, shingle) >= share)
+    return F.when(quote.isNull() | (quote == ""), F.lit(None)).when(whole, "ok").when(near, "near_verbatim").otherwise("missing")
 
 
 def accept_fallback(primary: Column, fallback: Column, gain: float = 1.2) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..functions.scalars import grounding, normalise_quotes, quote_segments
 
 
 def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -26,29 +30,31 @@ def char_budget(df: DataFrame, key: str, rank: str, length: str, cap: Column, bu
     return df.withColumn("taken", F.when(left > least, F.least(capped, left)).otherwise(0).cast("long"))
 
 
-def pack_chunks(df: DataFrame, shard: str, order: str, size: str, most: int, block: int = 100_000) -> DataFrame:
+def pack_chunks(df: DataFrame, shard: str, order: str, size: str, most: int) -> DataFrame:
     """Greedy packing in order within a shard: a chunk ends where the next item would exceed ``most``; an oversize item stands alone.
 
-    A shard is folded in blocks of ``block`` items, so that no row holds an unbounded array; a chunk ends with its block.
+    ``shard``, ``order``, ``size`` (null: 0) and ``chunk`` (from 0 in its shard) of every row.  A shard is sorted by Spark and
+    read as a stream, so no more than a batch of it is held at once.
     """
-    w = Window.partitionBy(shard).orderBy(order)
-    rows = df.select(shard, order, F.col(size).cast("long").alias("__n")).withColumn(
-        "__block", F.floor((F.row_number().over(w) - 1) / block)
-    )
-    items = rows.groupBy(shard, "__block").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__n").alias("n")))).alias("__items"))
-    start = F.struct(F.lit(-1).cast("long").alias("chunk"), F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(state: Column, item: Column) -> Column:
-        fits = (state["chunk"] >= 0) & (state["used"] + item["n"] <= most)
-        chunk = F.when(fits, state["chunk"]).otherwise(state["chunk"] + 1)
-        used = F.when(fits, state["used"] + item["n"]).otherwise(item["n"])
-        return F.struct(chunk.alias("chunk"), used.alias("used"), F.concat(state["out"], F.array(chunk)).alias("out"))
-
-    folded = items.withColumn("__chunks", F.aggregate("__items", start, step)["out"])
-    pairs = folded.select(shard, "__block", F.explode(F.arrays_zip(F.col("__items"), F.col("__chunks"))).alias("z"))
-    return pairs.select(
-        shard, F.col("z.__items.o").alias(order), F.col("z.__items.n").alias(size), F.col("__block").alias("block"), F.col("z.__chunks").alias("chunk")
-    )
+    rows = df.select(shard, order, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias(size))
+    sorted_rows = rows.repartition(shard).sortWithinPartitions(shard, order)
+    schema = StructType([*rows.schema.fields, StructField("chunk", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        began, last, chunk, used = False, None, 0, 0
+        for batch in batches:
+            chunks = []
+            for own, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not began or own != last:
+                    began, last, chunk, used = True, own, 0, n
+                elif used + n > most:
+                    chunk, used = chunk + 1, n
+                else:
+                    used += n
+                chunks.append(chunk)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64())], [*batch.schema.names, "chunk"])
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def assemble(df: DataFrame, key: str, priority: str, tie: str, text: str, sep: str = "\n\n") -> DataFrame:
@@ -123,3 +129,34 @@ def outlinks(df: DataFrame, key: str, html: str, base: Column) -> DataFrame:
 def first_link(links: DataFrame, key: str, good: Column) -> DataFrame:
     """First link of each page that is ``good``."""
     return links.filter(good).groupBy(key).agg(F.min_by("url", "pos").alias("url"))
+
+
+def ground_quotes(
+    quotes: DataFrame, sources: DataFrame, item: str, quote: str, key: str, text: str, most_broadcast: int = 1_000_000
+) -> DataFrame:
+    """``(item, key, status)`` of every quote and every source in which it is ``ok`` or ``near_verbatim``, over whole texts.
+
+    A five-word shingle of a quote can only be part of a source that has the shingle's three inner words in a row, so
+    sources and quotes meet by hashes of such triples; their keys are broadcast up to ``most_broadcast`` rows.  Quotes of
+    which no segment has five words are held against every source.
+    """
+    words = F.split(F.get(F.filter(quote_segments(F.col(quote)), lambda x: F.size(F.split(x, " ")) >= 5), F.lit(0)), " ")
+    asked = quotes.filter(F.col(quote) != "").select(item, quote, words.alias("__words"))
+
+    def triples(array: Column, first: int, n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(first), n), lambda i: F.xxhash64(F.array_join(F.slice(array, i, 3), " ")))
+
+    keys = asked.filter(F.col("__words").isNotNull()).select(
+        item, F.explode(F.array_distinct(triples(F.col("__words"), 2, F.size("__words") - 3))).alias("__key")
+    )
+    held = sources.filter(F.col(text).isNotNull()).select(key, normalise_quotes(F.col(text)).alias("__source"))
+    own = F.split("__source", " ")
+    parts = held.select(key, own.alias("__own")).filter(F.size("__own") >= 3)
+    parts = parts.select(key, F.explode(F.array_distinct(triples(F.col("__own"), 1, F.size("__own") - 2))).alias("__key"))
+    few = keys.count() <= most_broadcast
+    met = parts.join(F.broadcast(keys) if few else keys, "__key").select(key, item).distinct()
+    short = asked.filter(F.col("__words").isNull()).select(item, quote)
+    pairs = held.join(met, key).join(asked.select(item, quote), item).select(item, key, quote, "__source")
+    pairs = pairs.unionByName(held.join(short).select(item, key, quote, "__source"))
+    status = grounding(F.col(quote), F.col("__source"))
+    return pairs.select(item, key, status.alias("status")).filter(F.col("status") != "missing")

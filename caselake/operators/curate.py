@@ -21,23 +21,22 @@ def coalesce_alias(df: DataFrame, aliases: Sequence[str]) -> Column:
 
 
 def header_rows(df: DataFrame, keys: Sequence[str], row: str, cells: str, first_rows: int = 40) -> DataFrame:
-    """Best header row of each sheet among its first rows, with its score and its lead over the next best.
+    """Best header row of each sheet among its first rows (numbered from 1), with its score and the confidence in it.
 
-    A row scores for width, distinct cells, share of text (not numbers) and for standing early.
+    A row scores 1.6 for each filled cell, 3 for cells that are all distinct, 2.5 for cells that all hold a letter, less 0.08 for
+    each row above it; an empty row -1000.  Confidence is the lead over the next best as a share of the score, 1 for a lone row.
     """
     filled = F.filter(cells, lambda c: c.isNotNull() & (F.trim(c) != ""))
     n = F.size(filled)
     distinct = F.size(F.array_distinct(filled)) / n
-    text = F.size(F.filter(filled, lambda c: ~c.rlike(r"^[\s$£€%(),.0-9-]+$"))) / n
-    near_start = 1.0 - (F.col(row) - 1) / float(first_rows)
-    scored = df.filter(F.col(row) <= first_rows).select(
-        *keys, row, n.alias("width"), F.when(n > 0, n * 0.5 + distinct * 3.0 + text * 4.0 + near_start).otherwise(0.0).alias("score")
-    )
+    text = F.size(F.filter(filled, lambda c: c.rlike(r"\p{L}"))) / n
+    score = n * 1.6 + distinct * 3.0 + text * 2.5 - (F.col(row) - 1) * 0.08
+    scored = df.filter(F.col(row) <= first_rows).select(*keys, row, n.alias("width"), F.when(n > 0, score).otherwise(-1000.0).alias("score"))
     w = Window.partitionBy(*keys).orderBy(F.desc("score"), row)
     ranked = scored.withColumn("__rn", F.row_number().over(w)).withColumn("__next", F.lead("score").over(w))
-    lead = (F.col("score") - F.coalesce("__next", F.lit(0.0))) / F.greatest(F.col("score"), F.lit(1e-9))
+    lead = F.least(F.greatest((F.col("score") - F.col("__next")) / (F.abs("score") + 1e-6), F.lit(0.0)), F.lit(1.0))
     return ranked.filter(F.col("__rn") == 1).select(
-        *keys, F.col(row).alias("header_row"), "width", F.round("score", 6).alias("score"), F.round(lead, 6).alias("confidence")
+        *keys, F.col(row).alias("header_row"), "width", F.round("score", 6).alias("score"), F.round(F.coalesce(lead, F.lit(1.0)), 6).alias("confidence")
     )
 
 

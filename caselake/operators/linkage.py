@@ -21,22 +21,39 @@ def with_provenance(parts: Mapping[str, DataFrame], name: str = "source_db") ->
     return out
 
 
-def link_by_reference(apps: DataFrame, cases: DataFrame, uid: str, refs: Sequence[str], case: str, case_ref: str, left_names: str | None = None, right_names: str | None = None) -> DataFrame:
+def link_by_reference(apps: DataFrame, cases: DataFrame, uid: str, refs: Mapping[str, str], case: str, case_ref: str, left_names: str | None = None, right_names: str | None = None) -> DataFrame:
     """Tier 1: any of an application's references equals the case's, and the authorities agree.
 
+    ``refs`` maps the name of each reference to its column; every one that meets is a link of its own.
     Authorities are token arrays; they agree where one holds the other.
     """
     named = F.lit(None).cast("array<string>")
-    left = apps.select(
-        F.col(uid), (F.col(left_names) if left_names else named).alias("__l"), F.explode(F.array_distinct(F.array_compact(F.array(*refs)))).alias("__ref")
-    )
+    each = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("ref")) for name, c in refs.items()])
+    left = apps.select(F.col(uid), (F.col(left_names) if left_names else named).alias("__l"), F.explode(each).alias("__r"))
+    left = left.select(uid, "__l", F.col("__r.name").alias("__name"), F.col("__r.ref").alias("__ref")).filter(F.col("__ref").isNotNull())
     right = cases.filter(F.col(case_ref).isNotNull()).select(
         F.col(case), F.col(case_ref).alias("__ref"), (F.col(right_names) if right_names else named).alias("__r")
     )
     found = left.join(right, "__ref")
     if left_names:
         found = found.filter(is_token_subset(F.col("__l"), F.col("__r")))
-    return found.select(uid, case, F.lit("t1").alias("tier"), F.lit("reference").alias("match_detail")).distinct()
+    return found.select(uid, case, F.lit("t1").alias("tier"), F.concat(F.lit("ref_source="), "__name").alias("match_detail")).distinct()
+
+
+def reference_evidence(refs: Mapping[str, Column], case_ref: Column, description: Column, least: int = 4, least_described: int = 6) -> list[tuple[str, Column]]:
+    """Evidence for :func:`link_by_block`, in order: per reference, itself or its tail against the case's, one holding the other; then a description that names the case.
+
+    References and tails of fewer than ``least`` characters prove nothing; nor does a case's reference of fewer than
+    ``least_described`` in a description.
+    """
+    out = []
+    for name, ref in refs.items():
+        tail = F.when(ref.contains("/"), F.regexp_replace(ref, "^[^/]*/", ""))
+        long = F.length(ref) >= least
+        out.append((name, long & (case_ref.contains(ref) | ref.contains(case_ref))))
+        out.append((f"{name}_tail", long & (F.length(tail) >= least) & (case_ref.contains(tail) | tail.contains(case_ref))))
+    out.append(("description", (F.length(case_ref) >= least_described) & description.contains(case_ref)))
+    return out
 
 
 def link_by_block(apps: DataFrame, cases: DataFrame, uid: str, case: str, block: Sequence[str], evidence: Sequence[tuple[str, Column]]) -> DataFrame:
@@ -62,19 +79,24 @@ def link_unique_block(apps: DataFrame, cases: DataFrame, uid: str, case: str, bl
     )
 
 
-def resolve_links(tiers: Sequence[DataFrame], uid: str, case: str, order: Sequence[str] = ("t1", "t2", "t3")) -> DataFrame:
-    """Best tier of each pair, then of each case: one row per case, ties to the smaller uid."""
+#: Confidence of the three tiers.
+CONFIDENCE = {"t1": "high", "t2": "high", "t3": "medium"}
+
+
+def resolve_links(tiers: Sequence[DataFrame], uid: str, case: str, confidence: Mapping[str, str] = CONFIDENCE) -> DataFrame:
+    """Best tier of each pair, then of each case: one row per case, ties to the smaller uid.  ``confidence``: tiers, best first."""
+    order = list(confidence)
     hits = tiers[0]
     for t in tiers[1:]:
         hits = hits.unionByName(t)
     rank = F.array_position(F.array(*map(F.lit, order)), F.col("tier"))
     by_case = Window.partitionBy(case).orderBy("__rank", uid, "match_detail")
-    confidence = F.when(F.col("tier") == order[0], "high").when(F.col("tier") == order[1], "medium").otherwise("low")
+    level = F.element_at(F.create_map(*[F.lit(x) for kv in confidence.items() for x in kv]), F.col("tier"))
     return (
         hits.withColumn("__rank", rank)
         .withColumn("__rn", F.row_number().over(by_case))
         .filter(F.col("__rn") == 1)
-        .select(uid, case, "tier", "match_detail", confidence.alias("confidence"))
+        .select(uid, case, "tier", "match_detail", level.alias("confidence"))
     )
 
 
@@ -84,6 +106,7 @@ def attach_best(cases: DataFrame, links: DataFrame, case: str, payload: Sequence
 
 
 def linkage_summary(hits: DataFrame, uid: str, keys: Sequence[str] = ("tier",)) -> DataFrame:
+    """Distinct applications and links by tier, corpus, corpus and tier, or confidence: whatever ``keys`` names."""
     return hits.groupBy(*keys).agg(F.countDistinct(uid).alias("n_apps"), F.count(F.lit(1)).alias("n_links"))
 
 

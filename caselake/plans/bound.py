@@ -371,7 +371,13 @@ def char_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.char_budget(ranked, "source", "rank", "n_chars", cap, 15000).select("doc_id", "source", "rank", "taken")
 
 
-@query()
+@query(
+    """WITH RECURSIVE r AS (SELECT source, doc_id, coalesce(n_chars, 0) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents),
+g AS (SELECT source, doc_id, n, rn, 0::BIGINT AS chunk, n AS used FROM r WHERE rn = 1 UNION ALL
+  SELECT r.source, r.doc_id, r.n, r.rn, CASE WHEN g.used + r.n > 20000 THEN g.chunk + 1 ELSE g.chunk END, CASE WHEN g.used + r.n > 20000 THEN r.n ELSE g.used + r.n END
+  FROM g JOIN r ON r.source IS NOT DISTINCT FROM g.source AND r.rn = g.rn + 1)
+SELECT source, doc_id, n AS n_chars, chunk FROM g"""
+)
 def pack_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
     return corpus.pack_chunks(docs, "source", "doc_id", "n_chars", 20_000)
@@ -427,34 +433,49 @@ def section_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.filter(F.col("section").isNotNull())
 
 
+def _plain(x: str) -> str:
+    """SQL of normalise_quotes."""
+    plain = "'''''\"\"--- '"
+    return rf"trim(regexp_replace(lower(translate({x}, '‘’“”–—−' || chr(160), {plain})), '\s+', ' ', 'g'))"
+
+
+_GROUNDED = rf"""WITH q AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '\[?(?:…|\.\s*\.\s*\.)\]?'),
+    lambda x: trim({_plain("x")}, ' "''.,;:!?()[]-')), lambda x: length(x) >= 6) AS segs FROM benchmark WHERE text <> ''),
+s AS (SELECT doc_id, {_plain("text")} AS source FROM documents WHERE text IS NOT NULL),
+g AS (SELECT item_id, unnest(segs) AS seg, generate_subscripts(segs, 1) AS k FROM q),
+h AS (SELECT item_id, k, seg, unnest(list_transform(range(1, greatest(len(string_split(seg, ' ')) - 4, 1) + 1), lambda i: array_to_string(string_split(seg, ' ')[i:i + 4], ' '))) AS sh FROM g),
+o AS (SELECT item_id, doc_id, k, bool_and(contains(source, seg)) AS whole, avg(contains(source, sh)::INT) AS share FROM h, s GROUP BY item_id, doc_id, k),
+p AS (SELECT item_id, doc_id, CASE WHEN bool_and(whole) THEN 'ok' WHEN min(share) >= 0.5 THEN 'near_verbatim' ELSE 'missing' END AS status FROM o GROUP BY 1, 2
+  UNION ALL SELECT item_id, doc_id, 'ok' FROM q, s WHERE len(segs) = 0)"""
+
+
 @query(
-    r"""WITH q AS (SELECT item_id, lower(substr(text, 1, 60)) AS quote FROM benchmark), s AS (SELECT doc_id, lower(text) AS source FROM documents)
-SELECT item_id, count(*) FILTER (contains(source, quote)) AS n_documents,
-  CASE WHEN count(*) FILTER (contains(source, quote)) > 0 THEN 'ok' ELSE 'missing' END AS status FROM q, s GROUP BY 1"""
+    f"""{_GROUNDED} SELECT item_id, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'near_verbatim') AS n_near,
+  CASE WHEN bool_or(status = 'ok') THEN 'ok' WHEN bool_or(status = 'near_verbatim') THEN 'near_verbatim' ELSE 'missing' END AS status FROM p GROUP BY 1"""
 )
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents are cut into 5-word shingles once; only those that share a quote's words 2 to 6 are held against it.
-
-    A quote of fewer than 7 words has no such shingle of whole words; it is held against every document.
-    """
-    quotes = parquet(spark, sf_dir, "benchmark").select("item_id", F.lower(F.substring("text", 1, 60)).alias("quote"))
-    words = F.split("quote", " ")
-    quotes = quotes.withColumn("__k", F.when(F.size(words) >= 7, F.array_join(F.slice(words, 2, 5), " ")))
-    docs = parquet(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("source"))
-    spans = docs.withColumn("__w", F.split("source", " "))
-    shingles = spans.select(
-        "doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("__w", i, 5), " ")))).alias("__k")
+    """Every benchmark text against every document, both whole: in how many it is found, in how many nearly."""
+    quotes = parquet(spark, sf_dir, "benchmark").select("item_id", "text").filter(F.col("text") != "")
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"))
+    found = corpus.ground_quotes(quotes, docs, "item_id", "text", "doc_id", "body").groupBy("item_id").agg(
+        F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "near_verbatim").alias("n_near")
     )
-    meets = shingles.join(quotes, "__k").join(docs, "doc_id")
-    meets = meets.select("item_id", "quote", "source").unionByName(
-        docs.crossJoin(quotes.filter(F.col("__k").isNull())).select("item_id", "quote", "source")
-    )
-    found = meets.filter(F.col("source").contains(F.col("quote"))).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    return quotes.join(found, "item_id", "left").select(
-        "item_id", F.coalesce("n", F.lit(0).cast("long")).alias("n_documents"), F.when(F.col("n") > 0, "ok").otherwise("missing").alias("status")
+    none = F.lit(0).cast("long")
+    status = F.when(F.col("n_ok") > 0, "ok").when(F.col("n_near") > 0, "near_verbatim").otherwise("missing")
+    return quotes.select("item_id").join(found, "item_id", "left").select(
+        "item_id", F.coalesce("n_ok", none).alias("n_ok"), F.coalesce("n_near", none).alias("n_near"), status.alias("status")
     )
 
 
+@query(f"{_GROUNDED} SELECT d.source, status, count(*) AS n FROM p JOIN documents d USING (doc_id) WHERE status <> 'missing' GROUP BY ALL")
+def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark text, by source and status."""
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "source")
+    quotes = parquet(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = corpus.ground_quotes(quotes, docs.select("doc_id", "body"), "item_id", "text", "doc_id", "body")
+    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     r"""WITH t AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis') AS x FROM pages),
 t2 AS (SELECT page_id, regexp_replace(x, '<(br|/p|/div|/li|/tr|/h[1-6]|/table)[^>]*>', chr(10), 'gi') AS x FROM t),
@@ -496,6 +517,17 @@ def host_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_id, nullif(trim(json_extract_string(props, '$.k')), '') AS k FROM events")
+@query(
+    """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k": " ' || event_type || ' "}' WHEN 1 THEN props WHEN 2 THEN '{"k": {"v": "x"}}' ELSE '{"k": "x' END AS p FROM events)
+SELECT event_id, CASE WHEN json_valid(p) THEN CASE WHEN json_type(p, '$.k') = 'VARCHAR' THEN nullif(trim(json_extract_string(p, '$.k')), '') END END AS k FROM e"""
+)
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parquet(spark, sf_dir, "events").select("event_id", S.json_text(F.col("props"), "k").alias("k"))
+    """Payloads of strings, numbers, objects, and some that are cut off."""
+    turn = F.col("event_id") % 4
+    payload = (
+        F.when(turn == 0, F.concat(F.lit('{"k": " '), "event_type", F.lit(' "}')))
+        .when(turn == 1, F.col("props"))
+        .when(turn == 2, '{"k": {"v": "x"}}')
+        .otherwise('{"k": "x')
+    )
+    return parquet(spark, sf_dir, "events").select("event_id", S.json_text(payload, "k").alias("k"))

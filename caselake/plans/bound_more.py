@@ -53,14 +53,15 @@ def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_APPS = """apps AS (SELECT c_custkey AS uid, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(n_name), '&', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'the', 'of', 'and', 'council', 'authority')))) AS tokens,
+_APPS = """apps AS (SELECT c_custkey AS uid, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(upper(n_name), '&', ' AND ', 'g'), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'THE', 'OF', 'AND', 'COUNCIL', 'AUTHORITY')))) AS tokens,
   upper(c_name) AS ref_a, CASE WHEN c_custkey % 3 = 0 THEN 'X/' || upper(c_name) END AS ref_b, c_nationkey AS block_a,
   floor(c_acctbal / 100)::BIGINT AS block_b, c_mktsegment AS sig, c_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
-cases AS (SELECT s_suppkey AS case_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'the', 'of', 'and', 'council', 'authority')))) AS tokens,
+cases AS (SELECT s_suppkey AS case_id, list_sort(list_distinct(list_filter(string_split(trim(regexp_replace(upper(n_name), '[^A-Z0-9]+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'THE', 'OF', 'AND', 'COUNCIL', 'AUTHORITY')))) AS tokens,
   CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE 'X/' END || 'CUSTOMER#' || lpad((s_suppkey * 5)::VARCHAR, 9, '0') AS case_ref, s_nationkey AS block_a,
   floor(s_acctbal / 100)::BIGINT AS block_b, CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS case_sig, right(s_name, 2) AS case_tail
   FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
-_T1 = """t1 AS (SELECT DISTINCT uid, case_id, 't1' AS tier, 'reference' AS match_detail FROM apps a JOIN cases c ON c.case_ref IN (a.ref_a, a.ref_b))"""
+_REFS = "(SELECT uid, tokens, 'ref_source=a' AS match_detail, ref_a AS ref FROM apps UNION ALL SELECT uid, tokens, 'ref_source=b', ref_b FROM apps)"
+_T1 = f"""t1 AS (SELECT DISTINCT uid, case_id, 't1' AS tier, match_detail FROM {_REFS} a JOIN cases c ON c.case_ref = a.ref)"""
 _T2 = """t2 AS (SELECT DISTINCT uid, case_id, 't2' AS tier, CASE WHEN contains(c_name, case_tail) THEN 'tail' WHEN sig = case_sig THEN 'signature' END AS match_detail
   FROM apps a JOIN cases c ON a.block_a = c.block_a AND a.block_b = c.block_b WHERE contains(c_name, case_tail) OR sig = case_sig)"""
 _T3 = """ua AS (SELECT block_a, block_b, min(uid) AS uid, min(sig) AS sig FROM apps GROUP BY 1, 2 HAVING count(*) = 1),
@@ -68,8 +69,11 @@ uc AS (SELECT block_a, block_b, min(case_id) AS case_id, min(case_sig) AS case_s
 t3 AS (SELECT uid, case_id, 't3' AS tier, 'unique_block' AS match_detail FROM ua JOIN uc USING (block_a, block_b) WHERE sig = case_sig)"""
 
 
+REFS = {"a": "ref_a", "b": "ref_b"}
+
+
 def _t1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.link_by_reference(_apps(spark, sf_dir), _cases(spark, sf_dir), "uid", ["ref_a", "ref_b"], "case_id", "case_ref")
+    return linkage.link_by_reference(_apps(spark, sf_dir), _cases(spark, sf_dir), "uid", REFS, "case_id", "case_ref")
 
 
 def _t2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,12 +91,12 @@ def link_t1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_APPS} SELECT DISTINCT uid, case_id, 't1' AS tier, 'reference' AS match_detail FROM apps a JOIN cases c ON c.case_ref IN (a.ref_a, a.ref_b)
+    f"""WITH {_APPS} SELECT DISTINCT uid, case_id, 't1' AS tier, match_detail FROM {_REFS} a JOIN cases c ON c.case_ref = a.ref
 WHERE list_has_all(a.tokens, c.tokens) OR list_has_all(c.tokens, a.tokens)"""
 )
 def link_t1_authority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.link_by_reference(
-        _apps(spark, sf_dir), _cases(spark, sf_dir), "uid", ["ref_a", "ref_b"], "case_id", "case_ref", "app_tokens", "case_tokens"
+        _apps(spark, sf_dir), _cases(spark, sf_dir), "uid", REFS, "case_id", "case_ref", "app_tokens", "case_tokens"
     )
 
 
@@ -115,7 +119,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_RESOLVED} SELECT uid, case_id, tier, match_detail, CASE tier WHEN 't1' THEN 'high' WHEN 't2' THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE rn = 1"""
+    f"""WITH {_RESOLVED} SELECT uid, case_id, tier, match_detail, CASE tier WHEN 't3' THEN 'medium' ELSE 'high' END AS confidence FROM r WHERE rn = 1"""
 )
 def link_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resolved(spark, sf_dir)
@@ -138,14 +142,52 @@ def link_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("case_id", F.col("uid").isNotNull().alias("matched"), "tier", "payload")
 
 
+_T2_REFERENCE = """WITH a AS (SELECT c_custkey AS uid, c_nationkey AS block, upper(c_name) AS r1, 'X/' || right(c_name, 5) AS r2, upper(c_mktsegment) || ' AT CASE ' || right(c_name, 6) AS d FROM customer),
+c AS (SELECT s_suppkey AS case_id, s_nationkey AS block, CASE s_suppkey % 4 WHEN 0 THEN 'REG/CUSTOMER#' || lpad((s_suppkey * 3)::VARCHAR, 9, '0') || '/A' WHEN 1 THEN lpad((s_suppkey * 5)::VARCHAR, 5, '0') || '/B'
+  WHEN 2 THEN lpad((s_suppkey * 7)::VARCHAR, 6, '0') ELSE 'Q' || s_suppkey END AS ref FROM supplier),
+p AS (SELECT *, regexp_replace(r2, '^[^/]*/', '') AS t2 FROM a JOIN c USING (block))
+SELECT * FROM (SELECT uid, case_id, 't2' AS tier, CASE WHEN contains(ref, r1) OR contains(r1, ref) THEN 'uid' WHEN contains(ref, r2) OR contains(r2, ref) THEN 'name'
+  WHEN length(t2) >= 4 AND (contains(ref, t2) OR contains(t2, ref)) THEN 'name_tail' WHEN length(ref) >= 6 AND contains(d, ref) THEN 'description' END AS match_detail FROM p) WHERE match_detail IS NOT NULL"""
+
+
+@query(_T2_REFERENCE)
+def link_t2_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a nation, by whether one's reference is part of the other's."""
+    apps = parquet(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("uid"),
+        F.col("c_nationkey").alias("block"),
+        F.upper("c_name").alias("r1"),
+        F.concat(F.lit("X/"), F.substring("c_name", -5, 5)).alias("r2"),
+        F.concat(F.upper("c_mktsegment"), F.lit(" AT CASE "), F.substring("c_name", -6, 6)).alias("d"),
+    )
+    key = F.col("s_suppkey")
+
+    def digits(times: int, width: int):
+        return F.lpad((key * times).cast("string"), width, "0")
+
+    ref = (
+        F.when(key % 4 == 0, F.concat(F.lit("REG/CUSTOMER#"), digits(3, 9), F.lit("/A")))
+        .when(key % 4 == 1, F.concat(digits(5, 5), F.lit("/B")))
+        .when(key % 4 == 2, digits(7, 6))
+        .otherwise(F.concat(F.lit("Q"), key.cast("string")))
+    )
+    cases = parquet(spark, sf_dir, "supplier").select(key.alias("case_id"), F.col("s_nationkey").alias("block"), ref.alias("ref"))
+    evidence = linkage.reference_evidence({"uid": F.col("r1"), "name": F.col("r2")}, F.col("ref"), F.col("d"))
+    return linkage.link_by_block(apps, cases, "uid", "case_id", ["block"], evidence)
+
+
 ALIASES = {"old england": "NATION_3", "holland": "NATION_7"}
 
 
 @query(
-    """WITH v AS (SELECT c_custkey, n_name, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' Council'
-    WHEN 2 THEN 'Old England' ELSE 'nowhere ' || c_custkey END AS spelled FROM customer JOIN nation ON c_nationkey = n_nationkey)
-SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name WHEN 2 THEN 'NATION_3' END AS resolved,
-  CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 2 THEN 1 WHEN 1 THEN 2 END AS match_step FROM v"""
+    """WITH v AS (SELECT c_custkey, lower(CASE c_custkey % 4 WHEN 0 THEN n_name WHEN 1 THEN n_name || ' Council'
+    WHEN 2 THEN 'Old England' ELSE 'nowhere ' || c_custkey END) AS spelled FROM customer JOIN nation ON c_nationkey = n_nationkey),
+k AS (SELECT lower(n_name) AS key, n_name FROM nation UNION SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')), n_name FROM nation),
+s AS (SELECT c_custkey, 0 AS step, spelled AS key FROM v UNION ALL
+  SELECT c_custkey, 1, lower(alias) FROM v JOIN (VALUES ('old england', 'NATION_3'), ('holland', 'NATION_7')) a(name, alias) ON spelled = name UNION ALL
+  SELECT c_custkey, 2, trim(regexp_replace(trim(regexp_replace(spelled, '[^a-z0-9]+', ' ', 'g')), ' council$', '')) FROM v),
+m AS (SELECT c_custkey, step, n_name, row_number() OVER (PARTITION BY c_custkey ORDER BY step) AS rn FROM s JOIN k USING (key))
+SELECT v.c_custkey, n_name AS resolved, step AS match_step FROM v LEFT JOIN m ON v.c_custkey = m.c_custkey AND rn = 1"""
 )
 def authority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -329,11 +371,16 @@ LINE_FIELDS = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
 
 
 @query(
-    """SELECT field, n, ratio, is_numeric FROM (VALUES ('l_quantity', 1.0::DOUBLE, true), ('l_discount', 1.0::DOUBLE, true), ('l_returnflag', 0.0::DOUBLE, false), ('l_linestatus', 0.0::DOUBLE, false)) v(field, ratio, is_numeric),
-  (SELECT count(*) AS n FROM lineitem)"""
+    """WITH u AS (SELECT 'l_quantity' AS field, l_quantity::VARCHAR AS v FROM lineitem UNION ALL SELECT 'l_discount', l_discount::VARCHAR FROM lineitem
+  UNION ALL SELECT 'l_returnflag', l_returnflag FROM lineitem UNION ALL SELECT 'l_linestatus', l_linestatus FROM lineitem UNION ALL
+  SELECT 'code', CASE WHEN l_partkey % 3 = 0 THEN l_returnflag WHEN l_partkey % 7 > 0 THEN (l_partkey % 7)::VARCHAR END FROM lineitem),
+c AS (SELECT field, count(v) AS n, count(try_cast(v AS DOUBLE)) AS k FROM u GROUP BY 1)
+SELECT field, n, round(k / n, 4) AS ratio, n >= 5 AND k / n >= 0.6 AS is_numeric FROM c"""
 )
 def numeric_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curate.numeric_profile(parquet(spark, sf_dir, "lineitem").select(*LINE_FIELDS), LINE_FIELDS)
+    mixed = F.when(F.col("l_partkey") % 3 == 0, F.col("l_returnflag")).when(F.col("l_partkey") % 7 > 0, (F.col("l_partkey") % 7).cast("string"))
+    lines = parquet(spark, sf_dir, "lineitem").select(*LINE_FIELDS, mixed.alias("code"))
+    return curate.numeric_profile(lines, [*LINE_FIELDS, "code"]).withColumn("ratio", F.round("ratio", 4))
 
 
 @query(
@@ -357,7 +404,15 @@ def unpivot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT ('sheet' || (p_brand))::VARCHAR AS sheet, (3)::BIGINT AS header_row, 4 AS width FROM part GROUP BY 1"""
+    """WITH b AS (SELECT 'sheet' || p_brand AS sheet, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) + 3 AS r,
+  [p_partkey::VARCHAR, p_size::VARCHAR, p_retailprice::VARCHAR, '1'] AS cells FROM part),
+t AS (SELECT * FROM b UNION ALL SELECT DISTINCT sheet, 1, ['Parts of the brand'] FROM b UNION ALL SELECT DISTINCT sheet, 2, []::VARCHAR[] FROM b
+  UNION ALL SELECT DISTINCT sheet, 3, ['part key', 'size', 'retail price', 'units'] FROM b),
+s AS (SELECT sheet, r, len(cells) AS w, CASE WHEN len(cells) = 0 THEN -1000.0::DOUBLE ELSE len(cells) * 1.6::DOUBLE + len(list_distinct(cells)) / len(cells) * 3.0::DOUBLE
+  + len(list_filter(cells, lambda c: regexp_matches(c, '[A-Za-z]'))) / len(cells) * 2.5::DOUBLE - (r - 1) * 0.08::DOUBLE END AS score FROM t WHERE r <= 40),
+k AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY score DESC, r) AS rn, lead(score) OVER (PARTITION BY sheet ORDER BY score DESC, r) AS nxt FROM s)
+SELECT sheet, r AS header_row, w::INT AS width, round(score, 6) AS score,
+  round(CASE WHEN nxt IS NULL THEN 1.0 ELSE greatest(0.0, least(1.0, (score - nxt) / (abs(score) + 1e-6))) END, 6) AS confidence FROM k WHERE rn = 1"""
 )
 def header_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts by brand as sheets: a title row, a blank row, the header row, then the parts."""
@@ -370,7 +425,7 @@ def header_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(2).cast("long").alias("row"), F.array(F.lit(""), F.lit(None), F.lit(None), F.lit(None)).alias("cells")),
         F.struct(F.lit(3).cast("long").alias("row"), F.array(*map(F.lit, ("part key", "size", "retail price", "units"))).alias("cells")),
     )).alias("x")).select("sheet", "x.row", "x.cells")
-    return curate.header_rows(body.unionByName(tops), ["sheet"], "row", "cells").select("sheet", "header_row", "width")
+    return curate.header_rows(body.unionByName(tops), ["sheet"], "row", "cells")
 
 
 @query(

@@ -47,6 +47,11 @@ def test_to_number(spark, text, want):
     assert one(spark, text, S.to_number) == want
 
 
+@pytest.mark.parametrize("text, want", [(" a  b ", "a b"), ("N/A", None), ("-", None), (" ", None), ("unknown", "unknown"), ("nan", "nan"), (None, None)])
+def test_norm_text(spark, text, want):
+    assert one(spark, text, S.norm_text) == want
+
+
 @pytest.mark.parametrize("text, want", [("[c]", None), ("1,234", 1234.0), ("[x]", None), (None, None)])
 def test_suppressed(spark, text, want):
     assert one(spark, text, S.suppressed_number) == want
@@ -58,13 +63,13 @@ def test_dates_day_first(spark, text, want):
     assert (str(got) if got else None) == want
 
 
-@pytest.mark.parametrize("text, want", [("12b High Street", "12b"), ("Land at Mill Farm", "mill"), ("", None)])
+@pytest.mark.parametrize("text, want", [("12b High Street", "12B"), ("Land at Mill Farm", "MILL"), ("", None), ("Land front of Rose Cottage", "ROSE"), ("Flat 12a, 7 High St, AB1 2CD", "7"), ("AB1 2CD", None), ("Plot to the rear", None), ("123456 Long", "123456")])
 def test_address_signature(spark, text, want):
     assert one(spark, text, S.address_signature) == want
 
 
 def test_postcode_and_region(spark):
-    assert one(spark, "x sw1a 1aa y", S.postcode) == "SW1A1AA"
+    assert one(spark, "x sw1a 1aa y", S.postcode) == "SW1A 1AA"
     assert one(spark, "none", S.postcode) is None
     regions = {"SW": "London", "B": "Midlands"}
     assert one(spark, "BX1 2CD", lambda c: S.prefix_lookup(c, regions)) == "Midlands"
@@ -77,15 +82,21 @@ def test_period(spark, text, want):
 
 
 def test_names(spark):
-    assert one(spark, "St. Albans & District Council", S.canonical_name) == "albans district saint"
+    assert one(spark, "St. Albans & District Council", S.canonical_name) == "SAINT ALBANS"
     assert one(spark, "City of King's Lynn Council", S.area_name_key) == "kings lynn"
+    assert one(spark, "Royal Borough of Kingston & Thames", S.canonical_name) == "KINGSTON THAMES"
+    assert one(spark, "The City Council", S.canonical_name) is None
+    assert one(spark, "Old Town Council", lambda c: S.canonical_name(c, aliases={"OLD TOWN": "NEW TOWN"})) == "NEW TOWN"
+    assert one(spark, "Stow City Council", S.name_tokens) == one(spark, "Stow", S.name_tokens) == ["STOW"]
     assert S.unique_names(["a", "", "a"]) == ["a", "column", "a_2"]
 
 
 def test_references(spark):
-    assert one(spark, " ab/12 /X ", S.reference_key) == "AB/12/X"
+    assert one(spark, " ab/12 /X ", S.reference_key) == "AB/12 /X"
+    assert one(spark, " nan ", S.reference_key) is None
     assert one(spark, "ab/12/x", S.reference_tail) == "12/X"
-    assert one(spark, "ab", S.reference_tail) is None
+    assert one(spark, "ab", S.reference_tail) == "AB"
+    assert one(spark, "ab/", S.reference_tail) is None
 
 
 @pytest.mark.parametrize(
@@ -129,6 +140,7 @@ def test_quality_and_fallback(spark):
 
 def test_json_and_hints(spark):
     assert one(spark, '{"a": " x "}', lambda c: S.json_text(c, "a")) == "x"
-    assert one(spark, "{bad", lambda c: S.json_text(c, "a")) is None
+    for bad in ("{bad", '{"a": 5}', '{"a": true}', '{"a": {"b": "x"}}', '{"a": ["x"]}', '{"a": null}', '{"a": " "}', '["a"]', None):
+        assert one(spark, bad, lambda c: S.json_text(c, "a")) is None
     df = spark.createDataFrame([("https://a.example/", "https://b.example/case/1")], "u string, v string")
     assert tuple(df.select(S.usable_hint([(F.col("u"), "first"), (F.col("v"), "second")])).first()[0]) == ("https://b.example/case/1", "second")

@@ -48,14 +48,14 @@ def link_sides(spark):
 
 def test_linkage_tiers(link_sides):
     apps, cases = link_sides
-    t1 = linkage.link_by_reference(apps, cases, "uid", ["ref_a", "ref_b"], "case_id", "case_ref", "names", "case_names")
+    t1 = linkage.link_by_reference(apps, cases, "uid", {"a": "ref_a", "b": "ref_b"}, "case_id", "case_ref", "names", "case_names")
     assert rows(t1, "uid", "case_id") == [(1, 10)]  # R/9 meets, but the authorities differ
     t2 = linkage.link_by_block(apps, cases, "uid", "case_id", ["post"], [("sig", F.col("sig") == F.col("case_sig"))])
     assert rows(t2, "uid", "case_id", "match_detail") == [(1, 10, "sig"), (2, 11, "sig")]
     t3 = linkage.link_unique_block(apps, cases, "uid", "case_id", ["post"], "sig", "case_sig")
     assert rows(t3, "uid", "case_id") == [(1, 10)]  # two applications share p2
     best = linkage.resolve_links([t1, t2, t3], "uid", "case_id")
-    assert rows(best, "uid", "case_id", "tier", "confidence") == [(1, 10, "t1", "high"), (2, 11, "t2", "medium")]
+    assert rows(best, "uid", "case_id", "tier", "confidence") == [(1, 10, "t1", "high"), (2, 11, "t2", "high")]
 
 
 def test_allocation_keeps_total(spark):
@@ -124,6 +124,20 @@ def test_pack_chunks_matches_a_loop(spark):
     assert [r["chunk"] for r in got.collect()] == want
 
 
+def test_pack_chunks_over_many_batches(spark):
+    sizes = [(i * 7919) % 13 for i in range(30_000)]
+    df = spark.createDataFrame([("s", i, n or None) for i, n in enumerate(sizes)] + [(None, 1, 99)], "s string, i int, n long")
+    chunk, used, want = 0, 0, []
+    for i, n in enumerate(sizes):
+        if i and used + n > 50:
+            chunk, used = chunk + 1, 0
+        used += n
+        want.append(chunk)
+    got = corpus.pack_chunks(df, "s", "i", "n", 50)
+    assert [r["chunk"] for r in got.filter("s = 's'").orderBy("i").collect()] == want
+    assert rows(got.filter("s is null"), "i", "n", "chunk") == [(1, 99, 0)]
+
+
 def test_request_table_and_assembly(spark):
     df = spark.createDataFrame([("k", 2, "later", 3), ("k", 1, "first", 5), ("j", 1, None, 0)], "k string, r int, t string, taken long")
     assert rows(corpus.assemble(df, "k", "r", "r", "t", "|"), "k", "text") == [("k", "first|later")]
