@@ -111,7 +111,7 @@ def linked_components(
     verify: Callable[[DataFrame], DataFrame],
     links: DataFrame | None = None,
     turns: int = 4,
-    enough: int = 8,
+    enough: int = 32,
 ) -> DataFrame:
     """``(node, component)`` of the nodes that have a link.
 

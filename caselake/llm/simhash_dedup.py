@@ -71,15 +71,27 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, shingle_words:
     return map_texts(docs, id_col, text_col, make, "fp bigint").withColumnRenamed(id_col, "id")
 
 
-def _segments(width: int) -> list[int]:
-    """Masks of the segments, as signed integers."""
-    ones = (1 << width) - 1
-    masks = [ones << at & (1 << BITS) - 1 for at in range(0, BITS, width)]
-    return [m - (1 << BITS) if m >= 1 << (BITS - 1) else m for m in masks]
+def _signed(n: int) -> int:
+    return n - (1 << BITS) if n >= 1 << (BITS - 1) else n
 
 
-def _coordinate(fp: Column, mask: int) -> Column:
-    return F.bit_count(fp.bitwiseAND(F.lit(mask)))
+def embedding(fp: Column, width: int) -> Column:
+    """The popcount of every segment of ``width`` bits, each written as so many ones at the low end of its segment.
+
+    Two embeddings differ in as many bits as their counts' Manhattan distance.
+    """
+    if width == 1:
+        return fp
+    if width == 2:
+        low, high = F.lit(_signed(0x5555555555555555)), F.lit(_signed(0xAAAAAAAAAAAAAAAA))
+        any_bit = fp.bitwiseOR(F.shiftrightunsigned(fp, 1)).bitwiseAND(low)
+        return any_bit.bitwiseOR(fp.bitwiseAND(F.shiftleft(fp, 1)).bitwiseAND(high))
+    out = F.lit(0).cast("long")
+    for at in range(0, BITS, width):
+        ones = F.bit_count(fp.bitwiseAND(F.lit(_signed((1 << width) - 1 << at & (1 << BITS) - 1))))
+        filled = F.call_function("shiftleft", F.lit(1).cast("long"), ones) - 1
+        out = out.bitwiseOR(F.shiftleft(filled, at))
+    return out
 
 
 def blocks_to_agree(n: int, radius: int, segment_width: int) -> int:
@@ -97,35 +109,24 @@ def blocks_to_agree(n: int, radius: int, segment_width: int) -> int:
 
 
 def grid_cells(fps: DataFrame, radius: int, segment_width: int, agree: int) -> DataFrame:
-    """``(key, node)``: a row for every choice of ``agree`` out of ``radius + agree`` blocks of the segments of ``fp``."""
-    n_blocks = radius + agree
-    masks = _segments(segment_width)
-    if segment_width < 1 or len(masks) < n_blocks:
-        raise ValueError("radius and segment_width leave a block without a segment")
-    blocks = [masks[i::n_blocks] for i in range(n_blocks)]
-    base = (segment_width + 1) ** len(blocks[0])
+    """``(key, node)``: a row for every choice of ``agree`` out of ``radius + agree`` blocks of the segments of ``fp``.
 
-    def coordinates(block: list[int]) -> Column:
-        out = F.lit(0).cast("long")
-        for m in block:
-            out = out * (segment_width + 1) + _coordinate(F.col("fp"), m)
-        return out
-
-    keyed = fps.select("fp", *[coordinates(b).alias(f"k{i}") for i, b in enumerate(blocks)])
-    keys = []
-    for t, chosen in enumerate(combinations(range(n_blocks), agree)):
-        key = F.lit(t).cast("long")
-        for i in chosen:
-            key = key * base + F.col(f"k{i}")
-        keys.append(key)
-    return keyed.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"))
+    Keys are hashes of the chosen coordinates; two cells with one key are one larger cell.
+    """
+    n_blocks, n_segments = radius + agree, math.ceil(BITS / segment_width)
+    if n_segments < n_blocks:
+        raise ValueError("radius and segment_width leave a block without a segment")
+    segment = [(1 << segment_width) - 1 << at & (1 << BITS) - 1 for at in range(0, BITS, segment_width)]
+    blocks = [sum(segment[i::n_blocks]) for i in range(n_blocks)]
+    masks = [_signed(sum(chosen)) for chosen in combinations(blocks, agree)]
+    placed = fps.select("fp", embedding(F.col("fp"), segment_width).alias("e"))
+    keys = [F.xxhash64(F.lit(t), F.col("e").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)]
+    return placed.select(F.explode(F.array(*keys)).alias("key"), F.col("fp").alias("node"))
 
 
 def within_radius(a: Column, b: Column, radius: int, segment_width: int) -> Column:
     """The Manhattan bound on the embeddings, then the bits themselves."""
-    bound = F.lit(0)
-    for m in _segments(segment_width):
-        bound = bound + F.abs(_coordinate(a, m) - _coordinate(b, m))
+    bound = F.bit_count(embedding(a, segment_width).bitwiseXOR(embedding(b, segment_width)))
     return (bound <= radius) & (F.bit_count(a.bitwiseXOR(b)) <= radius)
 
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
-from caselake.llm import fertility_rules, language_id, line_dedup, registry, secret_scan, simhash_dedup, toxic_crf
+from caselake.llm import cells, components, fertility_rules, language_id, line_dedup, registry, secret_scan, simhash_dedup, toxic_crf
 from caselake.llm.components import connected_components
 from pyspark.sql import functions as F
 
@@ -111,6 +111,40 @@ def test_similar_fingerprints_lose_no_link(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_embeddings_differ_by_the_manhattan_distance(spark):
+    rng = np.random.default_rng(1)
+    values = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 200)] + [0, -1, 1, -(2**63)]
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    for width in (1, 2, 3, 4, 8, 16):
+        got = df.select(simhash_dedup.embedding(F.col("fp"), width).alias("e")).collect()
+        counts = [[(v >> at & (1 << min(width, 64 - at)) - 1).bit_count() for at in range(0, 64, width)] for v in values]
+        for i in range(0, len(values) - 1):
+            distance = sum(abs(x - y) for x, y in zip(counts[i], counts[i + 1], strict=True))
+            assert ((got[i]["e"] ^ got[i + 1]["e"]) & (1 << 64) - 1).bit_count() == distance
+
+
+def test_dense_and_hot_cells_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    values = set()
+    for center in rng.integers(0, 2**62, 3).tolist():
+        for _ in range(120):  # a crowd around one value: many within 4 bits of each other, many not
+            v = center
+            for bit in rng.choice(40, int(rng.integers(0, 5)), replace=False).tolist():
+                v ^= 1 << bit
+            values.add(v)
+    values = sorted(values | set(rng.integers(0, 2**62, 100).tolist()))
+    for module in (cells, components):
+        monkeypatch.setattr(module, "PART_ROWS" if module is cells else "HOT_ROWS", 8)
+    df = spark.createDataFrame([(v,) for v in values], "fp long")
+    got = {r["fp"]: r["root"] for r in simhash_dedup.fingerprint_components(df).collect()}
+    assert got == slow_components(values, values, 4)
+
+
+def test_null_ends_take_no_part(spark):
+    edges = spark.createDataFrame([(1, 2), (None, 2), (3, None), (4, 4), (2, 5)], "a long, b long")
+    assert sorted(tuple(r) for r in connected_components(edges).collect()) == [(1, 1), (2, 1), (5, 1)]
+
+
 def test_simhash_edge_rows(spark):
     texts = [None, "", " \n", "one", "ONE", "one two three four five", "one two three four five", "\x00 é  x" * 9]
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.near_duplicate_classes(documents(spark, texts)).collect()}
