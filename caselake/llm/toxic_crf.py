@@ -34,6 +34,10 @@ def normal(raw: str) -> str:
     return raw.strip(PUNCTUATION).lower()
 
 
+#: Words of a piece in which a line is offered to the fit; scoring reads lines as they are.
+PIECE_WORDS = 400
+
+
 #: Lengths of the beginnings of words that count as features and as entries of the token list.
 STEMS = (4, 5, 6)
 
@@ -294,12 +298,14 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, bound: int = 10_000, max_lines: int = 6_000
+    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, bound: int = 10_000, max_lines: int = 6_000,
+    least_judged: int = 50,
 ) -> Chain | None:
     """Fits the field on rows that are labelled and not held out; None where there are no labels of both kinds.
 
     ``bound`` rows at most fit the model (chosen by a hash of the id); ``max_lines`` lines of them fit
-    the weights, half of them with a toxic token where there are enough.
+    the weights, half of them with a toxic token where there are enough; lines come in pieces of ``PIECE_WORDS`` words.
+    A fifth of the rows calibrate the score only; where these hold fewer than ``least_judged`` rows of a label, all rows do both.
     """
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & (id_remainder("doc_id", modulus) != held_out))
@@ -312,21 +318,30 @@ def fit(
         .join(chosen, "doc_id")
         .persist()
     )
-    families = one_per_family(rows).persist()
+    # a fifth of the rows calibrate the score and take no part in the fit, unless they are too few of a kind
+    apart = F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(5)) == 0
+    judged, used = rows.filter(apart), rows.filter(~apart)
+    kinds = judged.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    if min(kinds) < least_judged:
+        judged, used = rows, rows
+    families = one_per_family(used).persist()
     try:
         words = toxic_token_list(families)
         if not words:
             return None
         tokens = F.split(F.lower("line"), NOT_WORD)
         units = F.concat(tokens, *[_stems(tokens, n) for n in STEMS])
-        lines = families.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(
-            F.length("line").between(1, 4_000)
-        ).withColumn("hit", F.arrays_overlap(units, F.lit(sorted(words))))
-        order = [F.xxhash64(F.lit(3), "doc_id", "pos"), F.col("doc_id"), F.col("pos")]
+        whole = families.select("doc_id", "toxic", F.posexplode(F.split("text", "\n")).alias("row", "line"))
+        own = F.filter(F.split("line", r"\s+"), lambda w: w != "")
+        starts = F.sequence(F.lit(0), F.greatest(F.size(own) - 1, F.lit(0)), F.lit(PIECE_WORDS))
+        pieces = F.transform(starts, lambda i: F.array_join(F.slice(own, i + 1, PIECE_WORDS), " "))
+        lines = whole.select("doc_id", "toxic", "row", F.posexplode(pieces).alias("piece", "line")).filter(F.col("line") != "")
+        lines = lines.withColumn("hit", F.arrays_overlap(units, F.lit(sorted(words))))
+        order = [F.xxhash64(F.lit(3), "doc_id", "row", "piece"), F.col("doc_id"), F.col("row"), F.col("piece")]
         sample = [r for hit in (True, False) for r in lines.filter(F.col("hit") == hit).orderBy(*order).limit(max_lines // 2).collect()]
         chain = fit_chain([(x, r["toxic"] == 1) for r in sample if (x := r["line"].split())], words)
         seen = map_texts(
-            rows.select(F.struct("doc_id", "toxic").alias("key"), "text"), "key", "text", lambda: make_scorer(chain), FIELDS
+            judged.select(F.struct("doc_id", "toxic").alias("key"), "text"), "key", "text", lambda: make_scorer(chain), FIELDS
         ).select("key.toxic", "max_marginal", "sum_marginals").collect()
         x = np.array([(_logit(r[1]), np.log1p(r[2])) for r in seen])
         chain.calibration = _calibrate(x, np.array([float(r[0]) for r in seen]))
