@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, ascii_lower, table
+from .components import HOT_ROWS, MOST_HOT
 
 
 def line_key(line: Column) -> Column:
@@ -52,11 +53,16 @@ def drop_repeated_lines(
         pairs.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
         .filter(F.col("n") >= min_docs)
-        .select("a", "b", "keeper")
     )
+    # lines of very many documents are looked up by broadcast and then dealt by document
+    hot = common.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), "a", "b").limit(MOST_HOT)
+    hot = F.broadcast(hot.select("a", "b", F.col("keeper").alias("__k"), F.lit(True).alias("__hot")))
+    dealt = pairs.join(hot, ["a", "b"], "left").withColumn("__a", F.when(F.col("__hot"), F.xxhash64(F.lit(3), "id")).otherwise(F.col("a")))
+    met = common.select(F.col("a").alias("__a"), F.col("b").alias("__b"), "keeper", F.lit(True).alias("__met"))
+    found = dealt.join(met, (dealt["__a"] == met["__a"]) & (dealt["b"] == met["__b"]), "left")
+    keeper = F.when(F.col("__hot"), F.col("__k")).otherwise(F.col("keeper"))
     dropped = (
-        pairs.join(common, ["a", "b"])
-        .filter(~F.col("id").eqNullSafe(F.col("keeper")))
+        found.filter((F.col("__hot") | F.col("__met")) & ~F.col("id").eqNullSafe(keeper))
         .groupBy("id")
         .agg(F.collect_list(F.struct("a", "b")).alias("gone"))
         .select(F.col("id").alias("__line_id"), F.col("gone").alias("__line_gone"))
