@@ -65,9 +65,12 @@ def top_ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def fit_profiles(
-    labelled: DataFrame, text_col: str, lang_col: str, size: int = 300, longest: int = 3
+    labelled: DataFrame, text_col: str, lang_col: str, size: int = 300, longest: int = 3, most: int = 1_000
 ) -> dict[str, list[int]]:
-    """``size`` n-grams for each non-null language of ``labelled``; counts are partial sums by task, added up by Spark."""
+    """``size`` n-grams for each non-null language of ``labelled``; counts are partial sums by task, added up by Spark.
+
+    Profiles go to the driver and to all tasks, so at most ``most`` languages, those of most rows, get one.
+    """
     from pyspark.sql import Window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +94,10 @@ def fit_profiles(
         yield flush()
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    known = labelled.filter(F.col(lang_col).isNotNull())
+    names = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), lang_col).limit(most).select(lang_col)
     rows = (
-        labelled.filter(F.col(lang_col).isNotNull())
+        known.join(F.broadcast(names), lang_col, "left_semi")
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(run, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")

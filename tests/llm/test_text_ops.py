@@ -53,6 +53,19 @@ def test_line_dedup_repeated_rows_and_null_ids(spark):
     assert got == [(0, 1), (1, 1), (1, 1), (7, 0)]
 
 
+def test_lines_of_very_many_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", 4)
+    rows = [(i, f"{LINE}\n" + (f"{LINE} again\n" if i % 4 == 0 else "") + f"own {i}") for i in range(20)] + [(None, LINE)] * 3
+    got = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        if r["doc_id"] is None:
+            assert (r["text"], r["n_dropped"]) == ("", 1)
+        elif r["doc_id"] == 19:
+            assert r["n_dropped"] == 0
+        else:
+            assert r["n_dropped"] == (1 if r["doc_id"] % 4 or r["doc_id"] == 16 else 2)
+
+
 # --- SimHash ---------------------------------------------------------------------------------------------------
 
 
@@ -226,6 +239,12 @@ def test_out_of_place_distance_matches_brute_force(spark, docs):
         assert r["lang_pred"] == best and abs(r["score"] - (1 - far[best] / (300 * len(own)))) < 1e-12
 
 
+def test_profiles_for_the_most_frequent_languages_only(spark):
+    rows = [("alpha beta", "a")] * 5 + [("gamma delta", "b")] * 3 + [("epsilon", "c"), ("zeta", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    assert sorted(language_id.fit_profiles(df, "text", "lang", most=2)) == ["a", "b"]
+
+
 def test_language_accuracy_and_unknown(spark, sf_dir, docs):
     got = {r["doc_id"]: r for r in registry.QUERIES["op7_language_id"](spark, sf_dir).collect()}
     held = [d for d in docs["doc_id"] if zlib.crc32(str(d).encode()) % 4 == 2]
@@ -310,6 +329,24 @@ def test_toxic_scores(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_long_lines_take_part_in_the_fit(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(240):  # all in one line, most of them far beyond 4,000 characters
+        words = rng.choice(plain, 1_500).tolist()
+        if i % 3 == 0:
+            words[int(rng.integers(0, 1_500))] = "vilest"
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    chain = toxic_crf.fit(docs, labels, least_judged=10)
+    assert chain is not None
+    score = toxic_crf.make_scorer(chain)
+    bad, good = score([" ".join(plain[:900] + ["vilest"] + plain[:900]), " ".join(plain * 5)])["max_marginal"]
+    assert bad > 0.5 > good
+
+
 def test_toxicity_on_held_out_rows(spark, sf_dir):
     sf = sf_dir.replace("sf0.001", "sf0.01")
     got = {r["doc_id"]: r for r in registry.QUERIES["op1_toxic_crf"](spark, sf).collect()}
