@@ -65,6 +65,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 _WRITTEN: dict[int, tuple[DataFrame, str]] = {}
 
 
+def written() -> set[int]:
+    """Marks what is written so far, for :func:`discard_since`."""
+    return set(_WRITTEN)
+
+
+def discard_since(mark: set[int], keep: DataFrame) -> None:
+    """Deletes every table written since ``mark`` but ``keep``, once ``keep`` holds all that was wanted of them."""
+    discard(*[t for key, (t, _) in list(_WRITTEN.items()) if key not in mark and t is not keep])
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes the files of tables from :func:`materialize` that nothing reads any more; others are left alone."""
     for t in tables:

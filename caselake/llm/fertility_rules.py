@@ -129,20 +129,36 @@ def measure_texts(
     )
 
 
-def fit_bands(measured: DataFrame, group_col: str, width: float = 4.0, floors: dict[str, float] | None = None) -> DataFrame:
-    """Lowest and highest accepted value of each metric by group, from the quartiles over all rows.
+def fit_bands(
+    measured: DataFrame, levels: list[str], width: float = 4.0, floors: dict[str, float] | None = None, least_rows: int = 100
+) -> DataFrame:
+    """Lowest and highest accepted value of each metric for every combination of ``levels``, from the quartiles over all rows.
 
-    ``floors`` gives the least half-width of a metric's band, for groups whose values hardly differ.
+    A combination has the band of its first level, if ``least_rows`` or more rows have that value, else of the next, at last of the
+    whole table: a few rows always lie inside their own quartiles.  ``floors`` gives the least half-width of a
+    metric's band, for groups whose values hardly differ.
     """
     floors = {"chars_per_token": 0.3, "byte_share": 0.02, "entropy": 1.5} | (floors or {})
     cuts = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(f"q_{m}") for m in METRICS]
-    bands = measured.groupBy(group_col).agg(*cuts)
-    cols = [F.col(group_col).alias("__band")]
+    each = [F.struct(F.lit(c).alias("level"), F.col(c).alias("value")) for c in levels]
+    every = F.struct(F.lit("all").alias("level"), F.lit(None).cast("string").alias("value"))
+    groups = measured.select(*METRICS, F.explode(F.array(*each, every)).alias("g")).filter((F.col("g.level") == "all") | F.col("g.value").isNotNull())
+    cols = [F.col("g.level").alias("level"), F.col("g.value").alias("value"), "n"]
     for m in METRICS:
         low, high = F.get(f"q_{m}", F.lit(0)), F.get(f"q_{m}", F.lit(1))
         reach = F.greatest((high - low) * width, F.lit(floors[m]))
         cols += [(low - reach).alias(f"low_{m}"), (high + reach).alias(f"high_{m}")]
-    return bands.select(*cols)
+    bands = materialize(groups.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *cuts).select(*cols), "bands")
+    limits = [f"{side}_{m}" for m in METRICS for side in ("low", "high")]
+    out = measured.select(*levels).distinct()
+    chosen = None
+    for c in [*levels, "all"]:
+        own = F.struct(F.lit(c).alias("band"), *limits)
+        enough = F.lit(True) if c == "all" else F.col("n") >= least_rows
+        known = bands.filter((F.col("level") == c) & enough).select(F.col("value").alias(f"__{c}"), own.alias(f"__b_{c}"))
+        out = out.join(known, F.lit(True) if c == "all" else F.col(c) == F.col(f"__{c}"), "left")
+        chosen = F.col(f"__b_{c}") if chosen is None else F.coalesce(chosen, F.col(f"__b_{c}"))
+    return out.select(*[F.col(c).alias(f"__own_{c}") for c in levels], chosen.alias("b")).select(*[f"__own_{c}" for c in levels], "b.*")
 
 
 def _outside(metric: str) -> Column:
@@ -156,13 +172,15 @@ def judge_texts(
     lang_col: str | None = "lang",
     min_words: int = 50,
     width: float = 4.0,
+    least_rows: int = 100,
     **vocabularies,
 ) -> DataFrame:
     """One row per row of ``docs``: base counts, metrics, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than half of the words in repeated
     3-word windows.  ``kept``: not base-failed and every metric inside the band of the document's
-    language; where that is null (or ``lang_col`` is None) the script's band counts.  Null and empty
+    language; where that is null (or ``lang_col`` is None), or fewer than ``least_rows`` such documents pass the base, the
+    script's band counts, or else the whole table's.  Null and empty
     texts have no words and fail.  The ids of repeated rows repeat.  An empty table gives an empty table.
     ``width`` 4 leaves out only texts far from all others of their language.
     """
@@ -175,15 +193,16 @@ def judge_texts(
     measured = materialize(
         measured.select(
             F.col("key.id").alias("__id"),
-            F.coalesce(F.concat(F.lit("lang "), "key.lang"), F.concat(F.lit("script "), "script")).alias("__group"),
+            F.col("key.lang").alias("lang"),
             *[c for c in measured.columns if c != "key"],
         ).withColumn("base_failed", base_failed),
         "fertility",
     )
-    bands = materialize(fit_bands(measured.filter(~F.col("base_failed")), "__group", width), "bands")
+    bands = materialize(fit_bands(measured.filter(~F.col("base_failed")), ["lang", "script"], width, least_rows=least_rows), "chosen_bands")
     if bands.count() <= MOST_BROADCAST_BANDS:
         bands = F.broadcast(bands)  # else Spark chooses: a dirty language column can hold any number of values
-    joined = measured.join(bands, F.col("__group") == F.col("__band"), "left")
+    own = F.col("lang").eqNullSafe(F.col("__own_lang")) & F.col("script").eqNullSafe(F.col("__own_script"))
+    joined = measured.join(bands, own, "left")
     rejected = F.lit(False)
     for m in METRICS:
         rejected = rejected | _outside(m)
@@ -197,7 +216,10 @@ def judge_texts(
         "base_failed",
         (~F.col("base_failed") & ~rejected).alias("kept"),
         *METRICS,
-        F.col("__group").alias("band"),
+        F.when(F.col("band") == "lang", F.concat(F.lit("lang "), "lang"))
+        .when(F.col("band") == "script", F.concat(F.lit("script "), "script"))
+        .otherwise(F.col("band"))
+        .alias("band"),
     )
 
 
