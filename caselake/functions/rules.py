@@ -123,3 +123,53 @@ def value_map(col: Column, mapping: Mapping[str, str], keep_other: bool = True)
     pairs = [F.lit(x) for kv in _checked(mapping).items() for x in (kv[0].lower(), kv[1])]
     found = F.element_at(F.create_map(*pairs), key)
     return F.coalesce(found, col) if keep_other else found
+
+
+def contains_ladder(col: Column, ladder: Sequence[tuple[str, Sequence[str]]], default: str | None = None) -> Column:
+    """Label of the first rung of which the lower-cased text contains a term."""
+    return first_case([(contains_any(col, terms), label) for label, terms in _checked(ladder)], default)
+
+
+def backend(url: Column, portal: Column, ladder: Sequence[tuple[str, Sequence[str]]], known: str, default: str) -> Column:
+    """Backend of a case: by address, but ``known`` portals first; blank addresses are ``no_url``, or ``known_no_url`` for those portals."""
+    own = F.coalesce(portal == known, F.lit(False))
+    blank_url = url.isNull() | (url == "")
+    return first_case([(blank_url & own, f"{known}_no_url"), (blank_url, "no_url"), (own, known)], contains_ladder(url, ladder, default))
+
+
+def route_family(authority: Column, url: Column, routes: Sequence[tuple[str, str, str, bool]]) -> Column:
+    """Recovery family of a known landing page, else null.
+
+    ``routes``: (family, authority, address, whole): the authority in lower case, and the address in lower case without
+    slashes at its end, or, unless ``whole``, a part of it.
+    """
+    name, address = F.lower(F.trim(authority)), F.lower(F.trim(url))
+    bare = F.regexp_replace(address, "/+$", "")
+    return first_case([((name == a) & ((bare == u) if whole else address.contains(u)), family) for family, a, u, whole in _checked(routes)])
+
+
+def sheet_class(source: Column, sheet: Column, columns: Column, rows: Column, confidence: Column) -> Column:
+    """(class, reason, review) of a sheet from its file, its name, its size and the confidence in its header row."""
+    file, name = F.lower(source), F.lower(sheet)
+    casework = file.contains("casework_database") | file.contains("older_casework")
+    main = name.isin("data set", "dataset") | ((columns >= 15) & (rows >= 1000))
+    annex = name.startswith("annex a") | name.startswith("annex b") | name.startswith("annex c")
+    unsure = confidence < 0.03
+    no, yes = F.lit(False), F.lit(True)
+    verdicts = [
+        (casework & main, "case_level", "casework main dataset sheet", confidence < 0.05),
+        (casework, "metadata_chart", "casework workbook support/reference sheet", yes),
+        (name.contains("table of contents"), "exclude", "index/contents sheet", no),
+        (name.rlike("figure|graph|virtual events"), "metadata_chart", "chart helper/figure sheet", no),
+        (name.contains("bqr"), "metadata_chart", "background quality report helper sheet", no),
+        (name.rlike("^table|by procedure|by casework type"), "aggregate_timeseries", "tabular quarterly statistics", unsure),
+        (annex & (rows >= 20) & (columns >= 3), "aggregate_timeseries", "annex tabular statistics", unsure),
+        (annex, "metadata_chart", "annex notes/chart support", yes),
+        ((columns <= 1) & (rows <= 30), "exclude", "single-cell note/title sheet", no),
+        ((rows >= 15) & (columns >= 2), "aggregate_timeseries", "default statistical table classification", unsure),
+    ]
+
+    def row(label: str, reason: str, review: Column) -> Column:
+        return F.struct(F.lit(label).alias("class"), F.lit(reason).alias("reason"), review.alias("review"))
+
+    return first_case([(c, row(*v)) for c, *v in verdicts], row("metadata_chart", "fallback non-tabular sheet", yes))

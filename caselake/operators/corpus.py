@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions.scalars import grounding, normalise_quotes, quote_segments
+from ..functions.rules import matches
+from ..functions.scalars import days_between, extension, grounding, normalise_quotes, quote_segments
 
 
 def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -160,3 +161,50 @@ def ground_quotes(
     pairs = pairs.unionByName(held.join(short).select(item, key, quote, "__source"))
     status = grounding(F.col(quote), F.col("__source"))
     return pairs.select(item, key, status.alias("status")).filter(F.col("status") != "missing")
+
+
+def budget_warnings(df: DataFrame, key: str, rank: str, length: str, critical: Column) -> DataFrame:
+    """Critical documents that :func:`char_budget` did not take whole: ``dropped`` or ``truncated``."""
+    lost = critical & (F.col("taken") < F.coalesce(F.col(length), F.lit(0)))
+    return df.filter(lost).select(key, rank, length, "taken", F.when(F.col("taken") == 0, "dropped").otherwise("truncated").alias("warning"))
+
+
+def files_of(docs: DataFrame, apps: DataFrame, key: str, path: str, extensions: Sequence[str]) -> DataFrame:
+    """Documents of known cases whose file has one of the extensions (in lower case)."""
+    return docs.filter(extension(F.col(path)).isin(*extensions)).join(apps, key)
+
+
+def unhandled_extensions(docs: DataFrame, path: str, handled: Sequence[str]) -> DataFrame:
+    """Documents by extension, of extensions that no extractor handles; null: no extension."""
+    own = extension(F.col(path))
+    return docs.filter(own.isNull() | ~own.isin(*handled)).groupBy(own.alias("extension")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def enrich(apps: DataFrame, key: str, sides: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
+    """Cases with columns of other tables: of each (table, columns, order) the first row of the case, nulls where there is none."""
+    out = apps
+    for side, columns, order in sides:
+        row = F.min_by(F.struct(*columns), F.struct(*order)) if order else F.first(F.struct(*columns))
+        first = side.groupBy(key).agg(row.alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in columns])
+        out = out.join(first, key, "left")
+    return out
+
+
+def case_facts(
+    apps: DataFrame, outcome: Column, flags: Mapping[str, Column], start: str, decision: str, text: str, keep: Sequence[str] = ("refused", "withdrawn")
+) -> DataFrame:
+    """The flat table of cases with the outcomes in ``keep``: the outcome, days to the decision, flags, and the text in one line."""
+    facts = apps.withColumn("outcome_bucket", outcome).filter(F.col("outcome_bucket").isin(*keep))
+    return facts.withColumns(
+        {
+            "days_to_decision": days_between(F.col(start), F.col(decision)),
+            **{name: F.coalesce(c, F.lit(False)) for name, c in flags.items()},
+            text: F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\n]", " "),
+        }
+    )
+
+
+def unreadable(df: DataFrame, status: str, failed: Sequence[str], columns: Sequence[str], pattern: str) -> DataFrame:
+    """Documents whose extraction failed and whose ``columns`` together hold the pattern."""
+    named = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in columns])
+    return df.filter(F.col(status).isin(*failed) & matches(named, pattern))

@@ -7,6 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rules import value_map
+from ..functions.scalars import norm_text, to_iso_date, to_number
+
 
 def first_existing(df: DataFrame, aliases: Sequence[str]) -> Column:
     """First column of the list that the table has; null without one."""
@@ -109,3 +112,24 @@ def clean_metrics(df: DataFrame, reasons: Sequence[tuple[str, Column]], keys: Se
     repeat = F.col("drop_reason").isNull() & (F.row_number().over(w) > 1)
     marked = marked.withColumn("drop_reason", F.when(repeat, "duplicate").otherwise(F.col("drop_reason")))
     return marked.filter(F.col("drop_reason").isNull()).drop("drop_reason"), marked.filter(F.col("drop_reason").isNotNull())
+
+
+def case_table(df: DataFrame, aliases: Mapping[str, Sequence[str]], texts: Sequence[str], dates: Sequence[str], numbers: Sequence[str], maps: Mapping[str, Mapping[str, str]], keep: Sequence[str]) -> DataFrame:
+    """A case table under canonical names: the first column of each alias list, tidied by kind.
+
+    ``maps`` gives the value maps of coded columns; other values become null.  Rows without any of ``keep`` go; columns
+    that the table does not have are null.
+    """
+    out = {}
+    for name, names in aliases.items():
+        c = first_existing(df, names)
+        if name in dates:
+            c = to_iso_date(norm_text(c.cast("string")))
+        elif name in numbers:
+            c = to_number(c.cast("string"))
+        elif name in maps:
+            c = value_map(norm_text(c.cast("string")), maps[name], keep_other=False)
+        elif name in texts:
+            c = norm_text(c.cast("string"))
+        out[name] = c.alias(name)
+    return df.select(*out.values()).filter(F.coalesce(*[F.col(k).cast("string") for k in keep]).isNotNull())

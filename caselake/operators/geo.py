@@ -84,3 +84,22 @@ def allocate_by_share(parents: DataFrame, children: DataFrame, parent: str, n: s
 def allocate_equally(df: DataFrame, parent: str, n: str, out: str = "allocated") -> DataFrame:
     """1/k of the parent's count to each of its k rows, half-up rounding."""
     return df.withColumn(out, F.floor(F.col(n) / F.count(F.lit(1)).over(Window.partitionBy(parent)) + 0.5))
+
+
+def common_years(*sides: DataFrame, below: int | None = None) -> DataFrame:
+    """First and last year, and number of years, that all sides (column ``year``) have, of those before ``below``."""
+    years = sides[0].select("year")
+    for other in sides[1:]:
+        years = years.intersect(other.select("year"))
+    if below is not None:
+        years = years.filter(F.col("year") < below)
+    return years.distinct().agg(F.min("year").alias("first_year"), F.max("year").alias("last_year"), F.count(F.lit(1)).alias("n_years"))
+
+
+def match_statuses(df: DataFrame, authority: str, status: str, n: str, order: Sequence[str]) -> DataFrame:
+    """Rows by status, and authorities and their counts with each authority taken once, by its first row in ``order``."""
+    place = F.row_number().over(Window.partitionBy(authority).orderBy(*order))
+    first = F.col("__rn") == 1
+    return df.withColumn("__rn", place).groupBy(status).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(first).alias("n_authorities"), F.sum(F.when(first, F.col(n)).otherwise(0)).alias("n_apps")
+    )

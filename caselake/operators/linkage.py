@@ -144,3 +144,19 @@ def agreement(a: DataFrame, b: DataFrame, key: str, left: str, right: str, colla
         F.when(same, F.col("label_a")).when(close, collapsed(F.col("label_a"))).alias("final_label"),
         (~close).alias("needs_review"),
     )
+
+
+def combined_verdict(df: DataFrame, signature: Column, lookup: str, out: str = "verdict", default: str = "unknown") -> DataFrame:
+    """What the address shows wins over what is known of the authority."""
+    return df.withColumn(out, F.coalesce(signature, F.col(lookup), F.lit(default)))
+
+
+def agreement_rates(df: DataFrame) -> DataFrame:
+    """Of :func:`agreement`'s rows: how many, percent that agree in full and after collapsing, and how many to review."""
+
+    def pct(c: str) -> Column:
+        return F.round(F.avg(F.col(c).cast("int")) * 100.0, 4)
+
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), pct("agree_full").alias("pct_full"), pct("agree_collapsed").alias("pct_collapsed"), F.count_if("needs_review").alias("n_review")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 Check = tuple[str, str, Column, Column]  # severity, name, condition of the fault, detail
 
 
-def consistency_checks(df: DataFrame, keys: Sequence[str], checks: Sequence[Check]) -> DataFrame:
+def consistency_checks(df: DataFrame, keys: Sequence[str | Column], checks: Sequence[Check]) -> DataFrame:
     """One row per record and failed check: severity, check, detail.  An unknown condition is no fault."""
     if not checks:
         raise ValueError("no checks given")
@@ -25,7 +25,8 @@ def consistency_checks(df: DataFrame, keys: Sequence[str], checks: Sequence[Chec
             ]
         )
     )
-    return df.select(*keys, F.explode(found).alias("__f")).select(*keys, "__f.severity", "__f.check", "__f.detail")
+    out = df.select(*keys, F.explode(found).alias("__f"))
+    return out.select(*out.columns[:-1], "__f.severity", "__f.check", "__f.detail")
 
 
 def differs(a: Column, b: Column, tolerance: float) -> Column:
@@ -74,3 +75,42 @@ def status_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Counts per field and status value, null statuses included."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("status")) for f in fields])).alias("x"))
     return long.groupBy("x.field", "x.status").agg(F.count(F.lit(1)).alias("n"))
+
+
+GRANTING = ("approved", "prior_approval_granted")
+REFUSING = ("refused", "prior_approval_refused")
+
+
+def record_checks(db_tolerance: float = 0.6) -> list[Check]:
+    """The ten checks of an extracted record, over the columns that their conditions name; lists may be null."""
+    none = F.array().cast("array<string>")
+    outcome, stance = F.col("decision_outcome"), F.coalesce("hp_component_stance", F.lit(""))
+    reasons, considered = F.coalesce("council_refusal_reasons", none), F.coalesce("council_considerations", none)
+    granted, refused = F.coalesce(outcome.isin(*GRANTING), F.lit(False)), outcome.isin(*REFUSING)
+    relevant = F.col("hp_relevance") == "hp_relevant"
+    conditions = (F.coalesce("n_conditions", F.lit(0)) != 0) | (F.size(F.coalesce("condition_types", none)) > 0)
+    specific, correction, rating = (F.col(f"noise_{c}_db") for c in ("specific_level", "character_correction", "rating_level"))
+    limit, exceedance = F.col("noise_limit_db"), F.col("noise_exceedance_db")
+    differences = [rating - F.col("noise_background_night_db"), rating - F.col("noise_background_day_db"), rating - limit]
+    turbine = F.coalesce("includes_wind_turbine", F.lit(False))
+    noisy = F.arrays_overlap(reasons, F.array(F.lit("sound_noise"), F.lit("setback_boundary")))
+    nothing = F.lit(None)
+    return [
+        ("HARD", "extraction_error", F.col("error").isNotNull(), F.col("error")),
+        ("HARD", "conditions_on_refusal", ~granted & conditions, outcome),
+        ("HARD", "refusal_ground_stance", (F.col("hp_refusal_ground") != "") & (stance != "unacceptable"), F.col("hp_refusal_ground")),
+        ("REVIEW", "rating_arithmetic", differs(specific + correction, rating, db_tolerance), rating),
+        ("REVIEW", "exceedance_arithmetic", differs_from_all(exceedance, differences, db_tolerance), exceedance),
+        ("REVIEW", "limit_double_fill", both_filled(limit, F.col("noise_limit_relative")), limit),
+        ("REVIEW", "stance_not_assessed", relevant & refused & (stance == "not_separately_assessed"), nothing),
+        ("REVIEW", "noise_refusal_stance", relevant & refused & (stance != "unacceptable") & noisy, stance),
+        ("REVIEW", "reasons_not_subset", refused & not_subset(reasons, considered), F.array_join(F.array_sort(F.array_except(reasons, considered)), "|")),
+        ("REVIEW", "wind_turbine_mismatch", flag_against_list(turbine, F.col("bundled_works"), "wind_turbine"), turbine),
+        ("REVIEW", "age_without_evidence", only_one_filled(F.nullif(F.col("building_age"), F.lit("")), F.col("building_age_evidence")), F.col("building_age")),
+    ]
+
+
+def check_records(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
+    """:func:`record_checks` of every record; of one whose extraction failed only that is reported."""
+    found = consistency_checks(df, [*keys, F.col("error").isNotNull().alias("__failed")], record_checks(**options))
+    return found.filter(~F.col("__failed") | (F.col("check") == "extraction_error")).drop("__failed")

@@ -190,3 +190,28 @@ def usage_cost(df: DataFrame, tokens_in: str, tokens_out: str, price_in: float,
     """Token totals and their cost per million."""
     a, b = F.sum(tokens_in), F.sum(tokens_out)
     return df.agg(a.alias("tokens_in"), b.alias("tokens_out"), F.round((a * price_in + b * price_out) / 1e6, 6).alias("cost"))
+
+
+def cross_tab(df: DataFrame, row: str, column: str, values: Sequence[str], prefix: str = "n_") -> DataFrame:
+    """Counts of ``values`` of ``column`` by ``row``, 0 where a pair does not occur, and the total of all values."""
+    each = [F.count_if(F.col(column) == v).alias(f"{prefix}{v}") for v in values]
+    return df.groupBy(row).agg(*each, F.count(F.lit(1)).alias("total"))
+
+
+def unit_rollup(df: DataFrame, keys: Sequence[str], member: str, unit: str, has: Column) -> DataFrame:
+    """Units and distinct members by ``keys``, units without what ``has`` asks for, and their percentage."""
+    present = F.coalesce(has, F.lit(False))
+    return df.groupBy(*keys).agg(
+        F.count_distinct(unit).alias("n_units"),
+        F.count_distinct(member).alias("n_members"),
+        F.count_if(~present).alias("n_missing"),
+        F.round(F.count_if(present) * 100.0 / F.count(F.lit(1)), 4).alias("pct_present"),
+    )
+
+
+def tally(df: DataFrame, bucket: Column, keys: Sequence[str] = (), name: str = "bucket") -> DataFrame:
+    """Rows by a derived bucket, and its percent of the rows of its ``keys``."""
+    counts = df.groupBy(*keys, bucket.alias(name)).agg(F.count(F.lit(1)).alias("n"))
+    whole = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__all"))
+    joined = counts.join(whole, list(keys)) if keys else counts.join(F.broadcast(whole))
+    return joined.withColumn("pct", F.round(F.col("n") * 100.0 / F.col("__all"), 4)).drop("__all")

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import curate, geo, incremental, linkage, progress, quality, rates
-from ..sources.tables import parquet
+from ..sources.tables import parquet, scratch_dir
 from ..streaming import attempts
 from .bound import _ORDERS_NATION, STATUS_NAMES, STATUS_RANKS, _orders_by_nation, query
 
@@ -516,14 +514,6 @@ def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.run_state(parquet(spark, sf_dir, "events"), "user_id", F.col("event_type") == "purchase")
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder for a stream's state: in the cluster's shared folder, or a temporary one where none is named."""
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = parquet(spark, sf_dir, "events").schema
     # a glob that matches the one table: file streams read folders
@@ -534,19 +524,19 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
 )
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    home = _scratch(spark)
+    home = scratch_dir(spark)
     stream = _event_stream(spark, sf_dir).select(*EVENT_COLUMNS)
     return attempts.stream_upsert(stream, f"{home}/target", f"{home}/state", "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("SELECT user_id, CASE max(CASE event_type WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 1 END) WHEN 3 THEN 'purchase' WHEN 2 THEN 'click' WHEN 1 THEN 'view' ELSE 'failed' END AS best_status, count(*) AS attempts FROM events GROUP BY 1")
 def stream_best_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    home = _scratch(spark)
+    home = scratch_dir(spark)
     return attempts.stream_best_status(_event_stream(spark, sf_dir), f"{home}/state", f"{home}/target", ["user_id"], "event_type", STATUS_RANKS, STATUS_NAMES, "failed")
 
 
 @query("SELECT user_id, event_type FROM events GROUP BY 1, 2")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    home = _scratch(spark)
+    home = scratch_dir(spark)
     stream = _event_stream(spark, sf_dir).select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     return attempts.stream_first_seen(stream, f"{home}/state", f"{home}/target", ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -96,3 +98,13 @@ def write_report(df: DataFrame, path: str, kind: str = "tsv") -> None:
         ready.write.mode("overwrite").csv(path, header=True, sep="\t" if kind == "tsv" else ",")
     else:
         raise ValueError(f"unknown kind of report: {kind}")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder below the cluster's shared one (``spark.checkpoint.dir``); a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-caselake-")
+    return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
