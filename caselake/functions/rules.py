@@ -36,6 +36,12 @@ def first_match(
     return out.otherwise(F.lit(default))
 
 
+def value_or_rules(value: Column, texts: Sequence[Column], rules: Sequence[Rule], default: str) -> Column:
+    """The structured value where it is not blank, else the first rule that matches the texts together."""
+    given = F.when(~blank(value), F.regexp_replace(value, r"^\s+|\s+$", ""))
+    return F.coalesce(given, first_match(F.concat_ws(" ", *texts), rules, default, default))
+
+
 def first_match_index(col: Column, rules: Sequence[Rule]) -> Column:
     """Position of the first rule that matches, -1 for none, null for blank text: rules that share a label stay apart."""
     out = F.when(blank(col), F.lit(None).cast("int"))

@@ -44,16 +44,18 @@ def header_rows(df: DataFrame, keys: Sequence[str], row: str, cells: str, first_
 
 
 def table_body(df: DataFrame, headers: DataFrame, keys: Sequence[str], row: str, cells: str) -> DataFrame:
-    """Rows after the header up to the first blank key cell, without trailing blank cells."""
+    """Rows after the header up to the first blank key cell, as wide as the header is without blank cells at its end."""
     blank = F.coalesce(F.trim(F.get(cells, F.lit(0))) == "", F.lit(True))
-    below = df.join(headers.select(*keys, "header_row"), list(keys)).filter(F.col(row) > F.col("header_row"))
+    filled = F.transform(cells, lambda c, i: F.when(F.coalesce(F.trim(c) != "", F.lit(False)), i + 1).otherwise(0))
+    placed = df.join(headers.select(*keys, "header_row"), list(keys))
+    widths = placed.filter(F.col(row) == F.col("header_row")).groupBy(*keys).agg(F.max(F.greatest(F.array_max(filled), F.lit(0))).alias("__width"))
+    below = placed.filter(F.col(row) > F.col("header_row")).join(widths, list(keys))
     stop = below.filter(blank).groupBy(*keys).agg(F.min(row).alias("__stop"))
-    last = F.array_max(F.transform(cells, lambda c, i: F.when(F.coalesce(F.trim(c) != "", F.lit(False)), i + 1).otherwise(0)))
     return (
         below.join(stop, list(keys), "left")
         .filter(F.col("__stop").isNull() | (F.col(row) < F.col("__stop")))
-        .withColumn(cells, F.slice(cells, 1, F.greatest(last, F.lit(0))))
-        .drop("__stop", "header_row")
+        .withColumn(cells, F.transform(F.sequence(F.lit(1), F.col("__width")), lambda i: F.get(cells, i - 1)))
+        .drop("__stop", "__width", "header_row")
     )
 
 

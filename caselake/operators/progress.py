@@ -61,6 +61,17 @@ def overlap_counts(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
     )
 
 
+def additional_by_term(own: DataFrame, known: DataFrame, key: str, term: str) -> DataFrame:
+    """Keys that only ``own`` has, by term, with the smallest of them as an example."""
+    return own.join(known.select(key), key, "left_anti").groupBy(term).agg(F.count_distinct(key).alias("n"), F.min(key).alias("example"))
+
+
+def attempt_totals(df: DataFrame, status: str, statuses: Sequence[str], size: str, key: str) -> DataFrame:
+    """One row: attempts by status, total size and distinct keys."""
+    each = [F.count_if(F.col(status) == s).alias(f"n_{s}") for s in statuses]
+    return df.agg(F.count(F.lit(1)).alias("n"), *each, F.sum(size).alias("total_size"), F.count_distinct(key).alias("n_keys"))
+
+
 def backlog(df: DataFrame, key: str, flags: Mapping[str, Column]) -> DataFrame:
     """Counts per key of all rows and of each flag, and a ``Total`` row."""
     # rolled up over the grouping only: a null key is a group of its own, named Unknown
@@ -91,9 +102,13 @@ def capped_sample(df: DataFrame, group: str, order: Sequence[Column], per_group:
 
 
 def stratified_sample(df: DataFrame, plan: DataFrame, cells: Sequence[str], order: Sequence[Column], quota: str = "quota") -> DataFrame:
-    """Each cell's quota of rows, in the order of the draw."""
+    """Each cell's quota of rows, in the order of the draw.
+
+    No task keeps more rows of a cell than the largest quota: that bound is a number, so Spark applies it before the shuffle.
+    """
     w = Window.partitionBy(*cells).orderBy(*order)
-    drawn = df.withColumn("turn", F.row_number().over(w))
+    most = plan.agg(F.max(quota)).first()[0] or 0
+    drawn = df.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= most)
     return drawn.join(plan.select(*cells, quota), list(cells)).filter(F.col("turn") <= F.col(quota)).drop(quota)
 
 

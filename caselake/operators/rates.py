@@ -176,6 +176,11 @@ def coverage_series(own: DataFrame, other: DataFrame, year: str, partial: Sequen
     return both.withColumn("ratio", F.round(F.try_divide(F.col("own") * 1.0, F.col("external")), 6))
 
 
+def series_summary(series: DataFrame, year: str, ratio: str) -> DataFrame:
+    """Of a yearly series: the mean ratio, and the last year with its ratio."""
+    return series.agg(F.avg(ratio).alias("mean_ratio"), F.max(year).alias("last_year"), F.max_by(ratio, year).alias("last_ratio"))
+
+
 def extremes(df: DataFrame, name: str, value: str) -> DataFrame:
     """Group with the highest and the lowest value, and the spread."""
     order = F.struct(F.col(value), F.col(name))

@@ -9,11 +9,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from ..functions import ladders
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import corpus, curate, geo, incremental, linkage, quality, rates
+from ..operators import corpus, curate, geo, incremental, linkage, progress, quality, rates
 from ..sources import tables
 from ..sources.tables import parquet
-from .bound import char_budget, host_rewrite, query
-from .bound_more import agreement, consistency
+from .bound import SQL, char_budget, host_rewrite, quality_class, query
+from .bound_more import agreement, consistency, coverage_year, equal_share
 
 # --- addresses -------------------------------------------------------------------------------------------------
 
@@ -524,3 +524,132 @@ def fallback_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdict = S.accept_fallback(result(chars, 3, 11), result(chars + key % 400 - 100, 5, 13))
     rows = parquet(spark, sf_dir, "documents").select(verdict.alias("v"))
     return rows.groupBy("v.reason", "v.accepted").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- progress, paths, lookups ----------------------------------------------------------------------------------
+
+
+@query("SELECT source, count(DISTINCT doc_id) AS n, min(doc_id) AS example FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) GROUP BY 1")
+def additional_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "source")
+    return progress.additional_by_term(docs, parquet(spark, sf_dir, "labels"), "doc_id", "source")
+
+
+@query(
+    """SELECT count(*) AS n, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'error') AS n_error, sum(event_id % 1000)::BIGINT AS total_size, count(DISTINCT user_id) AS n_keys FROM events"""
+)
+def attempt_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parquet(spark, sf_dir, "events").select("event_type", "user_id", (F.col("event_id") % 1000).alias("bytes"))
+    return progress.attempt_totals(rows, "event_type", ["purchase", "error"], "bytes", "user_id")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, 50 + c_custkey % 10 AS lat, c_custkey % 8 - 6 AS lng FROM customer WHERE c_custkey % 17 > 0)
+SELECT CASE WHEN lat BETWEEN 55 AND 61 AND lng BETWEEN -8 AND -1 THEN 'north' WHEN lat BETWEEN 51 AND 53 AND lng BETWEEN -6 AND -3 THEN 'west' WHEN lat BETWEEN 49 AND 56 AND lng BETWEEN -6 AND 2 THEN 'south' ELSE 'Unknown' END AS area,
+  count(*) AS n, round(avg(lat), 4) AS mean_lat, round(avg(lng), 4) AS mean_lng FROM c GROUP BY 1"""
+)
+def areas_by_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by the box that holds them, with the middle of each."""
+    key = F.col("c_custkey")
+    cases = parquet(spark, sf_dir, "customer").filter(key % 17 > 0).select((key % 10 + 50).alias("lat"), (key % 8 - 6).alias("lng"))
+    boxes = [("north", 55, -8, 61, -1), ("west", 51, -6, 53, -3), ("south", 49, -6, 56, 2)]
+    return cases.groupBy(S.box_region(F.col("lat"), F.col("lng"), boxes).alias("area")).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("lat"), 4).alias("mean_lat"), F.round(F.avg("lng"), 4).alias("mean_lng")
+    )
+
+
+@query(SQL["coverage_year"].replace("SELECT year, own::BIGINT", "SELECT round(avg(ratio), 6) AS mean_ratio, max(year)::INT AS last_year, arg_max(ratio, year) AS last_ratio FROM (SELECT year, own::BIGINT", 1) + ")")
+def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.series_summary(coverage_year(spark, sf_dir), "year", "ratio").withColumn("mean_ratio", F.round("mean_ratio", 6))
+
+
+@query(f"SELECT CASE WHEN allocated < 50 THEN 'small' WHEN allocated < 70 THEN 'medium' ELSE 'large' END AS size_class, count(*) AS n, sum(allocated)::BIGINT AS total FROM ({SQL['equal_share']}) GROUP BY 1")
+def equal_share_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal shares, put into classes anew."""
+    shares = equal_share(spark, sf_dir)
+    return shares.groupBy(S.size_class(F.col("allocated"), 50, 70).alias("size_class")).agg(F.count(F.lit(1)).alias("n"), F.sum("allocated").alias("total"))
+
+
+@query("SELECT 'g' || n_regionkey AS name, 'v' || max(n_nationkey) AS value FROM nation WHERE n_regionkey > 0 GROUP BY n_regionkey")
+def lookup_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup file with repeated and blank keys: the last row of a key counts."""
+    path = tables.scratch_dir(spark)
+    name = F.when(F.col("n_regionkey") > 0, F.concat(F.lit(" g"), F.col("n_regionkey").cast("string"))).otherwise(" ")
+    rows = parquet(spark, sf_dir, "nation").select(name.alias("name"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("value"), "n_nationkey")
+    rows.repartition(1).sortWithinPartitions("n_nationkey").drop("n_nationkey").write.csv(path, header=True)
+    return tables.read_lookup(spark, path, "name", "value")
+
+
+@query(f"WITH {_SQL_FILES} SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS folder, min(regexp_replace(path, '^.*Brand', '')) AS first_tail, count(*) AS n FROM f GROUP BY 1")
+def path_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(spark, sf_dir).select(S.top_folders(F.col("path")).alias("folder"), S.path_tail(F.col("path"), "Brand").alias("tail"))
+    return files.groupBy("folder").agg(F.min("tail").alias("first_tail"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'v1|x' ELSE 'x' END AS s, CASE p_size % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'poor' ELSE 'error' END AS status FROM part WHERE p_partkey % 5 > 0)
+SELECT p_size, count(*) FILTER (s = 'v1|x' AND status IN ('ok', 'poor')) AS n_reused, count(*) FILTER (NOT coalesce(s = 'v1|x' AND status IN ('ok', 'poor'), false)) AS n_todo FROM part LEFT JOIN m USING (p_partkey) GROUP BY 1"""
+)
+def reuse_by_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose extraction is on record under the present settings, and those to do, by size."""
+    parts = parquet(spark, sf_dir, "part").select("p_partkey", "p_size")
+    settings = incremental.signature([F.lit("x"), F.when(F.col("p_size") % 2 == 0, "v1"), F.lit("x")])
+    status = F.when(F.col("p_size") % 3 == 0, "ok").when(F.col("p_size") % 3 == 1, "poor").otherwise("error")
+    known = parts.filter(F.col("p_partkey") % 5 > 0).select("p_partkey", settings.alias("signature"), status.alias("status"))
+    reused, todo = incremental.reusable(parts, known, "p_partkey", ["ok", "poor"], "v1|x")
+    both = reused.withColumn("reused", F.lit(True)).unionByName(todo.withColumn("reused", F.lit(False)))
+    return both.groupBy("p_size").agg(F.count_if("reused").alias("n_reused"), F.count_if(~F.col("reused")).alias("n_todo"))
+
+
+@query(f"WITH q AS ({SQL['quality_class']}), d AS (SELECT lang, quality FROM q JOIN documents USING (doc_id)), n AS (SELECT lang, quality, count(*) AS n FROM d GROUP BY 1, 2) SELECT lang, quality, n, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY lang), 4) AS pct FROM n")
+def quality_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = quality_class(spark, sf_dir).join(parquet(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("lang")), "doc_id")
+    return rates.tally(docs, F.col("quality"), ["lang"], "quality")
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, {_SQL_URL} AS link, page_id % 3 AS n, page_id % 7 > 0 AS has_hint, {_sql_rules(_SQL_URL, ladders.URL_SIGNATURES)} AS sig FROM pages),
+g AS (SELECT *, lower(regexp_extract(link, '^https?://[^/?#]+([^?#]*)', 1)) AS path FROM p),
+k AS (SELECT page_id, CASE WHEN (link IS NULL OR link = '') AND n > 0 AND has_hint THEN 'blank' WHEN link <> '' AND (contains(path, 'login') OR contains(path, 'search.do') OR CASE WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END IN ('', '/', '/home', '/index.html', '/search')) THEN 'generic'
+  WHEN sig IS NULL AND link <> '' THEN 'vague' END AS why FROM g)
+SELECT page_id, why FROM k WHERE why IS NOT NULL"""
+)
+def recovery_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose address is worth a search: blank with documents and a hint, generic, or of no known portal."""
+    rows, page = _urls(spark, sf_dir), F.col("page_id")
+    filled = F.coalesce(F.col("link") != "", F.lit(False))
+    why = R.first_case(
+        [
+            (~filled & (page % 3 > 0) & (page % 7 > 0), "blank"),
+            (filled & S.is_generic_url(F.col("link")), "generic"),
+            (filled & R.first_match(F.col("link"), ladders.URL_SIGNATURES).isNull(), "vague"),
+        ]
+    )
+    return rows.select("page_id", why.alias("why")).filter(F.col("why").isNotNull())
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN ' ' || p_brand || ' ' WHEN 1 THEN ' ' END AS given, p_name || ' ' || p_type AS x FROM part)
+SELECT coalesce(nullif(trim(given), ''), CASE WHEN regexp_matches(x, 'promo', 'i') THEN 'promotion' WHEN regexp_matches(x, 'steel|tin', 'i') THEN 'metal' ELSE 'other' END) AS kind, count(*) AS n FROM t GROUP BY 1"""
+)
+def given_or_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given type where there is one, else rules over name and description."""
+    given = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" "), "p_brand", F.lit(" "))).when(F.col("p_size") % 4 == 1, " ")
+    kind = R.value_or_rules(given, [F.col("p_name"), F.col("p_type")], [("promotion", "promo"), ("metal", "steel|tin")], "other")
+    return parquet(spark, sf_dir, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT CASE event_id % 4 WHEN 0 THEN event_type || ' ' || strftime(ts, '%b %Y') WHEN 1 THEN strftime(ts, '%Y-%m') || ' x' WHEN 2 THEN 'Q1 ' || year(ts) ELSE event_type END AS t, event_id % 4 AS k FROM events)
+SELECT CASE k WHEN 0 THEN 'month' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' END AS period_type, CASE k WHEN 0 THEN '2024-01' WHEN 1 THEN '2024-01' WHEN 2 THEN '2024-Q1' END AS period, count(*) AS n FROM e GROUP BY 1, 2"""
+)
+def period_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn, day = F.col("event_id") % 4, F.col("ts")
+    text = (
+        F.when(turn == 0, F.concat_ws(" ", "event_type", F.date_format(day, "MMM yyyy")))
+        .when(turn == 1, F.concat(F.date_format(day, "yyyy-MM"), F.lit(" x")))
+        .when(turn == 2, F.concat(F.lit("Q1 "), F.year(day).cast("string")))
+        .otherwise(F.col("event_type"))
+    )
+    rows = parquet(spark, sf_dir, "events").select(S.period_type(text).alias("period_type"), S.period_key(text).alias("period"))
+    return rows.groupBy("period_type", "period").agg(F.count(F.lit(1)).alias("n"))

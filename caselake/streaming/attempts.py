@@ -21,7 +21,7 @@ def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int | No
 def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: Sequence[str]) -> DataFrame:
     """Merges each micro-batch into a versioned Parquet target; returns the final state.
 
-    Version ``b`` is written from version ``b - 1``, so a batch that is run again writes the same version.
+    Version ``b`` is written from version ``b - 1``, so a batch that is run again writes the same version.  Older versions are deleted.
     """
     spark = stream.sparkSession
     columns = stream.columns
@@ -30,6 +30,8 @@ def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: str, ord
         own = batch.sparkSession
         base = own.read.schema(batch.schema).parquet(f"{target}/v{batch_id - 1}") if batch_id else own.createDataFrame([], batch.schema)
         upsert(base, batch, key, order).select(*columns).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
+        old = own._jvm.org.apache.hadoop.fs.Path(f"{target}/v{batch_id - 2}")
+        old.getFileSystem(own._jsc.hadoopConfiguration()).delete(old, True)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
