@@ -58,6 +58,25 @@ def test_linkage_tiers(link_sides):
     assert rows(best, "uid", "case_id", "tier", "confidence") == [(1, 10, "t1", "high"), (2, 11, "t2", "high")]
 
 
+@pytest.mark.parametrize(
+    "uid, name, case, described, want",
+    [
+        ("AB/12/345", None, "AB/12/345/FUL", "", "uid"),
+        ("AB/12/345/FUL", None, "12/345", "", "uid"),
+        ("AB/12", "XY/9988/77", "Q/9988/77", "", "name_tail"),
+        ("A/1", "B/2", "A/1", "", None),  # too short to prove anything
+        ("ZZ/1234", None, "123456", "SEE APPEAL 123456", "description"),
+        ("ZZ/1234", None, "12345", "SEE APPEAL 12345", None),
+        (None, None, "AB/12/345", None, None),
+    ],
+)
+def test_reference_evidence(spark, uid, name, case, described, want):
+    df = spark.createDataFrame([(1, 2, uid, name, case, described, "x")], "uid int, case_id int, u string, n string, c string, d string, block string")
+    evidence = linkage.reference_evidence({"uid": F.col("u"), "name": F.col("n")}, F.col("c"), F.col("d"))
+    got = linkage.link_by_block(df.select("uid", "u", "n", "d", "block"), df.select("case_id", "c", "block"), "uid", "case_id", ["block"], evidence).collect()
+    assert [r["match_detail"] for r in got] == ([want] if want else [])
+
+
 def test_allocation_keeps_total(spark):
     parents = spark.createDataFrame([("p", 10), ("q", 9)], "parent string, n long")
     children = spark.createDataFrame([("p", "a", 3), ("p", "b", 1), ("q", "c", 0), ("q", "d", 0)], "parent string, child string, w long")
@@ -179,7 +198,10 @@ def test_header_and_body(spark):
     df = spark.createDataFrame([("s", i, c) for i, c in cells], "sheet string, row int, cells array<string>")
     heads = curate.header_rows(df, ["sheet"], "row", "cells")
     assert rows(heads, "sheet", "header_row") == [("s", 2)]
-    assert rows(curate.table_body(df, heads, ["sheet"], "row", "cells"), "row", "cells") == [(3, ["a", "1", "2"]), (4, ["b", "3"])]
+    assert rows(curate.table_body(df, heads, ["sheet"], "row", "cells"), "row", "cells") == [(3, ["a", "1", "2"]), (4, ["b", "3", ""])]
+    wide = spark.createDataFrame([("s", 1, ["name", "size", "", None]), ("s", 2, ["a"]), ("s", 3, ["b", "2", "x", "y"])], "sheet string, row int, cells array<string>")
+    first = wide.filter("row = 1").selectExpr("sheet", "row AS header_row")
+    assert rows(curate.table_body(wide, first, ["sheet"], "row", "cells"), "row", "cells") == [(2, ["a", None]), (3, ["b", "2"])]
     assert rows(curate.sheet_dictionary(df, ["sheet"], "cells")) == [("s", 6, 3, 0)]
 
 
