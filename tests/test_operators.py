@@ -65,8 +65,8 @@ def test_linkage_tiers(link_sides):
         ("AB/12/345/FUL", None, "12/345", "", "uid"),
         ("AB/12", "XY/9988/77", "Q/9988/77", "", "name_tail"),
         ("A/1", "B/2", "A/1", "", None),  # too short to prove anything
-        ("ZZ/1234", None, "123456", "SEE APPEAL 123456", "description"),
-        ("ZZ/1234", None, "12345", "SEE APPEAL 12345", None),
+        ("ZZ/7777", None, "123456", "SEE APPEAL 123456", "description"),
+        ("ZZ/7777", None, "12345", "SEE APPEAL 12345", None),
         (None, None, "AB/12/345", None, None),
     ],
 )
