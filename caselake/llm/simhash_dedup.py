@@ -57,6 +57,20 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
+#: Segments of the hash range whose members are counted for a whole set.
+SEGMENTS = 128
+
+
+def segment_counts(hashes: np.ndarray) -> bytes:
+    """How many hashes of a set lie in each of ``SEGMENTS`` equal parts of their range; counts end at 255.
+
+    The popcounts by segment of the set written as bits: the Manhattan distance of two sets' counts never exceeds
+    the number of hashes that only one of them has.
+    """
+    shift = np.uint64(64 - (SEGMENTS - 1).bit_length())
+    return np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+
+
 def fingerprint(text: str | None, shingle_words: int) -> int:
     """SimHash of the word shingles, as a signed 64-bit integer; 0 without a word."""
     return majority_bits(shingle_hashes(text, shingle_words))
@@ -204,7 +218,7 @@ def similar_text_classes(
     prefix-filtered set join, which loses no pair: the hashes of every set are put in one order, and two sets of
     the similarity share one of the first ``n - ceil(similarity * n) + 1`` of each.  Each of these is a cell
     (:mod:`.cells`).  Pairs that meet in a cell and are not in one component yet are held against the bounds on lengths and on positions
-    in the order, then on the whole sets.  The order is by hash, but shingles that are frequent in a sample come last
+    in the order, then against the Manhattan bound on popcounts by segment (:func:`segment_counts`), then on the whole sets.  The order is by hash, but shingles that are frequent in a sample come last
     (:func:`frequent_shingles`).
 
     Null and empty texts are one class.  Repeated rows come back once each.  Rows that share an id but not a text have one
@@ -215,7 +229,7 @@ def similar_text_classes(
 
     def make():
         def work(texts: list[str | None]) -> dict:
-            out = {"text_hash": [], "digest": [], "n": [], "fp": [], "cells": []}
+            out = {"text_hash": [], "digest": [], "n": [], "fp": [], "counts": [], "cells": []}
             for t in texts:
                 held = np.unique(shingle_hashes(t, shingle_words))
                 late = np.isin(held, frequent)
@@ -224,20 +238,21 @@ def similar_text_classes(
                 out["digest"].append(xxhash.xxh3_128_digest(held.tobytes()))
                 out["n"].append(len(held))
                 out["fp"].append(majority_bits(held))
+                out["counts"].append(segment_counts(held))
                 out["cells"].append(order[: len(held) - math.ceil(similarity * len(held) - SLACK) + 1].view(np.int64))
             return out
 
         return work
 
-    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, cells array<bigint>")
+    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, counts binary, cells array<bigint>")
     sets = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
     # one row of each id, then one id of each digest
-    rows = sets.select("id", "text_hash", "digest", "n", "fp")
-    firsts = rows.groupBy("id").agg(F.min(F.struct("text_hash", "digest", "n", "fp")).alias("r")).select("id", "r.*")
+    rows = sets.select("id", "text_hash", "digest", "n", "fp", "counts")
+    firsts = rows.groupBy("id").agg(F.min(F.struct("text_hash", "digest", "n", "fp", "counts")).alias("r")).select("id", "r.*")
     classes = materialize(
         firsts.groupBy("digest").agg(
             F.min("id").alias("cls"), F.min_by("text_hash", "id").alias("text_hash"), F.first("n").alias("n_shingles"),
-            F.first("fp").alias("fp"), F.count(F.lit(1)).alias("n"),
+            F.first("fp").alias("fp"), F.first("counts").alias("counts"), F.count(F.lit(1)).alias("n"),
         ),
         "classes",
     )
@@ -258,8 +273,14 @@ def similar_text_classes(
         reach = similarity / (1 + similarity) * (x("n") + y("n")) - SLACK
         return close(x("n"), y("n")) & (F.least(x("left"), y("left")) >= reach)
 
+    sketches = lone.select(F.col("cls").alias("id"), F.col("n_shingles").alias("n"), "counts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified_pairs(docs, id_col, text_col, pairs, shingle_words, similarity)
+        close_ones = materialize(within_counts(pairs, sketches, similarity), "close")
+        links = verified_pairs(docs, id_col, text_col, close_ones, shingle_words, similarity)
+        if links is not close_ones:
+            discard(close_ones)
+        return links
 
     groups = lone.join(fingerprint_components(lone, radius), "fp").select("cls", "n_shingles", "root")
     hubs = groups.groupBy("root").agg(
@@ -283,6 +304,31 @@ def similar_text_classes(
     )
 
 
+def within_counts(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose popcounts by segment allow for the similarity.
+
+    Sets of ``n`` and ``m`` hashes at a Jaccard similarity of ``s`` or more differ in ``(n + m) (1 - s) / (1 + s)`` at most.
+    ``sketches``: ``id``, ``n`` and ``counts``.
+    """
+    import pyarrow as pa
+
+    kind = dict(pairs.dtypes)["a"]
+    both = pairs.select("a", "b")
+    for end in ("a", "b"):
+        both = both.join(sketches.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("counts").alias(f"c_{end}")), end)
+    both = both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "c_a", "c_b")
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for i in (3, 4))
+            apart = np.abs(x - y).sum(axis=1)
+            keep = apart <= batch.column(2).to_numpy() * ((1 - similarity) / (1 + similarity)) + SLACK
+            chosen = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
+
+    return both.mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def text_hash(text: str | None) -> int:
     """A signed 64-bit hash that tells apart the texts of rows with one id."""
     return int(np.uint64(xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 42)).view(np.int64))

@@ -96,3 +96,21 @@ def test_isolated_pairs_at_the_limit(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_text_classes(df).collect()}
     assert len(links) > 100 and got == want
+
+
+def test_segment_counts_bound_the_difference():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 60_000)), dtype=np.uint64))
+        a, b = (pool[rng.random(len(pool)) < p] for p in rng.random(2))
+        x, y = (np.frombuffer(simhash_dedup.segment_counts(s), np.uint8).astype(int) for s in (a, b))
+        assert len(x) == simhash_dedup.SEGMENTS and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_rows_of_one_id_and_rows_without_one(spark):
+    texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven"]
+    rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (None, texts[0]), (None, None), (4, None), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), (r["component_id"] or 0)) for r in simhash_dedup.similar_text_classes(df).collect())
+    assert len(got) == len(rows) and [g for g in got if g[0] == 4] == [(4, 4), (4, 4)] and (5, 4) in got
+    assert len({c for d, c in got if d == 1}) == 1
