@@ -337,11 +337,16 @@ def grounding(quote: Column, source: Column, least: int = 6, shingle: int = 5, s
     ``ok``: every segment (:func:`quote_segments`) is contained, or there is none.  ``near_verbatim``: at least ``share`` of the
     word shingles of each.  Null or empty quote: null.
     """
-    s = normalise_quotes(F.coalesce(source, F.lit("")))
-    segments = quote_segments(quote, least)
-    whole = F.forall(segments, lambda x: s.contains(x))
-    near = F.forall(segments, lambda x: segment_overlap(x, s, shingle) >= share)
-    return F.when(quote.isNull() | (quote == ""), F.lit(None)).when(whole, "ok").when(near, "near_verbatim").otherwise("missing")
+    parts = F.struct(normalise_quotes(F.coalesce(source, F.lit(""))).alias("source"), quote_segments(quote, least).alias("segments"))
+
+    def status(x: Column) -> Column:
+        whole = F.forall(x["segments"], lambda g: x["source"].contains(g))
+        near = F.forall(x["segments"], lambda g: segment_overlap(g, x["source"], shingle) >= share)
+        return F.when(whole, "ok").when(near, "near_verbatim").otherwise("missing")
+
+    # over an array of one, so that the source is normalised once and not again for every shingle
+    found = F.get(F.transform(F.array(parts), status), F.lit(0))
+    return F.when(quote.isNotNull() & (quote != ""), found)
 
 
 def accept_fallback(primary: Column, fallback: Column, gain: float = 1.2) -> Column:

@@ -138,8 +138,9 @@ def ground_quotes(
     """``(item, key, status)`` of every quote and every source in which it is ``ok`` or ``near_verbatim``, over whole texts.
 
     A five-word shingle of a quote can only be part of a source that has the shingle's three inner words in a row, so
-    sources and quotes meet by hashes of such triples; their keys are broadcast up to ``most_broadcast`` rows.  Quotes of
-    which no segment has five words are held against every source.
+    sources and quotes meet by hashes of such triples; their keys are broadcast up to ``most_broadcast`` rows.  Only sources
+    that hold half of the triples of a quote's first segment of five words are read again with it.  Quotes without such a segment
+    are held against every source.
     """
     words = F.split(F.get(F.filter(quote_segments(F.col(quote)), lambda x: F.size(F.split(x, " ")) >= 5), F.lit(0)), " ")
     asked = quotes.filter(F.col(quote) != "").select(item, quote, words.alias("__words"))
@@ -147,15 +148,19 @@ def ground_quotes(
     def triples(array: Column, first: int, n: Column) -> Column:
         return F.transform(F.sequence(F.lit(first), n), lambda i: F.xxhash64(F.array_join(F.slice(array, i, 3), " ")))
 
-    keys = asked.filter(F.col("__words").isNotNull()).select(
-        item, F.explode(F.array_distinct(triples(F.col("__words"), 2, F.size("__words") - 3))).alias("__key")
+    keys = (
+        asked.filter(F.col("__words").isNotNull())
+        .select(item, (F.size("__words") - 4).alias("__n"), F.explode(triples(F.col("__words"), 2, F.size("__words") - 3)).alias("__key"))
+        .groupBy(item, "__n", "__key")
+        .agg(F.count(F.lit(1)).alias("__w"))
     )
     held = sources.filter(F.col(text).isNotNull()).select(key, normalise_quotes(F.col(text)).alias("__source"))
     own = F.split("__source", " ")
     parts = held.select(key, own.alias("__own")).filter(F.size("__own") >= 3)
     parts = parts.select(key, F.explode(F.array_distinct(triples(F.col("__own"), 1, F.size("__own") - 2))).alias("__key"))
     few = keys.count() <= most_broadcast
-    met = parts.join(F.broadcast(keys) if few else keys, "__key").select(key, item).distinct()
+    hits = parts.join(F.broadcast(keys) if few else keys, "__key").groupBy(key, item, "__n").agg(F.sum("__w").alias("__hits"))
+    met = hits.filter(2 * F.col("__hits") >= F.col("__n")).select(key, item)
     short = asked.filter(F.col("__words").isNull()).select(item, quote)
     pairs = held.join(met, key).join(asked.select(item, quote), item).select(item, key, quote, "__source")
     pairs = pairs.unionByName(held.join(short).select(item, key, quote, "__source"))
