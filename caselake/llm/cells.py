@@ -118,7 +118,7 @@ def linked_components(
     ``cells``: from :func:`shared_cells`, with columns ``attrs``.  ``bound`` holds two members' columns against each
     other and never refuses a link; ``verify`` gets pairs ``(a, b)``, each once, and returns those that are links as a written
     table.  ``links``: links known beforehand.  There are at most ``turns`` turns with hubs; fewer, if the pairs
-    that are left are no more than ``enough`` times the members.
+    that are left are no more than ``enough`` times the members, or if a turn leaves most of them.
     """
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     members, own, tried = cells.count(), cells.columns, None
@@ -135,6 +135,7 @@ def linked_components(
             pairs = pairs.join(tried, (lo == F.col("lo")) & (hi == F.col("hi")), "left_anti")
         return materialize(pairs, "pairs")
 
+    before = float("inf")
     tagged = cells.withColumn("comp", F.col("node")) if links is None else tag(connected_components(links))
     for turn in range(turns):
         pairs = check(_hub_pairs(tagged, attrs, turn, bound))
@@ -144,8 +145,9 @@ def linked_components(
         tagged = tag(connected_components(links), tagged)
         mixed = materialize(_mixed_cells(tagged), "mixed")
         left = mixed.agg(F.sum((F.col("others") * F.col("n")).cast("double"))).first()[0] or 0.0
-        if left <= enough * members or turn == turns - 1:
+        if left <= enough * members or left > 0.7 * before or turn == turns - 1:
             break
+        before = left
         discard(mixed)
     pairs = check(_pairs_across(tagged, mixed, attrs, bound))
     links = links.unionByName(verify(pairs))
