@@ -13,6 +13,7 @@ from . import (
     source_mixing,
     token_output,
     toxic_crf,
+    vector_codes,
 )
 
 QUERIES = {
@@ -26,8 +27,9 @@ QUERIES = {
     "op8_ann_tree": ann_tree.op8_ann_tree,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_output": token_output.op10_token_output,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
 }
-SQL = {"op5_line_dedup": line_dedup.OP5_SQL}
+SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op11_vector_codes": vector_codes.OP11_SQL}
 
 
 def queries() -> dict:
