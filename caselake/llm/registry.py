@@ -11,6 +11,7 @@ from . import (
     secret_scan,
     simhash_dedup,
     source_mixing,
+    term_search,
     token_output,
     toxic_crf,
     vector_codes,
@@ -28,8 +29,9 @@ QUERIES = {
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_token_output": token_output.op10_token_output,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_term_search": term_search.op12_term_search,
 }
-SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op11_vector_codes": vector_codes.OP11_SQL}
+SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op12_term_search": term_search.OP12_SQL}
 
 
 def queries() -> dict:
