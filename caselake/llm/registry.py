@@ -11,6 +11,7 @@ from . import (
     secret_scan,
     simhash_dedup,
     source_mixing,
+    suffix_dedup,
     term_search,
     token_output,
     toxic_crf,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_token_output": token_output.op10_token_output,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_term_search": term_search.op12_term_search,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 SQL = {"op5_line_dedup": line_dedup.OP5_SQL, "op11_vector_codes": vector_codes.OP11_SQL, "op12_term_search": term_search.OP12_SQL}
 
