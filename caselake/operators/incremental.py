@@ -47,20 +47,3 @@ def reusable(todo: DataFrame, manifest: DataFrame, key: str, statuses: Sequence[
     """(rows to reuse, rows to do): finished under the same configuration, or not."""
     good = manifest.filter(F.col("status").isin(*statuses) & (F.col("signature") == signature_now))
     return todo.join(good.select(key), key, "left_semi"), todo.join(good.select(key), key, "left_anti")
-
-
-def manifest_upsert(path: str, rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Puts ``rows`` into the Parquet manifest at ``path``, one row a key, and returns the manifest.
-
-    The new state is written beside the old one and then takes its name, so that a run that fails leaves the old one.
-    """
-    spark = rows.sparkSession
-    names = spark._jvm.org.apache.hadoop.fs.Path
-    old, fresh = names(path), names(path.rstrip("/") + ".new")
-    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
-    base = spark.read.parquet(path) if files.exists(old) else rows.limit(0)
-    upsert(base, rows, key, order).drop("change").write.mode("overwrite").parquet(fresh.toString())
-    files.delete(old, True)
-    if not files.rename(fresh, old):
-        raise OSError(f"could not replace {path}")
-    return spark.read.parquet(path)

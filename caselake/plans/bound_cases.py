@@ -10,7 +10,7 @@ from ..functions import ladders
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import corpus, curate, geo, incremental, linkage, progress, quality, rates
-from ..sources import tables
+from ..sources import stored, tables
 from ..sources.tables import parquet
 from .bound import SQL, char_budget, host_rewrite, quality_class, query
 from .bound_more import agreement, consistency, coverage_year, equal_share
@@ -392,8 +392,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs over documents, the second of which replaces rows of the first."""
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source")
     path = tables.scratch_dir(spark)
-    incremental.manifest_upsert(path, docs.filter(F.col("doc_id") % 2 == 0).withColumn("run", F.lit(1)), "doc_id", ["run"])
-    return incremental.manifest_upsert(path, docs.filter(F.col("doc_id") % 3 == 0).withColumn("run", F.lit(2)), "doc_id", ["run"])
+    stored.manifest_upsert(path, docs.filter(F.col("doc_id") % 2 == 0).withColumn("run", F.lit(1)), "doc_id", ["run"])
+    return stored.manifest_upsert(path, docs.filter(F.col("doc_id") % 3 == 0).withColumn("run", F.lit(2)), "doc_id", ["run"])
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 5 > 0 UNION ALL SELECT NULL, NULL FROM events WHERE event_id % 5 = 0")

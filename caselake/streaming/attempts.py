@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import upsert
 from ..operators.progress import best_status
+from ..sources.stored import StoredTable
 
 
 def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,46 +18,41 @@ def read_log(spark: SparkSession, path: str, schema, files_per_trigger: int | No
     return reader.parquet(path)
 
 
-def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: Sequence[str]) -> DataFrame:
-    """Merges each micro-batch into a versioned Parquet target; returns the final state.
+def stream_upsert(stream: DataFrame, target: str, checkpoint: str, key: str, order: Sequence[str], buckets: int = 16) -> DataFrame:
+    """Merges each micro-batch into a :class:`StoredTable` at ``target``; returns its state when the input is used up.
 
-    Version ``b`` is written from version ``b - 1``, so a batch that is run again writes the same version.  Older versions are deleted.
+    A batch is the version of its number: it rewrites the buckets of its keys only, and one that comes again after a failure
+    changes nothing.  A start without new files returns what earlier ones have left.
     """
-    spark = stream.sparkSession
-    columns = stream.columns
+    spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        own = batch.sparkSession
-        base = own.read.schema(batch.schema).parquet(f"{target}/v{batch_id - 1}") if batch_id else own.createDataFrame([], batch.schema)
-        upsert(base, batch, key, order).select(*columns).write.mode("overwrite").parquet(f"{target}/v{batch_id}")
-        old = own._jvm.org.apache.hadoop.fs.Path(f"{target}/v{batch_id - 2}")
-        old.getFileSystem(own._jsc.hadoopConfiguration()).delete(old, True)
+        StoredTable(batch.sparkSession, target, key, order, schema, buckets).merge(batch, batch_id)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    done = query.lastProgress
-    if done is None:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{target}/v{done['batchId']}")
+    return StoredTable(spark, target, key, order, schema, buckets).read()
 
 
 def stream_best_status(stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], status: str, ranking: Mapping[str, int], names: Sequence[str], default: str, extra: Sequence[Column] = ()) -> DataFrame:
-    """Running best status per key in update mode; returns the last state of every key."""
+    """Running best status per key in update mode; returns the last state of every key.
+
+    What a batch updates is merged into a :class:`StoredTable`, so the target holds one row a key however many batches ran.
+    """
     spark = stream.sparkSession
     state = best_status(stream, keys, status, ranking, names, default, extra)
+    own = F.to_json(F.struct(*keys)).alias("__key")
+    schema = state.select(own, "*", F.lit(0).cast("long").alias("__batch")).schema
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("__batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        rows = batch.select(own, "*", F.lit(batch_id).cast("long").alias("__batch"))
+        StoredTable(batch.sparkSession, target, "__key", ["__batch"], schema).merge(rows, batch_id)
 
     query = (
         state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    if query.lastProgress is None:
-        return spark.createDataFrame([], state.schema)
-    log = spark.read.parquet(f"{target}/batch=*")
-    last = log.groupBy(*keys).agg(*[F.max_by(c, "__batch").alias(c) for c in state.columns if c not in keys])
-    return last.select(*state.columns)
+    return StoredTable(spark, target, "__key", ["__batch"], schema).read().select(*state.columns)
 
 
 def stream_first_seen(stream: DataFrame, checkpoint: str, target: str, keys: Sequence[str], event_time: str, delay: str) -> DataFrame:
