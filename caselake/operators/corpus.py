@@ -139,11 +139,14 @@ def ground_quotes(
 
     A five-word shingle of a quote can only be part of a source that has the shingle's three inner words in a row, so
     sources and quotes meet by hashes of such triples; their keys are broadcast up to ``most_broadcast`` rows.  Only sources
-    that hold half of the triples of a quote's first segment of five words are read again with it.  Quotes without such a segment
-    are held against every source.
+    that hold half of the triples of a quote's first segment of five words are read again with it.  Segments of fewer words must be
+    contained whole, so a quote of such segments alone meets the sources that hold the rarest six characters in a row of its longest
+    one.  A quote without a segment is ``ok`` in every source; it has no rows here (:func:`empty_quotes`).
     """
-    words = F.split(F.get(F.filter(quote_segments(F.col(quote)), lambda x: F.size(F.split(x, " ")) >= 5), F.lit(0)), " ")
-    asked = quotes.filter(F.col(quote) != "").select(item, quote, words.alias("__words"))
+    segments = quote_segments(F.col(quote))
+    words = F.split(F.get(F.filter(segments, lambda x: F.size(F.split(x, " ")) >= 5), F.lit(0)), " ")
+    longest = F.aggregate(segments, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    asked = quotes.filter(F.col(quote) != "").select(item, quote, words.alias("__words"), longest.alias("__longest"))
 
     def triples(array: Column, first: int, n: Column) -> Column:
         return F.transform(F.sequence(F.lit(first), n), lambda i: F.xxhash64(F.array_join(F.slice(array, i, 3), " ")))
@@ -161,13 +164,28 @@ def ground_quotes(
     few = keys.count() <= most_broadcast
     hits = parts.join(F.broadcast(keys) if few else keys, "__key").groupBy(key, item, "__n").agg(F.sum("__w").alias("__hits"))
     met = hits.filter(2 * F.col("__hits") >= F.col("__n")).select(key, item)
-    short = asked.filter(F.col("__words").isNull()).select(item, quote)
-    pairs = held.join(met, key).join(asked.select(item, quote), item).select(item, key, quote, "__source")
-    pairs = pairs.unionByName(held.join(short).select(item, key, quote, "__source"))
+
+    short = asked.filter(F.col("__words").isNull() & (F.col("__longest") != ""))
+    if not short.isEmpty():
+        grams = lambda c: F.regexp_extract_all(c, F.lit("(?s)(?=(.{6}))"), F.lit(1))  # noqa: E731  all runs of six characters
+        sought = short.select(item, F.explode(F.array_distinct(grams(F.col("__longest")))).alias("__gram"))
+        any_of = sought.select("__gram").distinct()
+        places = held.select(key, F.explode(F.array_distinct(grams(F.col("__source")))).alias("__gram"))
+        places = places.join(F.broadcast(any_of) if any_of.count() <= most_broadcast else any_of, "__gram")
+        counts = places.groupBy("__gram").agg(F.count(F.lit(1)).alias("__c"))
+        order = F.struct(F.coalesce("__c", F.lit(0)), "__gram")
+        rarest = sought.join(counts, "__gram", "left").groupBy(item).agg(F.min_by("__gram", order).alias("__gram"))
+        met = met.unionByName(places.join(rarest, "__gram").select(key, item))
+    pairs = held.join(met, key).join(asked.select(item, quote), item)
     status = grounding(F.col(quote), F.col("__source"))
     return pairs.select(item, key, status.alias("status")).filter(F.col("status") != "missing")
 
 
+def empty_quotes(quotes: DataFrame, quote: str) -> DataFrame:
+    """Quotes with text but without a segment: they say nothing that could be missing."""
+    return quotes.filter((F.col(quote) != "") & (F.size(quote_segments(F.col(quote))) == 0))
+
+
 def budget_warnings(df: DataFrame, key: str, rank: str, length: str, critical: Column) -> DataFrame:
     """Critical documents that :func:`char_budget` did not take whole: ``dropped`` or ``truncated``."""
     lost = critical & (F.col("taken") < F.coalesce(F.col(length), F.lit(0)))

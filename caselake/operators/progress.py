@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import group_positions
+
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Last row of each key by ``order``, later columns break ties; larger is later."""
@@ -90,9 +92,11 @@ def sum_of_max(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[str]
 
 
 def interleave(df: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
-    """Round robin over groups: rows numbered within their group, the number first and then the group."""
-    w = Window.partitionBy(group).orderBy(*order)
-    return df.withColumn("turn", F.row_number().over(w)).orderBy("turn", group)
+    """Round robin over groups: rows numbered within their group, the number first and then the group.
+
+    Numbers come from :func:`group_positions`, so no task needs to hold a group.
+    """
+    return group_positions(df, [group], order, "turn").orderBy("turn", group)
 
 
 def capped_sample(df: DataFrame, group: str, order: Sequence[Column], per_group: int, total: int, group_order: Column) -> DataFrame:

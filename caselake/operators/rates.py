@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import running_sums
+
 
 def outcome_rates(
     df: DataFrame,
@@ -135,24 +137,12 @@ def spread(df: DataFrame, value: str) -> DataFrame:
 
 
 def _value_ranks(df: DataFrame, value: str) -> DataFrame:
-    """Distinct values with how often they occur and how many rows come before them.
+    """Distinct values with how often they occur (``__c``) and how many rows come before them (``__before``).
 
-    No window has all rows in one partition: rows before the value's bucket, of at most about 1,000 buckets, and
-    then those before it in its bucket.
+    Values are dealt by ranges that Spark samples, so outliers do not crowd the others into one task.
     """
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__c"))
-    buckets = counts.withColumn("__b", F.floor(F.col(value) / _bucket_width(counts, value)))
-    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = buckets.groupBy("__b").agg(F.sum("__c").alias("__s"))
-    before = sums.select("__b", F.coalesce(F.sum("__s").over(upto), F.lit(0)).alias("__start"))
-    inner = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    inside = buckets.withColumn("__in", F.coalesce(F.sum("__c").over(inner), F.lit(0)))
-    return inside.join(before, "__b").select(value, "__c", (F.col("__start") + F.col("__in")).alias("__before"))
-
-
-def _bucket_width(df: DataFrame, value: str, buckets: int = 1000) -> float:
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    return max((high - low) / buckets, 1e-9)
+    return running_sums(counts, [value], "__c", "__before")
 
 
 def outcome_mix(df: DataFrame, keys: Sequence[str], outcome: str, groups: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import corpus, progress, rates
+from ..operators import corpus, order, progress, rates
 from ..sources.tables import parquet, scan
 
 QUERIES: dict = {}
@@ -313,6 +313,24 @@ def interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progress.interleave(parquet(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
+@query(
+    """WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM documents)
+SELECT doc_id, source, turn, row_number() OVER (ORDER BY turn, source) AS position FROM t"""
+)
+def interleave_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the round robin itself, as a column."""
+    turns = progress.interleave(parquet(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
+    return order.global_positions(turns, ["turn", "source"])
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderstatus, o_orderdate DESC, o_totalprice DESC, o_orderkey) AS position FROM orders")
+def mixed_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by status ascending, then latest and largest first."""
+    orders = parquet(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    by = ["o_orderstatus", F.desc("o_orderdate"), F.desc("o_totalprice"), "o_orderkey"]
+    return order.global_positions(orders, by).select("o_orderkey", "position")
+
+
 def _draw() -> list:
     """The order of a seeded draw, by key arithmetic so that SQL can repeat it."""
     return [F.pmod(F.col("doc_id") * 7919, F.lit(1009)), F.col("doc_id")]
@@ -460,6 +478,8 @@ def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = corpus.ground_quotes(quotes, docs, "item_id", "text", "doc_id", "body").groupBy("item_id").agg(
         F.count_if(F.col("status") == "ok").alias("n_ok"), F.count_if(F.col("status") == "near_verbatim").alias("n_near")
     )
+    everywhere = docs.filter(F.col("body").isNotNull()).agg(F.count(F.lit(1)).alias("n_ok"), F.lit(0).cast("long").alias("n_near"))
+    found = found.unionByName(corpus.empty_quotes(quotes, "text").select("item_id").join(F.broadcast(everywhere)))
     none = F.lit(0).cast("long")
     status = F.when(F.col("n_ok") > 0, "ok").when(F.col("n_near") > 0, "near_verbatim").otherwise("missing")
     return quotes.select("item_id").join(found, "item_id", "left").select(
@@ -473,7 +493,11 @@ def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "source")
     quotes = parquet(spark, sf_dir, "benchmark").select("item_id", "text")
     found = corpus.ground_quotes(quotes, docs.select("doc_id", "body"), "item_id", "text", "doc_id", "body")
-    return found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
+    counts = found.join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "status").agg(F.count(F.lit(1)).alias("n"))
+    empty = corpus.empty_quotes(quotes, "text").agg(F.count(F.lit(1)).alias("e")).filter(F.col("e") > 0)
+    each = docs.filter(F.col("body").isNotNull()).groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(empty))
+    each = each.select("source", F.lit("ok").alias("status"), (F.col("n") * F.col("e")).alias("n"))
+    return counts.unionByName(each).groupBy("source", "status").agg(F.sum("n").alias("n"))
 
 
 @query(
