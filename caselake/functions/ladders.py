@@ -115,3 +115,86 @@ AUTHORITY_ALIASES = {
     "WINDSOR": "WINDSOR MAIDENHEAD",
     "WYCOMBE": "BUCKINGHAMSHIRE",
 }
+
+_NAMED = ("document_type", "description", "path")
+#: Buckets of documents without text, by their type, description and path: of each rule one line must hold, all its clauses.
+CANDIDATE_BUCKETS = [
+    ("mcs_calculator", [[(_NAMED, "contains", ("mcs",)), (_NAMED, "contains", ("020", "calc", "calculator"))]]),
+    ("consultee_response", [[("document_type", "contains", ("consult", "consultee"))], [("description", "contains", ("statutory reply",))]]),
+    ("noise_impact_assessment", [[("description", "contains", ("noise impact",))], [("document_type", "contains", ("noise impact",))]]),
+    ("acoustic_report", [[(_NAMED, "contains", ("acoustic",))]]),
+    ("manufacturer_spec", [[("description", "contains", ("spec", "manufacturer", "vaillant", "daikin"))]]),
+    ("drawing_or_plan", [[("document_type", "contains", ("drawing", "plan"))], [("description", "contains", ("elevation",))]]),
+    ("supporting_information", [[("document_type", "contains", ("supporting",))], [("description", "contains", ("supporting",))]]),
+    ("report", [[("document_type", "contains", ("report",))], [("description", "contains", ("report",))]]),
+    ("statement", [[("document_type", "contains", ("statement",))], [("description", "contains", ("statement",))]]),
+]
+
+#: Ranks of documents, lower first: by type, then by file name.
+DOCUMENT_RANKS = [
+    (0, [[("document_type", "in", ("decision", "decision notice", "decision letter", "recommendation and reasons report"))]]),
+    (
+        1,
+        [[("document_type", "in", (
+            "officer report", "officer reports", "delegated report", "report of handling", "delegated officer report", "case officer report",
+            "application committee / delegated report", "committee report",
+        ))]],
+    ),
+    (2, [[("document_type", "in", ("recommendation", "case report", "planning report"))]]),
+    (
+        3,
+        [[("document_type", "in", (
+            "acoustic report", "acoustic assessment", "noise assessment", "sound assessment", "noise report", "noise impact assessment",
+        ))]],
+    ),
+    (
+        4,
+        [[("document_type", "in", (
+            "heritage statement", "heritage impact assessment", "design and access statement", "design & access statement",
+            "heritage and design statement",
+        ))]],
+    ),
+    (5, [[("file_name", "matches", r"decision[_ ]notice|decision[_ ]letter|refus(?:al|ed)?|permission|granted|approval|approved")]]),
+    (6, [[("file_name", "matches", r"officer|delegated|report[_ ]of[_ ]handling|report[_ ]recommendation|case[_ ]officer|committee[_ ]report")]]),
+    (7, [[("file_name", "matches", r"acoustic|noise[_ ]?(assessment|report|impact)|sound[_ ]assessment|bs[_ ]?4142|bs[_ ]?8233|mcs[_ ]?020")]]),
+    (8, [[("file_name", "matches", r"heritage|design[_ ]?and[_ ]?access|listed[_ ]?building")]]),
+]
+#: Fixed value: file names that come first among documents of no other rank.
+NAMED_PRODUCT = r"(air[_ ]source|heat[_ ]pump|\bashp\b|brochure)"
+
+#: Families of metrics by what their names hold.
+METRIC_FAMILIES = [
+    ("volume", [[("metric_name", "contains", ("received", "decided", "allowed", "count", "total"))]]),
+    ("rate_percent", [[("metric_name", "contains", ("percent", "rate", "share"))]]),
+    ("timeliness_days", [[("metric_name", "contains", ("day",))]]),
+]
+
+#: Names of metrics that have a shorter one.
+METRIC_NAMES = {
+    "s78_planning_appeals_number_decided": "s78_decided_count",
+    "s78_planning_appeals_number_allowed": "s78_allowed_count",
+    "householder_appeals_number_decided": "householder_decided_count",
+    "householder_appeals_number_allowed": "householder_allowed_count",
+    "s174_enforcement_notice_appeals_number_decided": "s174_decided_count",
+    "s174_enforcement_notice_appeals_quashed_or_granted": "s174_allowed_count",
+    "s174_enforcement_notice_appeals_notice_upheld_or_varied": "s174_upheld_or_varied_count",
+    "received": "received_count",
+    "decided": "decided_count",
+    "allowed": "allowed_count",
+    "total": "total_count",
+    "written_representations": "written_representations_count",
+    "hearings": "hearings_count",
+    "inquiries": "inquiries_count",
+    "all": "all_count",
+}
+
+#: Columns that a canonical dimension is taken from, the first that is filled.
+DIMENSION_NAMES = {
+    "period": ("month", "quarter", "year", "period", "period_end"),
+    "geography": ("region", "lpa_name", "local_planning_authority", "authority", "geography"),
+    "geography_code": ("ons_code", "ons_lpa_code", "lpa_code", "geography_code"),
+    "appeal_type": ("appeal_type", "casework_type", "type_of_casework"),
+    "procedure": ("procedure",),
+    "stage": ("stage", "stages"),
+    "service_standard": ("service_standard", "gov_uk_timeliness", "timeliness"),
+}

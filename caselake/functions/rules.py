@@ -154,6 +154,53 @@ def route_family(authority: Column, url: Column, routes: Sequence[tuple[str, str
     return first_case([((name == a) & ((bare == u) if whole else address.contains(u)), family) for family, a, u, whole in _checked(routes)])
 
 
+Clause = tuple[str | tuple[str, ...], str, object]  # column or columns, operator, value
+
+
+def clause(columns: str | Sequence[str], operator: str, value) -> Column:
+    """Condition of one clause, false for null; several columns are read as one text, parted by spaces.
+
+    ``in``: the trimmed, lower-cased value is one of several; ``contains``: the lower-cased text holds one of several terms; ``matches``: a regular
+    expression, whatever the case; ``filled``: whether there is more than white space.
+    """
+    names = [columns] if isinstance(columns, str) else list(columns)
+    text = F.col(names[0]) if len(names) == 1 else F.concat_ws(" ", *[F.coalesce(F.col(n), F.lit("")) for n in names])
+    if operator == "in":
+        found = F.lower(F.regexp_replace(text, r"^\s+|\s+$", "")).isin(*value)
+    elif operator == "contains":
+        found = contains_any(text, value)
+    elif operator == "matches":
+        found = matches(text, value)
+    elif operator == "filled":
+        found = ~blank(text) if value else blank(text)
+    else:
+        raise ValueError(f"unknown operator: {operator}")
+    return F.coalesce(found, F.lit(False))
+
+
+def compile_ladder(rules: Sequence[tuple[object, Sequence[Sequence[Clause]]]], default: object = None) -> Column:
+    """Result of the first rule that holds: ``(result, alternatives)``, of which all clauses of one must hold.
+
+    Rules are data, over any columns.  Results may be values or Columns, for instance structs (:func:`rank`).
+    """
+    cases = []
+    for result, alternatives in _checked(rules):
+        holds = F.lit(False)
+        for clauses in _checked(alternatives):
+            every = F.lit(True)
+            for c in _checked(clauses):
+                every = every & clause(*c)
+            holds = holds | every
+        cases.append((holds, result))
+    return first_case(cases, default)
+
+
+def rank(primary: int | Column, tie_break: int | Column = 0) -> Column:
+    """A rank of two levels, ordered by the first and then the second."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.struct(as_column(primary).alias("primary"), as_column(tie_break).alias("tie_break"))
+
+
 def sheet_class(source: Column, sheet: Column, columns: Column, rows: Column, confidence: Column) -> Column:
     """(class, reason, review) of a sheet from its file, its name, its size and the confidence in its header row."""
     file, name = F.lower(source), F.lower(sheet)

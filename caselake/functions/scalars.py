@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import period_key, period_token, period_type, to_iso_date  # noqa: F401  part of this module's functions
+
 #: Written forms of a missing value, beside blanks.
 NULL_TOKENS = ("-", "n/a", "na", "none", "null")
-#: Accepted date forms, day first.
-DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "dd MMM yyyy", "d MMMM yyyy")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def squeeze(col: Column) -> Column:
@@ -35,12 +35,6 @@ def suppressed_number(col: Column) -> Column:
     return F.when(~F.coalesce(F.trim(col).rlike(r"^\["), F.lit(False)), to_number(col))
 
 
-def to_iso_date(col: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Date from the first form that fits, day first; null where none does."""
-    text = F.trim(col)
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(text, F.lit(f))) for f in formats])
-
-
 def year_of(col: Column) -> Column:
     """The first four characters where they are digits, else null."""
     return F.regexp_extract(col, r"^(\d{4})", 1).try_cast("int")
@@ -150,29 +144,6 @@ def area_name_key(col: Column) -> Column:
     return F.trim(text)
 
 
-def period_key(col: Column) -> Column:
-    """Period of a text: ``2024-03`` from ISO or month-name tokens, ``2024-Q1`` from quarters, else the year, else null."""
-    low = F.lower(col)
-    iso = F.regexp_extract(low, r"(\d{4})-(\d{2})", 0)
-    name = F.regexp_extract(low, r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]*(\d{4})", 1)
-    year_after = F.regexp_extract(low, r"(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*[\s-]*(\d{4})", 1)
-    month = F.lpad(F.array_position(F.array(*map(F.lit, MONTHS)), name).cast("string"), 2, "0")
-    quarter = F.regexp_extract(low, r"q([1-4])", 1)
-    year = F.regexp_extract(low, r"(\d{4})", 1)
-    return (
-        F.when(iso != "", iso)
-        .when(name != "", F.concat(year_after, F.lit("-"), month))
-        .when((quarter != "") & (year != ""), F.concat(year, F.lit("-Q"), quarter))
-        .when(year != "", year)
-    )
-
-
-def period_type(col: Column) -> Column:
-    """month, quarter or year, from what :func:`period_key` gives."""
-    key = period_key(col)
-    return F.when(key.rlike(r"^\d{4}-\d{2}$"), "month").when(key.rlike(r"-Q"), "quarter").when(key.isNotNull(), "year")
-
-
 def word_count(col: Column) -> Column:
     text = squeeze(F.coalesce(col, F.lit("")))
     return F.when(text == "", 0).otherwise(F.size(F.split(text, " ")))
@@ -204,13 +175,39 @@ def excerpt(col: Column, start: str, ends: Sequence[str], limit: int = 8000, hea
     return F.when(found != "", found).otherwise(F.substring(col, 1, head))
 
 
+#: An entity: decimal, hexadecimal or named.
+ENTITY = "&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def unescape(col: Column) -> Column:
+    """Text with its entities resolved: decimal and hexadecimal ones, and the named ones of HTML 4 and ``&apos;``.
+
+    Numbers 128 to 159 mean what they do in Windows code page 1252, as browsers read them; other names, and numbers that are no
+    character, stay as they are.  Each entity is resolved once: ``&amp;lt;`` becomes ``&lt;``.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted({**name2codepoint, "apos": 39}.items()) for x in (name, chr(code))])
+    page = [(i, bytes([i]).decode("cp1252", "ignore")) for i in range(128, 160)]
+    windows = F.create_map(*[F.lit(x) for i, sign in page if sign for x in (i, sign)])
+
+    def sign(entity: Column) -> Column:
+        digits = F.when(entity.rlike("^#[xX]"), F.conv(F.substring(entity, 3, 8), 16, 10)).when(entity.startswith("#"), F.substring(entity, 2, 8))
+        code = digits.try_cast("int")
+        fits = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        plain = F.when(fits, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        numbered = F.coalesce(F.try_element_at(windows, code), plain)
+        return F.coalesce(F.when(entity.startswith("#"), numbered).otherwise(F.try_element_at(names, entity)), F.concat(F.lit("&"), entity, F.lit(";")))
+
+    signs = F.transform(F.regexp_extract_all(col, F.lit(ENTITY), F.lit(1)), sign)
+    between = F.split(col, ENTITY, -1)
+    joined = F.array_join(F.transform(between, lambda x, i: F.concat(x, F.coalesce(F.get(signs, i), F.lit("")))), "")
+    return F.when(F.contains(col, F.lit("&")), joined).otherwise(col)
+
+
 def html_to_text(col: Column) -> Column:
     """Visible text: scripts and styles go, block tags break lines, other tags vanish, entities are resolved."""
     text = F.regexp_replace(col, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     text = F.regexp_replace(text, r"(?i)<(br|/p|/div|/li|/tr|/h[1-6]|/table)[^>]*>", "\n")
-    text = F.regexp_replace(text, r"<[^>]+>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(sign))
+    text = F.translate(unescape(F.regexp_replace(text, r"<[^>]+>", " ")), "\u00a0", " ")
     text = F.regexp_replace(text, r"[ \t\r]+", " ")
     return F.trim(F.regexp_replace(text, r" ?\n[ \n]*", "\n"))
 
@@ -237,14 +234,48 @@ def rewrite_host(col: Column, hosts: dict[str, str]) -> Column:
     return F.when(new.isNotNull(), rebuilt).otherwise(col)
 
 
-def is_generic_url(col: Column, paths: Sequence[str] = ("", "/", "/home", "/index.html", "/search"), parts: Sequence[str] = ("login", "search.do")) -> Column:
-    """A landing page: an exact generic path, a fragment on one, or a path that holds a generic part."""
+def is_generic_url(
+    col: Column,
+    paths: Sequence[str] = ("", "/", "/home", "/index.html", "/search"),
+    parts: Sequence[str] = ("login", "search.do"),
+    fragments: Sequence[str] = ("advancedsearch",),
+) -> Column:
+    """A landing page: a generic path, a generic fragment, or a path that holds a generic part; false for null or blank."""
     path = F.lower(F.coalesce(F.try_parse_url(col, F.lit("PATH")), F.lit("")))
     bare = F.when(F.length(path) > 1, F.regexp_replace(path, "/+$", "")).otherwise(path)
-    out = bare.isin(*paths)
+    out = bare.isin(*paths) | F.lower(F.regexp_extract(col, "#(.*)$", 1)).isin(*fragments)
     for p in parts:
         out = out | path.contains(p)
-    return out
+    return F.coalesce(out & (F.trim(col) != ""), F.lit(False))
+
+
+def resolve_url(base: Column, reference: Column) -> Column:
+    """Address that a reference on page ``base`` means.
+
+    Absolute addresses stay; ``//host``, ``/path``, ``?query``, ``#part`` and relative paths take what they lack from the page; ``.`` and ``..`` are
+    resolved, never above the root.  Null for a null page or reference.
+    """
+    ref = F.trim(reference)
+    scheme, host = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)//", 1), F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)", 1)
+    page_path = F.regexp_extract(base, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    page_query = F.regexp_extract(base, r"(\?[^#]*)", 1)
+    path, rest = F.regexp_extract(ref, "^([^?#]*)", 1), F.regexp_extract(ref, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(page_path, "^(.*/)", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    steps = F.split(F.substring(whole, 2, 1 << 30), "/")
+    last = F.element_at(steps, -1)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda seen, x: F.when(x == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).when(x == ".", seen).otherwise(F.array_append(seen, x)),
+    )
+    clean = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+    return (
+        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(path == "", F.concat(scheme, host, page_path, F.when(ref.startswith("?"), F.lit("")).otherwise(page_query), rest))
+        .otherwise(F.concat(scheme, host, clean, rest))
+    )
 
 
 def url_template(base: Column, reference: Column) -> Column:
@@ -349,14 +380,34 @@ def grounding(quote: Column, source: Column, least: int = 6, shingle: int = 5, s
     return F.when(quote.isNotNull() & (quote != ""), found)
 
 
-def accept_fallback(primary: Column, fallback: Column, gain: float = 1.2) -> Column:
-    """(accepted, reason) for a second extraction, from structs (char_count, quality, error)."""
-    better = fallback["char_count"] >= primary["char_count"] * gain
-    reason = (
-        F.when(fallback["error"].isNotNull(), "fallback_error")
+#: Families of documents that always get a second extraction, and the least gain and ratio that let it replace a short one.
+FORCED_FAMILIES = ("noise", "spec_calc")
+LEAST_GAIN, LEAST_RATIO = 500, 1.5
+
+
+def fallback_reason(primary: Column, family: Column, least_per_page: float = 40.0, forced: Sequence[str] = FORCED_FAMILIES) -> Column:
+    """Why a first extraction, a struct (char_count, page_count, quality, error), asks for a second one; null where it does not.
+
+    The document's family is one that always gets one; it failed; it looks like images only; or it has few characters a page.
+    """
+    per_page = F.try_divide(F.coalesce(primary["char_count"], F.lit(0)), F.greatest(primary["page_count"], F.lit(1)))
+    return (
+        F.when(F.trim(family).isin(*forced), "family_override")
         .when(primary["error"].isNotNull(), "primary_error")
-        .when((primary["quality"] != "good") & (fallback["quality"] == "good"), "quality")
-        .when(better, "longer")
-        .otherwise("no_gain")
+        .when(primary["quality"] == "image_only", "image_only")
+        .when((primary["page_count"] > 0) & (per_page < least_per_page), "few_chars")
     )
-    return F.struct(reason.isin("primary_error", "quality", "longer").alias("accepted"), reason.alias("reason"))
+
+
+def accept_fallback(primary: Column, fallback: Column, reason: Column, least_gain: int = LEAST_GAIN, least_ratio: float = LEAST_RATIO) -> Column:
+    """Whether the second extraction, asked for by ``reason``, replaces the first.
+
+    Never if it failed or has no text, or if nobody asked.  Always for a family that is overridden, a first one that failed or is images
+    only, and a rise to ``good``.  For few characters a page it must gain ``least_gain`` characters or reach ``least_ratio`` times as many; else it must be longer.
+    """
+    had, got = F.coalesce(primary["char_count"], F.lit(0)), F.coalesce(fallback["char_count"], F.lit(0))
+    at_once = (reason == "family_override") | primary["error"].isNotNull() | (primary["quality"] == "image_only")
+    better = (fallback["quality"] == "good") & (F.coalesce(primary["quality"], F.lit("")) != "good")
+    enough = F.when(reason == "few_chars", (got - had >= least_gain) | (got >= had * least_ratio)).otherwise(got > had)
+    usable = fallback["error"].isNull() & (got > 0)
+    return F.coalesce(reason.isNotNull() & usable & (F.coalesce(at_once, F.lit(False)) | F.coalesce(better, F.lit(False)) | enough), F.lit(False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.rules import matches
-from ..functions.scalars import days_between, extension, grounding, normalise_quotes, quote_segments
+from ..functions.scalars import days_between, extension, grounding, normalise_quotes, quote_segments, resolve_url, unescape, url_host
 
 
 def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> DataFrame:
@@ -115,21 +115,20 @@ def corpus_stats(df: DataFrame, keys: Sequence[str], words: str, status: Mapping
     )
 
 
-def outlinks(df: DataFrame, key: str, html: str, base: Column) -> DataFrame:
-    """(key, pos, url): link targets of a page in their order, relative ones resolved against ``base``."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?i)href\s*=\s*["']([^"'#]+)["']"""), F.lit(1))
-    rows = df.select(key, base.alias("__base"), F.posexplode(found).alias("pos", "href"))
-    url = (
-        F.when(F.col("href").rlike("^https?://"), F.col("href"))
-        .when(F.col("href").startswith("/"), F.concat("__base", "href"))
-        .otherwise(F.concat(F.col("__base"), F.lit("/"), F.col("href")))
-    )
-    return rows.select(key, "pos", url.alias("url"))
+def outlinks(df: DataFrame, key: str, html: str, page: Column) -> DataFrame:
+    """(key, pos, url, own): targets of a page's anchors in their order, resolved against its address; ``own``: on the page's own host, or on none."""
+    found = F.regexp_extract_all(F.col(html), F.lit(r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)')"""), F.lit(0))
+    rows = df.select(key, page.alias("__page"), F.posexplode(found).alias("pos", "tag"))
+    reference = F.regexp_extract("tag", r"""(?is)["']([^"']*)["']$""", 1)
+    url = resolve_url(F.col("__page"), unescape(reference))
+    host = url_host(F.col("url"))
+    own = host.isNull() | host.eqNullSafe(url_host(F.col("__page")))
+    return rows.withColumn("url", url).select(key, "pos", "url", own.alias("own"))
 
 
 def first_link(links: DataFrame, key: str, good: Column) -> DataFrame:
-    """First link of each page that is ``good``."""
-    return links.filter(good).groupBy(key).agg(F.min_by("url", "pos").alias("url"))
+    """First link of each page that leads to another host and is ``good``."""
+    return links.filter(~F.col("own") & good).groupBy(key).agg(F.min_by("url", "pos").alias("url"))
 
 
 def ground_quotes(

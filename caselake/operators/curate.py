@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import value_map
-from ..functions.scalars import norm_text, to_iso_date, to_number
+from ..functions.ladders import DIMENSION_NAMES, METRIC_FAMILIES, METRIC_NAMES
+from ..functions.rules import compile_ladder, value_map
+from ..functions.scalars import norm_text, period_token, slug, squeeze, to_iso_date, to_number
 
 
 def first_existing(df: DataFrame, aliases: Sequence[str]) -> Column:
@@ -76,11 +77,79 @@ def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("x")).select("x.field", "x.value")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str], least: int = 5, share: float = 0.6) -> DataFrame:
-    """Non-null count, share that parses as a number, and whether the column counts as numeric; one pass."""
-    agg = _long(df, columns).groupBy("field").agg(F.count("value").alias("n"), F.count(F.col("value").try_cast("double")).alias("__p"))
+def _as_number(c: Column) -> Column:
+    return c.try_cast("double")
+
+
+def numeric_profile(df: DataFrame, columns: Sequence[str], least: int = 5, share: float = 0.6, parse: Callable[[Column], Column] = _as_number) -> DataFrame:
+    """Non-null count, share that parses as a number, and whether the column counts as numeric: one aggregate of two counts a column."""
+    text = {c: F.col(c).cast("string") for c in columns}
+    counted = df.agg(*[x.alias(f"{kind}{i}") for i, c in enumerate(columns) for kind, x in (("n", F.count(text[c])), ("p", F.count(parse(text[c]))))])
+    rows = F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"n{i}").alias("n"), F.col(f"p{i}").alias("__p")) for i, c in enumerate(columns)])
+    agg = counted.select(F.explode(rows).alias("x")).select("x.*")
     ratio = F.round(F.try_divide(F.col("__p") * 1.0, F.col("n")), 6)
-    return agg.select("field", "n", ratio.alias("ratio"), ((F.col("n") >= least) & F.coalesce(ratio >= share, F.lit(False))).alias("is_numeric"))
+    return agg.select("field", "n", ratio.alias("ratio"), ((F.col("n") >= least) & F.coalesce(F.col("__p") >= share * F.col("n"), F.lit(False))).alias("is_numeric"))
+
+
+def metric_facts(df: DataFrame, provenance: Sequence[str] = (), least: int = 5, share: float = 0.6, names: Mapping[str, Sequence[str]] = DIMENSION_NAMES) -> DataFrame:
+    """Long facts from a wide sheet whose metrics are chosen by what they hold.
+
+    Columns of ``least`` or more values of which ``share`` read as numbers are metrics, the rest, but for ``provenance``, dimensions: the
+    plan follows from one aggregate of two counts a column.  A fact has the canonical dimensions of ``names`` (the first filled column of each
+    list, null without one), ``period_type``, the metric's name, value and unit, and the breakouts that its name asks for.  Values that are no number
+    have no fact; without a metric there is none at all.
+    """
+    typed = [c for c in df.columns if c not in provenance]
+    metrics = [r["field"] for r in numeric_profile(df, typed, least, share, to_number).filter("is_numeric").collect()]
+    dimensions = [c for c in typed if c not in metrics]
+    own = {name: F.coalesce(*[norm_text(F.col(c).cast("string")) for c in columns if c in dimensions], F.lit(None).cast("string")) for name, columns in names.items()}
+    pairs = [F.struct(F.lit(m).alias("metric_name"), to_number(F.col(m).cast("string")).alias("metric_value")) for m in metrics]
+    none = F.array().cast("array<struct<metric_name:string,metric_value:double>>")
+    long = df.select(*[c.alias(n) for n, c in own.items()], *provenance, F.explode(F.array(*pairs) if pairs else none).alias("x"))
+    long = long.select(*own, *provenance, "x.metric_name", "x.metric_value").filter(F.col("metric_value").isNotNull())
+    name, value = F.lower("metric_name"), F.col("metric_value")
+    percent = name.rlike("percent|%")
+    breakouts = {
+        "volume_received": name.contains("received"),
+        "volume_decided": name.contains("decided"),
+        "volume_allowed": name.contains("allowed"),
+        "allow_rate": name.contains("allow") & name.rlike("percent|rate"),
+        "timeliness_days": name.contains("days"),
+        "timeliness_percent": percent,
+    }
+    kind = F.when(F.col("period").rlike(r"(?i)\bq[1-4]\b"), "quarter").when(F.col("period").rlike(r"^\d{4}$"), "year")
+    unit = F.when(percent, "percent").when(name.contains("days"), "days").otherwise("count")
+    return long.withColumns({"period_type": kind, "metric_unit": unit, **{n: F.when(c, value) for n, c in breakouts.items()}})
+
+
+def recover_metrics(
+    df: DataFrame, name: str, period: str, value: str, context: Sequence[str], names: Mapping[str, str] = METRIC_NAMES
+) -> DataFrame:
+    """Every row, marked in one scan: ``metric_name``, ``period``, ``period_type``, ``metric_family`` and ``drop_reason``.
+
+    A missing period is recovered from a metric's name that is one (:func:`period_token`).  Names that are numbers, time stamps or words that
+    begin with a month's name, with or without a year, are no names; the first filled column of ``context`` takes their place.  Reasons, the later
+    overruling the earlier: no name left, no value, a number for a name.  ``drop_reason`` is null for clean rows.
+    """
+    raw = F.coalesce(squeeze(F.col(name)), F.lit(""))
+    key = slug(raw)
+    is_number = raw.rlike(r"^\d+(\.\d+)?$")
+    junk = (key == "") | key.rlike(r"^\d+$|^\d{4}(_\d{2}){5}$") | key.rlike(r"^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z_]*(\d{2,4})?$")
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    filled = lambda c: F.nullif(squeeze(F.col(c).cast("string")), F.lit(""))
+    instead = F.coalesce(*[slug(filled(c)) for c in context]) if context else F.lit(None).cast("string")
+    clean = F.when(junk, instead).otherwise(F.coalesce(F.try_element_at(known, key), key))
+    marked = df.withColumns({"__name": clean, "__period": F.coalesce(filled(period), period_token(raw)), "__number": is_number})
+    marked = marked.withColumns(
+        {
+            name: F.col("__name"),
+            period: F.col("__period"),
+            "period_type": F.when(F.col("__period").rlike(r"^\d{4}-\d{2}-01$"), "month"),
+            "drop_reason": F.when(F.col("__number"), "numeric_metric_token").when(F.col(value).isNull(), "missing_metric_value").when(F.col("__name").isNull(), "missing_metric_name"),
+        }
+    )
+    families = compile_ladder([(label, [[(name, op, v) for _, op, v in clauses] for clauses in rule]) for label, rule in METRIC_FAMILIES], "other")
+    return marked.withColumn("metric_family", families).drop("__name", "__period", "__number")
 
 
 def field_profile(df: DataFrame, columns: Sequence[str], silent: Sequence[str] = ("", "none", "unknown")) -> DataFrame:

@@ -72,9 +72,10 @@ def merge_lists(df: DataFrame, into: str, other: str) -> DataFrame:
 
 
 def status_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Counts per field and status value, null statuses included."""
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("status")) for f in fields])).alias("x"))
-    return long.groupBy("x.field", "x.status").agg(F.count(F.lit(1)).alias("n"))
+    """Counts per field and status value, null statuses included: rows are counted by all fields together before they are taken apart."""
+    text = df.select(*[F.col(f).cast("string").alias(f) for f in fields]).groupBy(*fields).agg(F.count(F.lit(1)).alias("__n"))
+    long = text.select("__n", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("status")) for f in fields])).alias("x"))
+    return long.groupBy("x.field", "x.status").agg(F.sum("__n").alias("n"))
 
 
 GRANTING = ("approved", "prior_approval_granted")
@@ -88,7 +89,7 @@ def record_checks(db_tolerance: float = 0.6) -> list[Check]:
     reasons, considered = F.coalesce("council_refusal_reasons", none), F.coalesce("council_considerations", none)
     granted, refused = F.coalesce(outcome.isin(*GRANTING), F.lit(False)), outcome.isin(*REFUSING)
     relevant = F.col("hp_relevance") == "hp_relevant"
-    conditions = (F.coalesce("n_conditions", F.lit(0)) != 0) | (F.size(F.coalesce("condition_types", none)) > 0)
+    conditions = (F.coalesce("n_conditions", F.lit(0)) != 0) | (F.size(F.coalesce("condition_types", none)) > 0) | F.coalesce(F.col("hp_specific_conditions") != "", F.lit(False))
     specific, correction, rating = (F.col(f"noise_{c}_db") for c in ("specific_level", "character_correction", "rating_level"))
     limit, exceedance = F.col("noise_limit_db"), F.col("noise_exceedance_db")
     differences = [rating - F.col("noise_background_night_db"), rating - F.col("noise_background_day_db"), rating - limit]
@@ -101,7 +102,7 @@ def record_checks(db_tolerance: float = 0.6) -> list[Check]:
         ("HARD", "refusal_ground_stance", (F.col("hp_refusal_ground") != "") & (stance != "unacceptable"), F.col("hp_refusal_ground")),
         ("REVIEW", "rating_arithmetic", differs(specific + correction, rating, db_tolerance), rating),
         ("REVIEW", "exceedance_arithmetic", differs_from_all(exceedance, differences, db_tolerance), exceedance),
-        ("REVIEW", "limit_double_fill", both_filled(limit, F.col("noise_limit_relative")), limit),
+        ("REVIEW", "limit_double_fill", both_filled(limit, F.nullif(F.col("noise_limit_relative"), F.lit(""))), limit),
         ("REVIEW", "stance_not_assessed", relevant & refused & (stance == "not_separately_assessed"), nothing),
         ("REVIEW", "noise_refusal_stance", relevant & refused & (stance != "unacceptable") & noisy, stance),
         ("REVIEW", "reasons_not_subset", refused & not_subset(reasons, considered), F.array_join(F.array_sort(F.array_except(reasons, considered)), "|")),

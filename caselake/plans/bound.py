@@ -504,7 +504,7 @@ def grounding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH t AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis') AS x FROM pages),
 t2 AS (SELECT page_id, regexp_replace(x, '<(br|/p|/div|/li|/tr|/h[1-6]|/table)[^>]*>', chr(10), 'gi') AS x FROM t),
 t3 AS (SELECT page_id, regexp_replace(x, '<[^>]+>', ' ', 'g') AS x FROM t2),
-t4 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS x FROM t3),
+t4 AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS x FROM t3),
 t5 AS (SELECT page_id, regexp_replace(x, '[ \t\r]+', ' ', 'g') AS x FROM t4)
 SELECT page_id, sha256(trim(regexp_replace(x, ' ?\n[ \n]*', chr(10), 'g'))) AS text_sha FROM t5"""
 )
@@ -513,20 +513,64 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.sha2("text", 256).alias("text_sha"))
 
 
+_LINKED = [
+    """<a href="/own/a">o</a><link href="https://style.example/x"><a href="https://ext.example/doc/1">e</a>""",
+    """<a href="//ext.example/a/b?q=1">e</a><a href="https://late.example/z">l</a>""",
+    """<a href="../up">u</a><a href="https://ext.example/Login?x">g</a>""",
+    """<a class="x" href='https://EXT.example/Case?id=5&amp;v=2'>e</a>""",
+    """<a href="#top">t</a><a href="mailto:x@y.example">m</a><a href="https://ext.example/s#advancedSearch">g</a><A HREF="http://two.example/ok">k</A>""",
+    "",
+]
+
+
 @query(
-    r"""WITH l AS (SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, unnest(regexp_extract_all(html, 'href\s*=\s*["'']([^"''#]+)["'']', 1, 'i')) AS href,
-  unnest(range(len(regexp_extract_all(html, 'href\s*=\s*["'']([^"''#]+)["'']', 1, 'i')))) AS pos FROM pages),
-u AS (SELECT page_id, pos, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN href LIKE '/%' THEN lower(base) || href ELSE lower(base) || '/' || href END AS url FROM l),
-g AS (SELECT *, lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)) AS path FROM u)
+    r"""WITH h AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS own, CASE page_id % 6 """
+    + " ".join(f"WHEN {i} THEN '{x.replace(chr(39), chr(39) * 2)}'" for i, x in enumerate(_LINKED))
+    + r""" END || html AS html FROM pages),
+l AS (SELECT page_id, own, url AS page, unnest(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*'')', 0, 'is')) AS tag, unnest(range(len(regexp_extract_all(html, '<a\s[^>]*?href\s*=\s*(?:"[^"]*"|''[^'']*'')', 0, 'is')))) AS pos FROM h),
+r AS (SELECT *, replace(regexp_extract(tag, '["'']([^"'']*)["'']$', 1), '&amp;', '&') AS ref FROM l),
+u AS (SELECT page_id, own, pos, CASE WHEN ref LIKE '//%' THEN regexp_extract(page, '^([a-z]+:)', 1) || ref ELSE ref END AS url FROM r WHERE ref LIKE '//%' OR regexp_matches(ref, '^https?://')),
+g AS (SELECT *, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, lower(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)) AS path, lower(regexp_extract(url, '#(.*)$', 1)) AS part FROM u)
 SELECT page_id, first(url ORDER BY pos) AS url FROM g
-WHERE CASE WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END NOT IN ('', '/', '/home', '/index.html', '/search')
-  AND NOT contains(path, 'login') AND NOT contains(path, 'search.do') GROUP BY 1"""
+WHERE host <> own AND CASE WHEN length(path) > 1 THEN regexp_replace(path, '/+$', '') ELSE path END NOT IN ('', '/', '/home', '/index.html', '/search')
+  AND NOT contains(path, 'login') AND NOT contains(path, 'search.do') AND part <> 'advancedsearch' GROUP BY 1"""
 )
 def outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = corpus.outlinks(parquet(spark, sf_dir, "pages"), "page_id", "html", S.url_base(F.col("url")))
+    """First link of a page that leads elsewhere and is no landing page."""
+    added = F.element_at(F.array(*map(F.lit, _LINKED)), (F.col("page_id") % 6 + 1).cast("int"))
+    pages = parquet(spark, sf_dir, "pages").select("page_id", "url", F.concat(added, "html").alias("html"))
+    links = corpus.outlinks(pages, "page_id", "html", F.col("url"))
     return corpus.first_link(links, "page_id", ~S.is_generic_url(F.col("url")))
 
 
+@query(
+    r"""WITH p AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+(.*/)', 1), ''), '/') AS folder FROM pages)
+SELECT page_id, CASE page_id % 8 WHEN 0 THEN base || coalesce(nullif(regexp_replace(folder, '[^/]+/$', ''), ''), '/') || 'x' WHEN 1 THEN base || folder || 'y?z=/../1' WHEN 2 THEN base || path || '?q=2' WHEN 3 THEN base || folder || 'w/' WHEN 4 THEN base || '/abs'
+  WHEN 5 THEN regexp_extract(url, '^(https?:)', 1) || '//other.example' WHEN 6 THEN 'https://other.example/a/../b' ELSE regexp_extract(url, '^([^#]*)', 1) || '#part' END AS target FROM p"""
+)
+def resolved_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every kind, resolved against the address of their page."""
+    kinds = ["../x", "./y?z=/../1", "?q=2", "z/../w/v/..", "/../abs", "//other.example", "https://other.example/a/../b", "#part"]
+    reference = F.element_at(F.array(*map(F.lit, kinds)), (F.col("page_id") % 8 + 1).cast("int"))
+    return parquet(spark, sf_dir, "pages").select("page_id", S.resolve_url(F.col("url"), reference).alias("target"))
+
+
+@query(
+    """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'It’s ' || page_id || ' – café' WHEN 1 THEN 'It’s Ā😀' WHEN 2 THEN '&lt; & &nosuch; &#xD800; &' WHEN 3 THEN '€’' ELSE '©½ÿ&' END AS text FROM pages"""
+)
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decimal, hexadecimal and named entities, code page numbers, and what is none."""
+    key = F.col("page_id").cast("string")
+    texts = [
+        F.concat(F.lit("It&#8217;s "), key, F.lit(" &ndash; caf&eacute;")),
+        F.lit("It&#x2019;s &#X100;&#128512;"),
+        F.lit("&amp;lt; &amp; &nosuch; &#xD800; &"),
+        F.lit("&#128;&#146;"),
+        F.lit("&copy;&frac12;&yuml;&"),
+    ]
+    return parquet(spark, sf_dir, "pages").select("page_id", S.unescape(F.get(F.array(*texts), (F.col("page_id") % 5).cast("int"))).alias("text"))
+
+
 MOVED_HOSTS = dict.fromkeys(("thther.example.org", "therha.example.com", "therin.example.net"), "moved.example.org")
 
 

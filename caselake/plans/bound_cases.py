@@ -259,7 +259,7 @@ _SQL_RECORDS = """r AS (SELECT o_orderkey AS uid, o_orderkey % 97 AS k, CASE WHE
   CASE o_orderkey % 5 WHEN 0 THEN ['sound_noise', 'design'] WHEN 1 THEN ['design'] WHEN 2 THEN []::VARCHAR[] END AS reasons, CASE o_orderkey % 6 WHEN 0 THEN ['design'] WHEN 1 THEN ['design', 'sound_noise'] END AS considered,
   CASE WHEN o_orderkey % 2 = 0 THEN 30.0::DOUBLE END AS specific, 5.0::DOUBLE AS correction, CASE WHEN o_orderkey % 8 < 6 THEN 35.0::DOUBLE + o_orderkey % 3 END AS rating,
   CASE WHEN o_orderkey % 7 = 0 THEN 30.0::DOUBLE END AS night, CASE WHEN o_orderkey % 7 = 1 THEN 33.0::DOUBLE END AS day, CASE WHEN o_orderkey % 11 = 0 THEN 34.0::DOUBLE END AS lim,
-  CASE WHEN o_orderkey % 13 < 5 THEN 3.0::DOUBLE END AS exceedance, CASE WHEN o_orderkey % 22 = 0 THEN 'background' END AS relative, CASE o_orderkey % 14 WHEN 0 THEN true WHEN 1 THEN false END AS turbine,
+  CASE WHEN o_orderkey % 13 < 5 THEN 3.0::DOUBLE END AS exceedance, CASE o_orderkey % 22 WHEN 0 THEN 'background' WHEN 11 THEN '' END AS relative, CASE o_orderkey % 16 WHEN 0 THEN 'hours' WHEN 1 THEN '' END AS specific_conditions, CASE o_orderkey % 14 WHEN 0 THEN true WHEN 1 THEN false END AS turbine,
   CASE WHEN o_orderkey % 28 IN (0, 2) THEN ['wind_turbine'] END AS works, CASE o_orderkey % 15 WHEN 0 THEN '1930s' WHEN 1 THEN '' END AS age, CASE o_orderkey % 30 WHEN 0 THEN 'built in 1932' END AS proof FROM orders)"""
 
 
@@ -267,11 +267,11 @@ _SQL_RECORDS = """r AS (SELECT o_orderkey AS uid, o_orderkey % 97 AS k, CASE WHE
     f"""WITH {_SQL_RECORDS}, d AS (SELECT *, list_filter([rating - night, rating - day, rating - lim], lambda x: x IS NOT NULL) AS diffs, outcome IN ('refused', 'prior_approval_refused') AS refused,
   coalesce(stance, '') AS st, coalesce(reasons, []) AS rs, coalesce(considered, []) AS cs FROM r),
 f AS (SELECT uid, error, unnest([CASE WHEN error IS NOT NULL THEN {{'s': 'HARD', 'c': 'extraction_error', 'd': error}} END,
-  CASE WHEN NOT coalesce(outcome = 'approved', false) AND (coalesce(n_conditions, 0) <> 0 OR len(coalesce(condition_types, [])) > 0) THEN {{'s': 'HARD', 'c': 'conditions_on_refusal', 'd': outcome}} END,
+  CASE WHEN NOT coalesce(outcome = 'approved', false) AND (coalesce(n_conditions, 0) <> 0 OR len(coalesce(condition_types, [])) > 0 OR coalesce(specific_conditions, '') <> '') THEN {{'s': 'HARD', 'c': 'conditions_on_refusal', 'd': outcome}} END,
   CASE WHEN ground <> '' AND st <> 'unacceptable' THEN {{'s': 'HARD', 'c': 'refusal_ground_stance', 'd': ground}} END,
   CASE WHEN abs(specific + correction - rating) > 0.6 THEN {{'s': 'REVIEW', 'c': 'rating_arithmetic', 'd': rating::VARCHAR}} END,
   CASE WHEN exceedance IS NOT NULL AND len(diffs) > 0 AND len(list_filter(diffs, lambda x: abs(exceedance - x) <= 0.6)) = 0 THEN {{'s': 'REVIEW', 'c': 'exceedance_arithmetic', 'd': exceedance::VARCHAR}} END,
-  CASE WHEN lim IS NOT NULL AND relative IS NOT NULL THEN {{'s': 'REVIEW', 'c': 'limit_double_fill', 'd': lim::VARCHAR}} END,
+  CASE WHEN lim IS NOT NULL AND relative <> '' THEN {{'s': 'REVIEW', 'c': 'limit_double_fill', 'd': lim::VARCHAR}} END,
   CASE WHEN relevance = 'hp_relevant' AND refused AND st = 'not_separately_assessed' THEN {{'s': 'REVIEW', 'c': 'stance_not_assessed', 'd': NULL}} END,
   CASE WHEN relevance = 'hp_relevant' AND refused AND st <> 'unacceptable' AND list_has_any(rs, ['sound_noise', 'setback_boundary']) THEN {{'s': 'REVIEW', 'c': 'noise_refusal_stance', 'd': st}} END,
   CASE WHEN refused AND NOT list_has_all(cs, rs) THEN {{'s': 'REVIEW', 'c': 'reasons_not_subset', 'd': array_to_string(list_sort(list_filter(rs, lambda x: NOT list_contains(cs, x))), '|')}} END,
@@ -307,7 +307,8 @@ def record_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "noise_background_day_db": F.when(key % 7 == 1, F.lit(33.0)),
         "noise_limit_db": F.when(key % 11 == 0, F.lit(34.0)),
         "noise_exceedance_db": F.when(key % 13 < 5, F.lit(3.0)),
-        "noise_limit_relative": F.when(key % 22 == 0, "background"),
+        "noise_limit_relative": turn(22, {0: "background", 11: ""}),
+        "hp_specific_conditions": turn(16, {0: "hours", 1: ""}),
         "includes_wind_turbine": turn(14, {0: True, 1: False}),
         "bundled_works": F.when((key % 28).isin(0, 2), words("wind_turbine")),
         "building_age": turn(15, {0: "1930s", 1: ""}),
@@ -496,34 +497,48 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN d END AS day, CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'refused' ELSE 'Other' END AS verdict FROM d"""
+SELECT o_orderkey, CASE WHEN o_orderkey % 12 < 11 THEN d END AS day, CASE o_orderkey % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'refused' ELSE 'Other' END AS verdict FROM d"""
 )
 def coded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates in several written forms, and decisions through a value map."""
+    """Dates in eleven written forms and one that is none, and decisions through a value map."""
     key, day = F.col("o_orderkey"), F.col("o_orderdate")
-    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "d MMMM yyyy"]
-    written = R.first_case([(key % 6 == i, F.date_format(day, f)) for i, f in enumerate(forms)], "32/13/1999")
+    number = F.dayofmonth(day)
+    suffix = F.when(number.isin(11, 12, 13), "th").when(number % 10 == 1, "st").when(number % 10 == 2, "nd").when(number % 10 == 3, "rd").otherwise("th")
+    forms = ["yyyy-MM-dd", "dd/MM/yyyy", "d/M/yyyy", "dd-MM-yyyy", "d MMMM yyyy", "d MMM yyyy", "dd.MM.yy", "MMMM d, yyyy", "yyyy/MM/dd HH:mm:ss"]
+    texts = [F.date_format(day, f) for f in forms]
+    texts += [F.concat(number.cast("string"), suffix, F.lit("  "), F.date_format(day, "MMMM yyyy")), F.upper(F.date_format(day, "dd-MMM-yy"))]
+    written = R.first_case([(key % 12 == i, t) for i, t in enumerate(texts)], "32/13/1999")
     verdict = R.first_case([(key % 4 == 0, " Granted"), (key % 4 == 1, "DISMISSED ")], "Other")
     maps = {"granted": "approved", "dismissed": "refused"}
     return parquet(spark, sf_dir, "orders").select("o_orderkey", S.to_iso_date(written).alias("day"), R.value_map(verdict, maps).alias("verdict"))
 
 
 @query(
-    """WITH p AS (SELECT doc_id, coalesce(n_chars, 0) AS a, CASE WHEN doc_id % 3 = 0 THEN 'good' ELSE 'poor' END AS qa, CASE WHEN doc_id % 11 = 0 THEN 'crash' END AS ea,
-  coalesce(n_chars, 0) + doc_id % 400 - 100 AS b, CASE WHEN doc_id % 5 = 0 THEN 'good' ELSE 'poor' END AS qb, CASE WHEN doc_id % 13 = 0 THEN 'crash' END AS eb FROM documents),
-r AS (SELECT doc_id, CASE WHEN eb IS NOT NULL THEN 'fallback_error' WHEN ea IS NOT NULL THEN 'primary_error' WHEN qa <> 'good' AND qb = 'good' THEN 'quality' WHEN b >= a * 1.2 THEN 'longer' ELSE 'no_gain' END AS reason FROM p)
-SELECT reason, reason IN ('primary_error', 'quality', 'longer') AS accepted, count(*) AS n FROM r GROUP BY 1"""
+    """WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 0 ELSE coalesce(n_chars, 0) END AS a, doc_id % 4 AS pages, CASE WHEN doc_id % 5 = 0 THEN 'unreadable' WHEN doc_id % 7 = 0 THEN 'image_only' WHEN doc_id % 3 = 0 THEN 'good' ELSE 'poor' END AS qa,
+  CASE WHEN doc_id % 11 = 0 THEN 'crash' END AS ea, CASE doc_id % 17 WHEN 0 THEN ' noise ' WHEN 1 THEN 'spec_calc' WHEN 2 THEN 'plan' END AS family,
+  CASE WHEN doc_id % 6 = 0 THEN 0 ELSE coalesce(n_chars, 0) + (doc_id % 40 - 10) * 50 END AS b, CASE WHEN doc_id % 2 = 0 THEN 'good' ELSE 'poor' END AS qb, CASE WHEN doc_id % 13 = 0 THEN 'crash' END AS eb FROM documents),
+r AS (SELECT *, CASE WHEN trim(family) IN ('noise', 'spec_calc') THEN 'family_override' WHEN ea IS NOT NULL THEN 'primary_error' WHEN qa = 'image_only' THEN 'image_only' WHEN pages > 0 AND a / pages < 600 THEN 'few_chars' END AS reason FROM p),
+v AS (SELECT reason, reason IS NOT NULL AND eb IS NULL AND b > 0 AND CASE WHEN reason IN ('family_override', 'primary_error', 'image_only') OR ea IS NOT NULL OR qa = 'image_only' THEN true WHEN qb = 'good' AND qa <> 'good' THEN true
+  WHEN reason = 'few_chars' THEN b >= a + 500 OR 2 * b >= 3 * a ELSE b > a END AS accepted FROM r)
+SELECT reason, accepted, count(*) AS n FROM v GROUP BY ALL"""
 )
 def fallback_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a second extraction of a document is taken, and why."""
+    """Why a document is extracted a second time, and whether that is taken."""
     key, chars = F.col("doc_id"), F.coalesce("n_chars", F.lit(0))
-
-    def result(n: Column, good: int, crash: int) -> Column:
-        return F.struct(n.alias("char_count"), F.when(key % good == 0, "good").otherwise("poor").alias("quality"), F.when(key % crash == 0, "crash").alias("error"))
-
-    verdict = S.accept_fallback(result(chars, 3, 11), result(chars + key % 400 - 100, 5, 13))
-    rows = parquet(spark, sf_dir, "documents").select(verdict.alias("v"))
-    return rows.groupBy("v.reason", "v.accepted").agg(F.count(F.lit(1)).alias("n"))
+    quality = R.first_case([(key % 5 == 0, "unreadable"), (key % 7 == 0, "image_only"), (key % 3 == 0, "good")], "poor")
+    primary = F.struct(
+        F.when(key % 5 == 0, 0).otherwise(chars).alias("char_count"), (key % 4).alias("page_count"), quality.alias("quality"), F.when(key % 11 == 0, "crash").alias("error")
+    )
+    second = F.struct(
+        F.when(key % 6 == 0, 0).otherwise(chars + (key % 40 - 10) * 50).alias("char_count"),
+        F.when(key % 2 == 0, "good").otherwise("poor").alias("quality"),
+        F.when(key % 13 == 0, "crash").alias("error"),
+    )
+    family = R.first_case([(key % 17 == 0, " noise "), (key % 17 == 1, "spec_calc"), (key % 17 == 2, "plan")])
+    rows = parquet(spark, sf_dir, "documents").select(primary.alias("p"), second.alias("f"), family.alias("family"))
+    rows = rows.withColumn("reason", S.fallback_reason(F.col("p"), F.col("family"), 600.0))
+    rows = rows.withColumn("accepted", S.accept_fallback(F.col("p"), F.col("f"), F.col("reason")))
+    return rows.groupBy("reason", "accepted").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- progress, paths, lookups ----------------------------------------------------------------------------------
@@ -639,17 +654,31 @@ def given_or_ruled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "part").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    """WITH e AS (SELECT CASE event_id % 4 WHEN 0 THEN event_type || ' ' || strftime(ts, '%b %Y') WHEN 1 THEN strftime(ts, '%Y-%m') || ' x' WHEN 2 THEN 'Q1 ' || year(ts) ELSE event_type END AS t, event_id % 4 AS k FROM events)
-SELECT CASE k WHEN 0 THEN 'month' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' END AS period_type, CASE k WHEN 0 THEN '2024-01' WHEN 1 THEN '2024-01' WHEN 2 THEN '2024-Q1' END AS period, count(*) AS n FROM e GROUP BY 1, 2"""
-)
+_SQL_PERIODS = """WITH t AS (SELECT lower(CASE event_id % 9 WHEN 0 THEN event_type || ' ' || strftime(ts, '%b %Y') WHEN 1 THEN strftime(ts, '%Y-%m') || ' x' WHEN 2 THEN 'Q1 ' || year(ts) WHEN 3 THEN 'decimal ' || year(ts)
+  WHEN 4 THEN 'Marketing ' || year(ts) || ' q' || (event_id % 4 + 1) WHEN 5 THEN 'Dismissed Mar ' || (event_id % 80 + 20) WHEN 6 THEN strftime(ts, '%Y-%m') || '-00 3000' WHEN 7 THEN 'in 1850 or Sept_' || (1985 + event_id % 10) ELSE event_type END) AS t FROM events),
+x AS (SELECT *, regexp_extract(t, '\\b(\\d{4})-(0[1-9]|1[0-2])\\b', ['y', 'm']) AS iso,
+  regexp_extract(t, '\\b(january|february|march|april|may|june|july|august|september|october|november|december|sept|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec)[\\s_.,-]*(\\d{4}|\\d{2})\\b', ['m', 'y']) AS word,
+  regexp_extract(t, '\\bq([1-4])\\b', 1) AS q, regexp_extract(t, '\\b(19\\d\\d|20\\d\\d|2100)\\b', 1) AS y FROM t),
+p AS (SELECT *, try_cast(iso.y AS INT) AS iy, try_cast(word.y AS INT) + CASE WHEN length(word.y) = 2 THEN 2000 ELSE 0 END AS wy,
+  CASE WHEN try_cast(y AS INT) BETWEEN 1990 AND 2100 THEN y END AS yy, list_position(['jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec'], word.m[:3]) AS wm FROM x),
+k AS (SELECT CASE WHEN iy BETWEEN 1990 AND 2100 THEN iso.y || '-' || iso.m WHEN wy BETWEEN 1990 AND 2100 THEN printf('%04d-%02d', wy, wm) WHEN q <> '' AND yy IS NOT NULL THEN yy || '-Q' || q ELSE yy END AS period FROM p)"""
+
+
+@query(f"{_SQL_PERIODS} SELECT CASE WHEN period LIKE '%Q%' THEN 'quarter' WHEN length(period) = 4 THEN 'year' WHEN period IS NOT NULL THEN 'month' END AS period_type, period, count(*) AS n FROM k GROUP BY ALL")
 def period_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn, day = F.col("event_id") % 4, F.col("ts")
-    text = (
-        F.when(turn == 0, F.concat_ws(" ", "event_type", F.date_format(day, "MMM yyyy")))
-        .when(turn == 1, F.concat(F.date_format(day, "yyyy-MM"), F.lit(" x")))
-        .when(turn == 2, F.concat(F.lit("Q1 "), F.year(day).cast("string")))
-        .otherwise(F.col("event_type"))
-    )
+    """Periods in texts of nine kinds: named and ISO months, quarters, years, years out of bounds, and words that only begin like months."""
+    event, day = F.col("event_id"), F.col("ts")
+    year = F.year(day).cast("string")
+    texts = [
+        F.concat_ws(" ", "event_type", F.date_format(day, "MMM yyyy")),
+        F.concat(F.date_format(day, "yyyy-MM"), F.lit(" x")),
+        F.concat(F.lit("Q1 "), year),
+        F.concat(F.lit("decimal "), year),
+        F.concat(F.lit("Marketing "), year, F.lit(" q"), (event % 4 + 1).cast("string")),
+        F.concat(F.lit("Dismissed Mar "), (event % 80 + 20).cast("string")),
+        F.concat(F.date_format(day, "yyyy-MM"), F.lit("-00 3000")),
+        F.concat(F.lit("in 1850 or Sept_"), (event % 10 + 1985).cast("string")),
+    ]
+    text = R.first_case([(event % 9 == i, t) for i, t in enumerate(texts)], F.col("event_type"))
     rows = parquet(spark, sf_dir, "events").select(S.period_type(text).alias("period_type"), S.period_key(text).alias("period"))
     return rows.groupBy("period_type", "period").agg(F.count(F.lit(1)).alias("n"))

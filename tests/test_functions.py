@@ -57,7 +57,9 @@ def test_suppressed(spark, text, want):
     assert one(spark, text, S.suppressed_number) == want
 
 
-@pytest.mark.parametrize("text, want", [("03/04/2024", "2024-04-03"), ("2024-04-03", "2024-04-03"), ("3 April 2024", "2024-04-03"), ("soon", None), ("31/02/2024", None)])
+@pytest.mark.parametrize("text, want", [("03/04/2024", "2024-04-03"), ("2024-04-03", "2024-04-03"), ("3 April 2024", "2024-04-03"), ("soon", None), ("31/02/2024", None),
+    ("3 Apr 2023", "2023-04-03"), ("03.04.23", "2023-04-03"), ("3rd April 2023", "2023-04-03"), ("April 3, 2023", "2023-04-03"), ("3/apr/98", "1998-04-03"), ("21ST SEPT 2020", "2020-09-21"),
+    ("2024/4/3 10:30", "2024-04-03"), ("04/13/2023", "2023-04-13"), ("3 Aprilx 2023", None), ("3 4", None), ("13/13/2023", None), ("2023", None), (None, None), ("", None)])
 def test_dates_day_first(spark, text, want):
     got = one(spark, text, S.to_iso_date)
     assert (str(got) if got else None) == want
@@ -76,11 +78,41 @@ def test_postcode_and_region(spark):
     assert one(spark, "ZZ1", lambda c: S.prefix_lookup(c, regions)) == "Unknown"
 
 
-@pytest.mark.parametrize("text, want", [("Views Mar 2024", "2024-03"), ("2024-11 x", "2024-11"), ("Q3 2023", "2023-Q3"), ("year 2020", "2020"), ("x", None)])
+@pytest.mark.parametrize("text, want", [("Views Mar 2024", "2024-03"), ("2024-11 x", "2024-11"), ("Q3 2023", "2023-Q3"), ("year 2020", "2020"), ("x", None),
+    ("decimal 2024", "2024"), ("Marketing 2024 q3", "2024-Q3"), ("Dismissed Mar 24", "2024-03"), ("3000-13 in 1850", None), ("Sept_1989", None), ("12024-031", None), (None, None)])
 def test_period(spark, text, want):
     assert one(spark, text, S.period_key) == want
 
 
+@pytest.mark.parametrize("text, want", [("Mar 24", "2024-03-01"), ("march_2024", "2024-03-01"), ("Sept-2024", "2024-09-01"), ("2024-03-05 00:00:00", "2024-03-01"), ("2024-13-05 00:00:00", None), ("March", None), ("Dec 1989", None), ("mar 240", None), ("x Mar 24", None), ("2024-03", None), (None, None)])
+def test_period_token(spark, text, want):
+    assert one(spark, text, S.period_token) == want
+
+
+@pytest.mark.parametrize("ref, want", [("x", "http://h.example/a/x"), ("../../../x", "http://h.example/x"), (".", "http://h.example/a/"), ("..", "http://h.example/"), ("?q", "http://h.example/a/b?q"), ("", "http://h.example/a/b?k=1"), ("#p", "http://h.example/a/b?k=1#p"), ("//o.example/../z", "http://o.example/../z"), ("HTTPS://o.example", "HTTPS://o.example"), ("/x/./y/../z?u=../v", "http://h.example/x/z?u=../v"), (None, None)])
+def test_resolve_url(spark, ref, want):
+    from urllib.parse import urljoin
+
+    assert one(spark, ref, lambda c: S.resolve_url(F.lit("http://h.example/a/b?k=1#f"), c)) == want
+    assert ref is None or urljoin("http://h.example/a/b?k=1", ref) == want or ref == "HTTPS://o.example"
+
+
+@pytest.mark.parametrize("url, want", [(None, False), ("", False), (" ", False), ("https://a.example/#AdvancedSearch", True), ("https://a.example/case/1#advancedsearch", True), ("https://a.example/case/1#x", False), ("https://a.example", True), ("https://a.example/LOGIN.do", True)])
+def test_generic_urls(spark, url, want):
+    assert one(spark, url, S.is_generic_url) is want
+
+
+def test_rules_over_columns(spark):
+    from caselake.functions import rules as R
+
+    df = spark.createDataFrame([(" Letter ", "x"), ("memo", "Final LETTER"), (None, None), ("", " ")], "a string, b string")
+    rules = [(1, [[("a", "in", ("letter",))]]), (2, [[(("a", "b"), "contains", ("letter",)), ("b", "matches", "^final")]]), (3, [[("a", "filled", False), ("b", "filled", False)]])]
+    assert [r[0] for r in df.select(R.compile_ladder(rules, 9)).collect()] == [1, 2, 3, 3]
+    for bad in ([], [(1, [])], [(1, [[]])], [(1, [[("a", "like", "x")]])]):
+        with pytest.raises(ValueError):
+            R.compile_ladder(bad)
+
+
 def test_names(spark):
     assert one(spark, "St. Albans & District Council", S.canonical_name) == "SAINT ALBANS"
     assert one(spark, "City of King's Lynn Council", S.area_name_key) == "kings lynn"
@@ -131,11 +163,23 @@ def test_quality_and_fallback(spark):
     df = spark.createDataFrame([(0, 0, 0), (50, 9, 1), (900, 150, 0), (900, 150, 2)], "c int, w int, h int")
     got = [r[0] for r in df.select(S.text_quality(F.col("c"), F.col("w"), F.col("h"))).collect()]
     assert got == ["unreadable", "image_only", "poor", "good"]
-    pair = spark.createDataFrame(
-        [((100, "poor", None), (110, "good", None)), ((100, "good", None), (90, "good", None)), ((100, "good", "x"), (1, "poor", None))],
-        "p struct<char_count:long,quality:string,error:string>, f struct<char_count:long,quality:string,error:string>",
-    )
-    assert [tuple(r[0]) for r in pair.select(S.accept_fallback(F.col("p"), F.col("f"))).collect()] == [(True, "quality"), (False, "no_gain"), (True, "primary_error")]
+    kind = "struct<char_count:long,page_count:int,quality:string,error:string>"
+    cases = [
+        ((100, 1, "poor", None), (110, 1, "good", None), None, "few_chars", None, True),
+        ((900, 1, "good", None), (9000, 1, "good", None), None, None, None, False),
+        ((100, 2, "good", "x"), (1, 1, "poor", None), None, "primary_error", None, True),
+        ((100, 2, "good", "x"), (0, 1, "poor", None), "noise", "family_override", None, False),
+        ((0, 0, None, None), (0, 0, None, None), None, None, None, False),
+        ((60, 1, "poor", None), (89, 1, "poor", None), None, "few_chars", None, False),
+        ((60, 1, "poor", None), (90, 1, "poor", None), None, "few_chars", None, True),
+        ((5, 1, "image_only", None), (1, 1, "poor", None), " plan ", "image_only", None, True),
+        ((900, 1, "good", None), (1, 1, "poor", None), " noise", "family_override", None, True),
+        ((900, 1, "image_only", None), (1, 1, "poor", "y"), " noise", "family_override", None, False),
+    ]
+    pair = spark.createDataFrame([(i, c[0], c[1], c[2]) for i, c in enumerate(cases)], f"i int, p {kind}, f {kind}, family string")
+    reason = S.fallback_reason(F.col("p"), F.col("family"), 120.0)
+    got = pair.select("i", reason, S.accept_fallback(F.col("p"), F.col("f"), reason)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [(c[3], c[5]) for c in cases]
 
 
 def test_json_and_hints(spark):

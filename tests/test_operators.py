@@ -175,10 +175,10 @@ def test_upper_median(spark):
 
 def test_external_outlink(spark):
     html = '<a href="/">h</a><a href="https://own.example/x">o</a><a href="https://ext.example/doc/1">e</a>'
-    df = spark.createDataFrame([(1, html)], "page long, html string")
-    links = corpus.outlinks(df, "page", "html", F.lit("https://own.example"))
-    good = F.col("url").rlike("^https?://") & ~F.col("url").contains("own.example")
-    assert rows(corpus.first_link(links, "page", good)) == [(1, "https://ext.example/doc/1")]
+    df = spark.createDataFrame([(1, html), (2, '<a href="../y">o</a>'), (3, None)], "page long, html string")
+    links = corpus.outlinks(df, "page", "html", F.lit("https://own.example/a/b"))
+    assert sorted(map(tuple, links.collect())) == [(1, 0, "https://own.example/", True), (1, 1, "https://own.example/x", True), (1, 2, "https://ext.example/doc/1", False), (2, 0, "https://own.example/y", True)]
+    assert rows(corpus.first_link(links, "page", F.lit(True))) == [(1, "https://ext.example/doc/1")]
 
 
 def test_checks_and_normalise(spark):
