@@ -32,6 +32,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import materialize, sample_fraction, table
 
 
+#: Components beyond this are clipped for the tree and for quick distances, so that no square overflows.
+LIMIT = 1e100
+
+
+def bounded(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, -LIMIT, LIMIT)
+
+
+def beyond(x: np.ndarray) -> np.ndarray:
+    """Rows that :func:`bounded` changes."""
+    return (np.abs(x) > LIMIT).any(axis=1)
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where a square overflows, the differences are scaled first."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = np.sqrt(((x - q) ** 2).sum(axis=1))
+    for i in np.flatnonzero(~np.isfinite(out)):
+        half = np.abs(x[i] / 2 - q / 2)
+        with np.errstate(over="ignore"):
+            out[i] = 2 * half.max() * np.sqrt(((half / half.max()) ** 2).sum())
+    return out
+
+
 @dataclass
 class Node:
     centers: np.ndarray | None = None
@@ -111,7 +135,11 @@ def grow(sample: np.ndarray, branching: int, leaf_rows: int, seed: int = 7) -> T
         return Node(leaf=count - 1)
 
     root = build(np.arange(len(sample)))
-    return Tree(root, count, sample.mean(axis=0) if len(sample) else np.zeros(0))
+    if not len(sample):
+        return Tree(root, count, np.zeros(0))
+    # rows far larger than most would take all precision from the others
+    sizes = np.abs(sample).max(axis=1)
+    return Tree(root, count, sample[sizes <= 1e3 * np.median(sizes)].mean(axis=0))
 
 
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
@@ -128,9 +156,12 @@ def rounding_reach(norms: np.ndarray, own: np.ndarray, dim: int) -> np.ndarray:
     return 4 * (dim + 8) * np.finfo(np.float64).eps * sizes**2
 
 
-def nearest_rows(quick: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
-    """Every row that may be among the ``k`` nearest when ``quick`` is off by ``reach`` at most; infinite ones are out."""
-    far = quick + reach
+def nearest_rows(quick: np.ndarray, reach: np.ndarray, k: int, clipped: np.ndarray | bool = False) -> np.ndarray:
+    """Every row that may be among the ``k`` nearest when ``quick`` is off by ``reach`` at most; infinite ones are out.
+
+    Distances of ``clipped`` rows may be larger than ``quick`` by any amount.
+    """
+    far = np.where(clipped, np.inf, quick + reach)
     limit = np.partition(far, k - 1)[k - 1] if len(far) > k else np.inf
     return np.flatnonzero((quick - reach <= limit) & np.isfinite(quick))
 
@@ -163,7 +194,8 @@ def nearest_neighbours(
     but those with its own id.  Ties go to the smaller id.  Rows with a null id, and vectors that
     are null, empty, zero, of another length than most, or hold null or non-finite components, take no part.
     Repeated rows with one id and vector are one candidate; a query id with several vectors asks with the smallest.  Fewer candidates than ``k``: all of
-    them come back.  An empty table gives an empty result.  Extra columns are not read.
+    them come back.  Components of any finite size are measured exactly; a distance beyond the doubles is infinite.  An empty table gives
+    an empty result.  Extra columns are not read.
 
     The tree is fitted on about ``sample_rows`` rows and has at most about ``most_leaves`` leaves, so
     what tasks get as a broadcast is bounded; all rows are filed in it.
@@ -185,13 +217,13 @@ def nearest_neighbours(
     asked = materialize(tidy(queries).filter(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
 
     chosen = sample_fraction(base, sample_rows, "id").orderBy("id").select("v").toArrow()["v"].combine_chunks()
-    sample = _vectors(chosen, dim)
+    sample = bounded(_vectors(chosen, dim))
     wanted = min(most_leaves, max(1, math.ceil(n / rows_per_leaf)))
     tree = grow(sample, branching, max(1, len(sample) // wanted))
 
     def filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            leaves = tree.file(_vectors(b.column(1), dim)) if b.num_rows else np.empty(0, np.int64)
+            leaves = tree.file(bounded(_vectors(b.column(1), dim))) if b.num_rows else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves)], ["id", "v", "leaf"])
 
     entries = distinct_vectors(base, k + 1)
@@ -214,7 +246,7 @@ def nearest_neighbours(
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at, blocks, leaves = [], [], []
-            for i, q in enumerate(_vectors(b.column(1), dim) if b.num_rows else ()):
+            for i, q in enumerate(bounded(_vectors(b.column(1), dim)) if b.num_rows else ()):
                 own: dict[int, list[int]] = {}
                 for leaf in tree.visit(q, visits):
                     for block in range(first[leaf], first[leaf] + parts[leaf]):
@@ -244,19 +276,19 @@ def nearest_neighbours(
         if asking.num_rows and held.num_rows:
             x = _vectors(held.column("v").combine_chunks(), dim)
             leaf, ids = held.column("leaf").to_numpy(), held.column("id").to_pylist()
-            centred = x - tree.mean
+            centred, large = bounded(x) - tree.mean, beyond(x)
             norms = (centred**2).sum(axis=1)
             query_ids, all_leaves = asking.column("query_id").to_pylist(), asking.column("leaves").to_pylist()
             q = _vectors(asking.column("q").combine_chunks(), dim)
             for at in range(0, len(q), 128):
-                part = q[at : at + 128] - tree.mean
+                part, wide = bounded(q[at : at + 128]) - tree.mean, beyond(q[at : at + 128])
                 own_norms = (part**2).sum(axis=1)
                 quick = norms + own_norms[:, None] - 2 * (part @ centred.T)
                 reach = rounding_reach(norms, own_norms, dim)
                 for j, row in enumerate(quick):
                     row[~np.isin(leaf, all_leaves[at + j])] = np.inf
-                    near = nearest_rows(row, reach[j], k + 1)  # one of them may be the query itself
-                    away = np.sqrt(((x[near] - q[at + j]) ** 2).sum(axis=1))
+                    near = nearest_rows(row, reach[j], k + 1, large | wide[j])  # one of them may be the query itself
+                    away = distances(x[near], q[at + j])
                     own = query_ids[at + j]
                     best = sorted((float(d), i) for d, n in zip(away, near, strict=True) for i in ids[n] if i != own)[:k]
                     out_q += [own] * len(best)
@@ -331,14 +363,14 @@ def calibrate(
             if not b.num_rows:
                 continue
             x, held = _vectors(b.column(1), dim), b.column(0).to_pylist()
-            leaves = tree.file(x)
-            centred, part = x - tree.mean, q - tree.mean
+            leaves, large, wide = tree.file(bounded(x)), beyond(x), beyond(q)
+            centred, part = bounded(x) - tree.mean, bounded(q) - tree.mean
             norms, own_norms = (centred**2).sum(axis=1), (part**2).sum(axis=1)
             quick = norms + own_norms[:, None] - 2 * (part @ centred.T)
             reach = rounding_reach(norms, own_norms, dim)
             for j, one in enumerate(q):
-                near = nearest_rows(quick[j], reach[j], k + 1)
-                away = np.sqrt(((x[near] - one) ** 2).sum(axis=1))
+                near = nearest_rows(quick[j], reach[j], k + 1, large | wide[j])
+                away = distances(x[near], one)
                 found = [(float(d), held[i], int(leaves[i])) for d, i in zip(away, near, strict=True) if held[i] != ids[j]]
                 heap[j] = sorted(heap[j] + found)[:k]
         rows = [(j, *entry) for j, h in enumerate(heap) for entry in h]
@@ -355,7 +387,7 @@ def calibrate(
         .filter(F.col("r") <= k)
         .collect()
     )
-    place = [{leaf: i + 1 for i, leaf in enumerate(tree.visit(one, tree.n_leaves))} for one in q]
+    place = [{leaf: i + 1 for i, leaf in enumerate(tree.visit(one, tree.n_leaves))} for one in bounded(q)]
     needed = sorted(place[r["j"]][r["leaf"]] for r in truth)
     return needed[min(len(needed) - 1, math.ceil(target * len(needed)) - 1)] if needed else tree.n_leaves
 

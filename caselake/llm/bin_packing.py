@@ -113,7 +113,8 @@ def pack(
     Columns: ``shard``, ``bin`` (from 0 in its shard), ``capacity``, ``used``, ``start`` (place in the bin),
     ``id_col``, ``piece_offset``, ``piece_length``.  Items longer than the largest capacity are split
     without loss.  Null or non-positive lengths (empty texts) give one row with null bin columns and
-    length 0, so no row is lost; repeated rows are packed once each.  An empty table gives an empty table.
+    length 0, so no row is lost; repeated rows are packed once each, spread over all shards.  An empty table gives an empty table.
+    Which shard a row is dealt to depends on how the input is split; a task that is run again makes the same rows.
     """
     if not capacities or min(capacities) <= 0:
         raise ValueError("capacities must be positive")
@@ -122,7 +123,9 @@ def pack(
     rows = lengths.select(F.col(id_col).alias("id"), F.coalesce(F.col(length_col), F.lit(0)).cast("long").alias("n"))
     total, n_rows = rows.filter(F.col("n") > 0).agg(F.sum("n"), F.count(F.lit(1))).first()
     n_shards = shard_count(total or 0, n_rows, shard_tokens, shard_rows)
-    dealt = rows.filter(F.col("n") > 0).withColumn("shard", F.pmod(F.xxhash64("id", "n"), F.lit(n_shards)).cast("int"))
+    # the running number spreads rows that are alike in id and length
+    number = F.monotonically_increasing_id()
+    dealt = rows.filter(F.col("n") > 0).withColumn("shard", F.pmod(F.xxhash64("id", "n", number), F.lit(n_shards)).cast("int"))
     schema = (
         f"shard int, bin bigint, capacity int, used int, start int, id {kind}, piece_offset bigint, piece_length int"
     )

@@ -135,21 +135,35 @@ def linked_components(
             pairs = pairs.join(tried, (lo == F.col("lo")) & (hi == F.col("hi")), "left_anti")
         return materialize(pairs, "pairs")
 
+    def components() -> DataFrame:
+        if links is None:
+            return cells.select("node", F.col("node").alias("component")).limit(0)
+        return connected_components(links)
+
     before = float("inf")
-    tagged = cells.withColumn("comp", F.col("node")) if links is None else tag(connected_components(links))
+    if not members:
+        return components()
+    roots = components()
+    tagged = cells.withColumn("comp", F.col("node")) if links is None else tag(roots)
     for turn in range(turns):
         pairs = check(_hub_pairs(tagged, attrs, turn, bound))
-        found, seen = verify(pairs), pairs.select(lo.alias("lo"), hi.alias("hi"))
-        links = found if links is None else links.unionByName(found)
-        tried = seen if tried is None else tried.unionByName(seen)
-        tagged = tag(connected_components(links), tagged)
+        if not pairs.isEmpty():
+            found, seen = verify(pairs), pairs.select(lo.alias("lo"), hi.alias("hi"))
+            links = found if links is None else links.unionByName(found)
+            tried = seen if tried is None else tried.unionByName(seen)
+            roots = components()
+            tagged = tag(roots, tagged)
         mixed = materialize(_mixed_cells(tagged), "mixed")
         left = mixed.agg(F.sum((F.col("others") * F.col("n")).cast("double"))).first()[0] or 0.0
         if left <= enough * members or left > 0.7 * before or turn == turns - 1:
             break
         before = left
         discard(mixed)
-    pairs = check(_pairs_across(tagged, mixed, attrs, bound))
-    links = links.unionByName(verify(pairs))
+    if left:
+        pairs = check(_pairs_across(tagged, mixed, attrs, bound))
+        if not pairs.isEmpty():
+            found = verify(pairs)
+            links = found if links is None else links.unionByName(found)
+            roots = components()
     discard(tagged, mixed)
-    return connected_components(links)
+    return roots

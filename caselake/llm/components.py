@@ -11,10 +11,15 @@ from .common import discard, materialize
 HOT_ROWS, MOST_HOT = 1_024, 50_000
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+#: Edges up to which one task finds the components: some 10 MB, whatever the data.
+FEW_EDGES = 100_000
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40, few_edges: int = FEW_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (columns ``a`` and ``b``).
 
-    ``component`` is the smallest node that can be reached.  Alternates large-star and small-star
+    ``component`` is the smallest node that can be reached.  Up to ``few_edges`` distinct edges, a bound that does not grow with the
+    data, are merged in one task; rounds of joins over so few rows would cost more than the rows.  Beyond it: alternates large-star and small-star
     steps until the edge set no longer changes; every round is written to the shared folder, so
     neither the edges nor the components pass through the driver, which only gets two sums a round.
     Edges with a null end and self-loops are ignored; no edges give no rows.  Raises if it has not settled in ``max_rounds``.
@@ -25,6 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         .distinct(),
         "edges",
     )
+    if edges.count() <= few_edges:
+        return _merged(edges)
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
@@ -42,6 +49,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
 
 
+def _merged(edges: DataFrame) -> DataFrame:
+    """The components of a bounded number of edges ``(u, v)``, in one task."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = edges.schema["u"].dataType
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        root: dict = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((find(u), find(v)))
+                root[high] = low
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, arrow), pa.array([find(x) for x in nodes], arrow)], ["node", "component"])
+
+    name = kind.simpleString()
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {name}, component {name}")
+
+
 def _state(edges: DataFrame) -> tuple:
     """Number of edges, most edges of a node, and a sum of hashes that tells edge sets apart."""
     own = F.xxhash64("u", "v").cast("decimal(38,0)")

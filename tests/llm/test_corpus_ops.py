@@ -332,3 +332,45 @@ def test_exact_copies_leave_one(spark):
     df = documents(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
     kept = corpus_pipeline.near_duplicate_stage(spark, df, "")
     assert sorted(r["doc_id"] for r in kept.collect() if r["text"] == texts[-1]) == [1]
+
+
+# --- rows alike, huge vectors, few and many links ----------------------------------------------------------------
+
+
+def test_rows_alike_are_spread_over_the_shards(spark):
+    rows = spark.range(30_000).selectExpr("cast(null as long) as doc_id", "7L as n_tokens").repartition(4)
+    packed = bin_packing.pack(rows, shard_rows=3_000)
+    sizes = [r["count"] for r in packed.groupBy("shard").count().collect()]
+    assert sum(sizes) == 30_000 and len(sizes) == 10 and max(sizes) < 4_500
+
+
+@pytest.mark.parametrize("huge", [1e150, 1e200, 1.7e308])
+def test_neighbours_beside_huge_vectors(spark, huge):
+    rng = np.random.default_rng(1)
+    vectors = {i: rng.normal(size=8).tolist() for i in range(300)}
+    vectors[40] = [huge, 0.0] + [1.0] * 6
+    vectors[41] = [huge / 3, 0.0] + [1.0] * 6
+    vectors[50] = [-huge / 2, huge / 2] + [0.0] * 6
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    got = ann_tree.nearest_neighbours(df, df.filter("vec_id % 10 = 0"), target_recall=1.0, rows_per_leaf=300).collect()
+
+    def away(a, b):
+        half = [abs(x / 2 - y / 2) for x, y in zip(a, b)]
+        return 2 * max(half) * float(np.sqrt(sum((h / max(half)) ** 2 for h in half)))
+
+    with np.errstate(over="ignore"):
+        for q in range(0, 300, 10):
+            mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+            want = sorted((away(vectors[q], v), i) for i, v in vectors.items() if i != q)[:10]
+            assert [m[1] for m in mine] == [i for _, i in want]
+            assert np.allclose([m[2] for m in mine], [d for d, _ in want], rtol=1e-12)
+
+
+def test_components_of_few_edges_are_those_of_rounds(spark):
+    from caselake.llm.components import connected_components
+
+    rng = np.random.default_rng(2)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(None, 1), (5, 5)], "a long, b long")
+    one, many = (sorted(map(tuple, connected_components(edges, few_edges=n).collect())) for n in (10_000, 0))
+    assert one == many and len(one) > 100
+    assert connected_components(edges.limit(0)).count() == 0
