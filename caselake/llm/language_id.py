@@ -157,7 +157,7 @@ def identify(
 
         return work
 
-    return map_texts(docs, id_col, text_col, make, "lang_pred string, score double")
+    return map_texts(docs, id_col, text_col, make, "lang_pred string, score double", block_chars=1_000_000)
 
 
 def fit_floors(scored: DataFrame, width: float = 3.0, least_reach: float = 0.25, least_rows: int = 100) -> dict[str, float]:

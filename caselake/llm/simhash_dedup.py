@@ -244,7 +244,7 @@ def similar_text_classes(
 
         return work
 
-    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, counts binary, cells array<bigint>")
+    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, counts binary, cells array<bigint>", block_chars=1_000_000)
     sets = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
     # one row of each id, then one id of each digest
     rows = sets.select("id", "text_hash", "digest", "n", "fp", "counts")
