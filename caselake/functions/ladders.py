@@ -198,3 +198,51 @@ DIMENSION_NAMES = {
     "stage": ("stage", "stages"),
     "service_standard": ("service_standard", "gov_uk_timeliness", "timeliness"),
 }
+
+
+#: Failure codes by parts of an error's text, in order.
+FAILURE_CODES = [
+    ("dns_error", ["name or service not known", "nodename nor servname"]),
+    ("http_403", ["403"]),
+    ("http_404", ["404"]),
+    ("http_500", ["500"]),
+    ("connection_reset", ["server disconnected", "connection reset"]),
+    ("timeout", ["timeout", "timed out"]),
+    ("tls_error", ["certificate", "ssl", "tls"]),
+    ("blocked", ["captcha", "block", "access denied"]),
+]
+
+#: Buckets of application types by parts of the type, in order; else ``full``.
+APPLICATION_TYPES = [
+    ("heritage", ["listed", "heritage", "conservation"]),
+    ("outline", ["outline"]),
+    ("amendment", ["amendment", "non-material", "minor"]),
+    ("conditions", ["condition", "discharge"]),
+    ("trees", ["tree"]),
+    ("advertising", ["advert"]),
+]
+
+#: Coarse decisions by parts of the decision, in order; else ``other``.
+COARSE_DECISIONS = [
+    ("refused", ["refuse", "refusal"]),
+    ("approved", ["permit", "permission", "approve", "conditional", "grant", "discharge"]),
+    ("withdrawn", ["withdraw"]),
+]
+
+#: Document families by parts of type and description, in order; else ``other``.
+DOCUMENT_FAMILIES = [
+    ("decision", ["decision"]),
+    ("officer_report", ["officer report", "delegated report", "report final"]),
+    ("noise", ["noise", "sound", "acoustic", "bs4142"]),
+    ("spec_calc", ["heat loss", "manual sound calculator", "technical specification", "mcs 020"]),
+    ("consultee", ["consultee", "environmental health", "comment", "response"]),
+    ("drawing", ["drawing", "plan", "elevation", "site location"]),
+    ("application_form", ["application form"]),
+]
+
+#: Works that a description bundles with others; they begin a word.
+BUNDLED_WORKS = [
+    "extension", "extn", "loft", "conversion", "garage", "outbuilding", "annex", "porch", "store", "garden room", "demolition", "new dwelling", "new build",
+    "change of use", "alteration", "orangery", "conservatory", "summerhouse", "first floor", "two storey", "two-storey", "single storey", "single-storey",
+    "side extension", "rear extension", "listed building", "refurbishment", "renovat",
+]

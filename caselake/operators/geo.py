@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,80 @@ def bridge_rows(df: DataFrame, authority: str, area: str, status: str, keep: Seq
     return rows.filter(F.col("area").isNotNull()).distinct()
 
 
+def area_bridge(
+    df: DataFrame,
+    authority: str,
+    area: str,
+    status: str,
+    keep: Sequence[str],
+    key: Callable[[Column], Column],
+    suffix: str = "",
+    successors: Mapping[str, str] | None = None,
+    direct: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``(authority, area)``, each pair once: the rows of accepted statuses, and the ``direct`` pairs on top of them.
+
+    Authorities are trimmed and lower-cased; areas lose ``suffix``, are written by ``key``, and give way to their successor where
+    ``successors`` has one.  Rows with a blank authority or area go.
+    """
+    plain = F.trim(F.col(area))
+    bare = F.when(plain.endswith(suffix), F.substring(plain, F.lit(1), F.length(plain) - len(suffix))).otherwise(plain) if suffix else plain
+    name = key(bare)
+    if successors:
+        name = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in successors.items() for x in kv]), name), name)
+    rows = df.filter(F.trim(F.col(status)).isin(*keep) & (bare != "")).select(F.lower(F.trim(F.col(authority))).alias("authority"), name.alias("area"))
+    if direct:
+        rows = rows.unionByName(df.sparkSession.createDataFrame(list(direct.items()), "authority string, area string"))
+    return rows.filter((F.col("authority") != "") & F.col("area").isNotNull()).distinct()
+
+
+def area_matrix(own: DataFrame, bridge: DataFrame, external: DataFrame, years: Sequence[int], summary: tuple[int, int]) -> DataFrame:
+    """Own counts by area and year beside external ones, one row per area, with a tag.
+
+    ``own``: (authority, year, n); ``bridge``: (authority, area); ``external``: (area, year, n).  An authority outside the bridge stands for
+    the area of its name, if there is one; else it has a row of its own, tagged ``unmapped``.  The counts of an authority of several
+    areas are split by their external totals, equally where these are 0, and rounded half to even.  Other tags: ``matched``, ``right_only`` (no own
+    counts), ``left_only``.  ``pct``: own in percent of external within the years of ``summary``, null without external counts.
+    """
+    mine, theirs = [F.col(f"own_{y}") for y in years], [F.col(f"ext_{y}") for y in years]
+    plus = lambda cols: sum(cols, F.lit(0).cast("long"))
+
+    def wide(df: DataFrame, key: str, prefix: str) -> DataFrame:
+        sums = [F.coalesce(F.sum(F.when(F.col("year") == y, F.col("n"))), F.lit(0)).cast("long").alias(f"{prefix}_{y}") for y in years]
+        return df.groupBy(key).agg(*sums, F.count_if(F.col("year").between(years[0], years[-1])).alias(f"{prefix}_rows"))
+
+    authorities, areas = wide(own, "authority", "own"), wide(external, "area", "ext").withColumn("weight", plus(theirs))
+    outside = authorities.select("authority").join(bridge, "authority", "left_anti")
+    same = outside.join(areas.select(F.col("area").alias("authority")), "authority", "left_semi").withColumn("area", F.col("authority"))
+    pairs = bridge.unionByName(same).join(areas.select("area", "weight"), "area", "left")
+    by_authority = Window.partitionBy("authority")
+    total, k = F.sum(F.coalesce("weight", F.lit(0))).over(by_authority), F.count(F.lit(1)).over(by_authority)
+    share = F.when(total > 0, F.coalesce("weight", F.lit(0)) / total).otherwise(F.lit(1.0) / k)
+    dealt = pairs.select("authority", "area", share.alias("share"), (k > 1).alias("joint")).join(authorities, "authority")
+    split = [F.sum(F.bround(c * F.col("share"), 0).cast("long")).alias(f"own_{y}") for c, y in zip(mine, years, strict=True)]
+    members = [F.array_join(F.array_sort(F.collect_set("authority")), "; ").alias("authorities"), F.count_distinct("authority").alias("n_authorities")]
+    left = dealt.groupBy("area").agg(*split, *members, F.max("joint").alias("joint"))
+    right = areas.filter(F.col("ext_rows") > 0).drop("ext_rows", "weight")
+    lone = outside.join(same.select("authority"), "authority", "left_anti").join(authorities, "authority").select(
+        F.col("authority").alias("area"), *mine, F.col("authority").alias("authorities"), F.lit(1).cast("long").alias("n_authorities"), F.lit(False).alias("joint"), F.lit(True).alias("lone")
+    )
+    # the areas of lone authorities are no external ones, so they stay apart from the others
+    both = left.withColumn("lone", F.lit(False)).join(right, "area", "full_outer").unionByName(lone, allowMissingColumns=True)
+    filled = both.select("area", "authorities", "n_authorities", "joint", "lone", *[F.coalesce(c, F.lit(0).cast("long")).alias(f"{p}_{y}") for p, cs in (("own", mine), ("ext", theirs)) for c, y in zip(cs, years, strict=True)])
+    inside = [i for i, y in enumerate(years) if summary[0] <= y <= summary[1]]
+    own_sum, ext_sum = plus([mine[i] for i in inside]), plus([theirs[i] for i in inside])
+    tag = (
+        F.when(F.col("lone"), "unmapped")
+        .when((plus(theirs) > 0) & (plus(mine) > 0), "matched")
+        .when(plus(theirs) > 0, "right_only")
+        .otherwise("left_only")
+    )
+    return filled.select(
+        "area", tag.alias("match"), F.coalesce("authorities", F.lit("")).alias("authorities"), F.coalesce("n_authorities", F.lit(0).cast("long")).alias("n_authorities"),
+        F.coalesce("joint", F.lit(False)).alias("joint"), *mine, *theirs, plus(theirs).alias("external"), F.when(ext_sum > 0, F.round(own_sum * 100.0 / ext_sum, 1)).alias("pct"),
+    )
+
+
 def build_bridge(authorities: DataFrame, name: str, joint: Mapping[str, Sequence[str]], no_area: Sequence[str], aliases: Mapping[str, str], areas: DataFrame, area: str, key: Column) -> DataFrame:
     """(authority, area, status), one row per area, in the order of priority: joint, no area, alias, name, unmatched.
 

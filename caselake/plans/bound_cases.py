@@ -484,7 +484,9 @@ def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH n AS (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'Royal Borough of Kensington' WHEN 1 THEN 'St. ' || c_mktsegment || ' City Council' WHEN 2 THEN 'Eden District' WHEN 3 THEN 'The Council' END AS t FROM customer)
-SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'KENSINGTON CHELSEA' WHEN 1 THEN 'SAINT ' || upper(replace(replace(t, 'St. ', ''), ' City Council', '')) WHEN 2 THEN 'WESTMORLAND FURNESS' END AS authority FROM n"""
+SELECT c_custkey, CASE name WHEN 'KENSINGTON' THEN 'KENSINGTON CHELSEA' WHEN 'EDEN' THEN 'WESTMORLAND FURNESS' ELSE nullif(name, '') END AS authority FROM (SELECT c_custkey, array_to_string([x FOR x IN
+  string_split(regexp_replace(regexp_replace(replace(upper(t), '&', ' AND '), '\\bST\\b', 'SAINT', 'g'), '[^A-Z0-9]+', ' ', 'g'), ' ')
+  IF x <> '' AND x NOT IN ('AND', 'AUTHORITY', 'BOROUGH', 'CITY', 'COUNCIL', 'COUNTY', 'DISTRICT', 'LONDON', 'METROPOLITAN', 'OF', 'ROYAL', 'THE', 'UNITARY')], ' ') AS name FROM n)"""
 )
 def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of authorities, some of which merged into others."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bound, bound_cases, bound_more, bound_rest, bound_rules  # noqa: F401  registers as it loads
+from . import bound, bound_cases, bound_codes, bound_more, bound_rest, bound_rules  # noqa: F401  registers as it loads
 
 
 def queries() -> dict:
