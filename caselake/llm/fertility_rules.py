@@ -60,6 +60,10 @@ def script_of(chars: dict[str, int]) -> str:
     return min(seen, key=lambda s: (-seen[s], s)) if seen else "NONE"
 
 
+#: Distinct characters up to which each is counted by a search of its own.
+FEW_CHARS = 128
+
+
 class _Vocabulary:
     """What the tokenisers say of a text."""
 
@@ -103,7 +107,9 @@ def measure_texts(
             for text in texts:
                 text = text or ""
                 words = split_words(text)
-                chars = {c: text.count(c) for c in set(text)}
+                distinct = set(text)
+                # a search for each of few characters is quickest; with many, one pass counts them all
+                chars = {c: text.count(c) for c in distinct} if len(distinct) <= FEW_CHARS else Counter(text)
                 row = (
                     len(words),
                     len(text) - sum(chars.get(c, 0) for c in ASCII_SPACE),

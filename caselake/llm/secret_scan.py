@@ -5,7 +5,8 @@ looks at every run of key-like characters: a byte-level BPE vocabulary packs wor
 knows into few tokens, but spends about one token on every one or two characters of a random string.
 Runs with a low characters-per-token ratio are spans of kind ``opaque``, after known digests
 (hexadecimal of a digest's length, UUIDs) and identifiers (names joined by separators, URLs, plain
-words, numbers) are excluded.  Where a whole run passes, its parts between separators are tested alone, so that
+words, numbers) are excluded.  An identifier is only excused if its groups of letters pack as words do: several groups are
+tested together, in lower case and without their separators.  Where a whole run passes, its parts between separators are tested alone, so that
 a readable path or name cannot hide a random part.  Letters of one case are tested in lower case, as words pack well there.
 """
 
@@ -38,6 +39,8 @@ IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-]+(?:[A-Z]?[a-z
 PART = re.compile(r"[A-Za-z0-9+]{16,}")
 ONE_CASE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 CAMEL = re.compile(r"[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
+#: Least letters of a group, and of all groups of an identifier, that say how it packs; shorter ones cost a token each in any language.
+GROUP_LETTERS, IDENTIFIER_LETTERS = 3, 12
 
 Span = tuple[int, int, str]
 
@@ -54,11 +57,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def is_known_form(run: str) -> bool:
-    """A digest or an identifier, which a token-efficiency test must not report."""
+def is_known_digest(run: str) -> bool:
+    """A digest or a number."""
     if HEX_ANY.fullmatch(run):
         return len(run) in DIGEST_CHARS or run.isdigit()
-    return bool(UUID.fullmatch(run) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run))
+    return bool(UUID.fullmatch(run))
+
+
+def is_opaque(run: str, count_tokens, max_ratio: float) -> bool:
+    """Whether a run has ``max_ratio`` or fewer characters a token: all of it, or the groups of letters of an identifier."""
+    if is_known_digest(run):
+        return False
+    if not HEX_ANY.fullmatch(run) and (IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run)):
+        groups = [g.lower() for g in ONE_CASE.findall(run) if len(g) >= GROUP_LETTERS]
+        letters = sum(map(len, groups))
+        return len(groups) > 1 and letters >= IDENTIFIER_LETTERS and letters <= max_ratio * sum(map(count_tokens, groups))
+    return len(run) <= max_ratio * count_tokens(run)
 
 
 def opaque_spans(text: str, count_tokens, max_ratio: float) -> list[Span]:
@@ -66,7 +80,7 @@ def opaque_spans(text: str, count_tokens, max_ratio: float) -> list[Span]:
     out = []
     for m in RUN.finditer(text):
         run, at = m[0], m.start()
-        if not is_known_form(run) and len(run) <= max_ratio * count_tokens(run):
+        if is_opaque(run, count_tokens, max_ratio):
             out.append((at, m.end(), "opaque"))
             continue
         for p in PART.finditer(run):
@@ -74,7 +88,7 @@ def opaque_spans(text: str, count_tokens, max_ratio: float) -> list[Span]:
             if ONE_CASE.fullmatch(part):
                 opaque = len(part) <= max_ratio * count_tokens(part.lower())
             else:
-                opaque = len(part) < len(run) and not is_known_form(part) and len(part) <= max_ratio * count_tokens(part)
+                opaque = len(part) < len(run) and is_opaque(part, count_tokens, max_ratio)
             if opaque:
                 out.append((at + p.start(), at + p.end(), "opaque"))
     return out

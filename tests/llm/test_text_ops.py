@@ -390,3 +390,25 @@ def test_secret_parts(spark):
     spans = got[first]["spans"].split(":")
     assert got[first]["n_opaque"] == 1 and texts[0][int(spans[1]) : int(spans[2])] == RANDOM
     assert [got[first + i]["n_opaque"] for i in (1, 2, 3)] == [2, 0, 0]
+
+
+def test_secret_letter_groups(spark):
+    """Random groups of letters joined by separators are found, names of words are not; short groups and digests say nothing."""
+    import random
+
+    draw = random.Random(3)
+    noise = ["-".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(5)) for _ in range(300)]
+    names = ["very_long_identifier_name_here", "SomeCamelCaseIdentifier", "user/account/settings/page", "MAX_CONNECTION_TIMEOUT_SECONDS", "a-b-c-d-e-f-g-h-i-j", "2024-01-02-03-04-05", "123e4567-e89b-12d3-a456-426614174000"]
+    rows = secret_scan.find_secrets(documents(spark, noise + names)).select("doc_id", "spans", "n_opaque").collect()
+    got = {r["doc_id"]: r for r in rows}
+    first = min(got)
+    found = [got[first + i]["spans"] == f"opaque:0:{len(x)}" for i, x in enumerate(noise)]
+    assert sum(found) >= 294
+    assert [got[first + len(noise) + i]["n_opaque"] for i in range(len(names))] == [0] * len(names)
+
+
+def test_fertility_counts_of_many_characters(spark):
+    """A text of many distinct characters is counted in one pass, as a text of few is."""
+    text = "".join(chr(0x4E00 + i % 5_000) for i in range(60_000)) + " # ab"
+    r = fertility_rules.measure_texts(documents(spark, [text])).first()
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["script"]) == (3, len(text) - 2, 1, "CJK")
