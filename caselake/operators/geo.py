@@ -30,7 +30,7 @@ def area_bridge(
 ) -> DataFrame:
     """``(authority, area)``, each pair once: the rows of accepted statuses, and the ``direct`` pairs on top of them.
 
-    Authorities are trimmed and lower-cased; areas lose ``suffix``, are written by ``key``, and give way to their successor where
+    Authorities are trimmed and lower-cased; areas are trimmed, lose ``suffix``, are written by ``key``, and give way to their successor where
     ``successors`` has one.  Rows with a blank authority or area go.
     """
     plain = F.trim(F.col(area))
