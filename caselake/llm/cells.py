@@ -140,6 +140,9 @@ def linked_components(
             return cells.select("node", F.col("node").alias("component")).limit(0)
         return connected_components(links)
 
+    if links is not None and links.isEmpty():
+        links = None
+
     before = float("inf")
     if not members:
         return components()
@@ -149,10 +152,11 @@ def linked_components(
         pairs = check(_hub_pairs(tagged, attrs, turn, bound))
         if not pairs.isEmpty():
             found, seen = verify(pairs), pairs.select(lo.alias("lo"), hi.alias("hi"))
-            links = found if links is None else links.unionByName(found)
             tried = seen if tried is None else tried.unionByName(seen)
-            roots = components()
-            tagged = tag(roots, tagged)
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = components()
+                tagged = tag(roots, tagged)
         mixed = materialize(_mixed_cells(tagged), "mixed")
         left = mixed.agg(F.sum((F.col("others") * F.col("n")).cast("double"))).first()[0] or 0.0
         if left <= enough * members or left > 0.7 * before or turn == turns - 1:
@@ -163,7 +167,8 @@ def linked_components(
         pairs = check(_pairs_across(tagged, mixed, attrs, bound))
         if not pairs.isEmpty():
             found = verify(pairs)
-            links = found if links is None else links.unionByName(found)
-            roots = components()
+            if not found.isEmpty():
+                links = found if links is None else links.unionByName(found)
+                roots = components()
     discard(tagged, mixed)
     return roots

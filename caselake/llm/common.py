@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,31 +58,45 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    _WRITTEN[id(out)] = (out, path)
+    out._written_to = path
+    for scope in _OPEN.get():
+        scope.tables.append(out)
     return out
 
 
-#: Tables that materialize wrote and discard has not deleted, by identity of their DataFrames.
-_WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+class TableScope:
+    """Notes the tables that :func:`materialize` writes while it is open, by this thread only.
 
+    ``discard_but(keep)`` deletes them once ``keep`` holds all that was wanted of them.  Tables of other threads and of other
+    scopes are left alone, so that queries may run side by side; a table written in nested scopes belongs to all of them.
+    """
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def __enter__(self) -> TableScope:
+        self._before = _OPEN.set((*_OPEN.get(), self))
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        _OPEN.reset(self._before)
 
-def written() -> set[int]:
-    """Marks what is written so far, for :func:`discard_since`."""
-    return set(_WRITTEN)
+    def discard_but(self, *keep: DataFrame) -> None:
+        discard(*[t for t in self.tables if not any(t is k for k in keep)])
+        self.tables = list(keep)
 
 
-def discard_since(mark: set[int], keep: DataFrame) -> None:
-    """Deletes every table written since ``mark`` but ``keep``, once ``keep`` holds all that was wanted of them."""
-    discard(*[t for key, (t, _) in list(_WRITTEN.items()) if key not in mark and t is not keep])
+#: The open scopes of this thread.
+_OPEN: ContextVar[tuple[TableScope, ...]] = ContextVar("open_table_scopes", default=())
 
 
 def discard(*tables: DataFrame | None) -> None:
     """Deletes the files of tables from :func:`materialize` that nothing reads any more; others are left alone."""
     for t in tables:
-        found = _WRITTEN.pop(id(t), None)
+        found = None if t is None else t.__dict__.pop("_written_to", None)
         if found is not None:
-            spark = found[0].sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(found[1])
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(found)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

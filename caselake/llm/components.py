@@ -18,20 +18,17 @@ FEW_EDGES = 100_000
 def connected_components(edges: DataFrame, max_rounds: int = 40, few_edges: int = FEW_EDGES) -> DataFrame:
     """``(node, component)`` for every node of ``edges`` (columns ``a`` and ``b``).
 
-    ``component`` is the smallest node that can be reached.  Up to ``few_edges`` distinct edges, a bound that does not grow with the
-    data, are merged in one task; rounds of joins over so few rows would cost more than the rows.  Beyond it: alternates large-star and small-star
+    ``edges`` is read twice, so it should be a written table.  ``component`` is the smallest node that can be reached.  Up to
+    ``few_edges`` edges, a bound that does not grow with the data, are merged in one task as they are; a shuffle and rounds of joins
+    over so few rows would cost more than the rows.  Beyond it: alternates large-star and small-star
     steps until the edge set no longer changes; every round is written to the shared folder, so
     neither the edges nor the components pass through the driver, which only gets two sums a round.
     Edges with a null end and self-loops are ignored; no edges give no rows.  Raises if it has not settled in ``max_rounds``.
     """
-    edges = materialize(
-        edges.filter(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "edges",
-    )
+    edges = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if edges.count() <= few_edges:
         return _merged(edges)
+    edges = materialize(edges.distinct(), "edges")
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:

@@ -276,6 +276,8 @@ def similar_text_classes(
     sketches = lone.select(F.col("cls").alias("id"), F.col("n_shingles").alias("n"), "counts")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         close_ones = materialize(within_counts(pairs, sketches, similarity), "close")
         links = verified_pairs(docs, id_col, text_col, close_ones, shingle_words, similarity)
         if links is not close_ones:

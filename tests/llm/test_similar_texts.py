@@ -1,5 +1,6 @@
 """Classes of similar texts against brute force over all pairs."""
 
+import pytest
 import numpy as np
 from caselake.llm import simhash_dedup
 
@@ -114,3 +115,26 @@ def test_rows_of_one_id_and_rows_without_one(spark):
     got = sorted(((r["doc_id"] or 0), (r["component_id"] or 0)) for r in simhash_dedup.similar_text_classes(df).collect())
     assert len(got) == len(rows) and [g for g in got if g[0] == 4] == [(4, 4), (4, 4)] and (5, 4) in got
     assert len({c for d, c in got if d == 1}) == 1
+
+
+def test_scopes_delete_their_own_tables_only(spark):
+    import threading
+
+    from caselake.llm.common import TableScope, materialize
+
+    before = materialize(spark.range(3), "before")
+    other = []
+    with TableScope() as outer:
+        with TableScope() as inner:
+            dropped, kept = materialize(spark.range(5), "dropped"), materialize(spark.range(7), "kept")
+            beside = threading.Thread(target=lambda: other.append(materialize(spark.range(9), "other")))
+            beside.start()
+            beside.join()
+        inner.discard_but(kept)
+        assert [t.count() for t in (before, kept, *other)] == [3, 7, 9]
+        with pytest.raises(Exception):
+            dropped.count()
+    outer.discard_but()
+    with pytest.raises(Exception):
+        kept.count()
+    assert [t.count() for t in (before, *other)] == [3, 9]
