@@ -71,6 +71,30 @@ def segment_counts(hashes: np.ndarray) -> bytes:
     return np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
 
 
+#: Of these counts, so many wider parts (a byte each) go with the members of cells, as whole numbers of eight bytes.
+COARSE = 16
+
+
+def coarse_counts(hashes: np.ndarray) -> list[int]:
+    """How many hashes of a set lie in each of ``COARSE`` equal parts of their range, a byte each, eight to a signed 64-bit integer.
+
+    Counts end at 255, which only makes the distance of two sets smaller.
+    """
+    shift = np.uint64(64 - (COARSE - 1).bit_length())
+    counts = np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=COARSE), 255).astype(np.uint8)
+    return counts.view("<i8").tolist()
+
+
+def coarse_distance(x: list[Column], y: list[Column]) -> Column:
+    """The Manhattan distance of two sets of :func:`coarse_counts`."""
+
+    def byte(c: Column, at: int) -> Column:
+        return F.shiftrightunsigned(c, at).bitwiseAND(F.lit(255))
+
+    parts = [F.abs(byte(a, at) - byte(b, at)) for a, b in zip(x, y, strict=True) for at in range(0, 64, 8)]
+    return sum(parts[1:], parts[0])
+
+
 def fingerprint(text: str | None, shingle_words: int) -> int:
     """SimHash of the word shingles, as a signed 64-bit integer; 0 without a word."""
     return majority_bits(shingle_hashes(text, shingle_words))
@@ -218,7 +242,8 @@ def similar_text_classes(
     prefix-filtered set join, which loses no pair: the hashes of every set are put in one order, and two sets of
     the similarity share one of the first ``n - ceil(similarity * n) + 1`` of each.  Each of these is a cell
     (:mod:`.cells`).  Pairs that meet in a cell and are not in one component yet are held against the bounds on lengths and on positions
-    in the order, then against the Manhattan bound on popcounts by segment (:func:`segment_counts`), then on the whole sets.  The order is by hash, but shingles that are frequent in a sample come last
+    in the order and, still in the cell, on popcounts by 16 wide segments (:func:`coarse_counts`), then against the Manhattan bound on
+    popcounts by 128 segments (:func:`segment_counts`), then on the whole sets.  The order is by hash, but shingles that are frequent in a sample come last
     (:func:`frequent_shingles`).
 
     Null and empty texts are one class.  Repeated rows come back once each.  Rows that share an id but not a text have one
@@ -229,7 +254,7 @@ def similar_text_classes(
 
     def make():
         def work(texts: list[str | None]) -> dict:
-            out = {"text_hash": [], "digest": [], "n": [], "fp": [], "counts": [], "cells": []}
+            out = {"text_hash": [], "digest": [], "n": [], "fp": [], "counts": [], "c0": [], "c1": [], "cells": []}
             for t in texts:
                 held = np.unique(shingle_hashes(t, shingle_words))
                 late = np.isin(held, frequent)
@@ -239,12 +264,14 @@ def similar_text_classes(
                 out["n"].append(len(held))
                 out["fp"].append(majority_bits(held))
                 out["counts"].append(segment_counts(held))
+                for name, c in zip(("c0", "c1"), coarse_counts(held), strict=True):
+                    out[name].append(c)
                 out["cells"].append(order[: len(held) - math.ceil(similarity * len(held) - SLACK) + 1].view(np.int64))
             return out
 
         return work
 
-    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, counts binary, cells array<bigint>", block_chars=1_000_000)
+    made = map_texts(docs, id_col, text_col, make, "text_hash bigint, digest binary, n int, fp bigint, counts binary, c0 bigint, c1 bigint, cells array<bigint>", block_chars=1_000_000)
     sets = materialize(made, "shingle_sets").withColumnRenamed(id_col, "id")
     # one row of each id, then one id of each digest
     rows = sets.select("id", "text_hash", "digest", "n", "fp", "counts")
@@ -258,11 +285,11 @@ def similar_text_classes(
     )
     # the cells of one row of each class; those of one member, and those of texts without a word, are of no use
     lone = classes.filter(F.col("cls").isNotNull() & (F.col("n_shingles") > 0))
-    known = sets.select("id", "text_hash", "digest", "cells", "n").join(
+    known = sets.select("id", "text_hash", "digest", "cells", "n", "c0", "c1").join(
         lone.select("digest", "text_hash", F.col("cls").alias("id")), ["digest", "id", "text_hash"], "left_semi"
     )
-    members = known.select(F.col("id").alias("node"), "n", F.posexplode("cells").alias("pos", "key")).select(
-        "key", "node", (F.col("n") - F.col("pos")).alias("left"), "n"
+    members = known.select(F.col("id").alias("node"), "n", "c0", "c1", F.posexplode("cells").alias("pos", "key")).select(
+        "key", "node", (F.col("n") - F.col("pos")).alias("left"), "n", "c0", "c1"
     )
     cells = shared_cells(members.dropDuplicates(["key", "node"]) if _ids_repeat(sets) else members)
 
@@ -271,7 +298,9 @@ def similar_text_classes(
 
     def bound(x, y) -> Column:
         reach = similarity / (1 + similarity) * (x("n") + y("n")) - SLACK
-        return close(x("n"), y("n")) & (F.least(x("left"), y("left")) >= reach)
+        most = (1 - similarity) / (1 + similarity) * (x("n") + y("n")) + SLACK
+        apart = coarse_distance([x("c0"), x("c1")], [y("c0"), y("c1")])
+        return close(x("n"), y("n")) & (F.least(x("left"), y("left")) >= reach) & (apart <= most)
 
     sketches = lone.select(F.col("cls").alias("id"), F.col("n_shingles").alias("n"), "counts")
 
@@ -294,7 +323,7 @@ def similar_text_classes(
         .select(F.col("cls").alias("a"), F.col("hub.cls").alias("b"))
     )
     star = materialize(star, "pairs")
-    roots = linked_components(cells, ["n", "left"], bound, verify, verify(star))
+    roots = linked_components(cells, ["n", "left", "c0", "c1"], bound, verify, verify(star))
     named = classes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select(
         "digest", "n", F.coalesce("component", "cls").alias("component_id")
     )
