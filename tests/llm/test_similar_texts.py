@@ -138,16 +138,3 @@ def test_scopes_delete_their_own_tables_only(spark):
     with pytest.raises(Exception):
         kept.count()
     assert [t.count() for t in (before, *other)] == [3, 9]
-
-
-def test_coarse_distance_never_exceeds_the_difference_of_sets(spark):
-    rng = np.random.default_rng(5)
-    rows = []
-    for size, swapped in [(0, 0), (1, 1), (40, 3), (60, 60), (500, 20), (9_000, 400)]:
-        pool = np.unique(rng.integers(0, 1 << 64, size + swapped, dtype=np.uint64))
-        a, b = np.sort(pool[rng.permutation(len(pool))[:size]]), np.sort(pool[rng.permutation(len(pool))[:size]])
-        shown = [int(c) for c in np.abs(np.bincount((a >> np.uint64(60)).astype(int), minlength=16).clip(max=255) - np.bincount((b >> np.uint64(60)).astype(int), minlength=16).clip(max=255))]
-        rows.append((*simhash_dedup.coarse_counts(a), *simhash_dedup.coarse_counts(b), sum(shown), len(np.setxor1d(a, b))))
-    df = spark.createDataFrame(rows, "a0 long, a1 long, b0 long, b1 long, want long, differ long")
-    got = df.withColumn("d", simhash_dedup.coarse_distance([df.a0, df.a1], [df.b0, df.b1])).collect()
-    assert all(r["d"] == r["want"] <= r["differ"] for r in got)
