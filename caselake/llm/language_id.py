@@ -8,17 +8,25 @@ from the rank in the profile, or the whole profile length where the profile lack
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_remainder, map_texts, table
+from ..operators.order import running_sums
+from .common import discard, id_remainder, map_texts, materialize, table
 
 UNKNOWN = "und"
+#: Tables of one row for each language are broadcast up to this number.
+MOST_BROADCAST_LANGUAGES = 10_000
+
+
+def broadcast_if_few(by_language: DataFrame, name: str) -> DataFrame:
+    """Written, then broadcast if it is small; else Spark chooses the join: a dirty language column can hold any number of values."""
+    out = materialize(by_language, name)
+    return F.broadcast(out) if out.count() <= MOST_BROADCAST_LANGUAGES else out
 
 
 class Ngrams:
@@ -64,55 +72,90 @@ def top_ranked(grams: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
-def fit_profiles(
-    labelled: DataFrame, text_col: str, lang_col: str, size: int = 300, longest: int = 3, most: int = 1_000
-) -> dict[str, list[int]]:
-    """``size`` n-grams for each non-null language of ``labelled``; counts are partial sums by task, added up by Spark.
+def profile_rows(labelled: DataFrame, text_col: str, lang_col: str, size: int = 300, longest: int = 3) -> DataFrame:
+    """``lang``, ``gram`` and ``rank`` (from 1) of the ``size`` most frequent n-grams of each non-null language of ``labelled``.
 
-    Profiles go to the driver and to all tasks, so at most ``most`` languages, those of most rows, get one.
+    Every row is counted: partial sums by task, added up by Spark.
     """
     from pyspark.sql import Window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ngrams, sums = Ngrams(longest), {}
+        ngrams = Ngrams(longest)
+        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}  # language: n-grams in ascending order, counts
+        parts: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}  # not yet in sums
+        held = waiting = 0
+
+        def add_up() -> None:
+            nonlocal held, waiting
+            for lang, own in parts.items():
+                if lang in sums:
+                    held -= len(sums[lang][0])
+                    own.append(sums[lang])
+                grams, counts = (np.concatenate(x) for x in zip(*own, strict=True))
+                order = np.argsort(grams, kind="stable")
+                grams, counts = grams[order], counts[order]
+                first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]])
+                sums[lang] = grams[first], np.add.reduceat(counts, first)
+                held += len(first)
+            parts.clear()
+            waiting = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, gram, n) for lang, own in sums.items() for gram, n in own.items()]
+            nonlocal held
+            add_up()
+            langs = [pa.repeat(pa.scalar(lang, pa.string()), len(grams)) for lang, (grams, _) in sums.items()]
+            grams, counts = (np.concatenate([np.empty(0, dtype=np.int64), *(x[i] for x in sums.values())]) for i in (0, 1))
             sums.clear()
-            lang, gram, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(gram, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"]
-            )
+            held = 0
+            names = pa.concat_arrays([pa.array([], pa.string()), *langs])
+            return pa.RecordBatch.from_arrays([names, pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = sums.setdefault(lang, Counter())
                 grams, counts = ngrams.count(text or "")
-                own.update(dict(zip(grams.tolist(), counts.tolist(), strict=True)))
-                if sum(map(len, sums.values())) > 500_000:
-                    yield flush()
+                if not len(grams):
+                    continue
+                parts.setdefault(lang, []).append((grams, counts))
+                waiting += len(grams)
+                if waiting > 200_000:
+                    add_up()
+                    if held > 500_000:
+                        yield flush()
         yield flush()
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    known = labelled.filter(F.col(lang_col).isNotNull())
-    names = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), lang_col).limit(most).select(lang_col)
-    rows = (
-        known.join(F.broadcast(names), lang_col, "left_semi")
+    return (
+        labelled.filter(F.col(lang_col).isNotNull())
         .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         .mapInArrow(run, "lang string, gram bigint, n bigint")
         .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= size)
-        .orderBy("lang", "rank")
-        .collect()
+        .select("lang", "gram", "rank")
     )
+
+
+def collect_profiles(rows: DataFrame) -> dict[str, list[int]]:
+    """Profiles from :func:`profile_rows` in the driver."""
     profiles: dict[str, list[int]] = {}
-    for r in rows:
+    for r in rows.orderBy("lang", "rank").collect():
         profiles.setdefault(r["lang"], []).append(r["gram"])
     return profiles
 
 
+def fit_profiles(
+    labelled: DataFrame, text_col: str, lang_col: str, size: int = 300, longest: int = 3, most: int = 1_000
+) -> dict[str, list[int]]:
+    """``size`` n-grams for each non-null language of ``labelled``, see :func:`profile_rows`.
+
+    Profiles go to the driver and to all tasks, so at most ``most`` languages, those of most rows, get one.
+    """
+    known = labelled.filter(F.col(lang_col).isNotNull())
+    names = known.groupBy(lang_col).agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), lang_col).limit(most).select(lang_col)
+    return collect_profiles(profile_rows(known.join(F.broadcast(names), lang_col, "left_semi"), text_col, lang_col, size, longest))
+
+
 def identify(
     docs: DataFrame,
     profiles: dict[str, list[int]],
@@ -160,31 +203,87 @@ def identify(
     return map_texts(docs, id_col, text_col, make, "lang_pred string, score double", block_chars=1_000_000)
 
 
-def fit_floors(scored: DataFrame, width: float = 3.0, least_reach: float = 0.25, least_rows: int = 100) -> dict[str, float]:
-    """Lowest score of a text of each predicted language, from ``scored`` labelled rows (``lang_pred``, ``score``).
+def identify_by_table(
+    docs: DataFrame, profiles: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 300, longest: int = 3, block: int = 128
+) -> DataFrame:
+    """:func:`identify` with the profiles of any number of languages, in a table (:func:`profile_rows`).
 
-    The lower quartile less ``width`` interquartile ranges, ``least_reach`` at least.  Languages of fewer than
-    ``least_rows`` rows have the floor of all rows, under ``UNKNOWN``; with fewer rows in all there is none (0).
+    Up to ``block`` languages are one pass.  More take turns of about as many, dealt by a hash of the name; each row keeps the nearest
+    language so far, so neither the driver nor a task holds more than a turn's profiles.  ``text_col`` may lie inside ``id_col``.
     """
-    rows = scored.filter(F.col("lang_pred") != UNKNOWN).select("lang_pred", "score")
-    cuts = F.percentile_approx("score", [0.25, 0.75], 10_000).alias("q")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), cuts).withColumn("lang_pred", F.lit(UNKNOWN))
-    by_lang = rows.groupBy("lang_pred").agg(F.count(F.lit(1)).alias("n"), cuts)
-    floors = {UNKNOWN: 0.0}
-    for r in total.unionByName(by_lang).filter(F.col("n") >= least_rows).collect():
-        low, high = r["q"]
-        floors[r["lang_pred"]] = max(0.0, low - max(width * (high - low), least_reach))
-    return floors
+    turns = max(1, -(-profiles.select("lang").distinct().count() // block))
+    if turns == 1:
+        return identify(docs, collect_profiles(profiles), id_col, text_col, size, longest)
+    columns = dict.fromkeys([id_col, text_col.split(".")[0]])
+    best = docs.select(*columns, F.lit(None).cast("string").alias("__lang"), F.lit(-1.0).alias("__score"))
+    for turn in range(turns):
+        own = collect_profiles(profiles.filter(F.pmod(F.xxhash64("lang"), F.lit(turns)) == turn))
+        if not own:
+            continue
+        # text_col is read from the row itself, so it goes along once
+        rows = best.select(F.struct(*best.columns).alias("__row"))
+        seen = identify(rows, own, "__row", f"__row.{text_col}", size, longest)
+        # the share of the same maximum: scores are equal where distances are
+        tie = (F.col("score") == F.col("__row.__score")) & (F.col("lang_pred") < F.col("__row.__lang"))
+        nearer = (F.col("score") > F.col("__row.__score")) | tie
+        after = materialize(
+            seen.select(
+                *[F.col(f"__row.{c}").alias(c) for c in columns],
+                F.when(nearer, F.col("lang_pred")).otherwise(F.col("__row.__lang")).alias("__lang"),
+                F.when(nearer, F.col("score")).otherwise(F.col("__row.__score")).alias("__score"),
+            ),
+            "nearest_so_far",
+        )
+        discard(best)
+        best = after
+    return best.select(id_col, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def fit_floors(scored: DataFrame, width: float = 3.0, least_reach: float = 0.25, least_rows: int = 100) -> DataFrame:
+    """``lang_pred`` and ``floor``: lowest score of a text of each predicted language, from ``scored`` labelled rows (``lang_pred``, ``score``).
+
+    The lower quartile less ``width`` interquartile ranges, ``least_reach`` at least.  Null stands for all rows.  There is no row for
+    fewer than ``least_rows`` rows.  A quartile is the smallest score that a quarter (three quarters) of the rows do not exceed, exactly:
+    equal scores are counted first, and the counts summed in the order of scores by ranges.
+    """
+    counts = scored.filter(F.col("lang_pred") != UNKNOWN).groupBy("lang_pred", "score").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.select(F.explode(F.array("lang_pred", F.lit(None).cast("string"))).alias("lang_pred"), "score", "n")
+    counts = counts.groupBy("lang_pred", "score").agg(F.sum("n").alias("n"))
+    sums = running_sums(counts, ["lang_pred", "score"], "n", "before")
+    groups = sums.groupBy(F.col("lang_pred").alias("__lang")).agg(F.sum("n").alias("rows"), F.min("before").alias("start"))
+    groups = broadcast_if_few(groups.filter(F.col("rows") >= least_rows), "language_counts")
+
+    def quantile(share: float) -> Column:
+        return F.max(F.when(F.col("before") < F.col("start") + F.ceil(F.col("rows") * share), F.col("score")))
+
+    cuts = (
+        sums.join(groups, F.col("lang_pred").eqNullSafe(F.col("__lang")))
+        .groupBy("lang_pred")
+        .agg(quantile(0.25).alias("low"), quantile(0.75).alias("high"))
+    )
+    reach = F.greatest(width * (F.col("high") - F.col("low")), F.lit(least_reach))
+    return cuts.select("lang_pred", F.greatest(F.lit(0.0), F.col("low") - reach).alias("floor"))
+
+
+def above_floors(scored: DataFrame, floors: DataFrame) -> DataFrame:
+    """Rows of ``scored`` at or above the floor of their predicted language, or that of all rows where it has none; ``UNKNOWN`` ones go."""
+    floors = materialize(floors, "floors")
+    pooled = floors.filter(F.col("lang_pred").isNull()).first()
+    own = broadcast_if_few(floors.filter(F.col("lang_pred").isNotNull()).withColumnRenamed("lang_pred", "__lang"), "language_floors")
+    known = scored.filter(F.col("lang_pred") != UNKNOWN).join(own, F.col("lang_pred") == F.col("__lang"), "left")
+    return known.filter(F.col("score") >= F.coalesce("floor", F.lit(pooled["floor"] if pooled else 0.0))).select(*scored.columns)
 
 
 def training_rows(
-    docs: DataFrame, id_col: str, modulus: int = 4, held_out: int = 2, bound: int = 20_000, lang_col: str = "lang"
+    docs: DataFrame, id_col: str, modulus: int = 4, held_out: int = 2, bound: int | None = 20_000, lang_col: str = "lang"
 ) -> DataFrame:
     """About ``bound`` rows of each language whose id's crc32 does not leave ``held_out``; all of a language with fewer.
 
-    Chosen by a hash of the id; only languages of more than ``bound`` rows are listed in the driver.
+    Chosen by a hash of the id; only languages of more than ``bound`` rows are listed in the driver.  Without a bound: every such row.
     """
     rows = docs.filter(id_remainder(id_col, modulus) != held_out)
+    if bound is None:
+        return rows
     large = rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > bound) & F.col(lang_col).isNotNull())
     limits = {r[0]: int(bound / r["n"] * (1 << 20)) for r in large.collect()}
     if not limits:

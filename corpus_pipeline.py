@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from caselake.llm.bin_packing import pack_documents
 from caselake.llm.common import TableScope, discard, materialize, table
-from caselake.llm.language_id import UNKNOWN, fit_floors, fit_profiles, identify, training_rows
+from caselake.llm.language_id import above_floors, fit_floors, identify_by_table, profile_rows, training_rows
 from caselake.llm.line_dedup import drop_repeated_lines
 from caselake.llm.simhash_dedup import keep_one_per_class, similar_text_classes
 from caselake.llm.source_mixing import KEPT, TARGETS, apply_mix, label_domains, mix
@@ -24,20 +24,18 @@ from caselake.llm.source_mixing import KEPT, TARGETS, apply_mix, label_domains,
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language that the profiles know go: null texts, texts without a letter, scores below the floor.
 
-    Profiles come from the labelled rows that are not held out; ``lang`` of the others is not read.  The floors are
-    fitted over the same rows (:func:`fit_floors`).  Without profiles every text with a letter stays.  A null id counts
-    as not held out; profiles at equal distance: the first name.
+    Profiles come from all labelled rows that are not held out, for every language; ``lang`` of the others is not read.  The floors are
+    fitted over the same rows, all of them, by exact quartiles (:func:`fit_floors`).  Without profiles every text with a letter stays.
+    A null id counts as not held out; profiles at equal distance: the first name.
     """
     labelled = docs.filter(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    training = training_rows(labelled, "doc_id")
-    profiles = fit_profiles(training, "text", "lang")
-    if not profiles:
+    profiles = materialize(profile_rows(training_rows(labelled, "doc_id", bound=None), "text", "lang"), "profiles")
+    if profiles.isEmpty():
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    floors = fit_floors(identify(training, profiles))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    floor = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for f in floors.items() for x in f]), F.col("lang_pred")), F.lit(floors[UNKNOWN]))
-    kept = identify(rows, profiles, "row", "text").filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor))
-    return kept.select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    scored = materialize(identify_by_table(rows, profiles, "row", "row.text"), "scored")
+    training = training_rows(scored.filter(F.col("row.lang").isNotNull()), "row.doc_id", bound=None)
+    return above_floors(scored, fit_floors(training)).select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
