@@ -57,18 +57,38 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes)).view(">i8")[0])
 
 
-#: Segments of the hash range whose members are counted for a whole set.
+#: Least segments of the hash range whose members are counted for a whole set.
 SEGMENTS = 128
+#: Hashes that a segment of a larger set holds at most, on average.
+PER_SEGMENT = 4
 
 
-def segment_counts(hashes: np.ndarray) -> bytes:
-    """How many hashes of a set lie in each of ``SEGMENTS`` equal parts of their range; counts end at 255.
+def segments_for(n: int) -> int:
+    """Segments for a set of ``n`` hashes, a power of two: with a fixed number, the counts of unlike large sets come to lie within the bound."""
+    return max(SEGMENTS, 1 << (max(1, -(-n // PER_SEGMENT)) - 1).bit_length())
+
+
+def segment_counts(hashes: np.ndarray, segments: int = SEGMENTS) -> bytes:
+    """How many hashes of a set lie in each of ``segments`` equal parts of their range; counts end at 255.
 
     The popcounts by segment of the set written as bits: the Manhattan distance of two sets' counts never exceeds
     the number of hashes that only one of them has.
     """
-    shift = np.uint64(64 - (SEGMENTS - 1).bit_length())
-    return np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=SEGMENTS), 255).astype(np.uint8).tobytes()
+    shift = np.uint64(64 - (segments - 1).bit_length())
+    return np.minimum(np.bincount((hashes >> shift).astype(np.int64), minlength=segments), 255).astype(np.uint8).tobytes()
+
+
+def counts_apart(xs: list[bytes], ys: list[bytes], block: int = 256) -> np.ndarray:
+    """The Manhattan distance of every two sets' counts, the finer ones added up to the segments of the coarser; ``block`` pairs at a time."""
+    apart = np.zeros(len(xs), dtype=np.int64)
+    sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)]).reshape(-1, 2)
+    for own in np.unique(sizes, axis=0):
+        same = np.flatnonzero((sizes == own).all(axis=1))
+        for at in (same[i : i + block] for i in range(0, len(same), block)):
+            raw = (np.frombuffer(b"".join(c[i] for i in at), np.uint8).reshape(len(at), own.min(), -1) for c in (xs, ys))
+            x, y = (c.sum(axis=2, dtype=np.int32) for c in raw)
+            apart[at] = np.abs(x - y).sum(axis=1)
+    return apart
 
 
 def fingerprint(text: str | None, shingle_words: int) -> int:
@@ -238,7 +258,7 @@ def similar_text_classes(
                 out["digest"].append(xxhash.xxh3_128_digest(held.tobytes()))
                 out["n"].append(len(held))
                 out["fp"].append(majority_bits(held))
-                out["counts"].append(segment_counts(held))
+                out["counts"].append(segment_counts(held, segments_for(len(held))))
                 out["cells"].append(order[: len(held) - math.ceil(similarity * len(held) - SLACK) + 1].view(np.int64))
             return out
 
@@ -322,8 +342,7 @@ def within_counts(pairs: DataFrame, sketches: DataFrame, similarity: float) -> D
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SEGMENTS).astype(np.int16) for i in (3, 4))
-            apart = np.abs(x - y).sum(axis=1)
+            apart = counts_apart(batch.column(3).to_pylist(), batch.column(4).to_pylist())
             keep = apart <= batch.column(2).to_numpy() * ((1 - similarity) / (1 + similarity)) + SLACK
             chosen = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
@@ -383,26 +402,26 @@ def verified_pairs(
     texts = materialize(found.groupBy("id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("r")).select("id", "r.text"), "texts")
     hot = hot_keys(pairs, "b")
     dealt = deal(pairs.select("a", "b"), hot, "b", "a").select("a", "b", "part")
-    heads = dealt.select("b", "part").distinct().join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    both = (
-        dealt.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(heads, ["b", "part"])
-        .select("a", "b", "ta", "tb")
-    )
+    # the text of b once for its part, before those of its partners: a row holds one text
+    heads = dealt.select("b", "part").distinct().join(texts.withColumnRenamed("id", "b"), "b")
+    partners = dealt.join(texts.withColumnRenamed("id", "a"), "a").select("b", "part", "a", "text")
+    both = heads.select("b", "part", F.lit(None).cast(kind).alias("a"), "text").unionByName(partners)
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.asc_nulls_first("a"))
 
     def run(batches):
-        last, held = None, None
+        held = None
         for batch in batches:
             keep = []
-            for i in range(batch.num_rows):
-                b = batch.column(1)[i].as_py()
-                if held is None or b != last:
-                    last, held = b, np.unique(shingle_hashes(batch.column(3)[i].as_py(), shingle_words))
-                mine = np.unique(shingle_hashes(batch.column(2)[i].as_py(), shingle_words))
+            for a, text in zip(batch.column(2), batch.column(3), strict=True):
+                mine = np.unique(shingle_hashes(text.as_py(), shingle_words))
+                if not a.is_valid:
+                    held = mine
+                    keep.append(False)
+                    continue
                 common = len(np.intersect1d(mine, held, assume_unique=True))
                 keep.append(common >= similarity * (len(mine) + len(held) - common) - SLACK)
             chosen = batch.filter(pa.array(keep, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([chosen.column(2), chosen.column(0)], ["a", "b"])
 
     links = materialize(both.mapInArrow(run, f"a {kind}, b {kind}"), "links")
     discard(texts)

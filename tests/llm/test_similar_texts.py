@@ -108,6 +108,53 @@ def test_segment_counts_bound_the_difference():
         assert len(x) == simhash_dedup.SEGMENTS and np.abs(x - y).sum() <= len(np.setxor1d(a, b))
 
 
+def test_finer_counts_bound_the_difference():
+    rng = np.random.default_rng(8)
+    sets = []
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 2**64, int(rng.integers(2, 60_000)), dtype=np.uint64))
+        sets.append([pool[rng.random(len(pool)) < p] for p in rng.random(2)])
+    counts = [[simhash_dedup.segment_counts(s, simhash_dedup.segments_for(len(s))) for s in both] for both in sets]
+    apart = simhash_dedup.counts_apart(*map(list, zip(*counts)), block=7)
+    assert any(len(x) != len(y) for x, y in counts) and len(simhash_dedup.counts_apart([], [])) == 0
+    for (a, b), (x, y), d in zip(sets, counts, apart):
+        x, y = (np.frombuffer(c, np.uint8).astype(int).reshape(min(len(x), len(y)), -1).sum(axis=1) for c in (x, y))
+        assert d == np.abs(x - y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_long_unlike_texts_are_not_read_in_pairs(spark, monkeypatch):
+    """Texts that share a passage meet in a cell; whole texts are joined for those pairs only that may be similar."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    passage = fresh(1_800)
+    texts = [passage + fresh(4_200) for _ in range(8)]
+    texts.append(texts[3][:-300] + fresh(300))
+    seen, verified = [], simhash_dedup.verified_pairs
+
+    def noted(docs, id_col, text_col, pairs, *more):
+        seen.extend(tuple(sorted(r)) for r in pairs.collect())
+        return verified(docs, id_col, text_col, pairs, *more)
+
+    monkeypatch.setattr(simhash_dedup, "verified_pairs", noted)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_text_classes(df).collect()}
+    assert got == {i: i for i in range(8)} | {8: 3} and set(seen) == {(3, 8)}
+
+
+def test_verified_pairs_of_a_text_with_many_partners(spark):
+    """Null texts, ends on both sides and an end that is dealt into parts."""
+    from caselake.llm.common import materialize
+
+    base = [f"w{i}" for i in range(40)]
+    texts = {0: " ".join(base), 1: None, 2: "", 3: "other words of no text here at all"}
+    texts |= {i: " ".join([*base, *(f"x{i}-{j}" for j in range(i % 20))]) for i in range(10, 2_600)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    pairs = [(i, 0) for i in range(10, 2_600)] + [(0, 3), (1, 2), (3, 1), (11, 12), (12, 13)]
+    links = simhash_dedup.verified_pairs(docs, "doc_id", "text", materialize(spark.createDataFrame(pairs, "a long, b long")), 5, 0.8)
+    want = sorted(p for p in pairs if jaccard(*(shingle_set(texts[i] or "") for i in p)) >= 0.8)
+    assert 900 < len(want) < 2_000 and sorted(map(tuple, links.select("a", "b").collect())) == want
+
+
 def test_rows_of_one_id_and_rows_without_one(spark):
     texts = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven"]
     rows = [(1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[1]), (None, texts[0]), (None, None), (4, None), (4, None), (5, "")]
