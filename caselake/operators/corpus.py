@@ -205,11 +205,13 @@ def unhandled_extensions(docs: DataFrame, path: str, handled: Sequence[str]) ->
 def enrich(apps: DataFrame, key: str, sides: Sequence[tuple[DataFrame, Sequence[str], Sequence[str]]]) -> DataFrame:
     """Cases with columns of other tables: of each (table, columns, order) the first row of the case, nulls where there is none.
 
-    Without an order the columns themselves are the order.
+    Without an order the columns themselves are the order.  In an order nulls come last; end it with the rows' places
+    (:func:`~caselake.sources.tables.with_file_order`) where its columns leave ties.
     """
     out = apps
     for side, columns, order in sides:
-        row = F.min_by(F.struct(*columns), F.struct(*order)) if order else F.min(F.struct(*columns))
+        by = [part for c in order for part in (F.col(c).isNull(), F.col(c))]
+        row = F.min_by(F.struct(*columns), F.struct(*by)) if order else F.min(F.struct(*columns))
         first = side.groupBy(key).agg(row.alias("__row")).select(key, *[F.col(f"__row.{c}").alias(c) for c in columns])
         out = out.join(first, key, "left")
     return out

@@ -374,10 +374,11 @@ SELECT o_orderkey, outcome_bucket, datediff('day', o_orderdate::DATE, (r.s)::DAT
 )
 def case_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as refused or withdrawn cases, with what their first line says of them."""
-    lines = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_partkey")
+    lines = tables.with_file_order(parquet(spark, sf_dir, "lineitem"), "place")
+    lines = lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_linestatus", "l_shipdate", "l_linenumber", "l_partkey", "place")
     parts = parquet(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("excerpt"))
     apps = parquet(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("start"))
-    rows = corpus.enrich(apps, "o_orderkey", [(lines, ["l_returnflag", "l_linestatus", "l_shipdate", "l_partkey"], ["l_shipdate", "l_linenumber"])])
+    rows = corpus.enrich(apps, "o_orderkey", [(lines, ["l_returnflag", "l_linestatus", "l_shipdate", "l_partkey"], ["l_shipdate", "l_linenumber", "place"])])
     rows = rows.join(parts, "l_partkey", "left").withColumn("decided", F.date_format("l_shipdate", "yyyy-MM-dd"))
     flags = R.boost_flags(R.flag_columns({"is_urgent": [("o_orderpriority", "urgent")], "is_open": [("l_linestatus", "^O$")]}), F.array("l_returnflag"), {"is_urgent": "R"})
     outcome = R.first_match(F.col("o_orderstatus"), [("refused", "F"), ("withdrawn", "P")], "other", "other")

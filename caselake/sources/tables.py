@@ -17,6 +17,11 @@ def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_file_order(df: DataFrame, name: str) -> DataFrame:
+    """A table just read from Parquet files, with the place of each row in them: the file's path, then the row in it."""
+    return df.withColumn(name, F.struct("_metadata.file_path", "_metadata.row_index"))
+
+
 def scan(df: DataFrame, columns: Sequence[str], optional: Sequence[str] = (), equals: Mapping[str, object] | None = None) -> DataFrame:
     """Projection with optional equality filters; an optional column that is missing comes as null."""
     for name, value in (equals or {}).items():
