@@ -9,7 +9,7 @@ from ..functions import ladders
 from ..functions import rules as R
 from ..functions import scalars as S
 from ..operators import corpus, geo, progress
-from ..sources.tables import parquet
+from ..sources.tables import parquet, with_file_order
 from .bound import query
 
 # --- codes and buckets -------------------------------------------------------------------------------------------
@@ -181,11 +181,11 @@ def refused_withdrawn_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     orders = parquet(spark, sf_dir, "orders").filter(F.col("o_orderstatus").isin("F", "P"))
-    lines = parquet(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber", "l_partkey")
+    lines = with_file_order(parquet(spark, sf_dir, "lineitem"), "place").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_linenumber", "l_partkey", "place")
     n_files = lines.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_files"))
     people = parquet(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
     parts = parquet(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_name")
-    rows = corpus.enrich(orders, "o_orderkey", [(lines, ["l_shipdate", "l_partkey"], ["l_shipdate", "l_linenumber"]), (n_files, ["n_files"], [])])
+    rows = corpus.enrich(orders, "o_orderkey", [(lines, ["l_shipdate", "l_partkey"], ["l_shipdate", "l_linenumber", "place"]), (n_files, ["n_files"], [])])
     rows = rows.join(people, "o_custkey").join(parquet(spark, sf_dir, "nation").select("n_nationkey", "n_name"), "n_nationkey").join(parts, "l_partkey", "left")
     rows = rows.withColumns(
         {

@@ -26,7 +26,7 @@ def _day(n):
     return datetime.datetime(2000, 1, 1) + datetime.timedelta(days=n)
 
 
-@pytest.mark.parametrize("name", ["case_facts"])
+@pytest.mark.parametrize("name", ["case_facts", "refused_withdrawn_table"])
 def test_first_line_of_ties_and_nulls(spark, tmp_path, name):
     """Lines that tie in date and number: the first in the file; a line without a date comes after those with one."""
     n, per = 40, 4
