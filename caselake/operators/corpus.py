@@ -22,13 +22,13 @@ def top_ranked(df: DataFrame, key: str, order: Sequence[Column], k: int) -> Data
 def char_budget(df: DataFrame, key: str, rank: str, length: str, cap: Column, budget: int, least: int = 200) -> DataFrame:
     """Characters taken from each ranked document: its length up to ``cap``, as the key's budget allows.
 
-    A document is skipped once ``least`` or fewer characters of the budget are left.  One window:
-    what is used before a row is the sum of the capped lengths before it.
+    A document is skipped once ``least`` or fewer characters of the budget are left; ``in_budget`` tells one that is not,
+    even if it is empty and nothing is taken.  One window: what is used before a row is the sum of the capped lengths before it.
     """
     w = Window.partitionBy(key).orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
     capped = F.least(F.coalesce(F.col(length), F.lit(0)), cap)
     left = F.lit(budget) - F.coalesce(F.sum(capped).over(w), F.lit(0))
-    return df.withColumn("taken", F.when(left > least, F.least(capped, left)).otherwise(0).cast("long"))
+    return df.withColumns({"taken": F.when(left > least, F.least(capped, left)).otherwise(0).cast("long"), "in_budget": left > least})
 
 
 def pack_chunks(df: DataFrame, shard: str, order: str, size: str, most: int) -> DataFrame:
@@ -65,10 +65,15 @@ def assemble(df: DataFrame, key: str, priority: str, tie: str, text: str, sep: s
 
 
 def request_table(docs: DataFrame, key: str, rank: str, text: str, header: Sequence[str]) -> DataFrame:
-    """One JSON request per key: header fields and the ranked texts cut to what :func:`char_budget` took."""
+    """One JSON request per key: header fields and the ranked texts cut to what :func:`char_budget` took.
+
+    Empty texts within the budget are listed too; a key of nothing else has no request.  Without the budget's ``in_budget`` only texts
+    of which something is taken are known.
+    """
     part = F.struct(F.col(rank).alias("rank"), F.expr(f"substring({text}, 1, cast(taken as int))").alias("text"))
-    grouped = docs.filter(F.col("taken") > 0).groupBy(key, *header).agg(F.array_sort(F.collect_list(part)).alias("documents"))
-    return grouped.select(key, F.to_json(F.struct(*header, "documents")).alias("request"))
+    listed = F.col("in_budget") if "in_budget" in docs.columns else F.col("taken") > 0
+    grouped = docs.filter(listed).groupBy(key, *header).agg(F.array_sort(F.collect_list(part)).alias("documents"), F.max("taken").alias("__most"))
+    return grouped.filter(F.col("__most") > 0).select(key, F.to_json(F.struct(*header, "documents")).alias("request"))
 
 
 def merge_selection(base: DataFrame, fresh: DataFrame, key: str) -> DataFrame:

@@ -51,3 +51,21 @@ def test_first_line_of_ties_and_nulls(spark, tmp_path, name):
     columns, rows = _same(spark, tmp_path, name)
     names = {r[0]: r[-1] for r in rows}
     assert names[1] == "part 5" and names[0] == "part 3"
+
+
+def test_request_rows_of_empty_and_unknown_texts(spark, tmp_path):
+    """Empty texts within the budget count as documents; a source of nothing else has no row; a text of unknown length comes last and counts as the cap."""
+    texts = {
+        "empty first": [("", 0), ("x" * 50, 50), ("", 0), ("y" * 60, 60)],
+        "all empty": [("", 0), ("", 0)],
+        "used up": [(c * 390, 390) for c in "abcd"] + [("", 0)],
+        "unknown": [("z" * 30, None), (None, None), ("é" * 20, 20)],
+        "no text": [(None, 70), ("w" * 10, 10)],
+        None: [("v" * 10, 10), ("", 0)],
+    }
+    rows = [(i, source, text, n) for i, (source, text, n) in enumerate((s, *t) for s, ts in texts.items() for t in ts)]
+    ids, sources, words, lengths = zip(*rows, strict=True)
+    table = {"doc_id": pa.array(ids, pa.int64()), "text": pa.array(words), "lang": pa.array(["en"] * len(ids)), "source": pa.array(sources), "n_chars": pa.array(lengths, pa.int64())}
+    pq.write_table(pa.table(table), tmp_path / "documents.parquet")
+    columns, want = _same(spark, tmp_path, "request_rows")
+    assert {r[0]: r[1:] for r in want}["empty first"] == (4, 110) and "all empty" not in {r[0] for r in want}
