@@ -40,6 +40,10 @@ def link_by_reference(apps: DataFrame, cases: DataFrame, uid: str, refs: Mapping
     return found.select(uid, case, F.lit("t1").alias("tier"), F.concat(F.lit("ref_source="), "__name").alias("match_detail")).distinct()
 
 
+def _tail(ref: Column) -> Column:
+    return F.when(ref.contains("/"), F.regexp_replace(ref, "^[^/]*/", ""))
+
+
 def reference_evidence(refs: Mapping[str, Column], case_ref: Column, description: Column, least: int = 4, least_described: int = 6) -> list[tuple[str, Column]]:
     """Evidence for :func:`link_by_block`, in order: per reference, itself or its tail against the case's, one holding the other; then a description that names the case.
 
@@ -48,7 +52,7 @@ def reference_evidence(refs: Mapping[str, Column], case_ref: Column, description
     """
     out = []
     for name, ref in refs.items():
-        tail = F.when(ref.contains("/"), F.regexp_replace(ref, "^[^/]*/", ""))
+        tail = _tail(ref)
         long = F.length(ref) >= least
         out.append((name, long & (case_ref.contains(ref) | ref.contains(case_ref))))
         out.append((f"{name}_tail", long & (F.length(tail) >= least) & (case_ref.contains(tail) | tail.contains(case_ref))))
@@ -56,19 +60,68 @@ def reference_evidence(refs: Mapping[str, Column], case_ref: Column, description
     return out
 
 
+def _first_evidence(evidence: Sequence[tuple[str, Column]]) -> Column:
+    return F.coalesce(*[F.when(F.coalesce(condition, F.lit(False)), name) for name, condition in evidence])
+
+
 def link_by_block(apps: DataFrame, cases: DataFrame, uid: str, case: str, block: Sequence[str], evidence: Sequence[tuple[str, Column]]) -> DataFrame:
     """Tier 2: the same block, and some evidence; the first evidence that holds names the match.
 
     ``evidence`` conditions read the columns of both sides.  Null block keys never meet.
     """
-    source = None
-    for name, condition in evidence:
-        condition = F.coalesce(condition, F.lit(False))
-        source = F.when(condition, name) if source is None else source.when(condition, name)
-    found = apps.join(cases, list(block)).withColumn("match_detail", source).filter(F.col("match_detail").isNotNull())
+    found = apps.join(cases, list(block)).withColumn("match_detail", _first_evidence(evidence)).filter(F.col("match_detail").isNotNull())
     return found.select(uid, case, F.lit("t2").alias("tier"), "match_detail").distinct()
 
 
+def contained(patterns: DataFrame, texts: DataFrame, block: Sequence[str], pattern: str, text: str, most_broadcast: int = 200_000) -> DataFrame:
+    """(block, pattern, text) of every pattern that is part of a text of its block, once each.
+
+    From each place of a text the parts that begin and are as long as some pattern meet the patterns as equals, so no pair is made that does
+    not hold.  Meant for references and other short texts.  Patterns are broadcast up to ``most_broadcast`` rows.
+    """
+    rows = patterns.select(*block, pattern).filter(F.col(pattern).isNotNull())
+    few = rows.limit(most_broadcast + 1).count() <= most_broadcast
+    sought = rows.distinct()
+    held = texts.select(*block, text).filter(F.col(text).isNotNull()).distinct()
+    # at most as many as there are characters, times the longest pattern's; the place after a text's end is that of the empty pattern
+    kinds = rows.select(F.substring(pattern, 1, 1).alias("__first"), F.length(pattern).alias("__n")).distinct()
+    places = held.select(*block, text, F.explode(F.sequence(F.lit(1), F.length(text) + 1)).alias("__at"))
+    begun = places.withColumn("__first", F.substring(F.col(text), F.col("__at"), F.lit(1))).join(F.broadcast(kinds), "__first")
+    begun = begun.filter(F.col("__at") + F.col("__n") - 1 <= F.length(text))
+    parts = begun.select(*block, text, F.substring(F.col(text), F.col("__at"), F.col("__n")).alias(pattern))
+    return parts.join(F.broadcast(sought) if few else sought, [*block, pattern]).select(*block, pattern, text).distinct()
+
+
+def link_by_parts(
+    apps: DataFrame, cases: DataFrame, uid: str, case: str, block: Sequence[str], refs: Mapping[str, str], case_ref: str, description: str, least: int = 4, least_described: int = 6
+) -> DataFrame:
+    """:func:`link_by_block` by :func:`reference_evidence`, without a comparison of all pairs of a block.
+
+    ``refs`` maps the name of each reference to its column.  References, tails and descriptions first meet the cases' references as
+    strings, by :func:`contained`; only rows of strings that meet become pairs.
+    """
+    evidence = reference_evidence({name: F.col(c) for name, c in refs.items()}, F.col(case_ref), F.col(description), least, least_described)
+    rows = apps.select(*dict.fromkeys([uid, *block, *refs.values(), description]))
+
+    def strings(*columns: Column) -> DataFrame:
+        each = rows.select("*", F.explode(F.array(*columns)).alias("__s"))
+        return each.filter(F.length("__s") >= least).hint("merge")  # many more rows than their files' size tells: not to be broadcast
+
+    references = [F.col(c) for c in refs.values()]
+    tails = [_tail(c) for c in references]
+    described = rows.withColumn("__s", F.col(description)).hint("merge")
+    own = cases.select(*block, case_ref)
+    in_cases = contained(strings(*references, *tails), own, block, "__s", case_ref)
+    in_references = contained(own, strings(*references), block, case_ref, "__s")
+    in_descriptions = contained(own.filter(F.length(case_ref) >= least_described), described, block, case_ref, "__s")
+    met = in_cases.unionByName(in_references).distinct()
+    on = [*block, "__s"]
+    pairs = strings(*references, *tails).join(met, on).unionByName(described.join(in_descriptions, on)).drop("__s")
+    found = pairs.withColumn("match_detail", _first_evidence(evidence)).filter(F.col("match_detail").isNotNull())
+    links = found.select(uid, *block, case_ref, "match_detail").distinct().join(cases.select(case, *block, case_ref), [*block, case_ref])
+    return links.select(uid, case, F.lit("t2").alias("tier"), "match_detail").distinct()
+
+
 def link_unique_block(apps: DataFrame, cases: DataFrame, uid: str, case: str, block: Sequence[str], left_sig: str, right_sig: str) -> DataFrame:
     """Tier 3: a block with exactly one application and one case, whose signatures are equal."""
     one_app = apps.groupBy(*block).agg(F.min(uid).alias(uid), F.max(uid).alias("__u"), F.min(left_sig).alias("__a"), F.max(left_sig).alias("__a2"))

@@ -170,8 +170,7 @@ def link_t2_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("Q"), key.cast("string")))
     )
     cases = parquet(spark, sf_dir, "supplier").select(key.alias("case_id"), F.col("s_nationkey").alias("block"), ref.alias("ref"))
-    evidence = linkage.reference_evidence({"uid": F.col("r1"), "name": F.col("r2")}, F.col("ref"), F.col("d"))
-    return linkage.link_by_block(apps, cases, "uid", "case_id", ["block"], evidence)
+    return linkage.link_by_parts(apps, cases, "uid", "case_id", ["block"], {"uid": "r1", "name": "r2"}, "ref", "d")
 
 
 ALIASES = {"old england": "NATION_3", "holland": "NATION_7"}
